@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, new_path, ship
 
-CACHE_ENTRIES, FRAME_BYTES, SHARD_TEXT_BYTES = 400_000, 1 << 20, 32 << 20
+CACHE_ENTRIES, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 400_000, 1 << 20, 1 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 
 # Magic numbers of the public zstd seekable format.
@@ -68,7 +68,16 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """In runs of about ``RUN_CHARS`` characters, so that few pieces are held at a time."""
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= RUN_CHARS or i == len(texts) - 1:
+                yield from self._run(texts[start : i + 1])
+                start, size = i + 1, 0
+
+    def _run(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
