@@ -7,9 +7,9 @@ there can be at most (shingles per document) / EPS, so the table that all tasks
 are found exactly: a first pass keeps what is frequent in some block of documents, a second counts those everywhere.
 
 Each text gets ``BANDS * ROWS`` weighted samples; texts that share a band are candidates. In a bucket, members are
-compared with one centre, not with each other; members that this leaves in different components meet another centre in
-the next round; what is left after ``ROUNDS`` is compared across components, so no candidate link is lost. Each
-comparison computes the weighted Jaccard similarity of the two whole texts. Equal texts are one node throughout.
+compared with one centre, not with each other; the texts of buckets that this leaves with several components are joined
+across components by an exact prefix filter on their shingles, so no candidate link is lost. Each comparison computes
+the weighted Jaccard similarity of the two whole texts. Equal texts are one node throughout.
 
 At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**15 = 0.9996.
 
@@ -26,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, materialize, ship
 from .components import connected_components
 from .perfect_hash import mix64
 
-SHINGLE, BANDS, ROWS, EPS, ROUNDS = 5, 15, 4, 0.1, 2
+SHINGLE, BANDS, ROWS, EPS = 5, 15, 4, 0.1
+#: Centres per bucket in the rounds before the last.
+CENTRES = (1,)
 NULL_ID = -(1 << 63)
 _PART_BYTES, _BLOCK_DOCS, _BLOCK_SHINGLES = 1 << 20, 8192, 1 << 22
 
@@ -299,6 +301,57 @@ def _verify(sent, threshold: float):
     return run
 
 
+def _with_centres(here: DataFrame, centres: int, step: int, threshold: float) -> DataFrame:
+    """``x, y``: members of open buckets with up to ``centres`` centres of another component; linear in the members."""
+    part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(centres)) if centres > 1 else F.lit(0)
+    chosen = here.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("reach")).alias("rank"), "node", "component", "total")).alias("c"))
+    chosen = chosen.select(F.col("bucket").alias("k"), F.col("c.node").alias("y"), F.col("c.component").alias("other"), F.col("c.total").alias("size"))
+    # texts whose total weights differ by more can't be similar enough
+    near = F.least("total", "size") >= F.lit(threshold * (1 - 1e-9)) * F.greatest("total", "size")
+    return here.join(chosen, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("other")) & near).select(F.col("node").alias("x"), "y")
+
+
+def _explode(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh: Weights = sent.value
+        for batch in batches:
+            ids = np.asarray(batch.column("doc_id"))
+            for start, texts in _parts(batch):
+                found = [weigh(codes) for codes in shingles_of(texts)]
+                sizes = [len(h) for h, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids[start : start + len(texts)], sizes)), pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.concatenate([w for _, w in found]))],
+                    ["n", "h", "w"],
+                )
+
+    return run
+
+
+def _across(here: DataFrame, bodies: DataFrame, sent, threshold: float) -> DataFrame:
+    """``x, y``: texts of open buckets in different components that can still be similar enough, by a prefix filter.
+
+    Shingles are ordered by how many of these texts hold them, rarest first. A pair's common weight has to be
+    threshold / (1 + threshold) of the sum of its totals, and cannot be more than what either text holds from their first
+    common shingle on. So a shingle is looked up only where that rest is large enough, and a pair is made only where the
+    smaller rest is. Of the texts with a shingle, one side leaves out the largest component: no pair lies inside it.
+    """
+    nodes = here.select(F.col("node").alias("d"), "component", "total").distinct()
+    shingles = bodies.join(nodes.select("d"), F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(_explode(sent), "n long, h long, w double")
+    shingles = materialize(shingles, "nd-shingles")
+    common = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("k"), "df")
+    held = shingles.join(common, F.col("h") == F.col("k")).join(nodes, F.col("n") == F.col("d")).select("n", "component", "total", "h", "df", "w")
+    after = Window.partitionBy("n").orderBy(F.desc("df"), F.desc("h")).rowsBetween(Window.unboundedPreceding, 0)
+    limit = threshold * (1 - 1e-9)
+    rest = held.withColumn("rest", F.sum("w").over(after)).where(F.col("rest") >= F.lit(limit) * F.col("total"))
+    rows = materialize(rest.select("n", "component", "total", "h", "rest"), "nd-prefixes")
+    largest = rows.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "component")).alias("l"), F.count(F.lit(1)).alias("parts"))
+    largest = largest.where("parts > 1").select(F.col("h").alias("k"), F.col("l.component").alias("main"))
+    left = rows.join(largest, F.col("h") == F.col("k")).where(F.col("component") != F.col("main")).drop("k", "main")
+    right = rows.select(F.col("h").alias("k"), F.col("n").alias("y"), F.col("component").alias("other"), F.col("total").alias("size"), F.col("rest").alias("able"))
+    enough = F.least("rest", "able") >= F.lit(limit / (1 + threshold)) * (F.col("total") + F.col("size"))
+    return left.join(right, (F.col("h") == F.col("k")) & (F.col("component") != F.col("other")) & enough).select(F.col("n").alias("x"), "y")
+
+
 def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (verified links of its text)."""
     spark = documents.sparkSession
@@ -312,33 +365,25 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     texts = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")).withColumnsRenamed({"t1": "k1", "t2": "k2"})
     members = materialize(signed.select("doc_id", "t1", "t2", "total", "bands").join(texts, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("doc_id", "node", "total", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "nd-members")
     keyed = members.where("bands is not null").select("node", "total", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select(F.col("bucket").alias("k"))
-    buckets = materialize(keyed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "node", "total").distinct(), "nd-buckets")
-
-    wanted = buckets.select(F.col("node").alias("n")).distinct()
-    bodies = materialize(docs.join(wanted, F.col("doc_id") == F.col("n"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "nd-texts")
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select(F.col("bucket").alias("k"), "size")
+    inside = materialize(keyed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "node", "total", "size").distinct(), "nd-inside")
+    # a text that differs from others in few places shares many large buckets, and makes a good centre
+    reach = inside.groupBy("node").agg(F.sum("size").alias("reach"))
+    buckets = materialize(inside.drop("size").join(reach, "node"), "nd-buckets")
+    bodies = materialize(docs.join(reach.select(F.col("node").alias("n")), F.col("doc_id") == F.col("n"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "nd-texts")
 
     links = tested = None
     labelled = buckets.withColumn("component", F.col("node"))
-    for step in range(ROUNDS + 1):
-        spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("rank"), "node", "component", "total")).alias("centre"))
-        open_buckets = spread.where("low < high").select(F.col("bucket").alias("k"), "centre")
-        here = labelled.join(open_buckets, F.col("bucket") == F.col("k"))
-        if step < ROUNDS:
-            pairs = here.select(F.col("node").alias("x"), "component", "total", F.col("centre.node").alias("y"), F.col("centre.component").alias("other"), F.col("centre.total").alias("size"))
-        else:  # what two rounds of centres have not joined
-            again = here.select(F.col("bucket").alias("k2"), F.col("node").alias("y"), F.col("component").alias("other"), F.col("total").alias("size"))
-            pairs = here.select("bucket", F.col("node").alias("x"), "component", "total").join(again, (F.col("bucket") == F.col("k2")) & (F.col("x") > F.col("y")))
-        # texts whose total weights differ by more can't be similar enough
-        apart = (F.col("component") != F.col("other")) & (F.least("total", "size") >= F.lit(threshold * (1 - 1e-9)) * F.greatest("total", "size"))
-        pairs = pairs.where(apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    for step in range(len(CENTRES) + 1):
+        spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("bucket").alias("k"))
+        here = materialize(labelled.join(spread, F.col("bucket") == F.col("k"), "left_semi"), "nd-open")
+        pairs = _with_centres(here, CENTRES[step], step, threshold) if step < len(CENTRES) else _across(here, bodies, sent, threshold)
+        pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "nd-pairs")
         if pairs.isEmpty():
-            if step < ROUNDS:
-                continue
-            break
+            continue
         left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "text_a", "b", "text_b")
         new = materialize(both.mapInArrow(_verify(sent, threshold), "a long, b long"), "nd-links")
@@ -346,7 +391,7 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         tested = pairs if tested is None else tested.union(pairs)
         named = materialize(connected_components(links), "nd-components")
         joined = buckets.join(named.withColumnRenamed("component", "c"), "node", "left")
-        labelled = joined.select("bucket", "node", "total", F.coalesce("c", "node").alias("component"))
+        labelled = joined.select("bucket", "node", "total", "reach", F.coalesce("c", "node").alias("component"))
 
     if links is None:
         return members.select(_shown("doc_id"), _shown("node").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
