@@ -93,14 +93,18 @@ def measure(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang:
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two histograms of counts, base 2; null if one is empty."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    tp, tq = total(p), total(q)
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    def both(x: Column, y: Column) -> Column:
-        a, b = x / tp, y / tq
-        return term(a, (a + b) / 2) + term(b, (a + b) / 2)
+    def distance(s: Column) -> Column:
+        def both(x: Column, y: Column) -> Column:
+            a, b = x / s["tp"], y / s["tq"]
+            return term(a, (a + b) / 2) + term(b, (a + b) / 2)
 
-    return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(p, q, both)) / 2)))
+        return F.when((s["tp"] > 0) & (s["tq"] > 0), F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(s["p"], s["q"], both)) / 2)))
+
+    # the totals are bound to a variable, so they are summed once and not for every bin
+    sums = F.struct(p.alias("p"), q.alias("q"), total(p).alias("tp"), total(q).alias("tq"))
+    return F.element_at(F.transform(F.array(sums), distance), 1)
 
 
 def references(measured: DataFrame) -> DataFrame:
