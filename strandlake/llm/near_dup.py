@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, materialize, ship
 from .components import connected_components
-from .perfect_hash import mix64
+from .hashing import mix64, span_hashes
 
 SHINGLE, BANDS, ROWS, EPS = 5, 15, 4, 0.1
 #: Centres per bucket in the rounds before the last.
@@ -41,9 +41,8 @@ _PART_BYTES, _BLOCK_DOCS, _BLOCK_SHINGLES = 1 << 20, 8192, 1 << 22
 
 
 def _tables():
-    """Fixed by seeds, so that every worker draws alike: byte values, powers, quantiles of Gamma(2, 1)."""
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    byte = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+    """Fixed by seeds, so that every worker draws alike: odd multipliers, quantiles of Gamma(2, 1) and their logarithms."""
+    rng = np.random.Generator(np.random.PCG64(20240301))
     multipliers = rng.integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
     # quantiles by bisection on the distribution function 1 - (1 + x) * exp(-x)
     q = (np.arange(1 << 16) + 0.5) / (1 << 16)
@@ -53,24 +52,12 @@ def _tables():
         above = 1 - (1 + mid) * np.exp(-mid) > q
         low, high = np.where(above, low, mid), np.where(above, mid, high)
     gamma = ((low + high) / 2).astype(np.float32)
-    return byte, multipliers, gamma, np.log(gamma)
+    return multipliers, gamma, np.log(gamma)
 
 
-_BYTE, _MULTIPLIER, _GAMMA, _LOG_GAMMA = _tables()
+_MULTIPLIER, _GAMMA, _LOG_GAMMA = _tables()
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
-_P, _P_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a fixed odd number and of its inverse modulo 2**64, for at least n places."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            _powers.clear()
-            _powers[size] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, p, dtype=np.uint64))]) for p in (_P, _P_INVERSE))
-    return _powers[size]
 
 
 def shingles_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -82,11 +69,8 @@ def shingles_of(texts: list[bytes]) -> list[np.ndarray]:
     space = _IS_SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     first, last = edge[::2], edge[1::2]  # a word begins where white space ends
-    power, inverse = _power(len(data))
+    word = span_hashes(data, first, last)
     with np.errstate(over="ignore"):
-        sums = np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64)
-        before = np.where(first > 0, sums[first - 1], np.uint64(0))
-        word = mix64((sums[last - 1] - before) * inverse[first], 1)
         n = len(word) - SHINGLE + 1
         code = np.zeros(max(0, n), dtype=np.uint64)
         for j in range(SHINGLE):

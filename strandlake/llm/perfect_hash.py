@@ -9,16 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
-GAMMA, MOST_LEVELS = 2.0, 64
-
+from .hashing import mix64
 
-def mix64(x: np.ndarray, seed: int) -> np.ndarray:
-    """Bijective scrambling of 64-bit words (two multiply-xorshift rounds)."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ (x >> np.uint64(32))
+GAMMA, MOST_LEVELS = 2.0, 64
 
 
 class PerfectHash:

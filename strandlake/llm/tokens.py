@@ -15,21 +15,25 @@ id comes first; an empty table gives no documents. Columns that are not named ar
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_path, ship
+from .hashing import span_hashes
 
-CACHE_ENTRIES, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 400_000, 1 << 20, 1 << 20, 32 << 20
+PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 2_000_000, 400_000, 500, 1 << 21, 1 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 
 # Magic numbers of the public zstd seekable format.
@@ -42,12 +46,15 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """``encode`` gives each text's ids as little-endian 32-bit words.
 
-    A byte-level BPE whose splitter is the usual one never joins anything across a single space before a word, so texts
-    are cut there and each distinct piece is encoded once; texts with white space where that does not hold, and all texts
-    of other tokenizers, are encoded whole. Strings of special tokens inside a text are ordinary text.
+    A byte-level BPE codes each piece that its splitter makes on its own, so pieces are encoded once and kept. Texts are
+    first cut at spaces, which never joins or parts pieces except in runs of white space; a part that is new is split by
+    the tokenizer's own pattern, and only pieces that are new go to the tokenizer. Texts with runs of white space where
+    a cut could matter, and all texts of tokenizers of other kinds, are encoded whole. Strings of special tokens inside
+    a text are ordinary text.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,7 +64,11 @@ class Encoder:
         splitter, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not spec.get("normalizer")
         self.by_piece = bool(plain and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding"))
-        self.cache: dict[str, bytes] = {}
+        self.known: _Known = _Known()
+        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,7 +77,9 @@ class Encoder:
         return _encoders[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """In runs of about ``RUN_CHARS`` characters, so that few pieces are held at a time."""
@@ -78,35 +91,124 @@ class Encoder:
                 start, size = i + 1, 0
 
     def _run(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self.whole(texts)
+        cut = [i for i, text in enumerate(texts) if _cuttable(text)] if self.by_piece else []
+        rest = sorted(set(range(len(texts))).difference(cut))
         out: list[bytes | None] = [None] * len(texts)
-        pieces: list[list[str] | None] = []
-        rest, wanted, cache = [], set(), self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        for i, text in enumerate(texts):
-            if not _JOINED.search(text):
-                parts = text.split(" ")
-                wanted.update(parts)
-                pieces.append(parts)
-            else:
-                rest.append(i)
-                pieces.append(None)
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
-        new = [x for x in wanted if x not in cache]
-        cache.update(zip(new, self.whole([" " + x for x in new]), strict=True))
-        cut = [i for i, parts in enumerate(pieces) if parts is not None]
-        heads = self.whole([pieces[i][0] for i in cut])
-        get = cache.__getitem__
-        for i, head in zip(cut, heads, strict=True):
-            out[i] = head + b"".join(map(get, pieces[i][1:]))
+        if not cut:
+            return out
+        split = [texts[i].partition(" ") for i in cut]
+        heads = self.whole([head for head, _, _ in split])
+        # all other parts of the run at once; a text without a space has none
+        tails = [tail.encode() for _, space, tail in split if space]
+        data = np.frombuffer(b" ".join(tails), np.uint8)
+        at = np.flatnonzero(data == 32)
+        first, last = np.concatenate([[0], at + 1]), np.concatenate([at, [len(data)]])
+        hashes, where, which = np.unique(span_hashes(data, first, last), return_index=True, return_inverse=True)
+        known = self.known
+        new = known.missing(hashes)
+        raw = data.tobytes()
+        texts_of_new = [raw[a:b].decode() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)]
+        known.add(hashes[new], self._parts(texts_of_new))
+        place = np.searchsorted(known.hashes, hashes)
+        flat, begin, sizes = known.ids, known.begin[place], known.sizes[place]
+        each = sizes[which]
+        upto = np.cumsum(each)
+        ids = flat[np.repeat(begin[which] - (upto - each), each) + np.arange(upto[-1])].tobytes()
+        ends = iter(upto[np.cumsum([t.count(b" ") + 1 for t in tails]) - 1].tolist() if tails else [])
+        done = 0
+        for i, head, (_, space, _) in zip(cut, heads, split, strict=True):
+            if space:
+                end = next(ends)
+                out[i] = head + ids[4 * done : 4 * end]
+                done = end
+            else:
+                out[i] = head
+        return out
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Codes of distinct parts, each with the space before it."""
+        pieces = self.pieces
+        if len(pieces) > PIECES:
+            pieces.clear()
+        split = list(map(_split_part, parts))
+        wanted = {p for x in split for p in x}.difference(pieces)
+        words = [p for p in wanted if p[0] == " " and p[1:].isalpha()]
+        others = list(wanted.difference(words))
+        pieces.update(zip(words, self._words(words), strict=True))
+        pieces.update(zip(others, self.whole(others), strict=True))
+        get = pieces.__getitem__
+        return [b"".join(map(get, x)) if len(x) > 1 else get(x[0]) for x in split]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Codes of words with a space before each, many to a text: every id that starts with a space starts a word."""
+        out: list[bytes] = []
+        texts = ["".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        for k, code in enumerate(self.whole(texts)):
+            ids = np.frombuffer(code, "<u4")
+            start = np.flatnonzero(self.spaced[ids]) * 4
+            group = words[k * JOINED_WORDS : (k + 1) * JOINED_WORDS]
+            if len(start) == len(group):
+                out += [code[a:b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(code)], strict=True)]
+            else:
+                out += self.whole(group)
         return out
 
 
+def _split_part(part: str) -> list[str]:
+    """Pieces of a part with the space before it; words with and without a mark at their end the short way."""
+    if part.isalpha():
+        return [" " + part]
+    if part[:-1].isalpha() and part[-1] in ".,;:!?":
+        return [" " + part[:-1], part[-1]]
+    return _PIECE.findall(" " + part)
+
+
+class _Known:
+    """Codes of parts by hash, in flat arrays; emptied when it holds too many."""
+
+    def __init__(self):
+        self.hashes, self.begin, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of those of the sorted hashes that are not there."""
+        if len(self.hashes) > PARTS:
+            self.__init__()
+        if not len(self.hashes):
+            return np.arange(len(hashes))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.flatnonzero(self.hashes[at] != hashes)
+
+    def add(self, hashes: np.ndarray, codes: list[bytes]) -> None:
+        sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
+        begin = np.cumsum(sizes) - sizes + len(self.ids)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(codes), "<u4")])
+        order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = both[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+
+
+_PAIRS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u202f", "\u205f", "\u3000")
+
+
+def _cuttable(text: str) -> bool:
+    """Whether cutting at spaces is safe: quick where no space follows white space, else by pattern."""
+    if not any(x in text for x in _PAIRS) and (text.isascii() or not _WIDE.search(text)):
+        return True
+    return not _JOINED.search(text)
+
+
+#: White space of the general punctuation block.
+_WIDE = re.compile("[\u2000-\u200a\u2028\u2029]")
+
 #: A space between two other white space characters, or between one and the end: there the splitter may join spaces.
-_JOINED = re.compile(r"\s (?:\s|\Z)")
+_JOINED = re.compile(r"\s (?:\s|\Z)|[\x1c-\x1f\x85]")
+
+# Fixed value: the splitting pattern of byte-level tokenizers.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
