@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import count_words, materialize
 
-#: Bits per level; three levels use the whole 48-bit hash.
-BITS, LEVELS = 16, 3
+#: Bits per level; four levels use the whole 48-bit hash.
+BITS, LEVELS = 12, 4
 
 
 def hash48(doc_id: Column) -> Column:
