@@ -1,6 +1,9 @@
-"""The registered queries of the engine and their DuckDB oracles."""
+"""The registered queries of the engine over the genome view of the driver tables, and their DuckDB oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalog_queries, codec_queries, kmer_queries, segment_queries
+
+_PARTS = (catalog_queries, kmer_queries, segment_queries, codec_queries)
+QUERIES: dict = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _PARTS for k, v in m.ORACLES.items()}

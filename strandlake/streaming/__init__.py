@@ -1,0 +1,5 @@
+"""Incremental ingestion with Structured Streaming, and streamed output."""
+
+from .ingest import append_stream, contig_stream, stream_contigs
+
+__all__ = ["append_stream", "contig_stream", "stream_contigs"]
