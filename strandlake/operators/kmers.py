@@ -65,4 +65,6 @@ def without_palindromes(found: DataFrame) -> DataFrame:
 def sampled(found: DataFrame, k: int, fraction: float) -> DataFrame:
     """Rows whose canonical k-mer belongs to the sampled share."""
     mixed = with_fmix64(found.withColumn("__value", kmer_value(F.col("ck"), k)), "__value", "__mixed")
-    return mixed.where(is_sampled(F.col("__mixed"), fraction)).drop("__value", "__mixed")
+    # one-row explode: a filter is not pushed below it, so the steps of the hash stay columns of their own
+    held = mixed.select(*found.columns, F.explode(F.array("__mixed")).alias("__held"))
+    return held.where(is_sampled(F.col("__held"), fraction)).drop("__held")
