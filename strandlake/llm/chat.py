@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 TURN, BODY, SEAM, END = "<|turn|>", "<|body|>", "<|seam|>", "<|end|>\n"
 
 # First characters of control strings and what follows them, as a Java pattern.
-CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|/?<SYS>>|<SYS>>|<\|)"
+CONTROL = r"([<\[])(?=\||/?s>|/?INST\]|</?SYS>>)"
 
 BLOCK_TURNS = 512
 
