@@ -204,4 +204,7 @@ def classify(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
 def keep_good(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents, all columns, that score ``threshold`` or more."""
     model = train(documents, labels, doc, text, max_rows=max_rows)
-    return score_documents(documents, model, text).where(F.col("__score") >= threshold).drop("__score")
+    scored = score_documents(documents, model, text)
+    # a filter is not pushed below a one-row explode; pushed down, it would compute every statistic once per rule
+    held = scored.select(*[scored[c] for c in documents.columns], F.explode(F.array("__score")).alias("__held"))
+    return held.where(F.col("__held") >= threshold).drop("__held")
