@@ -16,10 +16,9 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _done:
         top = Path(__file__).resolve().parents[1]
-        target = os.path.join(tempfile.mkdtemp(prefix="strandlake-"), "strandlake_engine.zip")
+        target = os.path.join(tempfile.mkdtemp(prefix="strandlake-"), "strandlake.zip")
         with zipfile.ZipFile(target, "w") as z:
             for p in sorted(top.rglob("*.py")):
-                if "llm" not in p.parts:
-                    z.write(p, f"{top.name}/{p.relative_to(top)}")
+                z.write(p, f"{top.name}/{p.relative_to(top)}")
         spark.sparkContext.addPyFile(target)
         _done.add(app)
