@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
+__all__ = ["SPACE", "SPACE_BYTES", "count_words", "materialize", "new_path", "shared_dir", "ship", "words_of"]
+
 #: Java pattern of the white space that ends a word, and the same characters as bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
 SPACE_BYTES = b" \t\n\x0b\f\r"
 
-_shipped: set[str] = set()
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one is set."""
@@ -40,20 +39,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, so that functions sent to them can be imported there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="strandlake-ship-"), "strandlake_ship.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, f"{top.name}/{p.relative_to(top)}")
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null and empty texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), f"{SPACE}+")
