@@ -32,7 +32,7 @@ def read_fasta(spark: SparkSession, paths: str | list[str], concatenated: bool =
     named = found.select(sample.alias("sample"), "file", "block", "at", short_name(F.col("header")).alias("contig"), F.col("header").alias("contig_full"), normalise_symbols(F.col("body")).alias("seq"))
     from pyspark.sql import Window
 
-    order = Window.partitionBy("sample", "file").orderBy("block", "at")
+    order = Window.partitionBy("file").orderBy("block", "at")
     return named.select("sample", "file", (F.row_number().over(order) - 1).cast("int").alias("contig_ord"), "contig", "contig_full", "seq")
 
 
