@@ -135,12 +135,17 @@ def base_sum(s: Column) -> Column:
 
 def self_similarity(s: Column, low: int = 4, high: int = 31) -> Column:
     """Largest share, over the lags, of A, C, G, T that equal the letter one lag before; 0 without any."""
-    n = F.char_length(s)
-    total = F.char_length(F.regexp_replace(s, "[^ACGT]", ""))
-    place = lambda lag: F.when(n > lag, F.sequence(lag + 1, n)).otherwise(F.array().cast("array<int>"))
-    equal = lambda lag: F.size(F.filter(place(lag), lambda i: (F.substring(s, i, 1) == F.substring(s, i - lag, 1)) & F.substring(s, i, 1).rlike("[ACGT]")))
-    shares = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda lag: equal(lag) / total)
-    return F.when(total > 0, F.array_max(shares)).otherwise(0.0)
+    letters = F.filter(F.split(s, ""), lambda c: c != "")
+
+    def largest(x: Column) -> Column:
+        n = F.size(x)
+        total = F.size(F.filter(x, lambda c: c.isin(*BASES)))
+        same = lambda a, b: (a == b) & a.isin(*BASES)
+        equal = lambda lag: F.size(F.filter(F.zip_with(F.slice(x, lag + 1, n - lag), F.slice(x, 1, n - lag), same), lambda e: e))
+        shares = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda lag: F.when(n > lag, equal(lag) / total).otherwise(0.0))
+        return F.when(total > 0, F.array_max(shares)).otherwise(0.0)
+
+    return F.element_at(F.transform(F.array(letters), largest), 1)
 
 
 def zigzag(x: Column) -> Column:

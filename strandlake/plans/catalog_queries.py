@@ -203,7 +203,7 @@ def reverse_complement(spark, d):
 
 
 def dna_codes(spark, d):
-    letters = F.split(F.substring(fn.iupac_view(F.col("text")), 1, 40), "")
+    letters = F.split(fn.iupac_view(F.col("text")), "")
     each = _docs(spark, d).select("doc_id", F.explode(F.filter(letters, lambda c: c != "")).alias("letter"))
     return each.groupBy("letter").agg(F.count(F.lit(1)).alias("n")).select("letter", "n", fn.dna_code(F.col("letter")).cast("long").alias("code"))
 
@@ -219,7 +219,7 @@ def n_runs(spark, d):
 
 
 def self_similarity(spark, d):
-    return contigs_of(spark, d).select("contig", F.substring("seq", 1, 300).alias("seq")).select("contig", F.round(fn.self_similarity(F.col("seq")), 9).alias("similarity"))
+    return contigs_of(spark, d).select("contig", F.round(fn.self_similarity(F.col("seq")), 9).alias("similarity"))
 
 
 _WANTED_SQL = "(VALUES (0, 'src3'), (1, 'src0'), (2, 'nosuch'), (3, 'src3')) AS v(argument, sample)"
@@ -267,8 +267,8 @@ ORACLES = {
     "distinct_paths": "SELECT 'in/' || source || '.fa' AS path, min(doc_id) AS first FROM documents GROUP BY source",
     "normalise_symbols": f"SELECT doc_id, {_IUPAC} AS seq FROM documents",
     "reverse_complement": f"SELECT doc_id, reverse(translate({_IUPAC}, 'ACGT', 'TGCA')) AS rc FROM documents",
-    "dna_codes": f"SELECT letter, count(*) AS n, CAST(CASE letter WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS BIGINT) AS code FROM (SELECT unnest(string_split(substr({_IUPAC}, 1, 40), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY letter",
+    "dna_codes": f"SELECT letter, count(*) AS n, CAST(CASE letter WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS BIGINT) AS code FROM (SELECT unnest(string_split({_IUPAC}, '')) AS letter FROM documents) WHERE letter <> '' GROUP BY letter",
     "contig_checksum": genome("SELECT contig, CAST(65 * (length(seq) - length(replace(seq, 'A', ''))) + 67 * (length(seq) - length(replace(seq, 'C', ''))) + 71 * (length(seq) - length(replace(seq, 'G', ''))) + 84 * (length(seq) - length(replace(seq, 'T', ''))) AS BIGINT) AS checksum FROM g"),
     "n_runs": f"SELECT doc_id, count(*) AS n, CAST(sum(length(run)) AS BIGINT) AS letters, max(length(run)) AS longest FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace({_IUPAC}, '[^ACGT]', 'N', 'g'), 'N{{4,}}')) AS run FROM documents) GROUP BY doc_id",
-    "self_similarity": genome("SELECT contig, round(coalesce(max(CASE WHEN total > 0 THEN same / total END), 0), 9) AS similarity FROM (SELECT contig, lag, CAST(len AS DOUBLE) AS total, count(*) FILTER (WHERE i > lag AND i <= len AND substr(s, i, 1) = substr(s, i - lag, 1)) AS same FROM (SELECT contig, substr(seq, 1, 300) AS s, length(substr(seq, 1, 300)) AS len, unnest(range(1, 301)) AS i FROM g), (SELECT unnest(range(4, 32)) AS lag) GROUP BY contig, lag, len) GROUP BY contig"),
+    "self_similarity": genome("SELECT contig, round(coalesce(CASE WHEN len(l) > 0 THEN list_max(list_transform(range(4, 32), lambda lag: len(list_filter(range(lag + 1, len(l) + 1), lambda i: l[i] = l[i - lag])) / len(l)::DOUBLE)) END, 0), 9) AS similarity FROM (SELECT contig, list_filter(string_split(seq, ''), lambda c: c <> '') AS l FROM g)"),
 }
