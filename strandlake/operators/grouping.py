@@ -22,20 +22,14 @@ def first_seen(keyed: DataFrame) -> DataFrame:
 def numbered(keys: DataFrame, order: list[str], base: int = 0, name: str = "group_id") -> DataFrame:
     """Consecutive ids in the order of the given columns, without a window over all rows.
 
-    Keys are range-partitioned and numbered inside each range; one row per range passes the window of offsets. The
-    ranges come from the columns' values, so a task that is run again numbers alike.
+    Rows are numbered inside each value of the first column (a sample); one row per value passes the window of offsets.
     """
-    n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = keys.stat.approxQuantile(order[0], [i / n for i in range(1, n)], 0.01) if n > 1 else []
-    bounds = sorted(set(bounds))
-    part = F.lit(0)
-    for b in bounds:  # at most one per shuffle partition
-        part = part + (F.col(order[0]) > F.lit(b)).cast("int")
-    ranged = keys.withColumn("__range", part)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return ranged.withColumn(name, inside - 1).join(offsets, "__range").withColumn(name, (F.col(name) + F.col("__base") + base).cast("long")).drop("__range", "__base")
+    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keys.groupBy(F.col(order[0]).alias("__first")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:]))
+    joined = keys.withColumn(name, inside - 1).join(offsets, F.col(order[0]) == F.col("__first"))
+    return joined.withColumn(name, (F.col(name) + F.col("__base") + base).cast("long")).drop("__first", "__base")
 
 
 def in_group_ordinals(members: DataFrame, group: tuple[str, ...] = ("key1", "key2")) -> DataFrame:

@@ -9,30 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import canonical, is_sampled, is_valid_kmer, kmer_value, reverse_complement, with_fmix64
+from ..functions import complement, is_sampled, is_valid_kmer, kmer_value, reverse_complement, with_fmix64
 
 PIECE = 1 << 19
 
 
 def pieces(contigs: DataFrame, k: int, size: int = PIECE) -> DataFrame:
-    """``contigs`` with ``piece`` (part of the sequence) and ``offset``; neighbours overlap by k - 1 letters."""
+    """``contigs`` with ``piece`` (part of the sequence, as bytes) and ``offset``; neighbours overlap by k - 1 letters.
+
+    Parts of bytes are taken in the time of their own length; a part of a string is sought from the string's start.
+    """
     starts = F.sequence(F.lit(0), F.greatest(F.char_length("seq") - k, F.lit(0)), F.lit(size))
     cut = contigs.withColumn("offset", F.explode(starts))
-    return cut.withColumn("piece", F.substring("seq", F.col("offset") + 1, F.lit(size + k - 1))).drop("seq")
+    return cut.withColumn("piece", F.substring(F.col("seq").cast("binary"), F.col("offset") + 1, F.lit(size + k - 1))).drop("seq")
 
 
-def kmers(contigs: DataFrame, k: int, keep: tuple[str, ...] = ("sample_ord", "contig_ord")) -> DataFrame:
-    """Every full window of k valid letters: ``keep``, ``end`` (0-based place of its last letter), ``kmer``."""
-    cut = pieces(contigs.select(*keep, "seq"), k)
-    n = F.char_length("piece")
-    windows = F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("piece"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    each = cut.select(*keep, "offset", F.posexplode(windows).alias("at", "kmer"))
-    return each.select(*keep, (F.col("offset") + F.col("at") + F.lit(k - 1)).cast("long").alias("end"), "kmer").where(is_valid_kmer(F.col("kmer")))
+def canonical_kmers(contigs: DataFrame, k: int, keep: tuple[str, ...] = ("sample_ord", "contig_ord")) -> DataFrame:
+    """Every full window of k valid letters: ``keep``, ``end`` (0-based place of its last letter), ``kmer`` and its
+    canonical form ``ck``. A piece is complemented once, for all of its windows."""
+    # a chromosome is one row of one file: its pieces are spread before they grow by a factor of k
+    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = pieces(contigs.select(*keep, "seq"), k).repartition(n, *keep, "offset")
+    text = F.col("piece").cast("string")
+    cut = cut.select(*keep, "offset", "piece", complement(text).cast("binary").alias("other"), is_valid_kmer(text).alias("plain"), F.octet_length("piece").alias("n"))
+    part = lambda c, i: F.substring(F.col(c), i, F.lit(k)).cast("string")
+    window = lambda i: F.struct(part("piece", i).alias("kmer"), part("other", i).alias("other"))
+    windows = F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), window))
+    each = cut.select(*keep, "offset", "plain", F.posexplode(windows).alias("at", "w"))
+    each = each.select(*keep, "plain", (F.col("offset") + F.col("at") + F.lit(k - 1)).cast("long").alias("end"), "w.kmer", F.least("w.kmer", F.reverse("w.other")).alias("ck"))
+    return each.where(F.col("plain") | is_valid_kmer(F.col("kmer"))).drop("plain")
 
 
-def canonical_kmers(contigs: DataFrame, k: int, keep: tuple[str, ...] = ("sample_ord", "contig_ord")) -> DataFrame:
-    """``keep``, ``end``, ``kmer`` and its canonical form ``ck``."""
-    return kmers(contigs, k, keep).withColumn("ck", canonical(F.col("kmer")))
+def kmers(contigs: DataFrame, k: int, keep: tuple[str, ...] = ("sample_ord", "contig_ord")) -> DataFrame:
+    """``keep``, ``end``, ``kmer`` of every valid window."""
+    return canonical_kmers(contigs, k, keep).drop("ck")
 
 
 def spectrum(found: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def segments(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
 
 def with_sequences(found: DataFrame, contigs: DataFrame) -> DataFrame:
     """Segments with their letters ``seq``. The contigs are joined once, with all their segments."""
-    joined = found.join(contigs.select("sample_ord", "contig_ord", F.col("seq").alias("whole")), ["sample_ord", "contig_ord"])
-    return joined.withColumn("seq", F.substring("whole", (F.col("start") + 1).cast("int"), F.col("raw_length").cast("int"))).drop("whole")
+    joined = found.join(contigs.select("sample_ord", "contig_ord", F.col("seq").cast("binary").alias("whole")), ["sample_ord", "contig_ord"])
+    return joined.withColumn("seq", F.substring("whole", (F.col("start") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")).drop("whole")
 
 
 def with_keys(found: DataFrame, k: int) -> DataFrame:
