@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, ship
 from .hashing import span_hashes
 
-PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 2_000_000, 400_000, 500, 1 << 21, 1 << 20, 32 << 20
+PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 1_000_000, 300_000, 500, 1 << 20, 1 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 
 # Magic numbers of the public zstd seekable format.
@@ -215,6 +215,13 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch.column("text").to_pylist()]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, so that few texts are held as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pack_shard(documents: Iterator[tuple[int, bytes]], end_id: int, width: int) -> bytes:
     """One token file. ``documents``: ids and their 32-bit tokens, in order; ``width``: bytes per id, 2 or 4."""
     packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
@@ -284,7 +291,7 @@ def _pack(tokenizer: str, end_id: int):
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
         def documents() -> Iterator[tuple[int, bytes]]:
-            for batch in batches:
+            for batch in _slices(batches):
                 yield from zip(batch.column("doc_id").to_pylist(), encoder.encode(_texts(batch)), strict=True)
 
         shard = pack_shard(documents(), end_id, width)
@@ -337,7 +344,7 @@ def encode_and_read_back(documents: DataFrame, tokenizer: str, end_id: int = 0)
 def _lengths(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes = [len(x) // 4 for x in encoder.encode(_texts(batch))]
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["length"])
 
