@@ -107,7 +107,7 @@ class Collection:
         if clash:
             raise ValueError(f"sample {clash[0]['sample']!r} is already in the collection")
         batch = self.batches[-1] + 1
-        base = self.table("samples").agg(F.max("sample_ord")).first()[0] + 1
+        base = self.table("samples").agg(F.coalesce(F.max("sample_ord"), F.lit(-1))).first()[0] + 1
         least = contigs.agg(F.min("sample_ord")).first()[0]
         moved = contigs.withColumn("sample_ord", (F.col("sample_ord") - F.lit(least or 0) + base).cast("int"))
         values = {"k": self.k, "min_match": self.min_match, "segment_size": self.segment_size}

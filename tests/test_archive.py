@@ -105,6 +105,13 @@ def test_a_failed_batch_is_not_seen(spark, tmp_path):
     assert rows_of(again.get_collection()) == sorted((r[0], r[2], r[-1]) for r in rows)
 
 
+def test_an_empty_collection_can_grow(spark, tmp_path):
+    df = spark.createDataFrame(collection(14, 2), SCHEMA)
+    made = Collection.create(df.limit(0), f"file://{tmp_path}/c", K, SIZE, 15)
+    assert made.n_samples() == 0 and made.reference_sample() is None and made.get_collection().collect() == []
+    assert rows_of(made.append(df).get_collection()) == rows_of(df)
+
+
 def test_parameters_are_clamped():
     assert clamp("k", None) == 31 and clamp("k", 5) == 17 and clamp("k", 99) == 32 and clamp("segment_size", 1) == 100
 
