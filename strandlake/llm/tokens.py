@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, ship
 from .hashing import span_hashes
 
-PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 1_000_000, 300_000, 500, 1 << 20, 1 << 20, 32 << 20
+PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 2_000_000, 300_000, 500, 3 << 19, 1 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 
 # Magic numbers of the public zstd seekable format.
