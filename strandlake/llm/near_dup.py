@@ -1,10 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
 A shingle is five words in a row (a shorter text is one shingle). Its weight is its count in the text times
-``1 + ln(N / max(df, EPS * N))``: an inverse document frequency, scaled so that a rare shingle weighs 1, whose ceiling
-lies at a document frequency of ``EPS``. Only shingles in at least that share of the documents weigh less, and of those
-there can be at most (shingles per document) / EPS, so the table that all tasks get is bounded at every input size. They
-are found exactly: a first pass keeps what is frequent in some block of documents, a second counts those everywhere.
+``1 + ln(N / df)``, its inverse document frequency, scaled so that a shingle of one document weighs 1. Document
+frequencies are exact for every shingle: documents are held in blocks, the distinct hashes of a block are dealt with their
+counts to buckets of hashes, and a bucket sends back to each block those of its shingles that two or more documents hold;
+all others have a frequency of 1. A shingle comes once per block to its bucket, however frequent it is.
+
+What a text has in common with another is no more than the weight of its shared shingles; texts where that is too small a
+share of the whole are not sampled, as they cannot be similar enough to any other.
 
 Each text gets ``BANDS * ROWS`` weighted samples; texts that share a band are candidates. In a bucket, members are
 compared with one centre, not with each other; the texts of buckets that this leaves with several components are joined
@@ -20,24 +23,27 @@ named are ignored.
 
 from __future__ import annotations
 
-import math
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, materialize, ship
 from .components import connected_components
 from .hashing import mix64, span_hashes
 
-SHINGLE, BANDS, ROWS, EPS = 5, 15, 4, 0.1
+SHINGLE, BANDS, ROWS = 5, 15, 4
+#: Least share of the documents for a shingle's frequency to count: none is left out.
+EPS = 0.0
 #: Centres per bucket in the rounds before the last.
 CENTRES = (1,)
 NULL_ID = -(1 << 63)
-_PART_BYTES, _BLOCK_DOCS, _BLOCK_SHINGLES = 1 << 20, 8192, 1 << 22
+_PART_BYTES, _BLOCK_DOCS, _BLOCK_BYTES, _BUCKET_BYTES = 1 << 20, 8192, 1 << 22, 1 << 23
 
 
 def _tables():
@@ -90,42 +96,45 @@ def shingles_of(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a batch in runs of about a megabyte, with the place of the first."""
-    texts = [x or b"" for x in batch.column("text").cast(pa.large_binary()).to_pylist()]
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about a megabyte."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
         if size >= _PART_BYTES:
-            yield start, texts[start : i + 1]
+            yield texts[start : i + 1]
             start, size = i + 1, 0
     if start < len(texts):
-        yield start, texts[start:]
+        yield texts[start:]
 
 
 class Weights:
-    """Weights of shingles from the table of frequent ones: sorted hashes and their weights, at most 1."""
+    """Weights of shingles from the table of those in several documents: sorted hashes and their weights, at most 1."""
 
     def __init__(self, hashes: np.ndarray, weights: np.ndarray):
         self.hashes, self.weights = hashes, weights
 
     @classmethod
     def of(cls, counts: list[tuple[int, int]], n_docs: int) -> Weights:
-        hashes = np.array([h for h, _ in counts], dtype=np.int64).view(np.uint64)
-        df = np.array([n for _, n in counts], dtype=np.float64)
-        floor = max(EPS * n_docs, 1.0)
-        top = 1 + math.log(max(1.0, n_docs / floor))
-        order = np.argsort(hashes)
-        return cls(hashes[order], ((1 + np.log(n_docs / np.maximum(df, floor))) / top)[order])
+        return cls.from_arrays(np.array([h for h, _ in counts], dtype=np.int64).view(np.uint64), np.array([n for _, n in counts], dtype=np.int64), n_docs)
+
+    @classmethod
+    def from_arrays(cls, hashes: np.ndarray, df: np.ndarray, n_docs: int) -> Weights:
+        hashes, first = np.unique(hashes, return_index=True)
+        return cls(hashes, (1 + np.log(n_docs / df[first])) / (1 + np.log(n_docs)))
+
+    def weigh(self, found: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """TF-IDF weights of distinct hashes with these counts, and which of them are in the table."""
+        if not len(self.hashes) or not len(found):
+            return tf.astype(np.float64), np.zeros(len(found), dtype=bool)
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        known = self.hashes[at] == found
+        return tf * np.where(known, self.weights[at], 1.0), known
 
     def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct sorted hashes of a text and their TF-IDF weights."""
         found, tf = np.unique(codes, return_counts=True)
-        w = tf.astype(np.float64)
-        if len(self.hashes) and len(found):
-            at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-            w *= np.where(self.hashes[at] == found, self.weights[at], 1.0)
-        return found, w
+        return found, self.weigh(found, tf)[0]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -176,111 +185,161 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _frequent_blocks(eps: float):
-    """Shingles that are frequent in a block of documents, with what their count exceeds half the bound by; and, with a
-    null hash, the number of documents."""
+BLOCKS = "block long, size long, ids binary, lengths binary, texts binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        docs = size = 0
 
-        def block() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            keep = n >= eps / 2 * docs
-            h = np.concatenate([[0], found[keep].view(np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64(), mask=np.arange(len(h)) == 0), pa.array(np.concatenate([[float(docs)], n[keep] - eps / 2 * docs]))], ["h", "n"])
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in blocks, a row each, with their texts compressed together."""
+    first, done, size = TaskContext.get().partitionId() << 32, 0, 0
+    ids, texts = [], []
 
-        for batch in batches:
-            for _, texts in _parts(batch):
-                for codes in shingles_of(texts):
-                    held.append(np.unique(codes))
-                    size += len(held[-1])
-                    docs += 1
-                if docs >= _BLOCK_DOCS or size >= _BLOCK_SHINGLES:
-                    yield block()
-                    held, docs, size = [], 0, 0
-        yield block()
+    def row() -> pa.RecordBatch:
+        lengths = np.array([len(t) for t in texts], dtype="<i8").tobytes()
+        values = [first + done, size, np.array(ids, dtype="<i8").tobytes(), lengths, pa.compress(b"".join(texts), codec="zstd", asbytes=True)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "size", "ids", "lengths", "texts"])
+
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+            ids.append(doc)
+            texts.append(text or b"")
+            size += len(texts[-1])
+            if len(texts) >= _BLOCK_DOCS or size >= _BLOCK_BYTES:
+                yield row()
+                done, size, ids, texts = done + 1, 0, [], []
+    if texts:
+        yield row()
+
+
+def _texts(size: int, lengths: bytes, data: bytes) -> list[bytes]:
+    whole = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+    ends = np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes byte by byte, the high bytes of all first: those hardly change, and a codec makes little of them."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    return run
 
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
+def _deal(buckets: int):
+    """Distinct shingles of a block with the number of its documents that hold them, cut by ranges of hashes."""
+
+    def dealt(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        n = n.astype("<i4")
+        bucket = ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        spans = list(zip(cut, [*cut, len(found)][1:]))
+        columns = [pa.array(bucket[cut]), pa.array([block] * len(cut), pa.int64()), pa.array([_packed(found[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "h", "n"])
 
-def _count_frequent(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = sent.value
-        n = np.zeros(len(hashes), dtype=np.int64)
         for batch in batches:
-            for _, texts in _parts(batch):
-                for codes in shingles_of(texts):
-                    codes = np.unique(codes)
-                    if len(codes):
-                        at = np.minimum(np.searchsorted(codes, hashes), len(codes) - 1)
-                        n += codes[at] == hashes
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
+            for row in batch.to_pylist():
+                yield dealt(row["block"], [np.unique(codes) for texts in _parts(_texts(row["size"], row["lengths"], row["texts"])) for codes in shingles_of(texts)])
+
+    return run
+
+
+def _count(least: int):
+    """Of a bucket, what every block gets back: its shingles that ``least`` documents or more hold, with their number."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(h) for h in table.column("h").to_pylist()]
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<i4")
+        found, place = np.unique(np.concatenate(parts), return_inverse=True)
+        df = np.bincount(place, weights=n).astype(np.int64)[place]
+        out, at = [], 0
+        for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
+            here = df[at : at + len(part)]
+            at += len(part)
+            if (keep := here >= least).any():
+                out.append((block, _packed(part[keep]), here[keep].tobytes()))
+        return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "h", "df"])
 
     return run
 
 
+def document_frequencies(blocks: DataFrame, least: int = 2) -> DataFrame:
+    """``block, h, df``: for each block those of its shingles that ``least`` documents or more hold, and by how many."""
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    dealt = blocks.mapInArrow(_deal(max(8, -(-size // _BUCKET_BYTES))), "bucket long, block long, h binary, n binary")
+    return dealt.groupBy("bucket").applyInArrow(_count(least), "block long, h binary, df binary")
+
+
+def _n_docs(blocks: DataFrame) -> int:
+    return blocks.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 8
+
+
 def frequent_shingles(docs: DataFrame, eps: float = EPS) -> tuple[list[tuple[int, int]], int]:
     """Exact (hash, document frequency) of shingles in at least ``eps`` of the documents, and the number of documents.
 
-    A shingle in eps * N documents exceeds eps / 2 * (documents) summed over the blocks where it is frequent by at least
-    eps / 2 * N; at most 2 / eps * (shingles per document) shingles can, which bounds what comes to the driver.
+    For small tables: all of them come to the driver.
     """
-    blocks = materialize(docs.mapInArrow(_frequent_blocks(eps), "h long, n double").groupBy("h").agg(F.sum("n").alias("n")), "nd-frequent")
-    n_docs = int(blocks.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0])
-    found = blocks.where(F.col("h").isNotNull() & (F.col("n") >= eps / 2 * n_docs * (1 - 1e-9))).select("h").collect()
-    if not found:
-        return [], n_docs
-    hashes = np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
-    sent = docs.sparkSession.sparkContext.broadcast(hashes)
-    counted = docs.mapInArrow(_count_frequent(sent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= eps * n_docs)
-    return [(r["h"], r["n"]) for r in counted.collect()], n_docs
+    blocks = materialize(docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_block, BLOCKS), "nd-blocks")
+    n_docs = _n_docs(blocks)
+    found: dict[int, int] = {}
+    for row in document_frequencies(blocks, max(1, int(np.ceil(eps * n_docs)))).collect():
+        found.update(zip(_unpacked(row["h"]).view(np.int64).tolist(), np.frombuffer(row["df"], "<i8").tolist(), strict=True))
+    return list(found.items()), n_docs
 
 
-SIGNED = "doc_id long, t1 long, t2 long, total double, bands array<long>"
+SIGNED = "doc_id long, t1 long, t2 long, total double, bands array<long>, h array<long>, w array<double>"
 
 
-def _sign(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh: Weights = sent.value
-        for batch in batches:
-            keys, totals, signed = [], [], []
-            for _, texts in _parts(batch):
-                done: dict[bytes, tuple[float, np.ndarray]] = {}
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind))
+
+
+def _sign(n_docs: int, threshold: float):
+    """Totals of the documents of a block; bands and weighted shingles of those that can be similar to another text."""
+
+    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
+        hashes = [np.zeros(0, np.uint64), *(_unpacked(h) for h in shared.column("h").to_pylist())]
+        weights = Weights.from_arrays(np.concatenate(hashes), np.frombuffer(b"".join(shared.column("df").to_pylist()), "<i8"), n_docs)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        done: dict[bytes, tuple[float, np.ndarray, np.ndarray, np.ndarray]] = {}
+        keys, out = [], []
+        ids = np.frombuffer(b"".join(docs.column("ids").to_pylist()), "<i8")
+        for row in docs.to_pylist():
+            for texts in _parts(_texts(row["size"], row["lengths"], row["texts"])):
                 for text, codes in zip(texts, shingles_of(texts), strict=True):
                     key = xxhash.xxh3_128_digest(text)
-                    keys.append(key)
                     if key not in done:
-                        found, w = weigh(codes)
-                        done[key] = float(w.sum()), bands(signature(found, w)) if len(found) else np.zeros(0, np.int64)
-                    totals.append(done[key][0])
-                    signed.append(done[key][1])
-            pairs = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in signed])]).astype(np.int32)
-            values = np.concatenate(signed) if signed else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(totals, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["doc_id", "t1", "t2", "total", "bands"],
-            )
+                        found, tf = np.unique(codes, return_counts=True)
+                        w, known = weights.weigh(found, tf)
+                        total = float(w.sum())
+                        able = len(found) and w[known].sum() >= threshold * (1 - 1e-9) * total
+                        done[key] = (total, bands(signature(found, w)), found.view(np.int64), w) if able else (total, *none)
+                    keys.append(key)
+                    out.append(done[key])
+        pairs = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        columns = [pa.array(ids), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array([x[0] for x in out], pa.float64())]
+        columns += [_lists([x[i] for x in out], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
+        return pa.table(columns, ["doc_id", "t1", "t2", "total", "bands", "h", "w"])
 
     return run
 
 
-def _verify(sent, threshold: float):
+def _vectors(batch: pa.RecordBatch, side: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    h, w = batch.column(f"h_{side}"), batch.column(f"w_{side}")
+    ends, hashes, weights = h.offsets.to_numpy(), h.values.to_numpy(), w.values.to_numpy()
+    begin = w.offsets.to_numpy()
+    for i in range(len(h)):
+        yield hashes[ends[i] : ends[i + 1]].view(np.uint64), weights[begin[i] : begin[i + 1]]
+
+
+def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh: Weights = sent.value
-        last, centre = None, None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            left = batch.column("text_a").cast(pa.large_binary()).to_pylist()
-            right = batch.column("text_b").cast(pa.large_binary()).to_pylist()
-            hit = []
-            for i in range(len(a)):
-                if b[i] != last:
-                    last, centre = b[i], weigh(shingles_of([right[i] or b""])[0])
-                if similarity(weigh(shingles_of([left[i] or b""])[0]), centre) >= threshold:
-                    hit.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())], ["a", "b"])
+            hit = np.array([similarity(a, b) >= threshold for a, b in zip(_vectors(batch, "a"), _vectors(batch, "b"), strict=True)], dtype=bool)
+            yield batch.select(["a", "b"]).filter(pa.array(hit))
 
     return run
 
@@ -295,23 +354,7 @@ def _with_centres(here: DataFrame, centres: int, step: int, threshold: float) ->
     return here.join(chosen, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("other")) & near).select(F.col("node").alias("x"), "y")
 
 
-def _explode(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh: Weights = sent.value
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            for start, texts in _parts(batch):
-                found = [weigh(codes) for codes in shingles_of(texts)]
-                sizes = [len(h) for h, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[start : start + len(texts)], sizes)), pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(np.concatenate([w for _, w in found]))],
-                    ["n", "h", "w"],
-                )
-
-    return run
-
-
-def _across(here: DataFrame, bodies: DataFrame, sent, threshold: float) -> DataFrame:
+def _across(here: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     """``x, y``: texts of open buckets in different components that can still be similar enough, by a prefix filter.
 
     Shingles are ordered by how many of these texts hold them, rarest first. A pair's common weight has to be
@@ -320,7 +363,7 @@ def _across(here: DataFrame, bodies: DataFrame, sent, threshold: float) -> DataF
     smaller rest is. Of the texts with a shingle, one side leaves out the largest component: no pair lies inside it.
     """
     nodes = here.select(F.col("node").alias("d"), "component", "total").distinct()
-    shingles = bodies.join(nodes.select("d"), F.col("doc_id") == F.col("d"), "left_semi").mapInArrow(_explode(sent), "n long, h long, w double")
+    shingles = bodies.join(nodes.select("d"), F.col("doc_id") == F.col("d"), "left_semi").select(F.col("doc_id").alias("n"), F.inline(F.arrays_zip("h", "w")))
     shingles = materialize(shingles, "nd-shingles")
     common = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("k"), "df")
     held = shingles.join(common, F.col("h") == F.col("k")).join(nodes, F.col("n") == F.col("d")).select("n", "component", "total", "h", "df", "w")
@@ -336,15 +379,23 @@ def _across(here: DataFrame, bodies: DataFrame, sent, threshold: float) -> DataF
     return left.join(right, (F.col("h") == F.col("k")) & (F.col("component") != F.col("other")) & enough).select(F.col("n").alias("x"), "y")
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of what is written stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per document: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (verified links of its text)."""
     spark = documents.sparkSession
     ship(spark)
     docs = documents.select(F.coalesce(F.col(doc).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counts, n_docs = frequent_shingles(docs.select("text"))
-    sent = spark.sparkContext.broadcast(Weights.of(counts, n_docs))
-
-    signed = materialize(docs.mapInArrow(_sign(sent), SIGNED), "nd-signed")
+    blocks = materialize(docs.mapInArrow(_block, BLOCKS), "nd-blocks")
+    frequencies = materialize(document_frequencies(blocks), "nd-frequencies")
+    _release(spark)
+    signed = blocks.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(_sign(_n_docs(blocks), threshold), SIGNED)
+    signed = materialize(signed, "nd-signed")
+    _release(spark)
     # equal texts are one node, named by their smallest id
     texts = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")).withColumnsRenamed({"t1": "k1", "t2": "k2"})
     members = materialize(signed.select("doc_id", "t1", "t2", "total", "bands").join(texts, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("doc_id", "node", "total", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "nd-members")
@@ -354,23 +405,25 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     # a text that differs from others in few places shares many large buckets, and makes a good centre
     reach = inside.groupBy("node").agg(F.sum("size").alias("reach"))
     buckets = materialize(inside.drop("size").join(reach, "node"), "nd-buckets")
-    bodies = materialize(docs.join(reach.select(F.col("node").alias("n")), F.col("doc_id") == F.col("n"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "nd-texts")
+    vectors = signed.where(F.size("h") > 0).select("doc_id", "h", "w")
+    vectors = vectors.join(reach.select(F.col("node").alias("n")), F.col("doc_id") == F.col("n"), "left_semi")
+    bodies = materialize(vectors.dropDuplicates(["doc_id"]), "nd-vectors")
 
     links = tested = None
     labelled = buckets.withColumn("component", F.col("node"))
     for step in range(len(CENTRES) + 1):
         spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("bucket").alias("k"))
         here = materialize(labelled.join(spread, F.col("bucket") == F.col("k"), "left_semi"), "nd-open")
-        pairs = _with_centres(here, CENTRES[step], step, threshold) if step < len(CENTRES) else _across(here, bodies, sent, threshold)
+        pairs = _with_centres(here, CENTRES[step], step, threshold) if step < len(CENTRES) else _across(here, bodies, threshold)
         pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "nd-pairs")
         if pairs.isEmpty():
             continue
-        left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "text_a", "b", "text_b")
-        new = materialize(both.mapInArrow(_verify(sent, threshold), "a long, b long"), "nd-links")
+        left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("h").alias("h_a"), F.col("w").alias("w_a")), "a")
+        both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("h").alias("h_b"), F.col("w").alias("w_b")), "b").select("a", "h_a", "w_a", "b", "h_b", "w_b")
+        new = materialize(both.mapInArrow(_verify(threshold), "a long, b long"), "nd-links")
         links = new if links is None else links.union(new)
         tested = pairs if tested is None else tested.union(pairs)
         named = materialize(connected_components(links), "nd-components")

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -102,3 +103,38 @@ def test_components(spark):
     want = {i: 0 for i in range(31)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def links_by_tfidf(rows, idf=True):
+    """Pairs of rows whose TF-IDF vectors, from counts of its own, have a weighted Jaccard similarity of 0.8."""
+    bags = {i: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    df = collections.Counter(s for bag in bags.values() for s in bag)
+    vectors = {i: {s: n * (1 + math.log(len(rows) / df[s]) if idf else 1) for s, n in bag.items()} for i, bag in bags.items()}
+    like = lambda x, y: sum(min(x[s], y[s]) for s in x.keys() & y.keys()) / sum(max(x.get(s, 0), y.get(s, 0)) for s in x.keys() | y.keys())
+    return {(a, b) for a in vectors for b in vectors if b < a and like(vectors[a], vectors[b]) >= 0.8}
+
+
+def test_every_document_frequency_weighs(spark):
+    common, pair, ends = prose(71, 100), prose(72, 100), [prose(73, 13), prose(74, 13)]
+    # five texts that plain counts join: what they share is in five documents of eighty, below a tenth
+    texts = [f"{common} {prose(800 + i, 10)}" for i in range(5)]
+    # two that plain counts part: what they share is in two documents, what they do not in seven
+    texts += [f"{pair} {e}" for e in ends] + [f"{e} {prose(820 + 10 * k + i, 80)}" for k, e in enumerate(ends) for i in range(6)]
+    rows = list(enumerate(texts + [prose(900 + i, 60) for i in range(61)]))
+    want = links_by_tfidf(rows)
+    assert want == {(6, 5)} and links_by_tfidf(rows, idf=False) == {(a, b) for a in range(5) for b in range(a)}
+    got = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got if r["doc_id"] != r["class_id"]} == want
+
+
+def test_frequencies_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "_BLOCK_DOCS", 2)
+    texts = [prose(5, 30) + " " + prose(1000 + i // 2, 30) for i in range(9)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got, n = op.frequent_shingles(df, 0.2)
+    count = collections.Counter(h for c in op.shingles_of([t.encode() for t in texts]) for h in np.unique(c).view(np.int64).tolist())
+    assert n == 9 and dict(got) == {h: c for h, c in count.items() if c >= 2}
+
+
+def test_a_table_without_words(spark):
+    assert run(spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id long, text string")) == [(1, 1), (2, 1), (3, 3)]
