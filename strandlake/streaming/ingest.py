@@ -22,7 +22,8 @@ def contig_stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -
 def append_stream(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, **parameters: int) -> StreamingQuery:
     """Appends every micro-batch; the first creates the collection. A sample must arrive within one batch.
 
-    A batch that is run again finds its samples already there and is skipped, so each is ingested once.
+    A batch that is run again finds its contigs already there and is skipped, so each is ingested once; a stored sample that
+    brings contigs which are not there is an error.
     """
 
     def ingest(batch: DataFrame, number: int) -> None:
@@ -38,6 +39,10 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, available_now:
                 raise
             Collection.create(contigs, path, command=f"stream batch {number}", **parameters)
             return
+        stored = there.contigs().select("sample", "contig_ord", "contig_full")
+        late = contigs.join(there.table("samples").select("sample"), "sample", "left_semi").join(stored, ["sample", "contig_ord", "contig_full"], "left_anti").select("sample", "contig_full").first()
+        if late:
+            raise ValueError(f"sample {late['sample']} is stored without contig {late['contig_full']}: a sample must arrive within one batch")
         new = contigs.join(there.table("samples").select("sample"), "sample", "left_anti").select(*contigs.columns)
         if not new.isEmpty():
             there.append(new, command=f"stream batch {number}")

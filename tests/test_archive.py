@@ -154,3 +154,13 @@ def test_streamed_ingestion(spark, tmp_path):
     assert made.list_samples() == ["s0", "s1", "s2", "s3"] and len(made.batches) == 2
     got = {(r["sample"], r["contig_full"], r["seq"]) for r in made.contigs_with_sequences().collect()}
     assert got == {(r[1], r[4], r[5]) for r in rows}
+
+
+def test_a_sample_over_two_batches_is_an_error(spark, tmp_path):
+    folder, path, log = tmp_path / "in", f"file://{tmp_path}/c", f"file://{tmp_path}/log"
+    df = spark.createDataFrame([r for r in collection(13, 2) if r[0] == 0], SCHEMA).select("sample", "contig_ord", "contig", "contig_full", "seq")
+    df.where("contig_ord = 0").coalesce(1).write.parquet(f"file://{folder}")
+    append_stream(contig_stream(spark, str(folder)), path, log, k=K, segment_size=SIZE, min_match=15).awaitTermination()
+    df.where("contig_ord > 0").coalesce(1).write.mode("append").parquet(f"file://{folder}")
+    with pytest.raises(Exception, match="must arrive within one batch"):
+        append_stream(contig_stream(spark, str(folder)), path, log).awaitTermination()
