@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_P, _P_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Spans of more bytes than this are hashed one by one; few words are that long.
+_LANE, _LONG = 8, 64
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(_LANE + 1)], dtype=np.uint64)
 
 
 def mix64(x: np.ndarray, seed: int) -> np.ndarray:
@@ -18,20 +19,36 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a fixed odd number and of its inverse modulo 2**64, for at least n places."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _powers:
-        with np.errstate(over="ignore"):
-            _powers.clear()
-            _powers[size] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, p, dtype=np.uint64))]) for p in (_P, _P_INVERSE))
-    return _powers[size]
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """Eight bytes from every place of a byte array as one word, with zeros after its end."""
+    padded = np.zeros(len(data) + _LANE, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
 
 
-def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of data[first:last] for every span of a byte array, from prefix sums of byte values times powers."""
-    power, inverse = _power(len(data) + 1)
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of data[first:last] for every span of a byte array, and a mark to tell different spans of one hash apart.
+
+    A span is read eight bytes at a time; every step scrambles what it has with the next bytes, so where bytes stand
+    matters as much as which they are. Spans of more than 64 bytes are hashed by XXH3. The mark is made of the length,
+    the first and the last eight bytes, without the hash: to be taken for each other, two different spans need one hash
+    and agree in all of these.
+    """
+    lanes, size = _lanes(data), last - first
+    head = lanes[first] & _MASK[np.minimum(size, _LANE)]
+    tail = lanes[np.maximum(last - _LANE, first)] & _MASK[np.minimum(size, _LANE)]
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], dtype=np.uint64, out=sums[1:])
-        return mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64), 1)
+        mark = head * np.uint64(0x9E3779B97F4A7C15) + tail * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64)
+        out = mix64(head ^ (size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), 1)
+    short = size <= _LONG
+    left = np.flatnonzero((size > _LANE) & short)
+    for at in range(_LANE, _LONG, _LANE):
+        if not len(left):
+            break
+        rest = np.minimum(size[left] - at, _LANE)
+        out[left] = mix64(out[left] ^ (lanes[first[left] + at] & _MASK[rest]), 2)
+        left = left[size[left] > at + _LANE]
+    if not short.all():
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(data[first[i] : last[i]].tobytes())
+    return out, mark

@@ -75,7 +75,7 @@ def shingles_of(texts: list[bytes]) -> list[np.ndarray]:
     space = _IS_SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     first, last = edge[::2], edge[1::2]  # a word begins where white space ends
-    word = span_hashes(data, first, last)
+    word = span_hashes(data, first, last)[0]
     with np.errstate(over="ignore"):
         n = len(word) - SHINGLE + 1
         code = np.zeros(max(0, n), dtype=np.uint64)

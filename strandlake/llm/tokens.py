@@ -8,8 +8,8 @@ decompressed size and the low 32 bits of the XXH64 of its content. A reader deco
 Files are written by Spark's own committer, so a task that is run again leaves one file, on any file system Spark
 reaches: a file is one value of the text writer, whose line separator is the last four bytes that every such file has.
 
-Defined cases: a null text is empty and gives only the end id; documents of one id keep the order of their texts; a null
-id comes first; an empty table gives no documents. Columns that are not named are ignored.
+Defined cases: a null text is empty and gives only the end id; documents of one id come in the order of a hash of their
+texts, the same in every run; a null id comes first; an empty table gives no documents. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -105,12 +105,15 @@ class Encoder:
         data = np.frombuffer(b" ".join(tails), np.uint8)
         at = np.flatnonzero(data == 32)
         first, last = np.concatenate([[0], at + 1]), np.concatenate([at, [len(data)]])
-        hashes, where, which = np.unique(span_hashes(data, first, last), return_index=True, return_inverse=True)
+        spans, marks = span_hashes(data, first, last)
+        hashes, where, which = np.unique(spans, return_index=True, return_inverse=True)
+        if (marks[where][which] != marks).any():  # different parts of one hash
+            return self.whole(texts)
         known = self.known
-        new = known.missing(hashes)
+        new = known.missing(hashes, marks[where])
         raw = data.tobytes()
         texts_of_new = [raw[a:b].decode() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)]
-        known.add(hashes[new], self._parts(texts_of_new))
+        known.add(hashes[new], marks[where[new]], self._parts(texts_of_new))
         place = np.searchsorted(known.hashes, hashes)
         flat, begin, sizes = known.ids, known.begin[place], known.sizes[place]
         each = sizes[which]
@@ -166,27 +169,33 @@ def _split_part(part: str) -> list[str]:
 
 
 class _Known:
-    """Codes of parts by hash, in flat arrays; emptied when it holds too many."""
+    """Codes of parts by hash and mark, in flat arrays; emptied when it holds too many."""
 
     def __init__(self):
-        self.hashes, self.begin, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
 
-    def missing(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of those of the sorted hashes that are not there."""
+    def missing(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Places of those of the sorted hashes that are not there; all of them if one is there for another part."""
         if len(self.hashes) > PARTS:
             self.__init__()
         if not len(self.hashes):
             return np.arange(len(hashes))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.flatnonzero(self.hashes[at] != hashes)
+        there = self.hashes[at] == hashes
+        if (self.marks[at[there]] != marks[there]).any():
+            self.__init__()
+            return np.arange(len(hashes))
+        return np.flatnonzero(~there)
 
-    def add(self, hashes: np.ndarray, codes: list[bytes]) -> None:
+    def add(self, hashes: np.ndarray, marks: np.ndarray, codes: list[bytes]) -> None:
         sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
         begin = np.cumsum(sizes) - sizes + len(self.ids)
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(codes), "<u4")])
         order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
         self.hashes = both[order]
+        self.marks = np.concatenate([self.marks, marks])[order]
         self.begin = np.concatenate([self.begin, begin])[order]
         self.sizes = np.concatenate([self.sizes, sizes])[order]
 
@@ -285,42 +294,70 @@ class TokenFile:
                 yield doc, ids[at : at + size]
 
 
-def _pack(tokenizer: str, end_id: int):
+def _pack(tokenizer: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        held: list[tuple[int, bytes]] = []
+        size = 0
 
-        def documents() -> Iterator[tuple[int, bytes]]:
-            for batch in _slices(batches):
-                yield from zip(batch.column("doc_id").to_pylist(), encoder.encode(_texts(batch)), strict=True)
+        def shard() -> pa.RecordBatch:
+            value = pack_shard(iter(held), end_id, width)
+            return pa.RecordBatch.from_arrays([pa.array([value[: -len(TAIL)]], pa.binary())], ["value"])
 
-        shard = pack_shard(documents(), end_id, width)
-        yield pa.RecordBatch.from_arrays([pa.array([shard[: -len(TAIL)]], pa.binary())], ["value"])
+        for batch in _slices(batches):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(_texts(batch)), strict=True):
+                held.append((doc, ids))
+                size += len(ids)
+                if size >= shard_bytes:
+                    yield shard()
+                    held, size = [], 0
+        if held:
+            yield shard()
 
     return run
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc: str = "doc_id", text: str = "text", shard_text_bytes: int = SHARD_TEXT_BYTES) -> None:
-    """Encode every document, append ``end_id``, and write token files under ``path`` in ascending order of ids."""
+    """Encode every document, append ``end_id``, and write token files under ``path`` in ascending order of ids.
+
+    Ranges are cut by id and, inside one id, by a hash of the text, so one id of very many rows is dealt over tasks. A
+    task whose range is larger than expected writes several files, so what it holds is bounded.
+    """
     ship(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col(doc).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
-    ordered = docs.repartitionByRange(max(1, -(-total // shard_text_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    packed = ordered.mapInArrow(_pack(tokenizer, end_id), "value binary")
-    packed.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).text(path)
+    keyed = docs.withColumn("mark", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(max(1, -(-total // shard_text_bytes)), "doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
+    packed = ordered.mapInArrow(_pack(tokenizer, end_id, 4 * shard_text_bytes), "value binary")
+    values = packed.select(F.col("value").cast("string"))
+    values.write.option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+
+
+#: Spark names a file by its task, in five digits or more, and counts the files of one task.
+_PART = re.compile(r"part-(\d+)-[^/]*?-c(\d+)[^/]*$")
+
+
+def shard_of(path: str) -> tuple[int, int]:
+    """(task, file of the task) of a token file: their order is that of the ids inside."""
+    found = _PART.search(path)
+    if not found:
+        raise ValueError(f"not a token file: {path}")
+    return int(found[1]), int(found[2])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            shard = int(path.rsplit("/part-", 1)[1][:5])
+            task, part = shard_of(path)
             file = TokenFile(memoryview(content.as_buffer()))
             sizes = file.documents[:, 3]
             crc = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in file.read()]
             ids = file.documents[:, 0]
+            n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sizes), shard)), pa.array(ids, mask=ids == NULL_ID), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes.copy()), pa.array(crc, pa.int64())],
-                ["shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
+                [pa.array(np.full(n, task)), pa.array(np.full(n, part)), pa.array(ids, mask=ids == NULL_ID), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes.copy()), pa.array(crc, pa.int64())],
+                ["task", "part", "doc_id", "inside", "n_tokens", "ids_crc32"],
             )
 
 
@@ -328,10 +365,11 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    each = materialize(files.mapInArrow(_digest, "shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-digest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    bases = materialize(each.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-bases")
-    return each.join(bases, "shard").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    each = materialize(files.mapInArrow(_digest, "task long, part long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-digest")
+    before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    sizes = each.groupBy("task", "part").agg(F.sum("n_tokens").alias("n"))
+    bases = materialize(sizes.select("task", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-bases")
+    return each.join(bases, ["task", "part"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def encode_and_read_back(documents: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

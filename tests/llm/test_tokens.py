@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from strandlake.llm import tokens
+from strandlake.llm.common import new_path
+from strandlake.llm.hashing import span_hashes
 from strandlake.llm.queries import tokenizer_path
 
 
@@ -28,7 +30,7 @@ def test_encoding_by_pieces_equals_whole_texts(encoder, awkward):
 def test_documents_come_back_in_order(documents, awkward, encoder):
     got = sorted(tokens.encode_and_read_back(documents, tokenizer_path()).collect(), key=lambda r: r["start"])
     want, start = [], 0
-    for d, t, _, _ in sorted(awkward, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    for d, t, _, _ in sorted(awkward, key=lambda x: (x[0] is not None, x[0] or 0)):  # rows of one id are equal
         ids = [*plain(encoder, t), 0]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -79,3 +81,72 @@ def test_length_histogram_answers_every_limit(documents, awkward, encoder):
         assert (row["docs_longer"], row["truncated_tokens"]) == (sum(x > limit for x in lengths), sum(min(x, limit) for x in lengths))
     for q in (0.1, 0.5, 1.0):
         assert tokens.quantile(counts, q).first()[0] == min(x for x in lengths if sum(y <= x for y in lengths) >= q * len(lengths))
+
+
+def thue_morse(n):
+    """Two words of n letters (a power of two) that sums of letters times powers modulo 2**64 cannot tell apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [8, 16, 64, 128, 1024, 2048, 4096])
+def test_words_that_differ_only_in_order_are_told_apart(encoder, n):
+    a, b = thue_morse(n)
+    texts = [f"x {a} y", f"x {b} y", f"x {b}{a}, y", f"x {a}{b}, y"]
+    for text, got in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == plain(encoder, text)
+
+
+def test_hashes_and_marks_tell_all_short_spans_apart():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 99, 4000, dtype=np.uint8)
+    first = rng.integers(0, 3900, 20_000)
+    last = first + rng.integers(0, 90, 20_000)
+    hashes, marks = span_hashes(data, first, last)
+    spans = [data[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    assert len(set(spans)) == len(set(hashes.tolist())) and len(set(zip(spans, hashes.tolist(), marks.tolist()))) == len(set(spans))
+
+
+def test_one_hash_for_different_parts_is_noticed(monkeypatch):
+    """With a hash of two values only, the marks decide, inside a run and against what is kept."""
+    real = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda *a: (real(*a)[0] & np.uint64(1), real(*a)[1]))
+    encoder = tokens.Encoder(tokenizer_path())
+    for texts in (["x river y", "x stone y", "garden morning"], ["x lake"], ["x hill"], ["x lake", "x hill"]):
+        for text, got in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain(encoder, text)
+
+
+def test_files_are_ordered_by_all_digits_of_their_task():
+    name = "file:/x/part-{}-0b1c-4d2e-c{}.txt"
+    found = [tokens.shard_of(name.format(a, b)) for a, b in (("00007", "000"), ("99999", "000"), ("100000", "000"), ("100000", "001"), ("1234567", "1000"))]
+    assert found == [(7, 0), (99999, 0), (100000, 0), (100000, 1), (1234567, 1000)] == sorted(found)
+    with pytest.raises(ValueError, match="not a token file"):
+        tokens.shard_of("file:/x/_SUCCESS")
+
+
+def test_one_id_of_many_rows_fills_several_files(spark, encoder):
+    """All null ids: cut by the hash of the text, and a task writes a file as soon as it holds enough."""
+    rows = [(None if i % 3 else 5, f"text number {i} " + "word " * (i % 50)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = new_path(spark, "tokens")
+    tokens.write_tokens(docs, path, tokenizer_path(), shard_text_bytes=2000)
+    files = sorted(tokens.shard_of(r[0]) for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    assert len({a for a, _ in files}) > 10
+    got = sorted(tokens.read_digest(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 200 + [5] * 100
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got][:-1]]).tolist()
+    want = sorted((d is not None, zlib.crc32(np.array([*plain(encoder, t), 0], "<u4").tobytes())) for d, t in rows)
+    assert sorted((r["doc_id"] is not None, r["ids_crc32"]) for r in got) == want
+
+
+def test_a_task_of_many_texts_writes_several_files(spark, encoder):
+    docs = spark.createDataFrame([(1, "word " * 400)] * 40, "doc_id long, text string").coalesce(1)
+    path = new_path(spark, "tokens")
+    tokens.write_tokens(docs, path, tokenizer_path(), shard_text_bytes=1 << 12)
+    assert spark.read.format("binaryFile").load(path).count() > 1
+    got = sorted(r["start"] for r in tokens.read_digest(spark, path).collect())
+    n = len(plain(encoder, "word " * 400)) + 1
+    assert got == [n * i for i in range(40)]
