@@ -1,4 +1,4 @@
-"""What the training-data operators share: word rules, tables in the shared folder, shipping of this package."""
+"""What the training-data operators share: word rules, tables in the shared folder, joins on hot keys, whole rows."""
 
 from __future__ import annotations
 
@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
-__all__ = ["SPACE", "SPACE_BYTES", "count_words", "materialize", "new_path", "shared_dir", "ship", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "materialize", "new_path", "packed", "remove", "shared_dir", "ship", "unpacked", "words_of"]
 
 #: Java pattern of the white space that ends a word, and the same characters as bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
 SPACE_BYTES = b" \t\n\x0b\f\r"
+#: A key of more rows than this, and of more than a share 1 / MOST_HOT of all, is hot; so there are at most MOST_HOT.
+HOT_ROWS, MOST_HOT = 1000, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary one, as in tests;
+    on a cluster it is an error, because executors do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,7 +42,54 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def remove(table: DataFrame) -> None:
+    """Delete a table made by :func:`materialize` that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_counted(large: DataFrame, small: DataFrame, keys: list[str], total: int, count: str) -> DataFrame:
+    """Inner join of two tables of which the small one has one row per key and says in ``count`` how many rows of the
+    large one have it; ``total`` is the number of those rows. Both are read more than once, so they should be stored.
+
+    Hot keys are at most ``MOST_HOT``, as they hold more than that share of all rows each: they are sent to all tasks,
+    so that no task gets all rows of one. Other keys are shuffled.
+    """
+    least = max(HOT_ROWS, -(-total // MOST_HOT))
+    hot = small.where(F.col(count) > least)
+    if small.where(F.col(count) > least).isEmpty():
+        return large.join(small, keys)
+    rest = large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= least), keys)
+    return large.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def _position(names: list[str], name: str) -> int:
+    """Of a column by its exact name, or else by the only one that is equal but for case."""
+    if name in names:
+        return names.index(name)
+    found = [i for i, x in enumerate(names) if x.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"no column {name!r} among {names}")
+    return found[0]
+
+
+def packed(documents: DataFrame, **wanted: str) -> DataFrame:
+    """All columns of ``documents`` in one struct ``row``, and beside it those of ``wanted`` under names of their own.
+    No name of a column can clash with one that an operator makes, whatever dots, quotes or case it has."""
+    names = documents.columns
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select(F.struct(*plain.columns).alias("row"), *[F.col(f"c{_position(names, v)}").alias(k) for k, v in wanted.items()])
+
+
+def unpacked(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of ``documents`` from the struct that :func:`packed` made."""
+    return rows.select(*[F.col(f"row.c{i}") for i in range(len(documents.columns))]).toDF(*documents.columns)
 
 
 def words_of(text: Column) -> Column:

@@ -2,9 +2,12 @@
 
 A shingle is five words in a row (a shorter text is one shingle). Its weight is its count in the text times
 ``1 + ln(N / df)``, its inverse document frequency, scaled so that a shingle of one document weighs 1. Document
-frequencies are exact for every shingle: documents are held in blocks, the distinct hashes of a block are dealt with their
-counts to buckets of hashes, and a bucket sends back to each block those of its shingles that two or more documents hold;
-all others have a frequency of 1. A shingle comes once per block to its bucket, however frequent it is.
+frequencies are exact for every shingle and are found in two steps:
+
+1. Documents are held in blocks. The cells of a block's shingles (leading bits of their hashes, about forty times as many
+   cells as shingles) are dealt to buckets, and each block gets back one bit per cell: whether another document has it. A
+   shingle alone in its cell is in one document only.
+2. Of the others, whole hashes and counts are dealt and summed, and each block gets back the frequencies that it needs.
 
 What a text has in common with another is no more than the weight of its shared shingles; texts where that is too small a
 share of the whole are not sampled, as they cannot be similar enough to any other.
@@ -16,9 +19,9 @@ the weighted Jaccard similarity of the two whole texts. Equal texts are one node
 
 At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**15 = 0.9996.
 
-Defined cases: null and empty texts are equal to each other and so are texts without words only if they are equal; a
-null id counts as the smallest; rows of one id are one document; an empty table gives no rows. Columns that are not
-named are ignored.
+Defined cases: null and empty texts are equal to each other, and other texts without words are alike only if they are
+equal; ids name rows but do not join them: rows of one id, or of none, with different texts are documents of their own;
+a null id counts as the smallest; an empty table gives no rows. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -28,22 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, materialize, ship
+from .common import SPACE_BYTES, join_counted, materialize, packed, remove, ship, unpacked
 from .components import connected_components
 from .hashing import mix64, span_hashes
 
 SHINGLE, BANDS, ROWS = 5, 15, 4
-#: Least share of the documents for a shingle's frequency to count: none is left out.
-EPS = 0.0
 #: Centres per bucket in the rounds before the last.
 CENTRES = (1,)
 NULL_ID = -(1 << 63)
-_PART_BYTES, _BLOCK_DOCS, _BLOCK_BYTES, _BUCKET_BYTES = 1 << 20, 8192, 1 << 22, 1 << 23
+_PART_BYTES, _BLOCK_DOCS, _BLOCK_BYTES, _BUCKET_BYTES = 1 << 20, 1 << 13, 1 << 22, 1 << 24
 
 
 def _tables():
@@ -111,30 +111,22 @@ def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
 class Weights:
     """Weights of shingles from the table of those in several documents: sorted hashes and their weights, at most 1."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
-        self.hashes, self.weights = hashes, weights
-
-    @classmethod
-    def of(cls, counts: list[tuple[int, int]], n_docs: int) -> Weights:
-        return cls.from_arrays(np.array([h for h, _ in counts], dtype=np.int64).view(np.uint64), np.array([n for _, n in counts], dtype=np.int64), n_docs)
-
-    @classmethod
-    def from_arrays(cls, hashes: np.ndarray, df: np.ndarray, n_docs: int) -> Weights:
-        hashes, first = np.unique(hashes, return_index=True)
-        return cls(hashes, (1 + np.log(n_docs / df[first])) / (1 + np.log(n_docs)))
+    def __init__(self, hashes: np.ndarray, df: np.ndarray, n_docs: int):
+        self.hashes, first = np.unique(hashes, return_index=True)
+        self.weights = idf(df[first], n_docs)
 
     def weigh(self, found: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """TF-IDF weights of distinct hashes with these counts, and which of them are in the table."""
+        """TF-IDF weights of distinct hashes with these counts, and which of them several documents have."""
         if not len(self.hashes) or not len(found):
             return tf.astype(np.float64), np.zeros(len(found), dtype=bool)
         at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
         known = self.hashes[at] == found
         return tf * np.where(known, self.weights[at], 1.0), known
 
-    def __call__(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct sorted hashes of a text and their TF-IDF weights."""
-        found, tf = np.unique(codes, return_counts=True)
-        return found, self.weigh(found, tf)[0]
+
+def idf(df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Inverse document frequency, as a share of that of a shingle in one document."""
+    return (1 + np.log(n_docs / df)) / (1 + np.log(n_docs))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -185,148 +177,239 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-BLOCKS = "block long, size long, ids binary, lengths binary, texts binary"
+BLOCKS = "block long, size long, n_docs long, keys binary, lengths binary, ids binary, id_sizes binary, texts binary"
+KEY = 16
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in blocks, a row each, with their texts compressed together."""
-    first, done, size = TaskContext.get().partitionId() << 32, 0, 0
-    ids, texts = [], []
+    """Documents in blocks, a row each: their distinct texts, compressed together, and the ids of each."""
+    first, done = TaskContext.get().partitionId() << 20, 0
+    texts: dict[bytes, tuple[bytes, list[int]]] = {}
+    size = docs = 0
 
     def row() -> pa.RecordBatch:
-        lengths = np.array([len(t) for t in texts], dtype="<i8").tobytes()
-        values = [first + done, size, np.array(ids, dtype="<i8").tobytes(), lengths, pa.compress(b"".join(texts), codec="zstd", asbytes=True)]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "size", "ids", "lengths", "texts"])
+        held = list(texts.values())
+        lengths, sizes = (np.array(x, dtype="<i8").tobytes() for x in ([len(t) for t, _ in held], [len(i) for _, i in held]))
+        ids = np.concatenate([np.sort(np.array(i, dtype="<i8")) for _, i in held]).tobytes()
+        values = [first + done, size, docs, b"".join(texts), lengths, ids, sizes, pa.compress(b"".join([t for t, _ in held]), codec="zstd", asbytes=True)]
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-            ids.append(doc)
-            texts.append(text or b"")
-            size += len(texts[-1])
-            if len(texts) >= _BLOCK_DOCS or size >= _BLOCK_BYTES:
+        columns = [batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()).to_pylist()]
+        for doc, key, text in zip(*columns, strict=True):
+            if key not in texts:
+                texts[key] = (text or b"", [])
+                size += len(texts[key][0])
+            texts[key][1].append(doc)
+            docs += 1
+            if docs >= _BLOCK_DOCS or size >= _BLOCK_BYTES:
                 yield row()
-                done, size, ids, texts = done + 1, 0, [], []
-    if texts:
+                done, size, docs, texts = done + 1, 0, 0, {}
+    if docs:
         yield row()
 
 
-def _texts(size: int, lengths: bytes, data: bytes) -> list[bytes]:
-    whole = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
-    ends = np.cumsum(np.frombuffer(lengths, "<i8")).tolist()
-    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+def _longs(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i8")
+
 
+def _counted_shingles(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For every distinct text of a block, its distinct shingles, sorted, and their counts."""
+    whole = pa.decompress(row["texts"], decompressed_size=row["size"], codec="zstd", asbytes=True)
+    ends = np.cumsum(_longs(row["lengths"])).tolist()
+    for texts in _parts([whole[a:b] for a, b in zip([0, *ends], ends)]):
+        for codes in shingles_of(texts):
+            yield np.unique(codes, return_counts=True)
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """Sorted hashes byte by byte, the high bytes of all first: those hardly change, and a codec makes little of them."""
-    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted words as the first one and the steps to the others, in as few bytes as the largest step takes, the high
+    bytes of all first."""
+    steps = np.diff(values)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(steps) or int(steps.max()) >> (8 * w) == 0)
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + steps.astype(f">u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+    width = data[0]
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=9).reshape(width, -1).T).view(f">u{width}").ravel()
+    with np.errstate(over="ignore"):
+        return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), steps.astype(np.uint64)]), dtype=np.uint64)
+
+
+def _cut(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of sorted hashes dealt by ranges to fewer than 2**32 buckets."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    return list(zip(bucket[cut].tolist(), cut, [*cut, len(hashes)][1:], strict=True))
+
 
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
-def _deal(buckets: int):
-    """Distinct shingles of a block with the number of its documents that hold them, cut by ranges of hashes."""
 
-    def dealt(block: int, held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        n = n.astype("<i4")
-        bucket = ((found >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-        spans = list(zip(cut, [*cut, len(found)][1:]))
-        columns = [pa.array(bucket[cut]), pa.array([block] * len(cut), pa.int64()), pa.array([_packed(found[a:b]) for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "h", "n"])
+def _cells(shift: int, block_shingles: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct cells of a block, as hashes whose last ``shift`` bits are 0, and its shingles."""
+    held = list(block_shingles)
+    found = np.unique(np.concatenate([np.zeros(0, np.uint64), *[f for f, _ in held]]) >> np.uint64(shift))
+    return found << np.uint64(shift), held
+
+
+DEALT = "bucket long, block long, cells binary"
+
+
+def _deal(buckets: int, shift: int):
+    """Cells of a block's shingles, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield dealt(row["block"], [np.unique(codes) for texts in _parts(_texts(row["size"], row["lengths"], row["texts"])) for codes in shingles_of(texts)])
+                cells, _ = _cells(shift, _counted_shingles(row))
+                yield _rows(DEALT, [(bucket, row["block"], _packed(cells[a:b] >> np.uint64(shift))) for bucket, a, b in _cut(cells, buckets)])
 
     return run
 
 
-def _count(least: int):
-    """Of a bucket, what every block gets back: its shingles that ``least`` documents or more hold, with their number."""
+SHARED = "block long, bucket long, shared binary"
 
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(h) for h in table.column("h").to_pylist()]
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), "<i4")
-        found, place = np.unique(np.concatenate(parts), return_inverse=True)
-        df = np.bincount(place, weights=n).astype(np.int64)[place]
-        out, at = [], 0
-        for block, part in zip(table.column("block").to_pylist(), parts, strict=True):
-            here = df[at : at + len(part)]
-            at += len(part)
-            if (keep := here >= least).any():
-                out.append((block, _packed(part[keep]), here[keep].tobytes()))
-        return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "h", "df"])
 
-    return run
+def _share(table: pa.Table) -> pa.Table:
+    """For every block with cells in this bucket, a bit per cell: whether another block has it too."""
+    parts = [_unpacked(x) for x in table.column("cells").to_pylist()]
+    _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    several = np.split(count[place] > 1, np.cumsum([len(p) for p in parts])[:-1])
+    bucket = table.column("bucket")[0].as_py()
+    rows = [(block, bucket, np.packbits(bits).tobytes()) for block, bits in zip(table.column("block").to_pylist(), several, strict=True)]
+    return pa.Table.from_batches([_rows(SHARED, rows)])
 
 
-def document_frequencies(blocks: DataFrame, least: int = 2) -> DataFrame:
-    """``block, h, df``: for each block those of its shingles that ``least`` documents or more hold, and by how many."""
-    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    dealt = blocks.mapInArrow(_deal(max(8, -(-size // _BUCKET_BYTES))), "bucket long, block long, h binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(_count(least), "block long, h binary, df binary")
+#: Distinct texts of blocks (``place`` names one; ``h, tf`` only where it may be similar to another), and between them
+#: rows with a ``bucket``: what a block adds to frequencies, and a bit for those that it wants to know.
+TEXTS = "block long, place long, key binary, ids array<long>, h array<long>, tf array<int>, bucket long, hashes binary, n binary, wanted binary"
 
 
-def _n_docs(blocks: DataFrame) -> int:
-    return blocks.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0] // 8
+def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
+def _split(buckets: int, shift: int, n_docs: int, threshold: float):
+    """Texts of a block, with their shingles if those in shared cells could make up for the others, and its frequencies."""
+    highest = idf(np.array([2]), n_docs)[0]  # of shingles that are not alone
+
+    def run(blocks: pa.Table, shared: pa.Table) -> pa.Table:
+        out = []
+        bits = dict(zip(shared.column("bucket").to_pylist(), shared.column("shared").to_pylist(), strict=True))
+        for row in blocks.to_pylist():
+            cells, held = _cells(shift, _counted_shingles(row))
+            sizes = _longs(row["id_sizes"])
+            several = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=b - a).astype(bool) for bucket, a, b in _cut(cells, buckets)]])
+            every = np.concatenate([np.zeros(0, np.uint64), *[f for f, _ in held]])
+            found, place = np.unique(every, return_inverse=True)
+            n = np.bincount(place, np.repeat(sizes, [len(f) for f, _ in held]), len(found)).astype("<i4")
+            # a cell of several shingles of this block, or of one in several of its documents, counts as shared too
+            cell = np.searchsorted(cells, found >> np.uint64(shift) << np.uint64(shift))
+            several |= np.bincount(cell, n, len(cells)) > 1
+            open_ = several[cell]
+            wanted = np.zeros(len(found), dtype=bool)
+            none = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            vectors, at = [], 0
+            for f, tf in held:
+                here = place[at : at + len(f)]
+                at += len(f)
+                common = highest * tf[open_[here]].sum()
+                able = len(f) and common >= threshold * (1 - 1e-9) * (tf[~open_[here]].sum() + common)
+                if able:
+                    wanted[here] = True
+                vectors.append((f.view(np.int64), tf.astype(np.int32)) if able else none)
+            count = len(sizes)
+            ids = np.split(_longs(row["ids"]), np.cumsum(sizes)[:-1])
+            keys = [row["keys"][KEY * i : KEY * (i + 1)] for i in range(count)]
+            empty = [pa.nulls(count, kind) for kind in (pa.int64(), pa.binary(), pa.binary(), pa.binary())]
+            texts = [pa.array([row["block"]] * count, pa.int64()), pa.array((row["block"] << 13) + np.arange(count)), pa.array(keys, pa.binary())]
+            texts += [_lists(ids, pa.int64()), _lists([h for h, _ in vectors], pa.int64()), _lists([t for _, t in vectors], pa.int32())]
+            out.append(pa.RecordBatch.from_arrays([*texts, *empty], [x.split()[0] for x in TEXTS.split(", ")]))
+            sent, amount, needs = found[open_], n[open_], (wanted & open_)[open_]
+            parts = [(bucket, _packed(sent[a:b]), amount[a:b].tobytes(), np.packbits(needs[a:b]).tobytes()) for bucket, a, b in _cut(sent, buckets)]
+            m = len(parts)
+            empty = [pa.nulls(m, kind) for kind in (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))]
+            given = [pa.array([p[i] for p in parts], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))]
+            out.append(pa.RecordBatch.from_arrays([pa.array([row["block"]] * m, pa.int64()), *empty, *given], [x.split()[0] for x in TEXTS.split(", ")]))
+        return pa.Table.from_batches(out)
 
+    return run
 
-def frequent_shingles(docs: DataFrame, eps: float = EPS) -> tuple[list[tuple[int, int]], int]:
-    """Exact (hash, document frequency) of shingles in at least ``eps`` of the documents, and the number of documents.
 
-    For small tables: all of them come to the driver.
-    """
-    blocks = materialize(docs.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInArrow(_block, BLOCKS), "nd-blocks")
-    n_docs = _n_docs(blocks)
-    found: dict[int, int] = {}
-    for row in document_frequencies(blocks, max(1, int(np.ceil(eps * n_docs)))).collect():
-        found.update(zip(_unpacked(row["h"]).view(np.int64).tolist(), np.frombuffer(row["df"], "<i8").tolist(), strict=True))
-    return list(found.items()), n_docs
+FREQUENCIES = "block long, hashes binary, df binary"
 
 
-SIGNED = "doc_id long, t1 long, t2 long, total double, bands array<long>, h array<long>, w array<double>"
+def _count(table: pa.Table) -> pa.Table:
+    """Of a bucket, what every block gets back: the shingles it wants to know, with their number of documents."""
+    parts = [_unpacked(x) for x in table.column("hashes").to_pylist()]
+    n = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("n").to_pylist()])
+    _, place = np.unique(np.concatenate(parts), return_inverse=True)
+    df = np.bincount(place, n).astype("<i8")[place]
+    rows, at = [], 0
+    for block, part, wanted in zip(table.column("block").to_pylist(), parts, table.column("wanted").to_pylist(), strict=True):
+        keep = np.unpackbits(np.frombuffer(wanted, np.uint8), count=len(part)).astype(bool)
+        if keep.any():
+            rows.append((block, _packed(part[keep]), df[at : at + len(part)][keep].tobytes()))
+        at += len(part)
+    return pa.Table.from_batches([_rows(FREQUENCIES, rows)])
 
 
-def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), kind))
+SIGNED = "place long, total double, bands array<long>, h array<long>, w array<double>"
 
 
 def _sign(n_docs: int, threshold: float):
-    """Totals of the documents of a block; bands and weighted shingles of those that can be similar to another text."""
-
-    def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        hashes = [np.zeros(0, np.uint64), *(_unpacked(h) for h in shared.column("h").to_pylist())]
-        weights = Weights.from_arrays(np.concatenate(hashes), np.frombuffer(b"".join(shared.column("df").to_pylist()), "<i8"), n_docs)
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        done: dict[bytes, tuple[float, np.ndarray, np.ndarray, np.ndarray]] = {}
-        keys, out = [], []
-        ids = np.frombuffer(b"".join(docs.column("ids").to_pylist()), "<i8")
-        for row in docs.to_pylist():
-            for texts in _parts(_texts(row["size"], row["lengths"], row["texts"])):
-                for text, codes in zip(texts, shingles_of(texts), strict=True):
-                    key = xxhash.xxh3_128_digest(text)
-                    if key not in done:
-                        found, tf = np.unique(codes, return_counts=True)
-                        w, known = weights.weigh(found, tf)
-                        total = float(w.sum())
-                        able = len(found) and w[known].sum() >= threshold * (1 - 1e-9) * total
-                        done[key] = (total, bands(signature(found, w)), found.view(np.int64), w) if able else (total, *none)
-                    keys.append(key)
-                    out.append(done[key])
-        pairs = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        columns = [pa.array(ids), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array([x[0] for x in out], pa.float64())]
-        columns += [_lists([x[i] for x in out], kind) for i, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
-        return pa.table(columns, ["doc_id", "t1", "t2", "total", "bands", "h", "w"])
+    """Bands and weighted shingles of the texts of a block that can be similar to another text."""
+
+    def run(texts: pa.Table, given: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, given.column("hashes").to_pylist())])
+        weights = Weights(hashes, np.frombuffer(b"".join(given.column("df").to_pylist()), "<i8"), n_docs)
+        places, totals, keys, vectors = [], [], [], []
+        for place, h, tf in zip(*(texts.column(c).to_pylist() for c in ("place", "h", "tf")), strict=True):
+            found = np.array(h, dtype=np.int64).view(np.uint64)
+            w, known = weights.weigh(found, np.array(tf))
+            total = float(w.sum())
+            if w[known].sum() >= threshold * (1 - 1e-9) * total:
+                places.append(place)
+                totals.append(total)
+                keys.append(bands(signature(found, w)))
+                vectors.append((found.view(np.int64), w))
+        columns = [pa.array(places, pa.int64()), pa.array(totals, pa.float64()), _lists(keys, pa.int64())]
+        return pa.table([*columns, _lists([h for h, _ in vectors], pa.int64()), _lists([w for _, w in vectors], pa.float64())], ["place", "total", "bands", "h", "w"])
 
     return run
 
 
+def signed_texts(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """From ``doc_id, key, text``: ``place, key, ids`` of the distinct texts of every block; ``place, total, bands, h, w``
+    of those that can be similar to another; and the number of documents."""
+    spark = docs.sparkSession
+    blocks = materialize(docs.mapInArrow(_block, BLOCKS), "nd-blocks")
+    size, n_docs = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    buckets = min(1 << 31, max(8, -(-size // _BUCKET_BYTES)))
+    shift = max(0, 64 - (int(size).bit_length() + 3))  # a shingle takes five bytes or more
+    dealt = blocks.select("block", "size", "lengths", "texts").mapInArrow(_deal(buckets, shift), DEALT)
+    shared = materialize(dealt.groupBy("bucket").applyInArrow(_share, SHARED), "nd-shared")
+    _release(spark)
+    split = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_split(buckets, shift, max(2, n_docs), threshold), TEXTS)
+    split = materialize(split, "nd-texts")
+    remove(blocks)
+    remove(shared)
+    _release(spark)
+    given = split.where("bucket is not null").select("bucket", "block", "hashes", "n", "wanted")
+    given = given.groupBy("bucket").applyInArrow(_count, FREQUENCIES)
+    able = split.where(F.size("h") > 0).select("block", "place", "h", "tf")
+    signed = materialize(able.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sign(max(1, n_docs), threshold), SIGNED), "nd-signed")
+    texts = split.where("place is not null").select("place", "key", "ids")
+    return texts, signed, n_docs
+
+
 def _vectors(batch: pa.RecordBatch, side: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     h, w = batch.column(f"h_{side}"), batch.column(f"w_{side}")
     ends, hashes, weights = h.offsets.to_numpy(), h.values.to_numpy(), w.values.to_numpy()
@@ -363,7 +446,7 @@ def _across(here: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
     smaller rest is. Of the texts with a shingle, one side leaves out the largest component: no pair lies inside it.
     """
     nodes = here.select(F.col("node").alias("d"), "component", "total").distinct()
-    shingles = bodies.join(nodes.select("d"), F.col("doc_id") == F.col("d"), "left_semi").select(F.col("doc_id").alias("n"), F.inline(F.arrays_zip("h", "w")))
+    shingles = bodies.join(nodes.select("d"), F.col("place") == F.col("d"), "left_semi").select(F.col("place").alias("n"), F.inline(F.arrays_zip("h", "w")))
     shingles = materialize(shingles, "nd-shingles")
     common = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("k"), "df")
     held = shingles.join(common, F.col("h") == F.col("k")).join(nodes, F.col("n") == F.col("d")).select("n", "component", "total", "h", "df", "w")
@@ -385,31 +468,25 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per document: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (verified links of its text)."""
-    spark = documents.sparkSession
-    ship(spark)
-    docs = documents.select(F.coalesce(F.col(doc).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    blocks = materialize(docs.mapInArrow(_block, BLOCKS), "nd-blocks")
-    frequencies = materialize(document_frequencies(blocks), "nd-frequencies")
-    _release(spark)
-    signed = blocks.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(_sign(_n_docs(blocks), threshold), SIGNED)
-    signed = materialize(signed, "nd-signed")
-    _release(spark)
-    # equal texts are one node, named by their smallest id
-    texts = signed.groupBy("t1", "t2").agg(F.min("doc_id").alias("node")).withColumnsRenamed({"t1": "k1", "t2": "k2"})
-    members = materialize(signed.select("doc_id", "t1", "t2", "total", "bands").join(texts, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select("doc_id", "node", "total", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")), "nd-members")
-    keyed = members.where("bands is not null").select("node", "total", F.explode("bands").alias("bucket"))
+def _documents(documents: DataFrame, doc: str, text: str, **more: str) -> DataFrame:
+    """Rows in a struct, with ``doc_id, text`` without nulls and the MD5 of the text as ``key``."""
+    rows = packed(documents, doc_id=doc, text=text)
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return rows.select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.unhex(F.md5(whole.cast("binary"))).alias("key"), whole.alias("text"))
+
+
+def _links(signed: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Verified ``a, b`` links between texts, and ``node, component`` of those with any."""
+    signed = materialize(signed.join(nodes.select(F.col("node").alias("place")), "place", "left_semi"), "nd-vectors")
+    keyed = signed.select(F.col("place").alias("node"), "total", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select(F.col("bucket").alias("k"), "size")
     inside = materialize(keyed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "node", "total", "size").distinct(), "nd-inside")
     # a text that differs from others in few places shares many large buckets, and makes a good centre
     reach = inside.groupBy("node").agg(F.sum("size").alias("reach"))
     buckets = materialize(inside.drop("size").join(reach, "node"), "nd-buckets")
-    vectors = signed.where(F.size("h") > 0).select("doc_id", "h", "w")
-    vectors = vectors.join(reach.select(F.col("node").alias("n")), F.col("doc_id") == F.col("n"), "left_semi")
-    bodies = materialize(vectors.dropDuplicates(["doc_id"]), "nd-vectors")
+    bodies = signed.select("place", "h", "w")
 
-    links = tested = None
+    links = tested = named = None
     labelled = buckets.withColumn("component", F.col("node"))
     for step in range(len(CENTRES) + 1):
         spread = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("bucket").alias("k"))
@@ -421,33 +498,64 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         pairs = materialize(pairs, "nd-pairs")
         if pairs.isEmpty():
             continue
-        left = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("h").alias("h_a"), F.col("w").alias("w_a")), "a")
-        both = left.join(bodies.select(F.col("doc_id").alias("b"), F.col("h").alias("h_b"), F.col("w").alias("w_b")), "b").select("a", "h_a", "w_a", "b", "h_b", "w_b")
+        left = pairs.join(bodies.select(F.col("place").alias("a"), F.col("h").alias("h_a"), F.col("w").alias("w_a")), "a")
+        both = left.join(bodies.select(F.col("place").alias("b"), F.col("h").alias("h_b"), F.col("w").alias("w_b")), "b").select("a", "h_a", "w_a", "b", "h_b", "w_b")
         new = materialize(both.mapInArrow(_verify(threshold), "a long, b long"), "nd-links")
         links = new if links is None else links.union(new)
         tested = pairs if tested is None else tested.union(pairs)
         named = materialize(connected_components(links), "nd-components")
         joined = buckets.join(named.withColumnRenamed("component", "c"), "node", "left")
         labelled = joined.select("bucket", "node", "total", "reach", F.coalesce("c", "node").alias("component"))
-
+    return links, named
+
+
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """``key, ids`` of the distinct texts of every block, and one row per text: ``key, rows`` (of the first table),
+    ``least`` (its smallest id), ``copies`` (documents of that id and text), ``class_id, n_links, first`` (whether it is
+    the one to keep of its class); and the number of documents."""
+    texts, signed, n_docs = signed_texts(docs, threshold)
+    # equal texts are one node, named by the first place
+    least = F.get("ids", F.lit(0))
+    copies = F.size(F.filter("ids", lambda x: x == F.get("ids", F.lit(0)))).cast("long")
+    parts = texts.select("key", "place", least.alias("id"), copies.alias("copies")).groupBy("key", "id").agg(F.min("place").alias("place"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    nodes = parts.groupBy("key").agg(F.min("place").alias("node"), F.min("id").alias("least"), F.min_by("copies", "id").alias("copies"), F.sum("rows").alias("rows"))
+    nodes = materialize(nodes, "nd-nodes")
+    links, named = _links(signed, nodes, threshold)
+    columns = ["key", "rows", "least", "copies"]
     if links is None:
-        return members.select(_shown("doc_id"), _shown("node").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    ends = links.select(F.col("a").alias("m")).union(links.select(F.col("b").alias("m"))).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    final = named.join(ends, F.col("node") == F.col("m"), "left").select(F.col("node").alias("m2"), "component", F.coalesce("n", F.lit(0)).alias("n"))
-    out = members.join(final, F.col("node") == F.col("m2"), "left")
-    return out.select(_shown("doc_id"), _shown(F.coalesce("component", "node")).alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+        return texts, nodes.select(*columns, F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")), n_docs
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = materialize(named.join(ends, "node").join(nodes, "node"), "nd-linked")
+    of_class = linked.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("class_id"), F.min(F.struct("least", "node")).alias("f"))
+    of_class = materialize(of_class.select("component", "size", "class_id", F.col("f.node").alias("kept")), "nd-classes")
+    in_class = join_counted(linked, of_class, ["component"], n_docs, "size").select(*columns, "class_id", "n_links", (F.col("node") == F.col("kept")).alias("first"))
+    alone = nodes.join(named.select("node"), "node", "left_anti").select(*columns, F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return texts, materialize(in_class.unionByName(alone), "nd-given"), n_docs
+
+
+def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per document: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (verified links of its text)."""
+    ship(documents.sparkSession)
+    texts, given, n_docs = _classes(_documents(documents, doc, text).drop("row"), threshold)
+    joined = join_counted(texts, given.select("key", "rows", "class_id", "n_links"), ["key"], n_docs, "rows")
+    return joined.select(F.explode("ids").alias("doc_id"), "class_id", "n_links").select(_shown("doc_id"), _shown("class_id"), "n_links")
 
 
-def _shown(c):
+def _shown(c: str):
     """A null id comes back as null."""
-    column = F.col(c) if isinstance(c, str) else c
-    shown = F.when(column != NULL_ID, column)
-    return shown.alias(c) if isinstance(c, str) else shown
+    return F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
 
 
 def keep_one(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The documents, all columns, with one row of each class: that of the smallest id (of its rows, any one)."""
-    classes = near_duplicates(documents, doc, text, threshold)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__kept_id")).distinct()
-    keyed = documents.withColumn("__id", F.coalesce(F.col(doc).cast("long"), F.lit(NULL_ID)))
-    return keyed.join(keep, F.col("__id") == F.col("__kept_id"), "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """The documents, all columns, with one row of each class: one of the smallest id with its text (of several such rows,
+    any one)."""
+    ship(documents.sparkSession)
+    rows = _documents(documents, doc, text)
+    _, given, n_docs = _classes(rows.drop("row"), threshold)
+    kept = given.where("first").select(F.col("least").alias("doc_id"), "key", "copies")
+    rows = rows.drop("text")
+    once = rows.join(kept.where("copies = 1"), ["doc_id", "key"], "left_semi").select("row")
+    if kept.where("copies > 1").isEmpty():
+        return unpacked(once, documents)
+    repeated = join_counted(rows, kept.where("copies > 1"), ["doc_id", "key"], n_docs, "copies").dropDuplicates(["doc_id", "key"])
+    return unpacked(once.unionByName(repeated.select("row")), documents)
