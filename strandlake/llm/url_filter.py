@@ -4,11 +4,16 @@ A url's own rule is the longest that fits. Urls without a rule take the decision
 components over redirect and canonical-link edges between urls. In a class an explicit allow goes before any block; a
 class with a block and no allow is blocked; all else is allowed.
 
-Rules are joined by host suffix, so their number may grow: a host has as many suffixes as labels. Hosts are reduced to
-distinct ones before that join.
+Edges come from a page's html, outside comments: every ``link`` with ``canonical`` among the words of its ``rel``, and
+every ``meta`` refresh that names a url; attributes in any order, with either or no quotes. Character references of
+ASCII characters are decoded. A link is resolved against the page's url, or its first ``base``, as RFC 3986 says.
+
+Rules are looked up by (host suffix, leading part of the path), so neither their number nor that of one host's matters;
+all is decided once per distinct url, and a url of very many pages is joined as a hot key.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; a null html
-has no links; repeated pages get repeated rows; no pages give no rows. Columns that are not named are ignored.
+has no links; a link that cannot be resolved to a host, or of a page without one, makes no edge; repeated pages get
+repeated rows; no pages give no rows. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 from .components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"'][^\"'>]*?url\s*=\s*([^\"'\s>]+)"
+# The parts of a reference (RFC 3986, appendix B), here with a scheme as its grammar has it.
+REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+TAG = r"(?is)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+ATTRIBUTE = r"(?s)([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
+REFRESH = r"(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
+# Named character references of ASCII punctuation.
+NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&num;": "#", "&quest;": "?", "&equals;": "=", "&sol;": "/", "&colon;": ":", "&period;": ".", "&lowbar;": "_", "&percnt;": "%", "&plus;": "+", "&comma;": ",", "&semi;": ";"}
 
 
 def host_of(url: Column) -> Column:
@@ -40,22 +50,72 @@ def resource(url: Column) -> Column:
     return F.when(host_of(bare) != "", F.concat(host_of(bare), F.regexp_replace(path_of(bare), "/$", ""), query))
 
 
-def _target(base: Column, link: Column) -> Column:
-    """Absolute url of a link on a page."""
-    scheme = F.substring_index(base, "://", 1)
-    return (
-        F.when(link == "", F.lit(None).cast("string"))
-        .when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(base), link))
-    )
+def unescaped(text: Column) -> Column:
+    """Decodes character references of ASCII characters; the ampersand's own ones last, so nothing is decoded twice."""
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(?:0*[0-9]{1,3}|x0*[0-7]?[0-9a-f]);"), 0))
+    digits = lambda c: F.regexp_extract(c, r"([0-9A-Fa-f]+);", 1)
+    number = lambda c: F.when(F.lower(c).startswith("&#x"), F.conv(digits(c), 16, 10)).otherwise(digits(c)).cast("int")
+    plain = F.aggregate(codes, text, lambda s, c: F.when(number(c).between(1, 127) & (number(c) != 38), F.replace(s, c, F.char(number(c)))).otherwise(s))
+    for name, letter in NAMED.items():
+        plain = F.replace(plain, F.lit(name), F.lit(letter))
+    return F.regexp_replace(plain, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, without its ``.`` and ``..`` parts."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    shorter = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    fold = lambda done, x: F.when(x == ".", done).when(x == "..", shorter(done)).otherwise(F.array_append(done, x))
+    done = F.aggregate(parts, F.array().cast("array<string>"), fold)
+    ended = F.element_at(parts, -1).isin(".", "..") & (F.size(done) > 0)
+    return F.concat(F.lit("/"), F.array_join(done, "/"), F.when(ended, "/").otherwise(""))
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """Absolute url of a reference on a page; null without a host."""
+    part = lambda c, i: F.regexp_extract(c, REFERENCE, i)
+    trimmed = F.regexp_replace(F.regexp_replace(link, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", ""), "[\\t\\r\\n]", "")
+    scheme, authority, path, query = (part(trimmed, i) for i in (1, 2, 3, 4))
+    b_scheme, b_authority, b_path, b_query = (part(base, i) for i in (1, 2, 3, 4))
+    folder = F.regexp_extract(b_path, "(?s)^(.*/)", 1)
+    merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)
+    rooted = F.when(path.startswith("/"), path).otherwise(merged)
+    clean = lambda p: F.when(p.startswith("/"), _without_dots(p)).otherwise(p)
+    full = F.concat(F.when(scheme != "", scheme).otherwise(b_scheme), F.lit("://"), authority, clean(path), query)
+    local = F.concat(b_scheme, F.lit("://"), b_authority, F.when(path == "", b_path).otherwise(_without_dots(rooted)), F.when((path == "") & (query == ""), b_query).otherwise(query))
+    usable = (b_scheme != "") & (b_authority != "")
+    return F.when(authority != "", F.when((scheme != "") | usable, full)).when((scheme == "") & usable & (trimmed != ""), local)
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``a, b``: urls of pages and of what they redirect to or call canonical."""
-    has = pages.select(F.col(url).alias("a"), F.col(html).cast("string").alias("h")).where(F.col("a").isNotNull() & F.col("h").rlike(r"(?i)\b(canonical|refresh)\b"))
-    links = has.select("a", F.explode(F.array(F.regexp_extract("h", CANONICAL, 1), F.regexp_extract("h", REFRESH, 1))).alias("link"))
-    return links.select("a", _target(F.col("a"), F.col("link")).alias("b")).where("b is not null")
+    has = pages.select(F.col(url).cast("string").alias("a"), F.col(html).cast("string").alias("h"))
+    has = has.where(F.col("a").isNotNull() & F.col("h").rlike(r"(?i)\b(?:canonical|refresh)\b"))
+    tags = has.select("a", F.regexp_extract_all(F.regexp_replace("h", "(?s)<!--.*?-->", ""), F.lit(TAG), 0).alias("tags"))
+
+    def read(tag: Column) -> Column:
+        inside = F.regexp_extract(tag, r"(?is)^<(?:link|meta|base)(.*)>$", 1)
+        group = lambda i: F.regexp_extract_all(inside, F.lit(ATTRIBUTE), i)
+        value = F.zip_with(F.zip_with(group(2), group(3), lambda x, y: F.concat(x, y)), group(4), lambda x, y: F.concat(x, y))
+        pairs = F.arrays_zip(F.transform(group(1), lambda n: F.lower(n)).alias("name"), value.alias("value"))
+        return F.struct(F.lower(F.regexp_extract(tag, "^<([A-Za-z]+)", 1)).alias("kind"), pairs.alias("pairs"))
+
+    # the first attribute of a name counts
+    attribute = lambda t, name: F.get(F.transform(F.filter(t["pairs"], lambda p: p["name"] == name), lambda p: unescaped(p["value"])), 0)
+    words = lambda c: F.split(F.trim(F.lower(F.regexp_replace(c, r"\s+", " "))), " ")
+    refresh = lambda c: F.coalesce(*[F.nullif(F.regexp_extract(c, REFRESH, i), F.lit("")) for i in (1, 2, 3)])
+    target = lambda t: (
+        F.when((t["kind"] == "link") & F.array_contains(words(attribute(t, "rel")), "canonical"), attribute(t, "href"))
+        .when((t["kind"] == "meta") & (F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh"), refresh(attribute(t, "content")))
+    )
+    # an explode between the steps, so that a later one does not repeat the work of an earlier
+    parsed = tags.select("a", F.explode("tags").alias("tag")).select("a", F.explode(F.array(read(F.col("tag")))).alias("t"))
+    found = parsed.select("a", F.when(F.col("t.kind") == "base", attribute(F.col("t"), "href")).alias("base"), target(F.col("t")).alias("link"))
+    # pages are told apart by url: of several with one url, every link counts, against the first base of any
+    own = found.where("base is not null").groupBy("a").agg(F.min("base").alias("base"))
+    links = found.where("link is not null").select("a", "link").distinct().join(own, "a", "left")
+    at = F.coalesce(resolved(F.col("a"), F.col("base")), F.col("a"))
+    return links.select("a", resolved(at, F.col("link")).alias("b")).where("b is not null").distinct()
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -65,19 +125,24 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def own_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (with ``host, path``) and ``own``: the longest rule that fits, a struct (size, rule, verdict) or null.
+    """``urls`` (with ``host, path``) and ``own``: the longest rule that fits, a struct (size, allow, rule, verdict) or null.
 
-    Of rules of one length the later in code point order wins, allow before block.
+    Of rules of one length an allow goes before a block, then the later in code point order. Rules are looked up by each
+    suffix of the host with each leading part of the path that has the length of some rule's path.
     """
-    hosts = urls.select("host").where("host <> ''").distinct()
+    lengths = [r[0] for r in rules.select(F.char_length("path")).distinct().collect()]  # no more than the longest path
+    places = urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_urls"))
+    places = materialize(places, "url-places")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = hosts.select("host", F.explode(suffixes).alias("suffix")).join(rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "rule", "verdict"), "suffix")
-    listed = fitting.groupBy("host").agg(F.collect_list(F.struct("prefix", "rule", "verdict")).alias("rules")).withColumnRenamed("host", "h2")
-    joined = urls.join(listed, F.col("host") == F.col("h2"), "left")
-    fit = F.filter("rules", lambda r: F.startswith(F.col("path"), r["prefix"]))
-    ranked = F.transform(fit, lambda r: F.struct(F.char_length(r["rule"]).alias("size"), (r["verdict"] == "allow").alias("allow"), r["rule"].alias("rule"), r["verdict"].alias("verdict")))
-    return joined.withColumn("own", F.array_max(ranked)).drop("rules", "h2")
+    leads = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    asked = places.where("host <> ''").select("host", "path", F.explode(suffixes).alias("suffix"), leads.alias("leads")).select("host", "path", "suffix", F.explode("leads").alias("lead"))
+    given = rules.select(F.col("host").alias("suffix"), F.col("path").alias("lead"), F.struct(F.char_length("rule").alias("size"), (F.col("verdict") == "allow").alias("allow"), "rule", "verdict").alias("own"))
+    given = given.groupBy("suffix", "lead").agg(F.max("own").alias("own"))
+    best = asked.join(given, ["suffix", "lead"]).groupBy("host", "path").agg(F.max("own").alias("own"))
+    decided = materialize(places.join(best, ["host", "path"], "left"), "url-decided")
+    total = decided.agg(F.coalesce(F.sum("n_urls"), F.lit(0))).first()[0]
+    return join_counted(urls, decided, ["host", "path"], total, "n_urls").drop("n_urls")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -85,23 +150,25 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
 
     ``redirects``: further edges ``a, b`` between urls. ``alias_of`` names the url class of a page with links.
     """
-    base = pages.select(F.col(page).alias("page_id"), F.col(url).cast("string").alias("url"))
-    parsed = base.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    own = own_rules(parsed, rules)
     links = link_edges(pages, url, html)
     if redirects is not None:
         links = links.union(redirects.select(F.col("a").cast("string"), F.col("b").cast("string")))
-    links = materialize(links.where("a is not null and b is not null"), "url-links")
-    plain = own.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("alias_of"))
-    if links.isEmpty():
-        return plain
-    edges = links.select(resource(F.col("a")).alias("a"), resource(F.col("b")).alias("b"))
-    classes = materialize(connected_components(edges), "url-classes")
-    # every url on either end of an edge brings its own rule into its class
-    ends = links.select(F.col("a").alias("url")).union(links.select(F.col("b").alias("url"))).distinct()
-    ends = own_rules(ends.select(resource(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
-    said = ends.join(classes, "node").groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
-    given = classes.join(said, "component").select(F.col("node").alias("n2"), "component", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow").alias("class_verdict"))
-    judged = own.withColumn("node", resource(F.col("url"))).join(given, F.col("node") == F.col("n2"), "left")
-    verdict = F.coalesce("own.verdict", "class_verdict", F.lit("allow"))
-    return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.col("component").alias("alias_of"))
+    edges = materialize(links.where("a is not null and b is not null").distinct(), "url-links")
+    named = edges.select(resource(F.col("a")).alias("a"), resource(F.col("b")).alias("b"))
+    classes = materialize(connected_components(named), "url-classes")
+
+    base = pages.select(F.col(page).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"))
+    # every url is judged once: those of pages, and those at either end of an edge
+    seen = base.groupBy("url").agg(F.count(F.lit(1)).alias("n_pages"))
+    ends = edges.select(F.col("a").alias("url")).union(edges.select(F.col("b").alias("url"))).select("url", F.lit(0).cast("long").alias("n_pages"))
+    urls = seen.union(ends).groupBy("url").agg(F.sum("n_pages").alias("n_pages"))
+    urls = materialize(urls.select("url", "n_pages", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), resource(F.col("url")).alias("node")), "url-urls")
+    ruled = materialize(own_rules(urls, rules), "url-ruled")
+    within = ruled.join(classes, "node", "left").select("url", "n_pages", "host", "path", "own", "component")
+    said = within.where("component is not null").groupBy("component").agg(F.max(F.col("own.verdict") == "allow").alias("allowed"), F.max(F.col("own.verdict") == "block").alias("blocked"))
+    verdict = F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
+    judged = within.join(said.select("component", verdict.alias("of_class")), "component", "left")
+    judged = judged.select("url", "n_pages", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "of_class", F.lit("allow")).alias("verdict"), F.col("component").alias("alias_of"))
+    judged = materialize(judged.where("n_pages > 0"), "url-judged")
+    total = judged.agg(F.coalesce(F.sum("n_pages"), F.lit(0))).first()[0]
+    return join_counted(base, judged, ["url"], total, "n_pages").select("page_id", "host", "path", "rule", "verdict", "alias_of")

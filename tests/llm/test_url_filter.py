@@ -1,3 +1,8 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from strandlake.llm import url_filter as op
 from strandlake.llm.queries import RULES
 
@@ -55,3 +60,100 @@ def test_redirect_edges_and_empty_tables(spark):
     assert {r["page_id"]: r["verdict"] for r in op.judge(pages, rules, redirects).collect()} == {1: "block", 2: "allow"}
     assert op.judge(pages.limit(0), rules).collect() == []
     assert {r["verdict"] for r in op.judge(pages, rules.limit(0), redirects).collect()} == {"allow"}
+
+
+FORMS = {
+    '<link rel="canonical" href="other.html">': "http://h.test/a/other.html",
+    '<link rel="canonical" href="../x?y=1">': "http://h.test/x?y=1",
+    '<link rel="canonical" href="?id=2">': "http://h.test/a/b?id=2",
+    '<link rel="canonical" href="/b?x=1&amp;y=2">': "http://h.test/b?x=1&y=2",
+    '<link rel="canonical" href="/b?x=1&#38;y=&#x32;">': "http://h.test/b?x=1&y=2",
+    '<link rel="canonical" href="/b?x=&amp;lt;">': "http://h.test/b?x=&lt;",
+    '<link rel="alternate canonical" href=//z.test/q>': "http://z.test/q",
+    "<link data-x='a > b' href='./c/../d/.' REL=' Canonical '>": "http://h.test/a/d/",
+    '<meta content="0;url=\'https://y.test/r\'" http-equiv="Refresh">': "https://y.test/r",
+    '<meta http-equiv="refresh" content="3, URL=c.html">': "http://h.test/a/c.html",
+    '<meta http-equiv="refresh" content="0; https://y.test/s">': "https://y.test/s",
+    '<base href="/z/"><link rel="canonical" href="e">': "http://h.test/z/e",
+    '<meta http-equiv="refresh" content="5">': None,
+    '<link rel="stylesheet" href="canonical">': None,
+    '<link rel="canonical">': None,
+    '<link rel="canonical" href="mailto:a@b.test">': None,
+    '<!-- <link rel="canonical" href="/no"> -->refresh': None,
+    '<meta name="x" content="0;url=/refresh">': None,
+}
+
+
+def test_every_form_of_a_link(spark):
+    forms = list(FORMS)
+    pages = spark.createDataFrame([("http://h.test/a/b", h) for h in forms], "url string, html string")
+    for form in forms:
+        got = [r["b"] for r in op.link_edges(pages.where(F.col("html") == form)).collect()]
+        assert got == ([FORMS[form]] if FORMS[form] else []), form
+    both = '<link rel=canonical href="/1"><link rel=canonical href="/2"><meta http-equiv=refresh content="0;url=/3"><meta http-equiv=refresh content="1;url=/4">'
+    got = op.link_edges(spark.createDataFrame([("http://h.test/a", both)], "url string, html string")).collect()
+    assert sorted(r["b"] for r in got) == [f"http://h.test/{i}" for i in (1, 2, 3, 4)]
+
+
+# The examples of RFC 3986, section 5.4, for the base http://a/b/c/d;p?q.
+RFC = {
+    "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y",
+    "g?y": "http://a/b/c/g?y", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "": None, ".": "http://a/b/c/", "./": "http://a/b/c/",
+    "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/", "../../g": "http://a/g",
+    "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g",
+    "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x",
+    "g:h": None, "http://o.test/./x/../y": "http://o.test/y",
+}
+
+
+def test_references_are_resolved_as_rfc_3986_says(spark):
+    df = spark.createDataFrame(list(RFC.items()), "link string, want string")
+    rows = df.select("link", "want", op.resolved(F.lit("http://a/b/c/d;p?q"), F.col("link")).alias("got")).collect()
+    assert {r["link"]: r["got"] for r in rows} == RFC
+
+
+def by_hand(pages, rules):
+    """Verdicts by comparing every url with every rule and following links until nothing changes."""
+    def own(url):
+        host, _, rest = url.split("://", 1)[1].partition("/")
+        path = "/" + rest if _ else ""
+        fits = [(len(r), v == "allow", r, v) for v, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return max(fits)[3] if fits else None
+
+    group = {u: {u} for u, _ in pages} | {t: {t} for _, ts in pages for t in ts}
+    for u, ts in pages:
+        for t in ts:
+            merged = group[u] | group[t]
+            for x in merged:
+                group[x] = merged
+    out = {}
+    for u, _ in pages:
+        said = {own(x) for x in group[u]}
+        out[u] = own(u) or ("allow" if "allow" in said else "block" if "block" in said else "allow")
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_link_graphs(spark, seed):
+    r = random.Random(seed)
+    hosts = [f"{a}.{b}" for a in ("x", "y", "www.z") for b in ("com", "net", "org")]
+    urls = [f"http://{h}/{p}{i}" for i, (h, p) in enumerate((h, p) for h in hosts for p in ("en/", "de/", "fr/", "es/") for _ in range(3))]
+    rules = [("block", "com/en/"), ("allow", "z.com/en/"), ("block", "net/"), ("allow", "y.net/fr/"), ("block", "org/es/7"), ("allow", "x.org/es/")]
+    pages = [(u, r.sample(urls, r.choice([0, 0, 1, 1, 2]))) for u in r.sample(urls, 60)]
+    rows = [(i, u, "".join(f'<link rel="canonical" href="{t}">' for t in ts)) for i, (u, ts) in enumerate(pages)]
+    want = by_hand(pages, rules)
+    got = op.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), op.rules_frame(spark, rules)).collect()
+    assert {pages[x["page_id"]][0]: x["verdict"] for x in got} == want
+
+
+def test_very_long_urls_and_pages_and_a_hot_url(spark, monkeypatch):
+    from strandlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "MOST_HOT", 10)
+    long_url = "http://a.example.com/en/8" + "x" * 200_000
+    html = "<p>" + "word 'quoted' <b>" * 100_000 + '<link rel="canonical" href="http://s.org/es/1">' + "<a href='" + "y" * 300_000
+    rows = [(1, long_url, None), (2, "http://q.test/", html)] + [(10 + i, "http://hot.test/1", None) for i in range(60)] + [(100 + i, f"http://t{i}.test/", None) for i in range(30)]
+    got = {r["page_id"]: r for r in op.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), op.rules_frame(spark, RULES)).collect()}
+    assert len(got) == len(rows) and got[1]["rule"] == "com/en/" and got[1]["path"] == long_url[len("http://a.example.com") :]
+    assert got[2]["verdict"] == "block" and got[10]["verdict"] == "allow"
