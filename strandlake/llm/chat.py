@@ -47,8 +47,8 @@ def format_conversations(
 ) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_runs, n_messages``.
 
-    ``loss_runs`` is the loss mask over ``formatted`` as runs of (n_chars, in_loss) in order; their lengths add up to the
-    length of ``formatted``.
+    ``loss_runs`` is the loss mask over ``formatted`` as runs of (n_chars, n_bytes, in_loss) in order; their lengths add
+    up to those of ``formatted``, in code points and in bytes of UTF-8.
     """
     rows = conversations.select(
         F.col(conv).alias("conv_id"),
@@ -72,16 +72,16 @@ def format_conversations(
     ends = lambda x, i: (i == n - 1) | ~same(x, at(i + 1))
     head = lambda x, i: F.when(starts(x, i), F.concat(F.lit(TURN), x["r"], F.lit(BODY))).otherwise(F.lit(SEAM))
     tail = lambda x, i: F.when(ends(x, i), F.lit(END)).otherwise(F.lit(""))
-    run = lambda size, loss: F.struct(size.cast("long").alias("n_chars"), loss.alias("in_loss"))
+    run = lambda part, loss: F.struct(F.char_length(part).cast("long").alias("n_chars"), F.octet_length(part).cast("long").alias("n_bytes"), loss.alias("in_loss"))
 
     pieces = F.transform("turns", lambda x, i: F.concat(head(x, i), x["t"], tail(x, i)))
     runs = F.flatten(
         F.transform(
             "turns",
             lambda x, i: F.array(
-                run(F.char_length(head(x, i)), F.lit(False)),
-                run(F.char_length(x["t"]), x["role"].isin(*loss_roles)),
-                run(F.char_length(tail(x, i)), F.lit(False)),
+                run(head(x, i), F.lit(False)),
+                run(x["t"], x["role"].isin(*loss_roles)),
+                run(tail(x, i), F.lit(False)),
             ),
         )
     )
@@ -102,17 +102,34 @@ def parse_formatted(formatted: Column) -> Column:
     return F.flatten(F.transform(messages, turns))
 
 
-def digest(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def text_under_mask(formatted: Column, runs: Column) -> Column:
+    """The parts of a formatted conversation that its loss mask covers, unescaped, in order, with nothing between.
+
+    Places are sums over runs, taken in chunks, so that no array grows by one item per run of a long conversation.
+    """
+    span = "struct<at:bigint,n:bigint>"
+    chunks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(runs), F.lit(1)), F.lit(BLOCK_TURNS)), lambda i: F.slice(runs, i, BLOCK_TURNS))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    more = lambda s, x: F.when(x["in_loss"] & (x["n_bytes"] > 0), F.array_append(s["spans"], F.struct(s["at"].alias("at"), x["n_bytes"].alias("n")))).otherwise(s["spans"])
+    summed = F.transform(chunks, lambda c: F.aggregate(c, start, lambda s, x: F.struct((s["at"] + x["n_bytes"]).alias("at"), more(s, x).alias("spans"))))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{span}>>").alias("moved"))
+    moved = lambda a, c: F.transform(c["spans"], lambda p: F.struct((a["at"] + p["at"]).alias("at"), p["n"].alias("n")))
+    spans = F.aggregate(summed, begin, lambda a, c: F.struct((a["at"] + c["at"]).alias("at"), F.array_append(a["moved"], moved(a, c)).alias("moved")), lambda a: F.flatten(a["moved"]))
+    # parts of bytes are taken in the time of their own length
+    whole = formatted.cast("binary")
+    return F.array_join(F.transform(spans, lambda p: unescape(F.substring(whole, (p["at"] + 1).cast("int"), p["n"].cast("int")).cast("string"))), "")
+
+
+def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted text holds, read back from it: turns, text under the loss mask, and their hashes."""
-    read = formatted.select("conv_id", "formatted", "n_messages", parse_formatted(F.col("formatted")).alias("turns"))
+    read = formatted.select("conv_id", "formatted", "n_messages", parse_formatted(F.col("formatted")).alias("turns"), text_under_mask(F.col("formatted"), F.col("loss_runs")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"].isin(*loss_roles)), lambda t: t["text"]), "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         "n_messages",
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import packed, ship, unpacked
 
 #: A-Z become a-z; every other ASCII byte that is no digit or letter becomes a space; other bytes stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -241,6 +241,5 @@ def reference_digest(documents: list[tuple[int, str | None]], items: list[tuple[
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents, all columns, in which no window of any item occurs. Nothing is joined: rows pass in one struct."""
-    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row"), F.col(text).alias("__text"))
-    matched = match_items(whole, benchmark, doc="__row", text="__text", **options)
-    return matched.where(F.size("hits") == 0).select("doc_id.*")
+    matched = match_items(packed(documents, body=text), benchmark, doc="row", text="body", **options)
+    return unpacked(matched.where(F.size("hits") == 0).select(F.col("doc_id").alias("row")), documents)

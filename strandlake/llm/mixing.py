@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, materialize
+from .common import count_words, materialize, packed, unpacked
 
 #: Bits per level; four levels use the whole 48-bit hash.
 BITS, LEVELS = 12, 4
@@ -103,21 +103,26 @@ def mix(
     source: str = "source",
 ) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``; ``copies`` says how often the mix holds it."""
-    sized = documents.select(F.col(doc).alias("doc_id"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size"), hash48(F.col(doc)).alias("hash"))
-    sized = materialize(sized, "mix-sizes")
-    goals = materialize(targets(sized, weights, share, most), "mix-targets")
-    cuts = thresholds(sized, goals).withColumnRenamed("source", "s2")
-    copies = F.col("repeats") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
+    rows = packed(documents, doc_id=doc, text=text, source=source)
+    sized = materialize(rows.select("doc_id", *_sized()), "mix-sizes")
+    cuts = thresholds(sized, materialize(targets(sized, weights, share, most), "mix-targets")).withColumnRenamed("source", "s2")
     joined = sized.join(cuts, sized.source.eqNullSafe(cuts.s2))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().cast("long").alias("copies"))
+
+
+def _sized() -> tuple[Column, ...]:
+    return F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), hash48(F.col("doc_id")).alias("hash")
+
+
+def _copies() -> Column:
+    return F.col("repeats") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
 
 
 def apply_mix(documents: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The documents as often as the mix takes them, all columns: a filter and a repeat, no shuffle of texts."""
-    sized = documents.select(F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size"), hash48(F.col(doc)).alias("hash"))
-    sized = materialize(sized, "mix-sizes")
-    cuts = thresholds(sized, materialize(targets(sized, weights, share, most), "mix-targets")).select(F.col("source").alias("__s2"), "repeats", "cut")
-    joined = documents.withColumn("__hash", hash48(F.col(doc))).join(cuts.withColumnsRenamed({"repeats": "__repeats", "cut": "__cut"}), F.col(source).cast("string").eqNullSafe(F.col("__s2")))
-    copies = F.col("__repeats") + F.when(F.col("__hash") < F.col("__cut"), 1).otherwise(0)
-    repeated = joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-    return repeated.select(*[documents[c] for c in documents.columns])
+    rows = packed(documents, doc_id=doc, text=text, source=source)
+    sized = materialize(rows.select(*_sized()), "mix-sizes")
+    cuts = thresholds(sized, materialize(targets(sized, weights, share, most), "mix-targets")).select(F.col("source").alias("s2"), "repeats", "cut")
+    marked = rows.select("row", F.col("source").cast("string").alias("source"), hash48(F.col("doc_id")).alias("hash"))
+    joined = marked.join(cuts, F.col("source").eqNullSafe(F.col("s2")))
+    return unpacked(joined.select("row", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))), documents)

@@ -9,7 +9,8 @@ statistics come from whole texts. Labels, language, source and id are never inpu
 
 Defined cases: null and empty texts have all statistics 0 and get a score like any other text; without labelled rows of
 both kinds the score is the share of label 1 (0.5 without any); documents without labels are scored only; repeated rows
-get equal scores; an empty table gives no rows.
+get equal scores; of splits of one gain the first statistic and smallest threshold wins; an empty table gives no rows.
+Further columns pass through :func:`keep_good` under any name and are ignored by :func:`classify`.
 """
 
 from __future__ import annotations
@@ -20,44 +21,43 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, count_words
+from .common import SPACE, count_words, packed, unpacked
 
 MAX_ROWS = 20_000
 FEATURES = ("lower", "upper", "digit", "space", "symbol", "bar", "exclaim", "stop", "other", "word_chars", "line_words", "repeated_lines", "size")
 
 
-def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with a struct ``__stats`` of the statistics of the whole text."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def statistics(texts: DataFrame) -> DataFrame:
+    """``texts`` with a struct ``stats`` of the statistics of the whole ``text``; other columns of it are kept, and should
+    be named apart from those made here (see :func:`packed`)."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = F.regexp_replace(t, "[a-z]+", "")  # most of a text goes here, so what follows is short
-    n = F.char_length("__t")
-    share = lambda c: F.when(F.col("__n") > 0, c / F.col("__n")).otherwise(0.0)
+    share = lambda c: F.when(F.col("n") > 0, c / F.col("n")).otherwise(0.0)
     without = lambda c, pattern: F.char_length(c) - F.char_length(F.regexp_replace(c, pattern, ""))
-    lines = F.split("__t", "\n")
-    full = F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    a = documents.withColumn("__t", t).withColumn("__rest", rest).withColumn("__n", n).withColumn("__words", count_words(F.col("__t"))).withColumn("__full", full)
-    spaces = without(F.col("__rest"), f"{SPACE}+")
+    full = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    a = texts.withColumn("t", t).withColumn("rest", rest).withColumn("n", F.char_length("t")).withColumn("n_words", count_words(F.col("t"))).withColumn("full", full)
+    spaces = without(F.col("rest"), f"{SPACE}+")
     counts = {
-        "lower": F.col("__n") - F.char_length("__rest"),
-        "upper": without(F.col("__rest"), "[A-Z]+"),
-        "digit": without(F.col("__rest"), "[0-9]+"),
+        "lower": F.col("n") - F.char_length("rest"),
+        "upper": without(F.col("rest"), "[A-Z]+"),
+        "digit": without(F.col("rest"), "[0-9]+"),
         "space": spaces,
-        "symbol": without(F.col("__rest"), "[#*$%&<>]+"),
-        "bar": without(F.col("__rest"), "[|]+"),
-        "exclaim": without(F.col("__rest"), "!+"),
-        "stop": without(F.col("__rest"), "[.,;:?]+"),
-        "other": without(F.col("__rest"), "[^\\x00-\\x7F]+"),
+        "symbol": without(F.col("rest"), "[#*$%&<>]+"),
+        "bar": without(F.col("rest"), "[|]+"),
+        "exclaim": without(F.col("rest"), "!+"),
+        "stop": without(F.col("rest"), "[.,;:?]+"),
+        "other": without(F.col("rest"), "[^\\x00-\\x7F]+"),
     }
-    words = F.col("__words").cast("double")
+    words = F.col("n_words").cast("double")
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
     fields = [share(c).cast("double").alias(k) for k, c in counts.items()]
     fields += [
-        ratio((F.col("__n") - spaces).cast("double"), words).alias("word_chars"),
-        ratio(words, F.size("__full").cast("double")).alias("line_words"),
-        ratio((F.size("__full") - F.size(F.array_distinct("__full"))).cast("double"), F.size("__full").cast("double")).alias("repeated_lines"),
+        ratio((F.col("n") - spaces).cast("double"), words).alias("word_chars"),
+        ratio(words, F.size("full").cast("double")).alias("line_words"),
+        ratio((F.size("full") - F.size(F.array_distinct("full"))).cast("double"), F.size("full").cast("double")).alias("repeated_lines"),
         F.log1p(words).alias("size"),
     ]
-    return a.withColumn("__stats", F.struct(*fields)).drop("__t", "__rest", "__n", "__words", "__full")
+    return a.withColumn("stats", F.struct(*fields)).drop("t", "rest", "n", "n_words", "full")
 
 
 @dataclass
@@ -181,30 +181,31 @@ def in_training(doc: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` labelled documents of the training part."""
-    usable = labels.where(F.col(label).isin(0, 1) & F.col(doc).isNotNull() & in_training(F.col(doc))).groupBy(F.col(doc).alias("__d")).agg(F.max(label).alias("__y"))
-    chosen = usable.orderBy(F.md5(F.col("__d").cast("string").cast("binary")), "__d").limit(max_rows)
-    sample = documents.select(F.col(doc).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__id") == F.col("__d"))  # at most max_rows small rows
-    rows = statistics(sample, "__text").select("__id", "__y", "__stats.*").orderBy("__id").limit(2 * max_rows).toPandas()
-    return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["__y"].to_numpy(np.float64))
-
-
-def score_documents(documents: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
-    """``documents`` with a column ``__score``."""
-    return statistics(documents, text).withColumn("__score", model.score(F.col("__stats"))).drop("__stats")
+    """Fit on at most ``max_rows`` labelled documents of the training part: the labelled ids of smallest md5, and of
+    documents that share an id the one with the smallest text hash."""
+    said = packed(labels, d=doc, y=label).select("d", "y")
+    usable = said.where(F.col("y").isin(0, 1) & F.col("d").isNotNull() & in_training(F.col("d"))).groupBy("d").agg(F.max("y").alias("y"))
+    chosen = usable.orderBy(F.md5(F.col("d").cast("string").cast("binary")), "d").limit(max_rows)
+    given = packed(documents, id=doc, text=text).select("id", "text")
+    sample = given.join(F.broadcast(chosen), F.col("id") == F.col("d"))  # at most max_rows small rows
+    stats = statistics(sample).select("id", "y", F.xxhash64("text").alias("mark"), "stats")
+    once = stats.groupBy("id").agg(F.min(F.struct("mark", "y", "stats")).alias("s"))
+    rows = once.select("id", "s.y", "s.stats.*").orderBy("id").toPandas()
+    return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
 def classify(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
     model = train(documents, labels, doc, text, label, max_rows)
-    scored = score_documents(documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), model)
-    return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    stats = statistics(packed(documents, doc_id=doc, text=text).select("doc_id", "text"))
+    scored = stats.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), model.score(F.col("stats")).alias("score"))
+    return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents, all columns, that score ``threshold`` or more."""
     model = train(documents, labels, doc, text, max_rows=max_rows)
-    scored = score_documents(documents, model, text)
+    scored = statistics(packed(documents, text=text)).select("row", model.score(F.col("stats")).alias("score"))
     # a filter is not pushed below a one-row explode; pushed down, it would compute every statistic once per rule
-    held = scored.select(*[scored[c] for c in documents.columns], F.explode(F.array("__score")).alias("__held"))
-    return held.where(F.col("__held") >= threshold).drop("__held")
+    held = scored.select("row", F.explode(F.array("score")).alias("held"))
+    return unpacked(held.where(F.col("held") >= threshold), documents)

@@ -51,8 +51,9 @@ def clashing(spark, awkward):
     df = spark.createDataFrame(awkward, SCHEMA)
     from pyspark.sql import functions as F
 
-    for name in ("size", "hash", "node", "node_id", "bucket", "w", "t", "words", "lines", "hits", "items", "copies", "target", "shard", "value", "h", "n", "score", "k"):
-        df = df.withColumn(name, F.lit(name))
+    for name in ("size", "hash", "node", "node_id", "bucket", "w", "t", "words", "lines", "hits", "items", "copies", "target", "shard", "value", "h", "n", "score", "k", "row", "id", "key", "stats", "rest", "hash", "s2", "cut", "repeats", "held", "body", "c0", "c1",
+                 "__t", "__n", "__words", "__score", "__hash", "__s2", "__cut", "__copy", "__id", "__row", "Score", "a.b", "x`y", "two words"):
+        df = df.withColumn(name, F.lit(name)) if name.lower() not in {c.lower() for c in df.columns} else df
     return df
 
 

@@ -86,3 +86,23 @@ def test_any_text_round_trips(spark, texts):
     r = random.Random(len(texts))
     rows = [(i % 3, i, r.choice(["user", "assistant"]), t) for i, t in enumerate(texts)]
     assert result(spark, rows) == expected(rows)
+
+
+def test_the_digest_reads_the_mask(spark):
+    """With another mask the loss text is another; roles are not looked at."""
+    df = spark.createDataFrame([(*r, "x", 1) for r in ROWS], SCHEMA)
+    users = chat.digest(chat.format_conversations(df, loss_roles=("user",)))
+    turned = [(c, t, {"user": "assistant", "assistant": "user"}.get(r, r), x) for c, t, r, x in ROWS]
+    got, want = {r["conv_id"]: r for r in users.collect()}, expected(turned)
+    for c, row in got.items():
+        if c != 1:  # ties in turn would sort otherwise
+            assert (row["loss_chars"], row["loss_sha256"]) == want[c][2:]
+    none = chat.format_conversations(df).withColumn("loss_runs", F.transform("loss_runs", lambda x: x.withField("in_loss", F.lit(False))))
+    assert {r["loss_chars"] for r in chat.digest(none).collect()} == {0}
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é "), F.col("id").cast("string")).alias("text"))
+    row = chat.digest(chat.format_conversations(df)).first()
+    loss = "".join(f"é {i}" for i in range(1, 20_000, 2))
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (20_000, len(loss), hashlib.sha256(loss.encode()).hexdigest())

@@ -55,3 +55,33 @@ def test_run_equals_the_stages(spark, stages):
 @pytest.mark.parametrize("name", QUERIES)
 def test_registered_queries_run(spark, name):
     assert QUERIES[name](spark, D).count() > 0
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("tables"))
+
+
+def given(spark, folder, docs):
+    """A folder of tables with these documents; labels for some, items that one document holds."""
+    docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 0, 0), (7, None, 1)], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+    items = [("i1", "ONE two-three"), ("i2", None), (None, "")]
+    spark.createDataFrame(items, "item_id string, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_awkward_documents_and_clashing_names_pass_all_stages(spark, clashing, awkward, folder):
+    where = given(spark, folder, clashing)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, where).cache()
+        assert docs.columns == clashing.columns
+    left = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert left <= {(d, t) for d, t, _, _ in awkward} and not {8, 9} & {d for d, _ in left}
+    got = corpus_pipeline.run(spark, where).collect()
+    assert len(got) == docs.count() and [r["start"] for r in sorted(got, key=lambda r: r["start"])][0] == 0
+
+
+def test_no_documents_pass_all_stages(spark, nothing, folder):
+    assert corpus_pipeline.run(spark, given(spark, folder, nothing)).collect() == []
