@@ -131,7 +131,7 @@ class Collection:
         codes = self.table("deltas").select("group_id", "in_group_id", F.col("delta").alias("body"))
         joined = segments.join(codes, ["group_id", "in_group_id"]).join(groups, "group_id", "left")
         columns = [c for c in joined.columns if c not in ("ref_seq", "body")]
-        plain = decode_rows(joined.select(*columns, "ref_seq", "body"))
+        plain = decode_rows(joined.select(*columns, "ref_seq", "body"), self.min_match)
         return plain.withColumn("seq", F.when(F.col("is_rev_comp"), reverse_complement(F.col("body"))).otherwise(F.col("body"))).drop("body")
 
     def contigs_with_sequences(self, wanted: DataFrame | None = None, low: int | None = None, high: int | None = None) -> DataFrame:

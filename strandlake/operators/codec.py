@@ -1,10 +1,17 @@
 """Coding of a sequence against a reference, as text tokens, in Arrow batches.
 
-Tokens: ``!`` the reference's letter at the predicted place; ``<n>`` runs of n letters N; ``{d,n}`` n letters from d
-places after the predicted one (n left out where the match runs to both ends); any other letter is itself. The predicted
-place is where the last match ended, moved on by every letter. An empty code is the reference itself.
+A token is a letter (``A`` plus the symbol's number, or ``!`` where it equals the reference on the way to a match at the
+predicted place), a run of four letters N or more (character 30, its length less 4, character 4), or a match (``D,L.``: D
+places after the predicted one, L letters more than the least match; ``D.`` where it runs to both ends). The predicted
+place is where the last match ended, moved on by every letter but not by runs. An empty code is the reference itself.
 
-Building the index of a reference dominates, so rows that share one should be neighbours.
+A reference is indexed at every fourth place by keys of ``min_match - 3`` letters, in a table that is at most 0.7 full
+and where a key is put, and looked for, in 64 slots at most; so of a key that is very frequent only the first places are
+known. Here the same places are kept, without a table unless 64 neighbouring slots would be full. A match is the longest
+candidate of more than ``min_match`` letters, with the letters before it that are still pending.
+
+All places of a text that may begin a match are found at once with numpy; only those are visited one by one. Building the
+index of a reference dominates, so rows that share one should be neighbours.
 """
 
 from __future__ import annotations
@@ -12,80 +19,208 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_RUN = 4
-STEP = 4
-_TOKEN = re.compile(r"\{(-?\d+)(?:,(\d+))?\}|<(\d+)>|(.)", re.S)
+from ..functions.sequences import FMIX1, FMIX2, SYMBOLS
+
+# Fixed values of the format.
+MIN_RUN, STEP, SLOTS, FULL = 4, 4, 64, 0.7
+RUN_START, RUN_END, BLANK = "\x1e", "\x04", "_"
+_TOKEN = re.compile(r"([A-P_!]+)|(-?\d+)(?:,(\d+))?\.|\x1e(-?\d+)\x04")
+_CODED = "".join(chr(65 + i) for i in range(len(SYMBOLS))) + BLANK
+_TO_CODE, _TO_LETTER = str.maketrans(SYMBOLS + " ", _CODED), str.maketrans(_CODED, SYMBOLS + " ")
+_BASE = np.full(256, 4, dtype=np.uint8)
+_BASE[[ord(x) for x in "ACGT"]] = range(4)
 _RUN = re.compile("N{%d,}" % MIN_RUN)
 
 
+def letters_of(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+
+
+def window_codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits a letter of every window of ``k`` letters, and whether it has only A, C, G and T."""
+    n = max(0, len(letters) - k + 1)
+    base = _BASE[letters]
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = (out << np.uint64(2)) | (base[j : j + n] & 3)
+    bad = np.concatenate([[0], np.cumsum(base > 3)])
+    return out, bad[k : k + n] == bad[:n]
+
+
+def _finalised(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        for factor in (FMIX1, FMIX2):
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(33))
+
+
+def _put(slots: np.ndarray, size: int) -> np.ndarray:
+    """Which of the entries find a free slot, of ``SLOTS`` tried, when put into a table one after another."""
+    n = len(slots)
+    if n:
+        # where the slots end up without a limit: the filled ones do not depend on the order of entries
+        filled = np.maximum.accumulate(np.sort(slots) - np.arange(n)) + np.arange(n)
+        begin = np.flatnonzero(np.diff(filled, prepend=filled[0] - 2) != 1)
+        if filled[-1] >= size or np.diff(np.append(begin, n)).max() >= SLOTS:
+            taken, kept = bytearray(size), np.zeros(n, dtype=bool)
+            for i, slot in enumerate(slots.tolist()):
+                at = next((x for j in range(SLOTS) if not taken[x := (slot + j) & (size - 1)]), None)
+                if at is not None:
+                    taken[at] = kept[i] = 1
+            return kept
+    return np.ones(n, dtype=bool)
+
+
+@dataclass
+class Match:
+    """Letters ``at`` to ``at + size`` of a text are those of the reference from ``place`` on; ``back`` of them were
+    pending, and ``predicted`` is the place where the first was expected."""
+
+    at: int
+    place: int
+    size: int
+    predicted: int
+    back: int
+
+
 class Coder:
     """Codes texts against one reference."""
 
     def __init__(self, reference: str, min_match: int = 20):
         self.reference, self.min_match = reference, min_match
         self.key = max(1, min_match - STEP + 1)
-        self.index: dict[str, list[int]] = {}
-        for at in range(0, len(reference) - self.key + 1, STEP):
-            self.index.setdefault(reference[at : at + self.key], []).append(at)
-
-    def _match(self, text: str, at: int, back: int) -> tuple[int, int, int]:
-        """Longest (length, reference place, letters taken back) for the text from ``at``; ``back`` letters are pending."""
-        ref, best = self.reference, (0, 0, 0)
-        for place in self.index.get(text[at : at + self.key], ())[:64]:
-            size = _common(ref, place, text, at)
-            before = 0
-            while before < back and before < place and ref[place - before - 1] == text[at - before - 1]:
-                before += 1
-            best = max(best, (size + before, place - before, before))
-        return best
-
-    def parts(self, text: str) -> list[tuple[str, int]]:
-        """Tokens and how many letters each stands for."""
-        ref, out, at, predicted, pending = self.reference, [], 0, 0, 0
-        while at < len(text):
-            run = _RUN.match(text, at)
-            if run:
-                size = run.end() - at
-                out.append((f"<{size}>", size))
-                at, predicted, pending = run.end(), predicted + size, 0
-                continue
-            size, place, back = self._match(text, at, pending)
-            if size >= self.min_match:
-                del out[len(out) - back :]
-                start, expected = at - back, predicted - back
-                whole = start + size == len(text) and place + size == len(ref)
-                out.append((f"{{{place - expected}}}" if whole else f"{{{place - expected},{size}}}", size))
-                at, predicted, pending = start + size, place + size, 0
+        codes, valid = window_codes(letters_of(reference), self.key)
+        places = np.flatnonzero(valid[::STEP]) * STEP
+        codes = codes[places]
+        size = max(8, 2 << max(0, int(len(places) / FULL).bit_length() - 1))
+        kept = _put((_finalised(codes) & np.uint64(size - 1)).astype(np.int64), size)
+        order = np.argsort(codes[kept], kind="stable")
+        self.codes, self.places = codes[kept][order], places[kept][order]
+
+    def _best(self, text: str, at: int, code: np.uint64, pending: int) -> tuple[int, int, int]:
+        """(letters forward, letters back, place of the first forward letter) of the longest match from ``at``."""
+        ref, best, found = self.reference, self.min_match, (0, 0, 0)
+        first, last = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
+        for place in self.places[first:last].tolist():
+            size, back = common_prefix(ref, place, text, at), 0
+            while back < pending and back < place and ref[place - back - 1] == text[at - back - 1]:
+                back += 1
+            if size + back > best:
+                best, found = size + back, (size, back, place)
+        return found
+
+    def walk(self, text: str, returned: bool = True) -> Iterator[tuple[int, int] | int | Match]:
+        """Steps of coding: a range of letters, the length of a run of N, or a match. With ``returned`` a match gives the
+        letters that it takes back; without, as many letters after it are skipped, as quick estimates have it."""
+        n, key = len(text), self.key
+        codes, valid = window_codes(letters_of(text), key)
+        known = np.flatnonzero(valid)
+        at = np.minimum(np.searchsorted(self.codes, codes[known]), max(0, len(self.codes) - 1))
+        starts = known[self.codes[at] == codes[known]] if len(self.codes) else known[:0]
+        runs = [m.span() for m in _RUN.finditer(text)]
+        i = predicted = pending = seen = run = 0
+        while i + key < n:
+            seen += int(np.searchsorted(starts[seen:], i))
+            while run < len(runs) and runs[run][1] - max(i, runs[run][0]) < MIN_RUN:
+                run += 1
+            hit = int(starts[seen]) if seen < len(starts) else n
+            stop = max(i, runs[run][0]) if run < len(runs) else n
+            go = min(hit, stop)
+            if go + key >= n:
+                break
+            if go > i:
+                yield i, go
+                predicted, pending, i = predicted + go - i, pending + go - i, go
+            if stop == go:
+                yield runs[run][1] - go
+                i, pending = runs[run][1], 0
                 continue
-            letter = text[at]
-            out.append(("!" if 0 <= predicted < len(ref) and ref[predicted] == letter else letter, 1))
-            at, predicted, pending = at + 1, predicted + 1, pending + 1
-        return out
+            size, back, place = self._best(text, i, codes[i], pending)
+            if size:
+                yield Match(i - back, place - back, size + back, predicted - back, back)
+                more = 0 if returned else back
+                i, predicted, pending = i + size + more, place + size + more, 0
+            else:
+                yield i, i + 1
+                i, predicted, pending = i + 1, predicted + 1, pending + 1
+        if i != n:
+            yield i, n
+
+    def _to_ends(self, text: str, m: Match) -> bool:
+        return m.at + m.size == len(text) and m.place + m.size == len(self.reference)
 
     def encode(self, text: str) -> str:
         if text == self.reference:
             return ""
-        return "".join(t for t, _ in self.parts(text)) or "<0>"
+        out: list[str] = []
+        size, pending = 0, ""
+        for step in self.walk(text):
+            if isinstance(step, tuple):
+                pending += text[slice(*step)].translate(_TO_CODE)
+                continue
+            if isinstance(step, int):
+                token = f"{RUN_START}{step - MIN_RUN}{RUN_END}"
+            else:
+                pending = pending[: len(pending) - step.back]
+                if step.place == step.predicted:
+                    pending = self._same(pending, step.place, size)
+                token = f"{step.place - step.predicted}." if self._to_ends(text, step) else f"{step.place - step.predicted},{step.size - self.min_match}."
+            out += (pending, token)
+            size, pending = size + len(pending) + len(token), ""
+        return "".join(out) + pending or f"{RUN_START}{-MIN_RUN}{RUN_END}"
+
+    def _same(self, pending: str, place: int, size: int) -> str:
+        """Pending letters before a match at the predicted place, with ``!`` for those of the reference: from the last
+        one back to a blank, but neither the first of the code nor that of the reference."""
+        n = min(len(pending), size + len(pending) - 1, place - 1)
+        n = min(n, len(pending) - 1 - pending.rfind(BLANK))
+        if n <= 0:
+            return pending
+        expected = self.reference[place - n : place].translate(_TO_CODE)
+        return pending[: len(pending) - n] + "".join("!" if a == b else a for a, b in zip(pending[len(pending) - n :], expected, strict=True))
 
     def cost(self, text: str, bound: int | None = None) -> int:
-        """Size of the code."""
-        return len(self.encode(text))
+        """Quick estimate of the code's size; above ``bound``, any value above it."""
+        if text == self.reference:
+            return 0
+        total = 0
+        for step in self.walk(text, returned=False):
+            if isinstance(step, tuple):
+                total += step[1] - step[0]
+            elif isinstance(step, int):
+                total += 2 + len(str(step))
+            else:
+                end = step.at + step.back + step.size == len(text) and step.place + step.back + step.size == len(self.reference)
+                total += len(str(step.place - step.predicted)) + 1 + (0 if end else 1 + len(str(step.size - self.min_match)))
+            if bound is not None and total > bound:
+                break
+        return total
 
     def costs(self, text: str, at_start: bool = True) -> list[int]:
-        """Cost per letter: that of a token falls on its first (or last) letter."""
+        """Cost of every letter: that of a run or match falls on its first (or last) letter, and is 0 for the others."""
         out: list[int] = []
-        for token, size in self.parts(text):
+        for step in self.walk(text):
+            if isinstance(step, tuple):
+                out += [1] * (step[1] - step[0])
+                continue
+            if isinstance(step, int):
+                size, cost = step, 2 + len(str(step - MIN_RUN))
+            else:
+                del out[len(out) - step.back :]
+                size, cost = step.size, len(str(step.place - step.predicted)) + len(str(step.size - self.min_match)) + 2
             rest = [0] * (size - 1)
-            out += [len(token), *rest] if at_start else [*rest, len(token)]
+            out += [cost, *rest] if at_start else [*rest, cost]
         return out
 
 
-def _common(a: str, i: int, b: str, j: int) -> int:
+def common_prefix(a: str, i: int, b: str, j: int) -> int:
     """Length of the longest common prefix of a[i:] and b[j:], by comparing doubling slices."""
     most, size = min(len(a) - i, len(b) - j), 0
     step = 32
@@ -99,22 +234,24 @@ def _common(a: str, i: int, b: str, j: int) -> int:
     return size
 
 
-def decode(reference: str, code: str) -> str:
+def decode(reference: str, code: str, min_match: int) -> str:
     if not code:
         return reference
     out, predicted = [], 0
-    for move, size, run, letter in _TOKEN.findall(code):
-        if move:
+    for letters, move, more, run in _TOKEN.findall(code):
+        if letters:
+            if "!" in letters:
+                out.append("".join(reference[predicted + i] if x == "!" else x.translate(_TO_LETTER) for i, x in enumerate(letters)))
+            else:
+                out.append(letters.translate(_TO_LETTER))
+            predicted += len(letters)
+        elif move:
             start = predicted + int(move)
-            end = start + int(size) if size else len(reference)
+            end = start + int(more) + min_match if more else len(reference)
             out.append(reference[start:end])
             predicted = end
-        elif run:
-            out.append("N" * int(run))
-            predicted += int(run)
         else:
-            out.append(reference[predicted] if letter == "!" else letter)
-            predicted += 1
+            out.append("N" * (int(run) + MIN_RUN))
     return "".join(out)
 
 
@@ -127,7 +264,7 @@ def _each(kind: str, min_match: int):
                 if body is None or ref is None:
                     done.append(body)
                 elif kind == "decode":
-                    done.append(decode(ref, body))
+                    done.append(decode(ref, body, min_match))
                 else:
                     if ref != last:
                         last, coder = ref, Coder(ref, min_match)
@@ -151,9 +288,9 @@ def encode_rows(df: DataFrame, min_match: int) -> DataFrame:
     return _applied(df, "encode", min_match)
 
 
-def decode_rows(df: DataFrame) -> DataFrame:
+def decode_rows(df: DataFrame, min_match: int) -> DataFrame:
     """Inverse of :func:`encode_rows`."""
-    return _applied(df, "decode", 0)
+    return _applied(df, "decode", min_match)
 
 
 def token_statistics(codes: DataFrame) -> DataFrame:
@@ -162,7 +299,7 @@ def token_statistics(codes: DataFrame) -> DataFrame:
     return codes.select(
         *[c for c in codes.columns if c != "body"],
         F.char_length("body").cast("long").alias("size"),
-        count(r"\{").cast("long").alias("matches"),
+        count(r"\.").cast("long").alias("matches"),
         count("!").cast("long").alias("same"),
-        count("<").cast("long").alias("runs"),
+        count(RUN_START).cast("long").alias("runs"),
     )

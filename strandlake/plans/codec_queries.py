@@ -38,7 +38,7 @@ def lz_roundtrip(spark, d):
     """Segments coded against their group's reference and decoded again."""
     rows = _with_references(spark, d)
     coded = codec.encode_rows(rows.withColumn("ref2", F.col("ref_seq")), MIN_MATCH).withColumnRenamed("ref2", "ref_seq")
-    return codec.decode_rows(coded).select(*grouping.ARRIVAL, F.col("body").alias("seq"))
+    return codec.decode_rows(coded, MIN_MATCH).select(*grouping.ARRIVAL, F.col("body").alias("seq"))
 
 
 def lz_token_stats(spark, d):
