@@ -2,12 +2,14 @@
 
 from .names import contig_query, normalised_range, sample_name, short_name, slice_range
 from .sequences import (
+    base64_name,
     base_sum,
     canonical,
     complement,
     dna_code,
     dna_view,
     fasta_record,
+    hex_name,
     is_forward,
     is_sampled,
     is_valid_kmer,
@@ -23,7 +25,7 @@ from .sequences import (
 )
 
 __all__ = [
-    "base_sum", "canonical", "complement", "contig_query", "dna_code", "dna_view", "fasta_record", "is_forward", "is_sampled", "is_valid_kmer", "iupac_view",
+    "base64_name", "base_sum", "canonical", "complement", "contig_query", "dna_code", "dna_view", "fasta_record", "hex_name", "is_forward", "is_sampled", "is_valid_kmer", "iupac_view",
     "kmer_value", "n_runs", "normalise_symbols", "normalised_range", "reverse_complement", "sample_name", "self_similarity", "short_name",
     "slice_range", "with_fmix64", "wrap", "zigzag",
 ]

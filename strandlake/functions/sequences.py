@@ -151,3 +151,26 @@ def self_similarity(s: Column, low: int = 4, high: int = 31) -> Column:
 def zigzag(x: Column) -> Column:
     """Signed to unsigned: 0, -1, 1, -2, ... become 0, 1, 2, 3, ..."""
     return F.when(x >= 0, 2 * x).otherwise(-2 * x - 1)
+
+
+# Digits of stream names, in the order of their values.
+DIGITS64 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_#"
+
+
+def _digits(n: Column, bits: int) -> Column:
+    """Digits of ``bits`` bits of a number of 32 bits or less, the lowest first."""
+    base = 1 << bits
+    places = F.sequence(F.lit(0), F.lit(31 // bits))
+    needed = F.filter(places, lambda i: (i == 0) | (F.floor(n / F.pow(F.lit(float(base)), i.cast("double"))) > 0))
+    digit = lambda i: F.pmod(F.floor(n / F.pow(F.lit(float(base)), i.cast("double"))), F.lit(base))
+    return F.array_join(F.transform(needed, lambda i: F.substring(F.lit(DIGITS64), (digit(i) + 1).cast("int"), F.lit(1))), "")
+
+
+def base64_name(n: Column) -> Column:
+    """A number in base 64, the lowest digit first."""
+    return _digits(n, 6)
+
+
+def hex_name(n: Column) -> Column:
+    """A number in upper-case hexadecimal digits, the lowest first."""
+    return _digits(n, 4)

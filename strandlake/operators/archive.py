@@ -4,17 +4,27 @@
     contigs    sample_ord, sample, contig_ord, contig, contig_full, length, n_segments
     segments   sample_ord, contig_ord, place, start, raw_length, group_id, in_group_id, is_rev_comp
     groups     group_id, key1, key2, ref_seq            one row per group, stored by the batch that created it
-    deltas     group_id, in_group_id, delta             code against the group's reference; letters in raw groups
+    deltas     group_id, in_group_id, pack, delta       code against the group's reference; letters in raw groups
     splitters  ck
     params, commands
 
 Every table is partitioned by ``batch``; a batch counts once its row in ``commands`` is there, and a batch that failed is
 overwritten when it is run again. ``create`` and ``append`` treat a call as one step: a segment may join a group of an
-earlier sample or batch, all in one plan, without a loop over samples.
+earlier sample or batch, all in one plan, without a loop over samples. The contigs of a call are stored once and read from
+there.
 
-Segments with two terminal k-mers belong to the group of their ordered pair. Segments with one try the groups that end in
-it and take the one that codes them cheapest, if it saves enough; else they open a one-sided group. Segments without any
-go to sixteen raw groups.
+Segments with two terminal k-mers belong to the group of their ordered pair. *Settled* groups are those of earlier batches,
+in a new collection those of the reference sample; they are known before any segment is placed, so what follows does not
+depend on the order of samples:
+
+* Where a pair is not settled, but both k-mers end settled groups that share a third one, the segment is coded against
+  both groups and goes to one of them, or is cut in two that overlap by k letters, wherever that is cheapest.
+* With ``fallback``, segments that still have no settled group go to one of those with which they share most of the
+  sampled k-mers of the reference.
+* Segments with one terminal k-mer take the group ending in it that codes them cheapest, if it saves enough; else they
+  open a one-sided group. Segments without any go to sixteen raw groups.
+
+Equal codes of a group are stored once. A member equal to its group's reference has in-group id 0 and stores nothing.
 """
 
 from __future__ import annotations
@@ -26,18 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import contig_query, normalised_range, reverse_complement, short_name
+from ..functions import base64_name, contig_query, normalised_range, reverse_complement, short_name
 from ..sources.shipping import ship
-from . import catalog, grouping, segmentation
+from . import catalog, grouping, kmers, segmentation
 from .codec import Coder, decode_rows, encode_rows
 
 TABLES = ("samples", "contigs", "segments", "groups", "deltas", "splitters")
 SAVING = 16
+CONTIGS = ("sample_ord", "sample", "contig_ord", "contig", "contig_full", "seq")
 # Fixed values: (default, least, most) of every parameter; values outside are moved to the nearest bound.
-PARAMETERS = {"k": (31, 17, 32), "min_match": (20, 15, 32), "segment_size": (60_000, 100, 1_000_000), "pack_cardinality": (50, 1, 1_000_000_000)}
+PARAMETERS = {"k": (31, 17, 32), "min_match": (20, 15, 32), "segment_size": (60_000, 100, 1_000_000), "pack_cardinality": (50, 1, 1_000_000_000), "fallback": (0.0, 0.0, 0.05)}
+# Votes that a fallback candidate needs, by terminal k-mers that the segment has; segments of collections
+# with at most so large segments take the candidate of most votes without coding; and the share of their letters that a
+# fallback candidate has to save in adaptive mode.
+VOTES, SHORT, ADAPTIVE_LIMIT = {0: 1, 1: 5, 2: 2}, 10_000, 0.2
 
 
-def clamp(name: str, value: int | None) -> int:
+def clamp(name: str, value: float | None) -> float:
     default, least, most = PARAMETERS[name]
     return default if value is None else min(max(value, least), most)
 
@@ -50,7 +65,7 @@ def _costs(min_match: int):
             for ref, body in zip(batch.column("ref_seq").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 if ref != last:
                     last, coder = ref, Coder(ref, min_match)
-                costs.append(coder.cost(body))
+                costs.append(coder.cost(body, len(body)))  # no candidate may cost more than the letters
             keep = [n for n in batch.schema.names if n not in ("ref_seq", "body")]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(costs, pa.int64())], [*keep, "cost"])
 
@@ -79,30 +94,47 @@ def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int) ->
 class Collection:
     """An archive opened for reading and appending."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, prefetch: bool = False):
+        """``prefetch``: keep what is read of groups and codes in the executors' memory until :meth:`close`."""
         self.spark, self.path = spark, path.rstrip("/")
+        self._kept: dict[str, DataFrame] | None = {} if prefetch else None
         rows = spark.read.parquet(f"{self.path}/params").collect()  # one row
-        self.k, self.min_match, self.segment_size, self.pack_cardinality = (rows[0][n] for n in ("k", "min_match", "segment_size", "pack_cardinality"))
+        self.k, self.min_match, self.segment_size, self.pack_cardinality, self.fallback, self.concatenated = (rows[0][n] for n in (*PARAMETERS, "concatenated"))
         self.batches = sorted(r["batch"] for r in spark.read.parquet(f"{self.path}/commands").select("batch").distinct().collect())
 
     # building
 
     @classmethod
-    def create(cls, contigs: DataFrame, path: str, k: int | None = None, segment_size: int | None = None, min_match: int | None = None, pack_cardinality: int | None = None, adaptive: bool = False, command: str = "create") -> Collection:
-        """``contigs``: ``sample_ord, sample, contig_ord, contig, contig_full, seq``; sample 0 is the reference."""
+    def create(
+        cls,
+        contigs: DataFrame,
+        path: str,
+        k: int | None = None,
+        segment_size: int | None = None,
+        min_match: int | None = None,
+        pack_cardinality: int | None = None,
+        adaptive: bool = False,
+        command: str = "create",
+        fallback: float | None = None,
+        concatenated: bool = False,
+    ) -> Collection:
+        """``contigs``: ``sample_ord, sample, contig_ord, contig, contig_full, seq``; sample 0 is the reference.
+        ``fallback``: share of k-mers that are sampled. ``concatenated``: contigs that are samples of their own are never
+        cut in two for a missing k-mer between them."""
         spark, path = contigs.sparkSession, path.rstrip("/")
-        values = {"k": clamp("k", k), "min_match": clamp("min_match", min_match), "segment_size": clamp("segment_size", segment_size), "pack_cardinality": clamp("pack_cardinality", pack_cardinality)}
-        spark.createDataFrame([values], "k int, min_match int, segment_size int, pack_cardinality int").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
-        reference = contigs.where("sample_ord = 0")
-        splitters = segmentation.select_splitters(reference, values["k"], values["segment_size"])
-        _write(splitters, path, "splitters", 0)
-        if adaptive:
-            _add_adaptive(spark, contigs, reference, path, 0, values)
-        _ingest(spark, contigs, path, 0, values, command)
+        given = {"k": k, "min_match": min_match, "segment_size": segment_size, "pack_cardinality": pack_cardinality, "fallback": fallback}
+        values = {name: clamp(name, value) for name, value in given.items()} | {"concatenated": concatenated}
+        spark.createDataFrame([values], "k int, min_match int, segment_size int, pack_cardinality int, fallback double, concatenated boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+        stored = _stage(contigs.select(*CONTIGS), path, 0, "contigs")
+        _named_once(stored)
+        reference = stored.where("sample_ord = 0")
+        _write(segmentation.select_splitters(reference, values["k"], values["segment_size"]).sortWithinPartitions("ck"), path, "splitters", 0)
+        _ingest(spark, stored, path, 0, values, command, adaptive)
         return cls(spark, path)
 
-    def append(self, contigs: DataFrame, adaptive: bool = False, command: str = "append") -> Collection:
-        """Adds samples; ``sample_ord`` restarts after the last. A sample name that is already there is an error."""
+    def append(self, contigs: DataFrame, adaptive: bool = False, command: str = "append", fallback: float | None = None) -> Collection:
+        """Adds samples; ``sample_ord`` restarts after the last. A sample name that is already there is an error.
+        ``fallback`` is that of the collection if not given."""
         clash = contigs.select("sample").distinct().join(self.table("samples"), "sample", "left_semi").limit(1).collect()
         if clash:
             raise ValueError(f"sample {clash[0]['sample']!r} is already in the collection")
@@ -110,17 +142,33 @@ class Collection:
         base = self.table("samples").agg(F.coalesce(F.max("sample_ord"), F.lit(-1))).first()[0] + 1
         least = contigs.agg(F.min("sample_ord")).first()[0]
         moved = contigs.withColumn("sample_ord", (F.col("sample_ord") - F.lit(least or 0) + base).cast("int"))
-        values = {"k": self.k, "min_match": self.min_match, "segment_size": self.segment_size}
-        if adaptive:
-            _add_adaptive(self.spark, moved, self.contigs_with_sequences().where("sample_ord = 0"), self.path, batch, values)
-        _ingest(self.spark, moved, self.path, batch, values, command, self)
+        values = {n: getattr(self, n) for n in (*PARAMETERS, "concatenated")}
+        values["fallback"] = self.fallback if fallback is None else clamp("fallback", fallback)
+        stored = _stage(moved.select(*CONTIGS), self.path, batch, "contigs")
+        _named_once(stored)
+        _ingest(self.spark, stored, self.path, batch, values, command, adaptive, self)
         return Collection(self.spark, self.path)
 
     # reading
 
     def table(self, name: str) -> DataFrame:
         """A table's committed batches."""
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch").isin(self.batches)).drop("batch")
+        found = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch").isin(self.batches)).drop("batch")
+        if self._kept is None or name not in ("groups", "deltas"):
+            return found
+        return self._kept.setdefault(name, found.persist())
+
+    def close(self) -> None:
+        for df in (self._kept or {}).values():
+            df.unpersist()
+        if self._kept:
+            self._kept.clear()
+
+    def __enter__(self) -> Collection:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def contigs(self) -> DataFrame:
         return self.table("contigs")
@@ -129,7 +177,7 @@ class Collection:
         """Segments with their letters ``seq``, in the contig's own direction."""
         groups = self.table("groups").select("group_id", "ref_seq")
         codes = self.table("deltas").select("group_id", "in_group_id", F.col("delta").alias("body"))
-        joined = segments.join(codes, ["group_id", "in_group_id"]).join(groups, "group_id", "left")
+        joined = segments.join(codes, ["group_id", "in_group_id"], "left").join(groups, "group_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
         columns = [c for c in joined.columns if c not in ("ref_seq", "body")]
         plain = decode_rows(joined.select(*columns, "ref_seq", "body"), self.min_match)
         return plain.withColumn("seq", F.when(F.col("is_rev_comp"), reverse_complement(F.col("body"))).otherwise(F.col("body"))).drop("body")
@@ -145,8 +193,8 @@ class Collection:
         text = self._assembled(found, ["sample_ord", "contig_ord"])
         return names.join(text, ["sample_ord", "contig_ord"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
-    def _assembled(self, spans: DataFrame, by: list[str]) -> DataFrame:
-        """``by, seq`` from segments with the range ``low`` to ``high`` that is wanted of their contig.
+    def _pieces(self, spans: DataFrame, by: list[str]) -> DataFrame:
+        """``by, begin, t``: the letters that each segment gives to the range ``low`` to ``high`` wanted of its contig.
 
         Of the k letters that two neighbours share, the earlier gives them; segments outside the range are not decoded.
         """
@@ -156,7 +204,11 @@ class Collection:
         end = F.least(F.col("high"), F.col("start") + F.col("raw_length") - 1)
         pieces = parts.select(*by, begin.alias("begin"), end.alias("end"), "start", "seq").where("begin <= end")
         cut = F.substring("seq", (F.col("begin") - F.col("start") + 1).cast("int"), (F.col("end") - F.col("begin") + 1).cast("int"))
-        listed = pieces.select(*by, F.struct("begin", cut.alias("t")).alias("p")).groupBy(*by).agg(F.sort_array(F.collect_list("p")).alias("p"))
+        return pieces.select(*by, "begin", cut.alias("t"))
+
+    def _assembled(self, spans: DataFrame, by: list[str]) -> DataFrame:
+        """``by, seq``: the pieces of every contig, put together."""
+        listed = self._pieces(spans, by).select(*by, F.struct("begin", "t").alias("p")).groupBy(*by).agg(F.sort_array(F.collect_list("p")).alias("p"))
         return listed.select(*by, F.array_join(F.col("p.t"), "").alias("seq"))
 
     def get_collection(self, skip_reference: bool = False) -> DataFrame:
@@ -174,6 +226,37 @@ class Collection:
     def get_contigs(self, queries: list[str]) -> DataFrame:
         """``query_ord, header, status, seq`` for ``contig[@sample][:from-to]`` strings. Malformed queries are left out;
         status is 0, or -1 for a missing and -2 for an ambiguous contig. Each query decodes only its own segments."""
+        found = self.resolved(queries)
+        good = found.where("status = 0").select("query_ord", "sample_ord", "contig_ord", "low", "high")
+        joined = self._assembled(self.table("segments").join(good, ["sample_ord", "contig_ord"]), ["query_ord"])
+        return found.join(joined, "query_ord", "left").select("query_ord", "header", "status", F.when(F.col("status") == 0, F.coalesce("seq", F.lit(""))).alias("seq"))
+
+    def stream_records(self, wanted: DataFrame, width: int = 80) -> Iterator[str]:
+        """FASTA text of ``place, header, sample_ord, contig_ord, low, high`` rows in order of ``place``, a segment at a
+        time: neither a contig nor a partition of whole contigs is ever put together. A line goes on over segments."""
+        spans = self.table("segments").join(wanted.select("place", "sample_ord", "contig_ord", "low", "high").withColumnRenamed("place", "nth"), ["sample_ord", "contig_ord"])
+        pieces = self._pieces(spans, ["nth"]).select("nth", "begin", F.lit(None).cast("string").alias("header"), "t")
+        heads = wanted.select(F.col("place").alias("nth"), F.lit(-1).cast("long").alias("begin"), "header", F.lit("").alias("t"))
+        left, open_line = "", False
+        for row in heads.unionByName(pieces).orderBy("nth", "begin").toLocalIterator(prefetchPartitions=True):
+            if row["header"] is not None:
+                yield f"{left}\n>{row['header']}\n" if left or open_line else f">{row['header']}\n"
+                left, open_line = "", False
+                continue
+            if width > 0:
+                left += row["t"]
+                full = len(left) - len(left) % width
+                if full:
+                    yield "".join(f"{left[i : i + width]}\n" for i in range(0, full, width))
+                    left = left[full:]
+            else:
+                yield row["t"]
+                open_line = open_line or bool(row["t"])
+        if left or open_line:
+            yield f"{left}\n"
+
+    def resolved(self, queries: list[str]) -> DataFrame:
+        """``query_ord, header, status, sample_ord, contig_ord, low, high`` of contig queries; malformed ones are left out."""
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_ord int, query string").withColumn("q", contig_query(F.col("query"))).where("q.ok")
         parsed = asked.select("query_ord", F.col("q.contig").alias("contig"), F.col("q.sample").alias("asked_sample"), F.col("q.from").alias("from"), F.col("q.to").alias("to"))
         named = self.contigs().select("sample", F.col("contig").alias("c"), "contig_full", "sample_ord", "contig_ord")
@@ -181,12 +264,9 @@ class Collection:
         order = Window.partitionBy("query_ord").orderBy("sample_ord", "contig_ord")
         ranked = fits.select("*", F.row_number().over(order).alias("rank"), F.count("c").over(Window.partitionBy("query_ord")).alias("n")).where("rank = 1")
         status = F.when(F.col("n") == 0, catalog.MISSING).when((F.col("asked_sample") == "") & (F.col("n") > 1), catalog.AMBIGUOUS).otherwise(0)
-        resolved = ranked.withColumn("status", status).withColumn("r", normalised_range(F.col("from"), F.col("to")))
-        good = resolved.where("status = 0").select("query_ord", "sample_ord", "contig_ord", F.col("r.from").alias("low"), F.col("r.to").alias("high"))
-        joined = self._assembled(self.table("segments").join(good, ["sample_ord", "contig_ord"]), ["query_ord"])
         open_ended = (F.col("from") < 0) & (F.col("to") < 0)
         header = F.when(open_ended, F.col("contig_full")).otherwise(F.concat("contig_full", F.lit(":"), F.col("from").cast("string"), F.lit("-"), F.col("to").cast("string")))
-        return resolved.join(joined, "query_ord", "left").select("query_ord", header.alias("header"), "status", F.when(F.col("status") == 0, F.coalesce("seq", F.lit(""))).alias("seq"))
+        return ranked.withColumn("r", normalised_range(F.col("from"), F.col("to"))).select("query_ord", header.alias("header"), status.alias("status"), "sample_ord", "contig_ord", F.col("r.from").alias("low"), F.col("r.to").alias("high"))
 
     # answers for one caller
 
@@ -236,85 +316,229 @@ class Collection:
             F.count(F.lit(1)).alias("n_groups"), F.coalesce(F.sum(F.char_length("ref_seq")), F.lit(0)).alias("ref_size"),
             F.count_if(F.col("key2").isNull()).alias("one_sided"), F.count_if(F.coalesce("last", F.lit(0)) == 0).alias("reference_only"),
         )
-        return codes.crossJoin(refs)
+        return codes.crossJoin(refs)  # single rows
+
+    def stream_sizes(self) -> DataFrame:
+        """``stream, n_parts, size``: of every group's references (``x...r``) and codes (``x...d``), by established name."""
+        name = lambda end: F.concat(F.lit("x"), base64_name(F.col("group_id")), F.lit(end))
+        refs = self.table("groups").select(name("r").alias("stream"), F.lit(1).cast("long").alias("n_parts"), F.char_length("ref_seq").cast("long").alias("size"))
+        codes = self.table("deltas").groupBy("group_id").agg(F.countDistinct("pack").alias("n_parts"), F.sum(F.char_length("delta")).cast("long").alias("size"))
+        return refs.unionByName(codes.select(name("d").alias("stream"), "n_parts", "size"))
+
+    def key_map(self) -> DataFrame:
+        """``key1, key2, group_id`` in the order of keys."""
+        return self.table("groups").select("key1", "key2", "group_id").orderBy("key1", "key2")
 
 
 def _write(df: DataFrame, path: str, table: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch}")
 
 
-def _add_adaptive(spark: SparkSession, contigs: DataFrame, reference: DataFrame, path: str, batch: int, values: dict) -> None:
-    known = spark.read.parquet(f"{path}/splitters").select("ck")
-    new = segmentation.adaptive_splitters(contigs, known, reference, values["k"], values["segment_size"])
-    new.write.mode("append" if batch == 0 else "overwrite").parquet(f"{path}/splitters/batch={batch}")
+def _stage(df: DataFrame, path: str, batch: int, name: str) -> DataFrame:
+    """Store a step of a batch beside the tables and read it back."""
+    where = f"{path}/_staging/{batch}/{name}"
+    df.write.mode("overwrite").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, values: dict, command: str, known: Collection | None = None) -> None:
-    k = values["k"]
-    splitters = spark.read.parquet(f"{path}/splitters").select("ck")
-    found = segmentation.with_sequences(segmentation.segments(contigs, splitters, k), contigs)
-    staged = f"{path}/_staging/batch={batch}"
-    segmentation.with_keys(found, k).write.mode("overwrite").parquet(f"{staged}/keyed")
-    keyed = spark.read.parquet(f"{staged}/keyed").drop("batch")
+def _named_once(contigs: DataFrame) -> None:
+    """A sample that was registered is closed: no other may have its name."""
+    twice = contigs.select("sample", "sample_ord").distinct().groupBy("sample").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"sample {twice[0]['sample']!r} comes twice")
+
+
+def _splitters(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
+    """Of these batches only: those of one that failed do not count."""
+    return spark.read.parquet(f"{path}/splitters").where(F.col("batch").isin(batches)).select("ck")
 
-    stored = F.when(F.col("is_rev_comp"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+
+def _stored(c: str = "seq"):
+    return F.when(F.col("is_rev_comp"), reverse_complement(F.col(c))).otherwise(F.col(c))
+
+
+def _through_middle(min_match: int, k: int):
+    """For segments between groups of ``front, middle`` and ``middle, back``: the parts that go to each."""
+
+    def one(seq: str, turned: str, front: str, back: str, middle: str, ref1: str, ref2: str) -> list[tuple]:
+        rc = front > back  # the pair is looked at with its smaller k-mer first
+        first, last = (back, front) if rc else (front, back)
+        here, other = (turned, seq) if rc else (seq, turned)
+        left, right = Coder(ref1, min_match), Coder(ref2, min_match)
+        cost1 = left.costs(here) if first < middle else left.costs(other, at_start=False)[::-1]
+        cost2 = right.costs(here, at_start=False) if middle < last else right.costs(other)[::-1]
+        _, at = grouping.split_place(cost1, cost2, k)
+        n = len(seq)
+        if at == 0:
+            return [(0, 0, n, *sorted((middle, last)), rc if middle < last else not rc)]
+        if at == n:
+            return [(0, 0, n, *sorted((first, middle)), rc if first < middle else not rc)]
+        cut = (n - at if rc else at) - k // 2
+        return [(0, 0, cut + k, *sorted((front, middle)), not front < middle), (1, cut, n - cut, *sorted((middle, back)), not middle < back)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = [(*(r[c] for c in grouping.ARRIVAL), r["start"] + x[1], *x) for r in rows for x in one(r["seq"], r["turned"], r["front"], r["back"], r["middle"], r["ref1"], r["ref2"])]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], _PARTS_NAMES)
+
+    return run
+
+
+_PARTS = "sample_ord int, contig_ord int, place int, start long, part int, inside long, raw_length long, key1 string, key2 string, is_rev_comp boolean"
+_PARTS_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
+
+
+def through_middle(unsettled: DataFrame, settled: DataFrame, k: int, min_match: int) -> DataFrame:
+    """Segments whose pair of k-mers is no settled group, but is bridged by two that share a k-mer: their parts (``part``,
+    ``start`` in the contig, ``inside`` the segment, ``raw_length``) with ``key1, key2, is_rev_comp``."""
+    ship(unsettled.sparkSession)
+    pairs = unsettled.where("front <> back").select("front", "back").distinct()
+    middles = grouping.middle_candidates(pairs, grouping.partners(settled))
+    first, last = F.least("front", "back"), F.greatest("front", "back")
+    bridged = unsettled.join(middles, ["front", "back"]).select(*grouping.ARRIVAL, "start", "front", "back", "middle", "seq", reverse_complement(F.col("seq")).alias("turned"), first.alias("a"), last.alias("b"))
+    group = lambda n: settled.select(F.col("key1").alias(f"g{n}"), F.col("key2").alias(f"h{n}"), F.col("ref_seq").alias(f"ref{n}"))
+    on = lambda n, c: (F.least(c, "middle") == F.col(f"g{n}")) & (F.greatest(c, "middle") == F.col(f"h{n}"))
+    both = bridged.join(group(1), on(1, "a")).join(group(2), on(2, "b"))
+    return both.select(*grouping.ARRIVAL, "start", "front", "back", "middle", "seq", "turned", "ref1", "ref2").mapInArrow(_through_middle(min_match, k), _PARTS)
+
+
+def by_votes(segments: DataFrame, sampled: DataFrame, mapped: DataFrame, settled: DataFrame, values: dict, least: int, adaptive: bool) -> DataFrame:
+    """``key1, key2, is_rev_comp`` of settled groups for segments (with ``seq``) by the sampled k-mers that they share."""
+    votes = grouping.fallback_votes(sampled, segments, mapped, values["k"])
+    ranked = grouping.best_candidates(votes, least).select(*grouping.ARRIVAL, "key1", "key2", "is_rev_comp", "rank")
+    if values["segment_size"] <= SHORT:
+        return ranked.where("rank = 1").drop("rank")
+    bodies = ranked.join(segments.select(*grouping.ARRIVAL, "raw_length", "seq"), list(grouping.ARRIVAL)).join(settled.select("key1", "key2", "ref_seq"), ["key1", "key2"])
+    asked = bodies.select(*grouping.ARRIVAL, "raw_length", "key1", "key2", "is_rev_comp", "rank", "ref_seq", _stored().alias("body"))
+    priced = asked.sortWithinPartitions("key1", "key2").mapInArrow(_costs(values["min_match"]), "sample_ord int, contig_ord int, place int, raw_length long, key1 string, key2 string, is_rev_comp boolean, rank long, cost long")
+    limit = F.col("raw_length") * ADAPTIVE_LIMIT if adaptive else F.col("raw_length")
+    good = priced.where((F.col("cost") > 0) & (F.col("cost") < limit))
+    return good.groupBy(*grouping.ARRIVAL).agg(F.min(F.struct("cost", "rank", "key1", "key2", "is_rev_comp")).alias("b")).select(*grouping.ARRIVAL, "b.key1", "b.key2", "b.is_rev_comp")
+
+
+def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, values: dict, command: str, adaptive: bool, known: Collection | None = None) -> None:
+    k, arrival = values["k"], list(grouping.ARRIVAL)
+    stage = lambda df, name: _stage(df, path, batch, name)
+    batches = [*(known.batches if known else []), batch]
+    reference = contigs.where("sample_ord = 0") if known is None else known.contigs_with_sequences().where("sample_ord = 0")
+    if adaptive:
+        before = _splitters(spark, path, batches)
+        new = segmentation.adaptive_splitters(contigs, before, reference, k, values["segment_size"])
+        new = new.union(before) if known is None else new  # a new collection has one set
+        _write(stage(new.distinct(), "splitters").sortWithinPartitions("ck"), path, "splitters", batch)
+    elif known is not None:
+        _write(spark.createDataFrame([], "ck string"), path, "splitters", batch)
+    splitters = _splitters(spark, path, batches)
+    found = segmentation.with_sequences(segmentation.segments(contigs, splitters, k), contigs)
+    keyed = stage(segmentation.with_keys(found, k), "keyed")
     both = keyed.where("key1 is not null")
-    first = Window.partitionBy("key1", "key2").orderBy(*grouping.ARRIVAL)
-    heads = grouping.first_seen(keyed).select("key1", "key2", F.col("first.sample_ord").alias("sample_ord"), F.col("first.contig_ord").alias("contig_ord"), F.col("first.place").alias("place"))
-    opened = heads.join(both.select(*grouping.ARRIVAL, stored.alias("ref_seq")), list(grouping.ARRIVAL)).select("key1", "key2", F.col("sample_ord").alias("first_sample"), "ref_seq")
-    old = None
-    if known is not None:
+
+    if known is None:
+        heads = grouping.first_seen(both.where("sample_ord = 0")).select("key1", "key2", "first.*")
+        settled = heads.join(both.where("sample_ord = 0").select(*arrival, _stored().alias("ref_seq")), arrival).select("key1", "key2", "ref_seq")
+        old = None
+    else:
         old = known.table("groups").select("group_id", "key1", "key2", "ref_seq")
-        opened = opened.join(old.select("key1", "key2"), ["key1", "key2"], "left_anti").unionByName(old.select("key1", "key2", F.lit(-1).alias("first_sample"), "ref_seq"))
+        settled = old.where("key2 is not null").select("key1", "key2", "ref_seq")
+    settled = stage(settled, "settled")
+    columns = [*arrival, "part", "start", "raw_length", "seq", "key1", "key2", "is_rev_comp"]
+    own = both.withColumn("part", F.lit(0)).select(*columns)
+    unsettled = both.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti")
+    if not values["concatenated"]:
+        parts = stage(through_middle(unsettled, settled, k, values["min_match"]), "parts")
+        if not parts.isEmpty():
+            cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")
+            bridged = parts.join(both.select(*arrival, "seq"), arrival).withColumn("seq", cut).select(*columns)
+            own = own.join(parts.select(*arrival).distinct(), arrival, "left_anti").unionByName(bridged)
+            unsettled = unsettled.join(parts.select(*arrival).distinct(), arrival, "left_anti")
+    vote = None
+    if values["fallback"] > 0:
+        rows = both.where("sample_ord = 0") if known is None else segmentation.with_keys(segmentation.with_sequences(segmentation.segments(reference, splitters, k), reference), k)
+        once = kmers.sampled_codes(reference, k, values["fallback"])
+        once = once.join(once.groupBy("ck").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("ck"), "ck", "left_semi")
+        mapped = grouping.fallback_map(once, rows, k).join(settled.select("key1", "key2"), ["key1", "key2"], "left_semi")
+        mapped, sampled = stage(mapped, "mapped"), stage(kmers.sampled_codes(contigs, k, values["fallback"]), "sampled")
+        vote = lambda segments, ends, name: stage(by_votes(segments, sampled, mapped, settled, values, VOTES[ends], adaptive), name)
+
+        def revised(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+            """``rows`` with the group that was chosen for some."""
+            c = chosen.select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc"))
+            joined = rows.join(c, arrival, "left")
+            keys = {"key1": F.coalesce("c1", "key1"), "key2": F.when(F.col("c1").isNotNull(), F.col("c2")).otherwise(F.col("key2")), "is_rev_comp": F.coalesce("c_rc", "is_rev_comp")}
+            return joined.withColumns(keys).select(*columns)
+
+        own = revised(own, vote(unsettled, 2, "voted2"))
+
+    # the first arrivals of pairs that no settled group has
+    opened = own.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti")
+    heads = opened.groupBy("key1", "key2").agg(F.min(F.struct(*arrival, "part")).alias("f")).select("key1", "key2", "f.*")
+    heads = heads.join(opened.select(*arrival, "part", _stored().alias("ref_seq")), [*arrival, "part"])
+    candidates = settled.select("key1", "key2", F.lit(-1).alias("first_sample"), "ref_seq").unionByName(heads.select("key1", "key2", F.col("sample_ord").alias("first_sample"), "ref_seq"))
+    if known is None:  # those of the reference sample are no earlier than that sample
+        candidates = candidates.withColumn("first_sample", F.greatest("first_sample", F.lit(0)))
     single = keyed.where("(front is null) <> (back is null)")
-    chosen = cheapest_groups(single, opened, values["min_match"]).select(*grouping.ARRIVAL, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc"))
-    own = F.coalesce("front", "back")
-    alone = single.join(chosen, list(grouping.ARRIVAL), "left").select(
-        *grouping.ARRIVAL, "start", "raw_length", "seq", F.coalesce("c1", own).alias("key1"), F.col("c2").alias("key2"),
+    chosen = cheapest_groups(single, candidates, values["min_match"]).select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc"))
+    end = F.coalesce("front", "back")
+    alone = single.join(chosen, arrival, "left").select(
+        *arrival, F.lit(0).alias("part"), "start", "raw_length", "seq", F.coalesce("c1", end).alias("key1"), F.col("c2").alias("key2"),
         F.coalesce("c_rc", F.col("front").isNull()).alias("is_rev_comp"),
     )
-    columns = [*grouping.ARRIVAL, "start", "raw_length", "seq", "key1", "key2", "is_rev_comp"]
-    members = both.select(*columns).unionByName(alone.select(*columns))
-    members = members.select(*[c for c in columns if c != "seq"], stored.alias("body"))
-    # the first arrival of a key names its group
-    members = members.withColumn("rank", F.row_number().over(Window.partitionBy("key1", "key2").orderBy(*grouping.ARRIVAL)))
-    members.write.mode("overwrite").parquet(f"{staged}/members")
-    members = spark.read.parquet(f"{staged}/members").drop("batch")
-
-    fresh = members.where("rank = 1")
+    none = keyed.where("front is null and back is null")
+    if vote is not None:
+        alone = stage(alone, "alone")
+        alone = revised(alone, vote(alone.where("key2 is null"), 1, "voted1"))
+        found = vote(none, 0, "voted0")
+        none_voted = none.join(found.select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc")), arrival)
+        own = own.unionByName(none_voted.select(*arrival, F.lit(0).alias("part"), "start", "raw_length", "seq", F.col("c1").alias("key1"), F.col("c2").alias("key2"), F.col("c_rc").alias("is_rev_comp")))
+        none = none.join(found.select(*arrival), arrival, "left_anti")
+    raw = none.select(*arrival, F.lit(0).alias("part"), "start", "raw_length", "seq", F.lit(None).cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"), F.lit(False).alias("is_rev_comp"))
+    # parts of a segment that was cut in two are segments of their own
+    every = own.select(*columns).unionByName(alone.select(*columns)).unionByName(raw)
+    again = F.row_number().over(Window.partitionBy("sample_ord", "contig_ord").orderBy("place", "part")) - 1
+    every = every.withColumn("place", again.cast("int")).select(*arrival, "start", "raw_length", "key1", "key2", "is_rev_comp", _stored().alias("body"))
+    every = stage(every, "members")
+    members, raw = every.where("key1 is not null"), every.where("key1 is null")
+
+    fresh = members.groupBy("key1", "key2").agg(F.min(F.struct(*arrival)).alias("f")).select("key1", "key2", "f.*")
     base = grouping.RAW_GROUPS
+    same = lambda a, b: (F.col("key1") == F.col(a)) & F.col("key2").eqNullSafe(F.col(b))
     if old is not None:
-        fresh = fresh.join(old.select(F.col("key1").alias("o1"), F.col("key2").alias("o2")), (F.col("key1") == F.col("o1")) & F.col("key2").eqNullSafe(F.col("o2")), "left_anti")
+        fresh = fresh.join(old.select(F.col("key1").alias("o1"), F.col("key2").alias("o2")), same("o1", "o2"), "left_anti")
         base = max(base, (known.table("groups").agg(F.max("group_id")).first()[0] or 0) + 1)
-    numbered = grouping.numbered(fresh.select(*grouping.ARRIVAL, "key1", "key2", F.col("body").alias("ref_seq")), list(grouping.ARRIVAL), base)
-    _write(numbered.select("group_id", "key1", "key2", "ref_seq"), path, "groups", batch)
-
-    new_groups = spark.read.parquet(f"{path}/groups/batch={batch}").select("group_id", "key1", "key2", "ref_seq")
-    all_groups = new_groups if old is None else new_groups.unionByName(old)
-    counted = None
-    if known is not None:
-        counted = known.table("deltas").groupBy("group_id").agg((F.max("in_group_id") + 1).alias("used"))
-    g = all_groups.select("group_id", F.col("key1").alias("g1"), F.col("key2").alias("g2"), "ref_seq")
-    placed = members.join(g, (F.col("key1") == F.col("g1")) & F.col("key2").eqNullSafe(F.col("g2"))).drop("g1", "g2")
-    placed = placed.join(counted, "group_id", "left") if counted is not None else placed.withColumn("used", F.lit(None).cast("long"))
-    keys = [*grouping.ARRIVAL, "start", "raw_length", "is_rev_comp", "group_id"]
-    placed = placed.select(*keys, (F.col("rank") - 1 + F.coalesce("used", F.lit(0))).cast("long").alias("in_group_id"), "ref_seq", "body")
-    coded = encode_rows(placed.sortWithinPartitions("group_id"), values["min_match"])
-
-    raw_of = grouping.raw_round_robin(keyed).select(*grouping.ARRIVAL, F.col("raw_group").cast("long").alias("group_id"))
-    raw = keyed.where("front is null and back is null").join(raw_of, list(grouping.ARRIVAL))
-    if counted is not None:
-        raw = raw.join(counted, "group_id", "left")
+    numbered = grouping.numbered(fresh, arrival, base).select("group_id", "key1", "key2", *arrival)
+    bodies = members.select(*arrival, F.col("body").alias("ref_seq"))
+    _write(numbered.join(bodies, arrival).select("group_id", "key1", "key2", "ref_seq").sortWithinPartitions("key1", "key2"), path, "groups", batch)
+
+    groups = spark.read.parquet(f"{path}/groups/batch={batch}").select("group_id", "key1", "key2", "ref_seq")
+    groups = groups if old is None else groups.unionByName(old)
+    used = None if known is None else known.table("deltas").groupBy("group_id").agg(F.max("in_group_id").alias("used"))
+    keys = [*arrival, "start", "raw_length", "is_rev_comp", "group_id"]
+    g = groups.select("group_id", F.col("key1").alias("g1"), F.col("key2").alias("g2"), "ref_seq")
+    placed = members.join(g, same("g1", "g2")).select(*keys, "ref_seq", "body")
+    coded = stage(encode_rows(placed.sortWithinPartitions("group_id"), values["min_match"]), "coded")
+    # equal codes of a group are one; ids follow their first arrival
+    codes = coded.where("body <> ''").groupBy("group_id", "body").agg(F.min(F.struct(*arrival)).alias("f")).select("group_id", "body", "f.*")
+    codes = grouping.numbered_within(codes, "group_id", arrival, "n")
+    dealt = grouping.raw_round_robin(raw.withColumns({"front": F.lit(None), "back": F.lit(None)})).select(*arrival, F.col("raw_group").cast("long").alias("group_id"))
+    raw = raw.join(dealt, arrival)
+    raw_ids = grouping.numbered_within(raw.select("group_id", *arrival), "group_id", arrival, "n")
+    if used is None:
+        codes, raw_ids = (x.withColumn("used", F.lit(0).cast("long")) for x in (codes, raw_ids))
     else:
-        raw = raw.withColumn("used", F.lit(None).cast("long"))
-    ordinal = F.row_number().over(Window.partitionBy("group_id").orderBy(*grouping.ARRIVAL))  # 0 is left for a dummy
-    raw = raw.withColumn("in_group_id", (ordinal + F.greatest(F.coalesce("used", F.lit(1)), F.lit(1)) - 1).cast("long"))
-    every = coded.select(*keys, "in_group_id", "body").unionByName(raw.select(*keys, "in_group_id", F.col("seq").alias("body")))
-    every.write.mode("overwrite").parquet(f"{staged}/placed")
-    every = spark.read.parquet(f"{staged}/placed").drop("batch")
-
-    _write(every.select("group_id", "in_group_id", F.col("body").alias("delta")), path, "deltas", batch)
-    _write(every.select(*grouping.ARRIVAL, "start", "raw_length", "group_id", "in_group_id", "is_rev_comp"), path, "segments", batch)
+        codes, raw_ids = (x.join(used, "group_id", "left").withColumn("used", F.coalesce("used", F.lit(0))) for x in (codes, raw_ids))
+    # id 0 is the reference, and in raw groups a dummy
+    codes = codes.select("group_id", "body", (F.col("n") + F.col("used") + 1).alias("in_group_id"))
+    raw = raw.join(raw_ids.select(*arrival, (F.col("n") + F.col("used") + 1).alias("in_group_id")), arrival)
+    pack = F.floor((F.col("in_group_id") - 1) / values["pack_cardinality"]).alias("pack")
+    stored = codes.unionByName(raw.select("group_id", "body", "in_group_id")).select("group_id", "in_group_id", pack, F.col("body").alias("delta"))
+    _write(stored.sortWithinPartitions("group_id", "in_group_id"), path, "deltas", batch)
+    mine = spark.read.parquet(f"{path}/deltas/batch={batch}").where(F.col("group_id") >= grouping.RAW_GROUPS).select("group_id", F.col("delta").alias("body"), "in_group_id")
+    ids = coded.join(mine, ["group_id", "body"], "left").select(*keys, F.coalesce("in_group_id", F.lit(0)).cast("long").alias("in_group_id"))
+    every = ids.unionByName(raw.select(*keys, "in_group_id"))
+    _write(every.select(*arrival, "start", "raw_length", "group_id", "in_group_id", "is_rev_comp"), path, "segments", batch)
+    every = spark.read.parquet(f"{path}/segments/batch={batch}")
     lengths = catalog.lengths_from_segments(every, k)
     named = contigs.select("sample_ord", "sample", "contig_ord", "contig", "contig_full").join(lengths, ["sample_ord", "contig_ord"], "left")
     _write(named.select("sample_ord", "sample", "contig_ord", "contig", "contig_full", F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("n_segments", F.lit(0)).cast("int").alias("n_segments")), path, "contigs", batch)

@@ -54,7 +54,7 @@ def window_codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bad[k : k + n] == bad[:n]
 
 
-def _finalised(x: np.ndarray) -> np.ndarray:
+def finalised(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for factor in (FMIX1, FMIX2):
             x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
@@ -100,7 +100,7 @@ class Coder:
         places = np.flatnonzero(valid[::STEP]) * STEP
         codes = codes[places]
         size = max(8, 2 << max(0, int(len(places) / FULL).bit_length() - 1))
-        kept = _put((_finalised(codes) & np.uint64(size - 1)).astype(np.int64), size)
+        kept = _put((finalised(codes) & np.uint64(size - 1)).astype(np.int64), size)
         order = np.argsort(codes[kept], kind="stable")
         self.codes, self.places = codes[kept][order], places[kept][order]
 

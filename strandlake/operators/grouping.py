@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 RAW_GROUPS = 16
 ARRIVAL = ("sample_ord", "contig_ord", "place")
 
@@ -68,43 +74,79 @@ def middle_candidates(pairs: DataFrame, partner_lists: DataFrame) -> DataFrame:
     return joined.select("front", "back", F.array_min(F.array_intersect("p1", "p2")).alias("middle")).where("middle is not null")
 
 
-def fallback_map(sampled: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``ck, key1, key2, forward``: sampled k-mers that occur inside keyed segments, one row per k-mer and key."""
-    spans = keyed.where("key1 is not null").select("sample_ord", "contig_ord", "start", (F.col("start") + F.col("raw_length") - 1).alias("last"), "key1", "key2", "front", "is_rev_comp")
-    k = F.char_length("kmer")
-    inside = (F.col("end") <= F.col("last")) & (F.col("end") - k + 1 >= F.col("start"))
-    joined = sampled.select("sample_ord", "contig_ord", "end", "kmer", "ck").join(spans, ["sample_ord", "contig_ord"]).where(inside)
-    return joined.select("ck", "key1", "key2", ((F.col("kmer") == F.col("ck")) != F.col("is_rev_comp")).alias("forward")).distinct()
+#: Width of the buckets of places by which k-mers find the segments around them.
+BUCKET = 1 << 12
+
+
+def inside(found: DataFrame, spans: DataFrame, k: int) -> DataFrame:
+    """k-mers (``sample_ord, contig_ord, end``) joined with the segments (``start, last``) that hold them whole; by
+    buckets of places, so a contig of many segments is no single key."""
+    bucket = F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("last") / BUCKET)))
+    placed = spans.withColumn("bucket", bucket)
+    joined = found.withColumn("bucket", F.floor(F.col("end") / BUCKET)).join(placed, ["sample_ord", "contig_ord", "bucket"])
+    return joined.where((F.col("end") <= F.col("last")) & (F.col("end") - k + 1 >= F.col("start"))).drop("bucket")
+
+
+def _spans(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("sample_ord", "contig_ord", "start", (F.col("start") + F.col("raw_length") - 1).alias("last"), *columns)
+
 
+def fallback_map(sampled: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
+    """``ck, key1, key2, forward``: sampled k-mers (with ``ck, forward``) that lie inside keyed segments, one row per k-mer,
+    key and direction: ``forward`` says whether the k-mer is canonical in the direction of the group."""
+    found = inside(sampled, _spans(keyed.where("key1 is not null"), "key1", "key2", "is_rev_comp"), k)
+    return found.select("ck", "key1", "key2", (F.col("forward") != F.col("is_rev_comp")).alias("forward")).distinct()
 
-def fallback_votes(sampled: DataFrame, unkeyed: DataFrame, mapped: DataFrame) -> DataFrame:
-    """For segments without a key, the number of distinct sampled k-mers they share with each key: ``votes``."""
-    spans = unkeyed.select(*ARRIVAL, "start", (F.col("start") + F.col("raw_length") - 1).alias("last"))
-    inside = (F.col("end") <= F.col("last")) & (F.col("end") - F.char_length("kmer") + 1 >= F.col("start"))
-    own = sampled.select("sample_ord", "contig_ord", "end", "kmer", "ck").join(spans, ["sample_ord", "contig_ord"]).where(inside).select(*ARRIVAL, "ck").distinct()
-    return own.join(mapped.select("ck", "key1", "key2").distinct(), "ck").groupBy(*ARRIVAL, "key1", "key2").agg(F.count(F.lit(1)).alias("votes"))
+
+def fallback_votes(sampled: DataFrame, unkeyed: DataFrame, mapped: DataFrame, k: int) -> DataFrame:
+    """For segments without a key, the number of distinct sampled k-mers they share with each key and direction:
+    ``key1, key2, is_rev_comp, votes``."""
+    own = inside(sampled, _spans(unkeyed, "place"), k).select(*ARRIVAL, "ck", F.col("forward").alias("here")).distinct()
+    joined = own.join(mapped, "ck").select(*ARRIVAL, "key1", "key2", (F.col("here") != F.col("forward")).alias("is_rev_comp"), "ck").distinct()
+    return joined.groupBy(*ARRIVAL, "key1", "key2", "is_rev_comp").agg(F.count(F.lit(1)).alias("votes"))
 
 
 def best_candidates(votes: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
-    """Per segment the ``most`` candidates of highest (votes, key), of at least ``least`` votes and half the best."""
-    order = Window.partitionBy(*ARRIVAL).orderBy(F.desc("votes"), F.desc("key1"), F.desc("key2"))
+    """Per segment the ``most`` candidates of highest (votes, key as the segment reads it), of at least ``least`` votes and
+    half the best."""
+    first = F.when(F.col("is_rev_comp"), F.col("key2")).otherwise(F.col("key1"))
+    second = F.when(F.col("is_rev_comp"), F.col("key1")).otherwise(F.col("key2"))
+    order = Window.partitionBy(*ARRIVAL).orderBy(F.desc("votes"), first.desc(), second.desc())
     enough = votes.where(F.col("votes") >= least)
     ranked = enough.select("*", F.row_number().over(order).alias("rank"), F.max("votes").over(Window.partitionBy(*ARRIVAL)).alias("best"))
     return ranked.where((F.col("rank") <= most) & (F.col("votes") * 2 >= F.col("best"))).drop("best").withColumn("rank", F.col("rank").cast("long"))
 
 
+def numbered_within(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Consecutive numbers from 0 inside every group, in the order of the columns. Rows are numbered inside a group and the
+    first of these columns (a sample); one row for each of those passes the window of a group's offsets."""
+    before = Window.partitionBy("__group").orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col(group).alias("__group"), F.col(order[0]).alias("__first")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("__group", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    each = F.row_number().over(Window.partitionBy(group, order[0]).orderBy(*order[1:])) - 1
+    joined = rows.withColumn(name, each).join(offsets, (F.col(group) == F.col("__group")) & (F.col(order[0]) == F.col("__first")))
+    return joined.withColumn(name, (F.col(name) + F.col("__base")).cast("long")).drop("__group", "__first", "__base")
+
+
+def split_place(cost1: list[int], cost2: list[int], k: int) -> tuple[int, int]:
+    """(least cost, place) of coding everything up to a place with the first costs and everything from it with the second:
+    the first best place, moved to an end if it is too near to it."""
+    left, right = np.cumsum(cost1), np.cumsum(cost2[::-1])[::-1]
+    both = left + right
+    at, n = int(np.argmin(both)), len(both)
+    return int(both[at]), 0 if at < k + 1 else n if at + k + 1 > n else at
+
+
 def best_split(costs: DataFrame, k: int) -> DataFrame:
-    """From ``id, cost1, cost2`` arrays (cost of coding each letter with the left or the right group): the place where
-    coding everything up to it left and everything from it right is cheapest, first one first, moved to an end if it is
-    too near to it."""
-    n = F.size("cost1")
-    step = lambda acc, x: F.array_append(acc, F.coalesce(F.element_at(acc, -1), F.lit(0).cast("long")) + x)
-    running = lambda c: F.aggregate(c, F.array().cast("array<bigint>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(step(acc, x)))
-    summed = costs.select("id", n.alias("n"), running(F.col("cost1")).alias("left"), F.reverse(running(F.reverse("cost2"))).alias("right"))
-    both = summed.select("id", "n", F.zip_with("left", "right", lambda a, b: a + b).alias("both"))
-    best = both.select("id", "n", F.array_min("both").alias("cost"), (F.array_position("both", F.array_min("both")) - 1).alias("at"))
-    place = F.when(F.col("at") < k + 1, 0).when(F.col("at") + k + 1 > F.col("n"), F.col("n")).otherwise(F.col("at"))
-    return best.select("id", "cost", place.cast("long").alias("split"))
+    """``id, cost, split`` from ``id, cost1, cost2`` arrays by :func:`split_place`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [split_place(a, b, k) for a, b in zip(batch.column("cost1").to_pylist(), batch.column("cost2").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]], ["id", "cost", "split"])
+
+    ship(costs.sparkSession)
+    return costs.select("id", "cost1", "cost2").mapInArrow(run, f"id {costs.schema['id'].dataType.simpleString()}, cost long, split long")
 
 
 def for_range(found: DataFrame, low: int, high: int) -> DataFrame:

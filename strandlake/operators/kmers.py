@@ -6,12 +6,20 @@ array, and pieces of one contig are spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import complement, is_sampled, is_valid_kmer, kmer_value, reverse_complement, with_fmix64
+from ..functions import is_sampled, kmer_value, reverse_complement, with_fmix64
+from ..functions.sequences import BASES, COMPLEMENTS, SAMPLE_MASK
+from ..sources.shipping import ship
+from .codec import finalised, window_codes
 
 PIECE = 1 << 19
+_COMPLEMENT = bytes.maketrans(BASES.encode(), COMPLEMENTS.encode())
 
 
 def pieces(contigs: DataFrame, k: int, size: int = PIECE) -> DataFrame:
@@ -24,25 +32,15 @@ def pieces(contigs: DataFrame, k: int, size: int = PIECE) -> DataFrame:
     return cut.withColumn("piece", F.substring(F.col("seq").cast("binary"), F.col("offset") + 1, F.lit(size + k - 1))).drop("seq")
 
 
-def canonical_kmers(contigs: DataFrame, k: int, keep: tuple[str, ...] = ("sample_ord", "contig_ord")) -> DataFrame:
-    """Every full window of k valid letters: ``keep``, ``end`` (0-based place of its last letter), ``kmer`` and its
-    canonical form ``ck``. A piece is complemented once, for all of its windows."""
-    # a chromosome is one row of one file: its pieces are spread before they grow by a factor of k
-    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = pieces(contigs.select(*keep, "seq"), k).repartition(n, *keep, "offset")
-    text = F.col("piece").cast("string")
-    cut = cut.select(*keep, "offset", "piece", complement(text).cast("binary").alias("other"), is_valid_kmer(text).alias("plain"), F.octet_length("piece").alias("n"))
-    part = lambda c, i: F.substring(F.col(c), i, F.lit(k)).cast("string")
-    window = lambda i: F.struct(part("piece", i).alias("kmer"), part("other", i).alias("other"))
-    windows = F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), window))
-    each = cut.select(*keep, "offset", "plain", F.posexplode(windows).alias("at", "w"))
-    each = each.select(*keep, "plain", (F.col("offset") + F.col("at") + F.lit(k - 1)).cast("long").alias("end"), "w.kmer", F.least("w.kmer", F.reverse("w.other")).alias("ck"))
-    return each.where(F.col("plain") | is_valid_kmer(F.col("kmer"))).drop("plain")
+def canonical_kmers(contigs: DataFrame, k: int) -> DataFrame:
+    """Every full window of k valid letters: ``sample_ord, contig_ord, end`` (0-based place of its last letter), ``kmer``
+    and its canonical form ``ck``, as strings cut from the bytes of a piece and of its complement."""
+    return _spread(contigs, k).mapInArrow(_strings(k), "sample_ord int, contig_ord int, end long, kmer string, ck string")
 
 
-def kmers(contigs: DataFrame, k: int, keep: tuple[str, ...] = ("sample_ord", "contig_ord")) -> DataFrame:
-    """``keep``, ``end``, ``kmer`` of every valid window."""
-    return canonical_kmers(contigs, k, keep).drop("ck")
+def kmers(contigs: DataFrame, k: int) -> DataFrame:
+    """``sample_ord, contig_ord, end``, ``kmer`` of every valid window."""
+    return canonical_kmers(contigs, k).drop("ck")
 
 
 def spectrum(found: DataFrame) -> DataFrame:
@@ -78,3 +76,100 @@ def sampled(found: DataFrame, k: int, fraction: float) -> DataFrame:
     # one-row explode: a filter is not pushed below it, so the steps of the hash stay columns of their own
     held = mixed.select(*found.columns, F.explode(F.array("__mixed")).alias("__held"))
     return held.where(is_sampled(F.col("__held"), fraction)).drop("__held")
+
+
+# the same windows as numbers, made in Arrow batches
+
+CODES = "sample_ord int, contig_ord int, end long, ck long, forward boolean"
+#: Splitters that are sent to all tasks, eight bytes each; more of them are joined.
+MOST_SENT = 1 << 22
+
+
+def _canonical(piece: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the valid windows of a piece: their first letter's place, and the two-bit values of the window and of its
+    reverse complement, left-aligned in 64 bits; the smaller one is the canonical form."""
+    codes, valid = window_codes(np.frombuffer(piece, np.uint8), k)
+    other, _ = window_codes(np.frombuffer(piece[::-1].translate(_COMPLEMENT), np.uint8), k)
+    at, shift = np.flatnonzero(valid), np.uint64(64 - 2 * k)
+    return at, codes[at] << shift, other[::-1][at] << shift
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+    return zip(*(batch.column(c).to_pylist() for c in ("sample_ord", "contig_ord", "offset", "piece")), strict=True)
+
+
+def _batch(sample: int, contig: int, end: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(end), sample, np.int32)), pa.array(np.full(len(end), contig, np.int32)), pa.array(end), *more.values()]
+    return pa.RecordBatch.from_arrays(columns, ["sample_ord", "contig_ord", "end", *more])
+
+
+def _windows(k: int, keep=None, palindromes: bool = True):
+    """``keep``: of canonical values, which to give; all without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sample, contig, offset, piece in _rows(batch):
+                at, own, turned = _canonical(piece, k)
+                ck = np.minimum(own, turned)
+                held = np.ones(len(ck), dtype=bool) if keep is None else keep(ck)
+                if not palindromes:
+                    held &= own != turned
+                if held.any():
+                    yield _batch(sample, contig, at[held] + (offset + k - 1), ck=pa.array(ck[held].view(np.int64)), forward=pa.array((own <= turned)[held]))
+
+    return run
+
+
+def _strings(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sample, contig, offset, piece in _rows(batch):
+                at, own, turned = _canonical(piece, k)
+                # some windows at a time: each takes k bytes twice
+                for some in np.split(np.arange(len(at)), range(1 << 16, len(at), 1 << 16)):
+                    if not len(some):
+                        continue
+                    place = at[some][:, None] + np.arange(k)
+                    kmer = np.frombuffer(piece, np.uint8)[place]
+                    other = np.frombuffer(piece.translate(_COMPLEMENT), np.uint8)[place][:, ::-1]
+                    ck = np.where((own <= turned)[some][:, None], kmer, other)
+                    text = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(some), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()).cast(pa.string()) for x in (kmer, ck)]
+                    yield _batch(sample, contig, at[some] + (offset + k - 1), kmer=text[0], ck=text[1])
+
+    return run
+
+
+def _spread(contigs: DataFrame, k: int) -> DataFrame:
+    ship(contigs.sparkSession)
+    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces(contigs.select("sample_ord", "contig_ord", "seq"), k).repartition(n, "sample_ord", "contig_ord", "offset")
+
+
+def coded_kmers(contigs: DataFrame, k: int) -> DataFrame:
+    """``sample_ord, contig_ord, end, ck, forward`` of every valid window, ``ck`` as a left-aligned number."""
+    return _spread(contigs, k).mapInArrow(_windows(k), CODES)
+
+
+def sampled_codes(contigs: DataFrame, k: int, fraction: float) -> DataFrame:
+    """Only windows whose canonical k-mer belongs to the sampled share and is not its own reverse complement."""
+    bound = min(int(float((1 << 64) - 1) * fraction), (1 << 64) - 1)
+    keep = lambda ck: (finalised(ck) ^ np.uint64(SAMPLE_MASK)) < np.uint64(bound)
+    return _spread(contigs, k).mapInArrow(_windows(k, keep, palindromes=False), CODES)
+
+
+def windows_of(contigs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Windows whose canonical k-mer is among ``ck`` strings of ``wanted``: sorted numbers are sent to all tasks if there
+    are at most ``MOST_SENT`` of them, else windows and wanted k-mers are joined."""
+    values = wanted.select(kmer_value(F.col("ck"), k).alias("ck")).distinct()
+    if (n := values.count()) > MOST_SENT:
+        return coded_kmers(contigs, k).join(values, "ck", "left_semi").select(*[x.split()[0] for x in CODES.split(", ")])
+    if not n:
+        return coded_kmers(contigs.limit(0), k)
+    known = np.sort(values.toPandas()["ck"].to_numpy().view(np.uint64))
+    sent = contigs.sparkSession.sparkContext.broadcast(known)
+
+    def keep(ck: np.ndarray) -> np.ndarray:
+        there = sent.value
+        return there[np.minimum(np.searchsorted(there, ck), len(there) - 1)] == ck
+
+    return _spread(contigs, k).mapInArrow(_windows(k, keep), CODES)

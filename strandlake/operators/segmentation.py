@@ -1,55 +1,106 @@
 """Splitters, segments, and the terminal k-mers that key a segment.
 
-Both greedy selections are folds over sorted positions inside one row: the selected positions of a contig are about its
-length over the segment size, and only positions of candidate k-mers are collected.
+Candidates for splitters are nearly all windows of a reference. Their places are kept as one bit each, in rows of 2**19
+places, and the greedy choice runs over the bits of one contig: 30 MB for a chromosome of 2.5 * 10**8 letters. Cuts of a
+contig are far fewer, about its length over the segment size, and are chosen from a sorted list, in linear time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from .kmers import canonical_kmers, spectrum
+from ..sources.shipping import ship
+from .kmers import coded_kmers, windows_of
+
+#: Places in a row of bits.
+ROW = 1 << 19
+
+
+def greedy(places: np.ndarray, gap: int) -> list[int]:
+    """Of sorted places: the first, then always the first that is at least ``gap`` after the last taken."""
+    taken, at = [], 0
+    while at < len(places):
+        taken.append(int(places[at]))
+        at += int(np.searchsorted(places[at:], taken[-1] + gap))
+    return taken
+
+
+def with_tail(taken: list[int], places: np.ndarray, k: int) -> list[int]:
+    """Adds the last place if it lies at least k after the last taken."""
+    return [*taken, int(places[-1])] if taken and places[-1] >= taken[-1] + k else taken
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for offsets in batch.column("ends"):
+            bits = np.zeros(ROW, dtype=bool)
+            bits[offsets.values.to_numpy() % ROW] = True
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("sample_ord"), batch.column("contig_ord"), batch.column("part"), pa.array(out, pa.binary())], ["sample_ord", "contig_ord", "part", "bits"])
+
+
+def _spaced(segment_size: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chosen = []
+            for rows in batch.column("rows"):
+                taken, low, last = [], 0, -1
+                # row by row: a row's bits are places only while it is looked at
+                for row in rows.values.to_pylist():
+                    places = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8))) + row["part"] * ROW
+                    last = int(places[-1])
+                    at = int(np.searchsorted(places, low))
+                    while at < len(places):
+                        taken.append(int(places[at]))
+                        low = taken[-1] + segment_size
+                        at += int(np.searchsorted(places[at:], low))
+                chosen.append(with_tail(taken, np.array([last]), k))
+            yield pa.RecordBatch.from_arrays([batch.column("sample_ord"), batch.column("contig_ord"), pa.array(chosen, pa.list_(pa.int64()))], ["sample_ord", "contig_ord", "ends"])
+
+    return run
 
 
-def greedy(positions: Column, gap: Column | int) -> Column:
-    """Of sorted positions: the first, then always the first that is at least ``gap`` after the last taken."""
-    start = F.array().cast("array<bigint>")
-    step = gap if isinstance(gap, Column) else F.lit(gap)
-    take = lambda done, p: (F.size(done) == 0) | (p >= F.element_at(done, -1) + step)
-    return F.aggregate(positions, start, lambda done, p: F.when(take(done, p), F.array_append(done, p)).otherwise(done))
+def _chosen(candidates: DataFrame, contigs: DataFrame, k: int, segment_size: int) -> DataFrame:
+    """Distinct ``ck`` of the windows of ``contigs`` chosen among ``sample_ord, contig_ord, end``."""
+    ship(contigs.sparkSession)
+    listed = candidates.groupBy("sample_ord", "contig_ord", F.floor(F.col("end") / ROW).alias("part")).agg(F.collect_list("end").alias("ends"))
+    rows = listed.mapInArrow(_bits, "sample_ord int, contig_ord int, part long, bits binary")
+    whole = rows.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("rows"))
+    taken = whole.mapInArrow(_spaced(segment_size, k), "sample_ord int, contig_ord int, ends array<long>")
+    found = contigs.select("sample_ord", "contig_ord", F.col("seq").cast("binary").alias("whole")).join(taken, ["sample_ord", "contig_ord"])
+    cut = F.transform("ends", lambda e: F.substring(F.col("whole"), (e - k + 2).cast("int"), F.lit(k)).cast("string"))
+    return found.select(F.explode(cut).alias("kmer")).select(canonical(F.col("kmer")).alias("ck")).distinct()
 
 
-def with_tail(taken: Column, positions: Column, k: int) -> Column:
-    """Adds the last position if it lies at least k after the last taken."""
-    last = F.array_max(positions)
-    far = (F.size(taken) > 0) & (last >= F.element_at(taken, -1) + k)
-    return F.when(far, F.array_append(taken, last)).otherwise(taken)
+def select_splitters(reference: DataFrame, k: int, segment_size: int) -> DataFrame:
+    """Distinct ``ck`` of the k-mers that cut the reference: singletons, spaced by the segment size, with a tail."""
+    once = coded_kmers(reference, k).groupBy("ck").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sample_ord", "contig_ord", "end")).alias("at")).where("n = 1")
+    return _chosen(once.select("at.*"), reference, k, segment_size)
 
 
-def select_splitters(reference: DataFrame, k: int, segment_size: int, exclude: DataFrame | None = None) -> DataFrame:
-    """Distinct ``ck`` of the k-mers that cut the reference: singletons, spaced by the segment size, with a tail.
+def _greedy_cuts(gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [greedy(x.values.to_numpy(), gap) if x.is_valid else [] for x in batch.column("ends")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("sample_ord", "contig_ord", "n")], pa.array(ends, pa.list_(pa.int64()))], ["sample_ord", "contig_ord", "n", "ends"])
 
-    ``exclude``: k-mers that may not be chosen (those of an older reference, when new splitters are added).
-    """
-    found = canonical_kmers(reference, k)
-    once = found.groupBy("ck").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sample_ord", "contig_ord", "end")).alias("at")).where("n = 1")
-    if exclude is not None:
-        once = once.join(exclude.select("ck").distinct(), "ck", "left_anti")
-    candidates = once.select("ck", "at.*")
-    listed = candidates.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    chosen = listed.select("sample_ord", "contig_ord", F.explode(with_tail(greedy(F.col("ends"), segment_size), F.col("ends"), k)).alias("end"))
-    return candidates.join(chosen, ["sample_ord", "contig_ord", "end"], "left_semi").select("ck").distinct()
+    return run
 
 
 def cuts(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
     """``sample_ord, contig_ord, n, ends``: where each contig is cut; ``ends`` is empty without any splitter."""
-    hits = canonical_kmers(contigs, k).join(splitters.select("ck"), "ck", "left_semi")
+    hits = windows_of(contigs, splitters, k)
     listed = hits.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list("end")).alias("ends"))
     sizes = contigs.select("sample_ord", "contig_ord", F.char_length("seq").cast("long").alias("n"))
-    joined = sizes.join(listed, ["sample_ord", "contig_ord"], "left")
-    return joined.select("sample_ord", "contig_ord", "n", greedy(F.coalesce("ends", F.array().cast("array<bigint>")), k).alias("ends"))
+    joined = sizes.join(listed, ["sample_ord", "contig_ord"], "left").select("sample_ord", "contig_ord", "n", "ends")
+    return joined.mapInArrow(_greedy_cuts(k), "sample_ord int, contig_ord int, n long, ends array<long>")
 
 
 def segments(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
@@ -97,9 +148,6 @@ def uncut(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
 def adaptive_splitters(contigs: DataFrame, splitters: DataFrame, reference: DataFrame, k: int, segment_size: int) -> DataFrame:
     """New splitters from long contigs that no splitter cuts: k-mers single in their own contig and not in the reference."""
     long_ones = uncut(contigs, splitters, k).where(F.char_length("seq") >= segment_size)
-    found = canonical_kmers(long_ones, k)
-    own = found.groupBy("sample_ord", "contig_ord", "ck").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("end")).where("n = 1").drop("n")
-    new = own.join(spectrum(canonical_kmers(reference, k)).select("ck"), "ck", "left_anti")
-    listed = new.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    chosen = listed.select("sample_ord", "contig_ord", F.explode(with_tail(greedy(F.col("ends"), segment_size), F.col("ends"), k)).alias("end"))
-    return new.join(chosen, ["sample_ord", "contig_ord", "end"], "left_semi").select("ck").distinct()
+    own = coded_kmers(long_ones, k).groupBy("sample_ord", "contig_ord", "ck").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("end")).where("n = 1")
+    new = own.join(coded_kmers(reference, k).select("ck").distinct(), "ck", "left_anti").select("sample_ord", "contig_ord", "end")
+    return _chosen(new, long_ones, k, segment_size)

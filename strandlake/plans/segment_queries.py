@@ -76,14 +76,9 @@ def middle_candidates(spark, d):
     return grouping.middle_candidates(pairs, grouping.partners(keyed))
 
 
-def _sampled(spark, d):
-    c = contigs_of(spark, d)
-    return kmers.sampled(kmers.without_palindromes(kmers.canonical_kmers(c, K)), K, FRACTION)
-
-
 def fallback_votes(spark, d):
-    keyed, sampled = keyed_of(spark, d), _sampled(spark, d)
-    return grouping.fallback_votes(sampled, keyed.where("key1 is null"), grouping.fallback_map(sampled, keyed))
+    keyed, sampled = keyed_of(spark, d), kmers.sampled_codes(contigs_of(spark, d), K, FRACTION)
+    return grouping.fallback_votes(sampled, keyed.where("key1 is null"), grouping.fallback_map(sampled, keyed, K), K)
 
 
 def fallback_top10(spark, d):
@@ -110,9 +105,9 @@ def _sampled_part() -> str:
 _VOTES = (
     ", " + _sampled_part() + ", "
     "occ AS (SELECT c.* FROM ck c JOIN smp USING (ck) WHERE kmer <> translate(reverse(kmer), 'ACGT', 'TGCA')), "
-    'inseg AS (SELECT o.ck, k.sample_ord, k.contig_ord, k.place, k.key1, k.key2 FROM occ o JOIN kd k ON k.sample_ord = o.sample_ord AND k.contig_ord = o.contig_ord AND o."end" <= k.start + k.raw_length - 1 AND o."end" - 16 >= k.start), '
-    "fm AS (SELECT DISTINCT ck, key1, key2 FROM inseg WHERE key1 IS NOT NULL), own AS (SELECT DISTINCT sample_ord, contig_ord, place, ck FROM inseg WHERE key1 IS NULL), "
-    "votes AS (SELECT sample_ord, contig_ord, place, fm.key1, fm.key2, count(*) AS votes FROM own JOIN fm USING (ck) GROUP BY ALL) "
+    'inseg AS (SELECT o.ck, o.kmer = o.ck AS fwd, k.sample_ord, k.contig_ord, k.place, k.key1, k.key2, k.is_rev_comp FROM occ o JOIN kd k ON k.sample_ord = o.sample_ord AND k.contig_ord = o.contig_ord AND o."end" <= k.start + k.raw_length - 1 AND o."end" - 16 >= k.start), '
+    "fm AS (SELECT DISTINCT ck, key1, key2, fwd <> is_rev_comp AS dir FROM inseg WHERE key1 IS NOT NULL), own AS (SELECT DISTINCT sample_ord, contig_ord, place, ck, fwd FROM inseg WHERE key1 IS NULL), "
+    "votes AS (SELECT sample_ord, contig_ord, place, fm.key1, fm.key2, own.fwd <> fm.dir AS is_rev_comp, count(DISTINCT ck) AS votes FROM own JOIN fm USING (ck) GROUP BY ALL) "
 )
 _ARR = "sample_ord, contig_ord, place"
 
@@ -128,8 +123,8 @@ ORACLES = {
     "raw_round_robin": sql(f"SELECT {_ARR}, CAST(CASE WHEN j >= n - ceil(n / 16.0) THEN 0 ELSE j % 15 + 1 END AS INTEGER) AS raw_group FROM (SELECT {_ARR}, row_number() OVER (PARTITION BY sample_ord ORDER BY contig_ord, place) - 1 AS j, count(*) OVER (PARTITION BY sample_ord) AS n FROM kd WHERE NOT has_front AND NOT has_back)"),
     "splitter_partners": sql("SELECT ck, string_agg(o, ',' ORDER BY o) AS partners FROM (SELECT key1 AS ck, key2 AS o FROM kd WHERE key1 IS NOT NULL UNION SELECT key2, key1 FROM kd WHERE key1 IS NOT NULL) GROUP BY ck"),
     "middle_candidates": sql(", pt AS (SELECT key1 AS ck, key2 AS o FROM kd WHERE key1 IS NOT NULL UNION SELECT key2, key1 FROM kd WHERE key1 IS NOT NULL) SELECT p.front, p.back, min(a.o) AS middle FROM (SELECT DISTINCT front, back FROM kd WHERE key1 IS NOT NULL) p JOIN pt a ON a.ck = p.front JOIN pt b ON b.ck = p.back AND b.o = a.o GROUP BY p.front, p.back"),
-    "fallback_votes": sql(f"{_VOTES} SELECT {_ARR}, key1, key2, votes FROM votes"),
-    "fallback_top10": sql(f"{_VOTES} SELECT {_ARR}, key1, key2, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY {_ARR} ORDER BY votes DESC, key1 DESC, key2 DESC) AS rank, max(votes) OVER (PARTITION BY {_ARR}) AS best FROM votes) WHERE rank <= 10 AND votes * 2 >= best"),
+    "fallback_votes": sql(f"{_VOTES} SELECT {_ARR}, key1, key2, is_rev_comp, votes FROM votes"),
+    "fallback_top10": sql(f"{_VOTES} SELECT {_ARR}, key1, key2, is_rev_comp, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY {_ARR} ORDER BY votes DESC, CASE WHEN is_rev_comp THEN key2 ELSE key1 END DESC, CASE WHEN is_rev_comp THEN key1 ELSE key2 END DESC) AS rank, max(votes) OVER (PARTITION BY {_ARR}) AS best FROM votes) WHERE rank <= 10 AND votes * 2 >= best"),
     "adaptive_splitters": sql(
         f", lng AS (SELECT g.sample_ord, g.contig_ord FROM g WHERE length(seq) >= {SEGMENT_SIZE} AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.sample_ord = g.sample_ord AND h.contig_ord = g.contig_ord)),"
         ' own AS (SELECT c.sample_ord, c.contig_ord, c.ck, min(c."end") AS e FROM ck c JOIN lng USING (sample_ord, contig_ord) GROUP BY ALL HAVING count(*) = 1),'

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -6,7 +7,7 @@ from strandlake.operators.archive import Collection, clamp
 from strandlake.sources.fasta import read_fasta, read_file_list, stream_lines, write_fasta
 from strandlake.streaming import append_stream, contig_stream
 
-from .test_segmentation import K, SCHEMA, SIZE, collection
+from .test_segmentation import COMPLEMENT, K, SCHEMA, SIZE, collection, segments, splitters, windows
 
 TOY = {
     "ref": [("chr1", "AGCTAGCTAGCTAGCT"), ("chr2", "TAAAAAAAAAAATTT"), ("chr3", "TGGGGGGGGGGTTT"), ("seq", "TGTGTGTGTG")],
@@ -80,7 +81,9 @@ def test_round_trip_append_and_ranges(spark, tmp_path, adaptive):
     groups = made.table("segments").where("group_id >= 16").groupBy("group_id").count()
     assert groups.where("count > 1").count() > 5  # keyed groups are shared between samples and batches
     assert made.table("groups").groupBy("key1", "key2").count().where("count > 1").count() == 0
-    assert made.table("segments").groupBy("group_id", "in_group_id").count().where("count > 1").count() == 0
+    assert made.table("deltas").groupBy("group_id", "in_group_id").count().where("count > 1").count() == 0
+    stored = spark.read.parquet(f"{made.path}/deltas").where("group_id >= 16")
+    assert stored.groupBy("batch", "group_id", "delta").count().where("count > 1").count() == 0  # equal codes of a batch are one
     for low, high in ((0, 0), (95, 130), (350, 353), (1490, 5000)):
         got = {(r["sample_ord"], r["contig_ord"]): r["seq"] for r in made.contigs_with_sequences(low=low, high=high).collect()}
         assert got == {(r[0], r[2]): r[-1][low : high + 1] for r in rows}
@@ -164,3 +167,97 @@ def test_a_sample_over_two_batches_is_an_error(spark, tmp_path):
     df.where("contig_ord > 0").coalesce(1).write.mode("append").parquet(f"file://{folder}")
     with pytest.raises(Exception, match="must arrive within one batch"):
         append_stream(contig_stream(spark, str(folder)), path, log).awaitTermination()
+
+
+def bases(r, n):
+    return "".join(r.choice("ACGT") for _ in range(n))
+
+
+def bridge(seed, spark, tmp_path, concatenated=False):
+    """A reference of one contig and a sample in which one inner splitter is changed."""
+    r = random.Random(seed)
+    ref = bases(r, 900)
+    cuts = sorted(e for e, c in windows(ref).items() if c in splitters([ref]))
+    taken = [cuts[0]]
+    for e in cuts:
+        if e >= taken[-1] + K:
+            taken.append(e)
+    e = taken[3]
+    at = e - K // 2
+    other = ref[:at] + {"A": "C", "C": "G", "G": "T", "T": "A"}[ref[at]] + ref[at + 1 :]
+    rows = [(0, "s0", 0, "c", "c", ref), (1, "s1", 0, "c", "c", other), (2, "s2", 0, "c", "c", other.translate(COMPLEMENT)[::-1])]
+    made = Collection.create(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/c{seed}{concatenated}", K, SIZE, 15, concatenated=concatenated)
+    assert rows_of(made.get_collection()) == [(s, c, q) for s, _, c, _, _, q in rows]
+    return made, len(taken)
+
+
+def test_a_missing_splitter_in_the_middle_is_bridged(spark, tmp_path):
+    made, n = bridge(1, spark, tmp_path)
+    segments = made.table("segments")
+    assert segments.groupBy("sample_ord").count().where(f"count = {n + 1}").count() == 3  # the long segment is cut in two
+    assert made.table("groups").where("key2 is not null").count() == n - 1  # no further group is opened
+    groups = {s: [r["group_id"] for r in segments.where(f"sample_ord = {s}").orderBy("place").collect()] for s in range(3)}
+    assert groups[1][1:-1] == groups[0][1:-1] == groups[2][1:-1][::-1]
+    lengths = [r["raw_length"] for r in segments.where("sample_ord = 1").collect()]
+    assert sum(lengths) - (len(lengths) - 1) * K == 900
+    apart, _ = bridge(1, spark, tmp_path, concatenated=True)
+    assert apart.table("groups").where("key2 is not null").count() == n and apart.table("segments").where("sample_ord = 1").count() == n
+
+
+@pytest.mark.parametrize("size", [SIZE, 20_000])
+def test_fallback_finds_groups_of_segments_without_splitters(spark, tmp_path, size):
+    r = random.Random(4)
+    n = 8 * size
+    ref = bases(r, n)
+    part = ref[size * 3 + K : size * 4 - 2 * K] if size > SIZE else ref
+    known = splitters([ref]) if size == SIZE else None
+    if size == SIZE:  # an inner part of a segment holds no splitter
+        first, length = segments(ref, known)[3]
+        part = ref[first + 3 : first + length - 3]
+    rows = [(0, "s0", 0, "c", "c", ref), (1, "s1", 0, "d", "d", part), (2, "s2", 0, "d", "d", part.translate(COMPLEMENT)[::-1])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for fallback in (0.0, 0.05):
+        made = Collection.create(df, f"file://{tmp_path}/f{size}{fallback}", K, size, 15, fallback=fallback)
+        assert rows_of(made.get_collection()) == [(s, c, q) for s, _, c, _, _, q in rows]
+        found = {r["sample_ord"]: r for r in made.table("segments").where("sample_ord > 0").collect()}
+        if size == SIZE:
+            assert {x["group_id"] >= 16 for x in found.values()} == {fallback > 0}
+            if fallback:
+                assert found[1]["group_id"] == found[2]["group_id"] and found[1]["is_rev_comp"] != found[2]["is_rev_comp"]
+                again = made.append(spark.createDataFrame([(0, "s3", 0, "d", "d", part)], SCHEMA))
+                more = again.table("segments").where("sample_ord = 3").first()
+                # equal codes share an id inside a batch
+                assert more["group_id"] == found[1]["group_id"] and found[1]["in_group_id"] == found[2]["in_group_id"]
+                assert again.contig_sequence("s3", "d") == part
+
+
+def test_equal_members_are_stored_once(spark, tmp_path):
+    r = random.Random(6)
+    ref = bases(r, 700)
+    other = ref[:350] + ("A" if ref[350] != "A" else "C") + ref[351:]
+    rows = [(i, f"s{i}", 0, "c", "c", ref if i in (0, 3) else other) for i in range(6)]
+    made = Collection.create(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/c", K, SIZE, 15)
+    same = made.table("segments").where("group_id >= 16")
+    assert same.where("sample_ord = 3 and in_group_id <> 0").count() == 0
+    assert made.table("deltas").where("group_id >= 16").count() <= 2
+    assert rows_of(made.get_collection()) == [(s, c, q) for s, _, c, _, _, q in rows]
+    streams = {x["stream"]: x for x in made.stream_sizes().collect()}
+    assert all(x[0] == "x" and x[-1] in "rd" for x in streams) and sum(x["size"] for n, x in streams.items() if n.endswith("r")) == made.sizes().first()["ref_size"]
+    keys = [(x["key1"], x["key2"] or "") for x in made.key_map().collect()]
+    assert keys == sorted(keys)
+
+
+def test_splitters_of_a_failed_batch_do_not_count(spark, tmp_path):
+    df = spark.createDataFrame(collection(15, 3), SCHEMA)
+    made = Collection.create(df.where("sample_ord < 2"), f"file://{tmp_path}/c", K, SIZE, 15)
+    wanted = made.append(df.where("sample_ord = 2")).table("segments").where("sample_ord = 2").count()
+    again = Collection.create(df.where("sample_ord < 2"), f"file://{tmp_path}/d", K, SIZE, 15)
+    windows = spark.createDataFrame([(r[-1][i : i + K],) for r in collection(15, 3) if r[0] == 2 and len(r[-1]) > 500 for i in range(0, 400, 20)], "ck string")
+    windows.write.parquet(f"{again.path}/splitters/batch=2")  # a batch that was never committed
+    assert again.append(df.where("sample_ord = 2")).table("segments").where("sample_ord = 2").count() == wanted
+
+
+def test_a_sample_of_two_numbers_is_refused(spark, tmp_path):
+    rows = [(0, "s", 0, "c", "c", "ACGT"), (1, "s", 0, "d", "d", "ACGT")]
+    with pytest.raises(ValueError, match="twice"):
+        Collection.create(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/c")

@@ -123,8 +123,8 @@ def test_partners_and_middle(spark):
 
 
 def test_fallback_candidates(spark):
-    rows = [(0, 0, 0, f"k{i:02d}", "z", v) for i, v in enumerate([9, 8, 8, 7, 6, 5, 5, 5, 5, 5, 5, 5, 4, 1])]
-    votes = spark.createDataFrame(rows, "sample_ord int, contig_ord int, place int, key1 string, key2 string, votes long")
+    rows = [(0, 0, 0, f"k{i:02d}", "z", False, v) for i, v in enumerate([9, 8, 8, 7, 6, 5, 5, 5, 5, 5, 5, 5, 4, 1])]
+    votes = spark.createDataFrame(rows, "sample_ord int, contig_ord int, place int, key1 string, key2 string, is_rev_comp boolean, votes long")
     got = grouping.best_candidates(votes, least=2).orderBy("rank").collect()
     assert [r["votes"] for r in got] == [9, 8, 8, 7, 6, 5, 5, 5, 5, 5]
     assert got[1]["key1"] == "k02" and F is not None
