@@ -43,7 +43,7 @@ SHINGLE, BANDS, ROWS = 5, 15, 4
 #: Centres per bucket in the rounds before the last.
 CENTRES = (1,)
 NULL_ID = -(1 << 63)
-_PART_BYTES, _BLOCK_DOCS, _BLOCK_BYTES, _BUCKET_BYTES = 1 << 20, 1 << 13, 1 << 22, 1 << 24
+_PART_BYTES, _BLOCK_DOCS, _BLOCK_BYTES, _BUCKET_BYTES = 1 << 20, 1 << 13, 1 << 22, 1 << 23
 
 
 def _tables():
