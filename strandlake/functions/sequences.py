@@ -114,7 +114,9 @@ def is_sampled(mixed: Column, fraction: float) -> Column:
 
 
 def wrap(s: Column, width: int = 80) -> Column:
-    """Lines of a fixed width, each with its line end; an empty sequence has none."""
+    """Lines of a fixed width, each with its line end; an empty sequence has none. A width of 0: one line."""
+    if width <= 0:
+        return F.when(s != "", F.concat(s, F.lit("\n"))).otherwise(s)
     return F.regexp_replace(s, f"(.{{1,{int(width)}}})", "$1\n")
 
 

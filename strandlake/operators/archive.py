@@ -42,7 +42,7 @@ from . import catalog, grouping, kmers, segmentation
 from .codec import Coder, decode_rows, encode_rows
 
 TABLES = ("samples", "contigs", "segments", "groups", "deltas", "splitters")
-SAVING = 16
+SAVING, LAYOUT = 16, 2
 CONTIGS = ("sample_ord", "sample", "contig_ord", "contig", "contig_full", "seq")
 # Fixed values: (default, least, most) of every parameter; values outside are moved to the nearest bound.
 PARAMETERS = {"k": (31, 17, 32), "min_match": (20, 15, 32), "segment_size": (60_000, 100, 1_000_000), "pack_cardinality": (50, 1, 1_000_000_000), "fallback": (0.0, 0.0, 0.05)}
@@ -307,6 +307,10 @@ class Collection:
         log = self.spark.read.parquet(f"{self.path}/commands").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "at", "command"))), "\n").alias("commands"))
         return counts.crossJoin(samples).crossJoin(log).crossJoin(self.spark.read.parquet(f"{self.path}/params"))  # single rows
 
+    def file_info(self) -> dict[str, str]:
+        """What made the collection, and in which version of its layout."""
+        return {"producer": "strandlake", "layout": str(LAYOUT), "format": "parquet", "batches": str(len(self.batches))}
+
     def sizes(self) -> DataFrame:
         """One row: letters in references, in codes and in raw groups, and numbers of groups by kind."""
         raw = F.col("group_id") < grouping.RAW_GROUPS

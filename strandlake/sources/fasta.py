@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fasta_record, normalise_symbols, sample_name, short_name
+from .shipping import ship
 
-RECORDS = T.StructType([T.StructField(n, t) for n, t in (("sample", T.StringType()), ("file", T.StringType()), ("contig_ord", T.IntegerType()), ("contig", T.StringType()), ("contig_full", T.StringType()), ("seq", T.StringType()))])
+_GZIP = b"\x1f\x8b"
+# Names that Hadoop has for the levels of gzip.
+LEVELS = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
 
 
 def records_of(text_rows: DataFrame, value: str = "value") -> DataFrame:
@@ -19,21 +25,111 @@ def records_of(text_rows: DataFrame, value: str = "value") -> DataFrame:
     return text_rows.select("*", header.alias("header"), body.alias("body")).where((F.col("header") != "") & (F.trim(raw) != ""))
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str], concatenated: bool = False) -> DataFrame:
-    """Contigs of FASTA files, plain or ``.gz``: ``sample, file, contig_ord, contig, contig_full, seq``.
-
-    Files are split at record starts by the text reader, so a large file is read by many tasks. ``concatenated``: every
-    contig is a sample of its own, named by its short name.
+def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, str]]:
+    """(ordinal of the path, path, uri of a file) of every file under the paths, repeated paths once; a missing one is an
+    error. One entry per input file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for i, given in enumerate(dict.fromkeys(paths)):
+        path = jvm.org.apache.hadoop.fs.Path(given)
+        fs = path.getFileSystem(conf)
+        found = fs.globStatus(path)
+        if not found:
+            raise FileNotFoundError(given)
+        for status in found:
+            inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            out += [(i, given, x.getPath().toUri().toString()) for x in inside if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return out
+
+
+def _is_gzip(spark: SparkSession, uri: str) -> bool:
+    """By a file's first two bytes."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        return (stream.read(), stream.read()) == tuple(_GZIP)
+    finally:
+        stream.close()
+
+
+def strict_records(data: bytes) -> list[bytes]:
+    """Records where any ``>`` begins the next one and an empty header or body ends the file, as established readers that
+    scan byte by byte have it."""
+    out, at = [], 0
+    while at < len(data):
+        ends = [x for x in (data.find(b"\n", at), data.find(b"\r", at)) if x >= 0]
+        head_end = min(ends, default=len(data))
+        body_end = data.find(b">", head_end)
+        body_end = len(data) if body_end < 0 else body_end
+        if head_end - at <= 1 or body_end == head_end:
+            break
+        out.append(data[at + 1 : body_end])
+        at = body_end
+    return out
+
+
+def _whole(strict: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                data = gzip.decompress(content) if content[:2] == _GZIP else content
+                records = strict_records(data) if strict else data.split(b"\n>")
+                text = [r.decode("utf-8", "replace") for r in records]
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(text), pa.string()), pa.array(range(len(text)), pa.int64()), pa.array(text, pa.string())], ["file", "at", "value"])
+
+    return run
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str], concatenated: bool = False, strict: bool = False) -> DataFrame:
+    """Contigs of FASTA files: ``file_ord, sample, file, contig_ord, contig, contig_full, seq``; ``file_ord`` is the place of
+    the path among those given, so files of one name in different folders stay apart.
+
+    Files are split at record starts by the text reader, so a large file is read by many tasks. Whether a file is gzip is
+    found from its first bytes; one whose name says otherwise is read whole by one task, as are all files with ``strict``
+    (see :func:`strict_records`). ``concatenated``: every contig is a sample of its own, named by its short name.
     """
-    given = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
-    rows = spark.read.option("lineSep", "\n>").text(given)
-    found = records_of(rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")))
-    sample = short_name(F.col("header")) if concatenated else sample_name(F.col("file"))
-    named = found.select(sample.alias("sample"), "file", "block", "at", short_name(F.col("header")).alias("contig"), F.col("header").alias("contig_full"), normalise_symbols(F.col("body")).alias("seq"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("file").orderBy("block", "at")
-    return named.select("sample", "file", (F.row_number().over(order) - 1).cast("int").alias("contig_ord"), "contig", "contig_full", "seq")
+    found = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    odd = {uri for _, _, uri in found if strict or _is_gzip(spark, uri) != uri.endswith(".gz")}
+    plain = [uri for _, _, uri in found if uri not in odd]
+    parts = []
+    if plain:
+        rows = spark.read.option("lineSep", "\n>").text([_path(u) for u in plain])
+        at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        parts.append(rows.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value"))
+    if odd:
+        ship(spark)
+        whole = spark.read.format("binaryFile").load([_path(u) for u in sorted(odd)]).select(F.col("_metadata.file_path").alias("path"), "content")
+        rows = whole.mapInArrow(_whole(strict), "file string, at long, value string")
+        parts.append(rows.select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("at").alias("row")).alias("at"), "value"))
+    if not parts:
+        parts = [spark.createDataFrame([], "file string, at struct<block:bigint,row:bigint>, value string")]
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if strict:  # a record is as it is: no ``>`` at its start to take off
+        every = every.withColumn("value", F.concat(F.lit(">"), "value"))
+    # one row per input file
+    named = spark.createDataFrame([(i, given, _plain(uri)) for i, given, uri in found], "file_ord int, given string, f2 string")
+    records = records_of(every.withColumn("file", _same_form(F.col("file"))))
+    joined = records.join(F.broadcast(named), F.col("file") == F.col("f2"))
+    sample = short_name(F.col("header")) if concatenated else sample_name(F.col("given"))
+    rows = joined.select("file_ord", sample.alias("sample"), "file", "at", short_name(F.col("header")).alias("contig"), F.col("header").alias("contig_full"), normalise_symbols(F.col("body")).alias("seq"))
+    order = Window.partitionBy("file_ord").orderBy("file", "at")
+    return rows.select("file_ord", "sample", "file", (F.row_number().over(order) - 1).cast("int").alias("contig_ord"), "contig", "contig_full", "seq")
+
+
+def _path(uri: str) -> str:
+    from urllib.parse import unquote
+
+    return unquote(uri)
+
+
+def _plain(uri: str) -> str:
+    """A uri without the empty authority that some of Spark's names have, decoded."""
+    return _path(uri).replace("file:///", "file:/")
+
+
+def _same_form(c):
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
 
 
 def read_file_list(spark: SparkSession, path: str) -> list[str]:
@@ -42,21 +138,60 @@ def read_file_list(spark: SparkSession, path: str) -> list[str]:
     return list(dict.fromkeys(r["w"] for r in words.collect()))  # a command line's worth of names
 
 
-def write_fasta(contigs: DataFrame, path: str, width: int = 80, gzip: bool = False, by_sample: bool = False) -> None:
-    """Contigs as FASTA text. One folder, or one folder per sample; order inside files is that of the collection."""
+def _text(contigs: DataFrame, width: int):
+    return F.regexp_replace(fasta_record(F.col("contig_full"), F.col("seq"), width), "\n$", "").alias("value")
+
+
+def _writer(rows: DataFrame, gzip_level: int):
+    writer = rows.write.mode("overwrite")
+    return writer.option("compression", "gzip").option("zlib.compress.level", LEVELS[min(9, gzip_level)]) if gzip_level > 0 else writer
+
+
+def _part_files(spark: SparkSession, path: str):
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, [x.getPath() for x in fs.listStatus(fs_path) if x.getPath().getName().startswith("part-")]
+
+
+def write_fasta(contigs: DataFrame, path: str, width: int = 80, gzip_level: int = 0) -> None:
+    """Contigs as FASTA text in one folder; order inside files and from file to file is that of the collection. A width of
+    0 leaves sequences on one line."""
     rows = contigs.repartitionByRange("sample_ord", "contig_ord").sortWithinPartitions("sample_ord", "contig_ord")
-    text = fasta_record(F.col("contig_full"), F.col("seq"), width)
-    out = rows.select(*(["sample"] if by_sample else []), F.regexp_replace(text, "\n$", "").alias("value"))
-    writer = out.write.mode("overwrite")
-    if gzip:
-        writer = writer.option("compression", "gzip")
-    if by_sample:
-        writer = writer.partitionBy("sample")
-    writer.text(path)
-
-
-def stream_lines(contigs: DataFrame, width: int = 80):
-    """Records one at a time in collection order, one partition in memory: for standard output."""
-    text = fasta_record(F.col("contig_full"), F.col("seq"), width)
-    for row in contigs.orderBy("sample_ord", "contig_ord").select(text.alias("value")).toLocalIterator(prefetchPartitions=True):
+    _writer(rows.select(_text(contigs, width)), gzip_level).text(path)
+
+
+def write_samples(contigs: DataFrame, path: str, width: int = 80, gzip_level: int = 0) -> None:
+    """One file per sample, ``<sample>.fa`` or ``<sample>.fa.gz``: a task writes whole samples, contig after contig, and
+    the finished files are renamed. Samples are numbered while they are written, so any name does."""
+    spark = contigs.sparkSession
+    rows = contigs.repartitionByRange("sample_ord").sortWithinPartitions("sample_ord", "contig_ord")
+    staged = f"{path.rstrip('/')}/_staging"
+    _writer(rows.select("sample_ord", _text(contigs, width)), gzip_level).partitionBy("sample_ord").text(staged)
+    jvm = spark.sparkContext._jvm
+    for ordinal, sample in contigs.select("sample_ord", "sample").distinct().collect():  # one row per file
+        fs, parts = _part_files(spark, f"{staged}/sample_ord={ordinal}")
+        target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sample}.fa{'.gz' if gzip_level > 0 else ''}")
+        fs.delete(target, False)
+        fs.rename(parts[0], target)
+    fs, _ = _part_files(spark, staged)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
+def write_file(rows: DataFrame, order: list[str], path: str, gzip_level: int = 0) -> None:
+    """``value`` texts of ``rows`` as one file, in order: sorted by many tasks, written by one, renamed at the end."""
+    spark = rows.sparkSession
+    staged = f"{path}._staging"
+    ordered = rows.orderBy(*order).select(F.regexp_replace("value", "\n$", "").alias("value"))
+    _writer(ordered.coalesce(1), gzip_level).text(staged)
+    jvm = spark.sparkContext._jvm
+    fs, parts = _part_files(spark, staged)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), False)
+    fs.rename(parts[0], jvm.org.apache.hadoop.fs.Path(path))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+
+
+def stream_lines(contigs: DataFrame, width: int = 80, order: tuple[str, ...] = ("sample_ord", "contig_ord"), header: str = "contig_full") -> Iterator[str]:
+    """Records one at a time in order, one partition in memory: for standard output."""
+    text = fasta_record(F.col(header), F.col("seq"), width)
+    for row in contigs.orderBy(*order).select(text.alias("value")).toLocalIterator(prefetchPartitions=True):
         yield row["value"]

@@ -1,5 +1,5 @@
-"""Incremental ingestion with Structured Streaming, and streamed output."""
+"""Incremental ingestion with Structured Streaming."""
 
-from .ingest import append_stream, contig_stream, stream_contigs
+from .ingest import append_stream, contig_stream
 
-__all__ = ["append_stream", "contig_stream", "stream_contigs"]
+__all__ = ["append_stream", "contig_stream"]

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import wrap
 from ..operators.archive import Collection
 
 SCHEMA = "sample string, contig_ord int, contig string, contig_full string, seq string"
@@ -49,10 +46,3 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, available_now:
 
     writer = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
-
-
-def stream_contigs(contigs: DataFrame, width: int = 80) -> Iterator[str]:
-    """FASTA records in collection order, holding one partition at a time."""
-    rows = contigs.orderBy("sample_ord", "contig_ord").select(F.concat(F.lit(">"), "contig_full", F.lit("\n"), wrap(F.col("seq"), width)).alias("r"))
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        yield row["r"]

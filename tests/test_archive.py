@@ -2,9 +2,11 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators.archive import Collection, clamp
-from strandlake.sources.fasta import read_fasta, read_file_list, stream_lines, write_fasta
+from strandlake.functions import fasta_record
+from strandlake.sources.fasta import read_fasta, read_file_list, stream_lines, write_fasta, write_file, write_samples
 from strandlake.streaming import append_stream, contig_stream
 
 from .test_segmentation import COMPLEMENT, K, SCHEMA, SIZE, collection, segments, splitters, windows
@@ -137,10 +139,37 @@ def test_writing_fasta(toy, spark, tmp_path):
     assert lines.startswith(">chr1\nAGCTAGCTAG\nCTAGCT\n>chr2\n")
     write_fasta(contigs, f"file://{tmp_path}/all", 10)
     assert sorted("".join(p.read_text() for p in sorted((tmp_path / "all").glob("part*"))).splitlines()) == sorted(lines.splitlines())
-    write_fasta(contigs, f"file://{tmp_path}/by", 10, gzip=True, by_sample=True)
-    assert sorted(p.name for p in (tmp_path / "by").glob("sample=*")) == [f"sample={s}" for s in ("a", "b", "c", "ref")]
-    back = read_fasta(spark, f"{tmp_path}/by/sample=b")
-    assert {(r["contig_full"], r["seq"]) for r in back.collect()} == set(TOY["b"])
+    write_samples(contigs, f"file://{tmp_path}/by", 10, gzip_level=9)
+    assert sorted(p.name for p in (tmp_path / "by").iterdir() if p.suffix == ".gz") == [f"{s}.fa.gz" for s in ("a", "b", "c", "ref")]
+    assert not (tmp_path / "by/_staging").exists()
+    back = read_fasta(spark, f"{tmp_path}/by/b.fa.gz")
+    assert [(r["sample"], r["contig_full"], r["seq"]) for r in back.orderBy("contig_ord").collect()] == [("b", *x) for x in TOY["b"]]
+    rows = contigs.select("sample_ord", "contig_ord", fasta_record(F.col("contig_full"), F.col("seq"), 0).alias("value"))
+    write_file(rows, ["sample_ord", "contig_ord"], f"file://{tmp_path}/one.fa")
+    assert (tmp_path / "one.fa").read_text() == "".join(f">{n}\n{q}\n" for x in TOY.values() for n, q in x)
+
+
+def test_files_by_content_and_strict_reading(spark, tmp_path):
+    (tmp_path / "x.fa").write_bytes(gzip.compress(b">c1 first\nACGT\n>c2\nGG\n"))
+    (tmp_path / "y.fa.gz").write_bytes(b">d\nTTTT\n")
+    got = sorted((r["file_ord"], r["sample"], r["contig_ord"], r["contig_full"], r["seq"]) for r in read_fasta(spark, [str(tmp_path / "x.fa"), str(tmp_path / "y.fa.gz")]).collect())
+    assert got == [(0, "x", 0, "c1 first", "ACGT"), (0, "x", 1, "c2", "GG"), (1, "y", 0, "d", "TTTT")]
+    (tmp_path / "z.fa").write_text(">a\nAC>GT\nAA\n>b\nCC\n>\nTT\n>c\nGG\n")
+    strict = [(r["contig_full"], r["seq"]) for r in read_fasta(spark, str(tmp_path / "z.fa"), strict=True).orderBy("contig_ord").collect()]
+    assert strict == [("a", "AC"), ("GT", "AA"), ("b", "CC")]
+    loose = [(r["contig_full"], r["seq"]) for r in read_fasta(spark, str(tmp_path / "z.fa")).orderBy("contig_ord").collect()]
+    assert loose[0] == ("a", "ACGTAA") and loose[-1] == ("c", "GG")
+    with pytest.raises(FileNotFoundError):
+        read_fasta(spark, str(tmp_path / "none.fa"))
+
+
+def test_prefetched_collections_and_streamed_segments(toy, spark):
+    with Collection(spark, toy.path, prefetch=True) as c:
+        assert rows_of(c.get_collection()) == rows_of(toy.get_collection())
+        assert c.table("groups").storageLevel.useMemory
+    whole = toy.contigs().select(F.struct("sample_ord", "contig_ord").alias("place"), F.col("contig_full").alias("header"), "sample_ord", "contig_ord", F.lit(0).cast("long").alias("low"), F.lit(1 << 40).cast("long").alias("high"))
+    for width in (7, 0):
+        assert "".join(toy.stream_records(whole, width)) == "".join(stream_lines(toy.contigs_with_sequences(), width))
 
 
 def test_streamed_ingestion(spark, tmp_path):
