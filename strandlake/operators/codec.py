@@ -156,8 +156,9 @@ class Coder:
     def _to_ends(self, text: str, m: Match) -> bool:
         return m.at + m.size == len(text) and m.place + m.size == len(self.reference)
 
-    def encode(self, text: str) -> str:
-        if text == self.reference:
+    def encode(self, text: str, first_form: bool = False) -> str:
+        """``first_form``: the format's older form, without ``!``, open ends and empty codes; it is read in the same way."""
+        if text == self.reference and not first_form:
             return ""
         out: list[str] = []
         size, pending = 0, ""
@@ -169,9 +170,9 @@ class Coder:
                 token = f"{RUN_START}{step - MIN_RUN}{RUN_END}"
             else:
                 pending = pending[: len(pending) - step.back]
-                if step.place == step.predicted:
+                if step.place == step.predicted and not first_form:
                     pending = self._same(pending, step.place, size)
-                token = f"{step.place - step.predicted}." if self._to_ends(text, step) else f"{step.place - step.predicted},{step.size - self.min_match}."
+                token = f"{step.place - step.predicted}." if self._to_ends(text, step) and not first_form else f"{step.place - step.predicted},{step.size - self.min_match}."
             out += (pending, token)
             size, pending = size + len(pending) + len(token), ""
         return "".join(out) + pending or f"{RUN_START}{-MIN_RUN}{RUN_END}"
@@ -268,7 +269,7 @@ def _each(kind: str, min_match: int):
                 else:
                     if ref != last:
                         last, coder = ref, Coder(ref, min_match)
-                    done.append(coder.encode(body))
+                    done.append(coder.encode(body, kind == "first form"))
             keep = [n for n in batch.schema.names if n not in ("ref_seq", "body")]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(done, pa.string())], [*keep, "body"])
 
@@ -283,9 +284,9 @@ def _applied(df: DataFrame, kind: str, min_match: int) -> DataFrame:
     return df.mapInArrow(_each(kind, min_match), f"{schema}, body string")
 
 
-def encode_rows(df: DataFrame, min_match: int) -> DataFrame:
+def encode_rows(df: DataFrame, min_match: int, first_form: bool = False) -> DataFrame:
     """Rows with ``ref_seq`` and ``body`` (letters): ``body`` becomes its code; null references leave it as it is."""
-    return _applied(df, "encode", min_match)
+    return _applied(df, "first form" if first_form else "encode", min_match)
 
 
 def decode_rows(df: DataFrame, min_match: int) -> DataFrame:

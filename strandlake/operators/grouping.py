@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packing import near_in_group
 from ..sources.shipping import ship
 
 RAW_GROUPS = 16
@@ -149,6 +150,32 @@ def best_split(costs: DataFrame, k: int) -> DataFrame:
     return costs.select("id", "cost1", "cost2").mapInArrow(run, f"id {costs.schema['id'].dataType.simpleString()}, cost long, split long")
 
 
+def shared_ids(members: DataFrame) -> DataFrame:
+    """``ARRIVAL, key1, key2, in_group_id`` of members with their letters ``body``: 0 for those equal to the first arrival,
+    and one number for all equal others, in the order of their first arrivals."""
+    keyed = members.select(*ARRIVAL, "key1", "key2", "body", F.concat_ws("-", "key1", "key2").alias("g"))
+    head = keyed.groupBy("g").agg(F.min(F.struct(*ARRIVAL, "body")).alias("h")).select("g", F.col("h.body").alias("first"))
+    others = keyed.join(head, "g").where("body <> first").groupBy("g", "body").agg(F.min(F.struct(*ARRIVAL)).alias("f")).select("g", "body", "f.*")
+    ids = numbered_within(others, "g", list(ARRIVAL), "n").select("g", "body", (F.col("n") + 1).alias("n"))
+    return keyed.join(ids, ["g", "body"], "left").select(*ARRIVAL, "key1", "key2", F.coalesce("n", F.lit(0)).cast("long").alias("in_group_id"))
+
+
+def candidate_order(one_sided: DataFrame, references: DataFrame) -> DataFrame:
+    """Groups that a segment with one terminal k-mer may join, nearest in length first: ``ARRIVAL, key1, key2, rank``. Of
+    equally near ones the shorter goes first, then the smaller key. ``references``: ``key1, key2, ref_length``."""
+    ends = references.select("*", F.explode(F.array_distinct(F.array("key1", "key2"))).alias("own"))
+    asked = one_sided.select(*ARRIVAL, "raw_length", F.coalesce("front", "back").alias("own"))
+    order = Window.partitionBy(*ARRIVAL).orderBy(F.abs(F.col("raw_length") - F.col("ref_length")), "ref_length", "key1", "key2")
+    return asked.join(ends, "own").select(*ARRIVAL, "key1", "key2", F.row_number().over(order).cast("long").alias("rank"))
+
+
+def near_ids(placed: DataFrame, group: tuple[str, ...] = ("key1", "key2")) -> DataFrame:
+    """Adds ``code``: each in-group id relative to the largest id that its group has shown before."""
+    before = Window.partitionBy(*group).orderBy(*ARRIVAL).rowsBetween(Window.unboundedPreceding, -1)
+    largest = F.max(F.when(F.col("in_group_id") > 0, F.col("in_group_id"))).over(before)
+    return placed.withColumn("code", near_in_group(F.col("in_group_id"), largest))
+
+
 def for_range(found: DataFrame, low: int, high: int) -> DataFrame:
     """Segments that hold any of the positions ``low`` to ``high`` of their contig; the filter reaches the scan."""
     return found.where((F.col("start") <= high) & (F.col("start") + F.col("raw_length") > low))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_sampled, kmer_value, reverse_complement, with_fmix64
@@ -56,6 +56,18 @@ def duplicates(found: DataFrame) -> DataFrame:
     return spectrum(found).where("n > 1").select("ck")
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """``ck, rank``: distinct k-mers and their places in ascending order, from 0. Ranges are sorted by many tasks and
+    numbered inside; one row per range passes the window of offsets."""
+    ordered = found.select("ck").distinct().repartitionByRange("ck").sortWithinPartitions("ck")
+    placed = ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
+    firsts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("ck").alias("least"))
+    before = Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+    bases = firsts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(bases, "part").select("ck", (F.col("base") + inside).alias("rank"))
+
+
 def minus(found: DataFrame, reference: DataFrame) -> DataFrame:
     """Distinct k-mers that the reference does not have."""
     return found.select("ck").distinct().join(reference.select("ck").distinct(), "ck", "left_anti")

@@ -16,7 +16,11 @@ from .views import genome
 
 def _folder(spark) -> str:
     """A new folder for a collection: in the shared folder if the session names one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
     return f"{top.rstrip('/')}/collection-{uuid.uuid4().hex}"
 
 
@@ -24,7 +28,7 @@ def _created(spark, d):
     return Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
 
 
-def _with_references(spark, d):
+def with_references(spark, d):
     """Keyed segments in their group's direction as ``body``, with the first arrival's letters as ``ref_seq``."""
     from ..functions import reverse_complement
 
@@ -36,19 +40,19 @@ def _with_references(spark, d):
 
 def lz_roundtrip(spark, d):
     """Segments coded against their group's reference and decoded again."""
-    rows = _with_references(spark, d)
+    rows = with_references(spark, d)
     coded = codec.encode_rows(rows.withColumn("ref2", F.col("ref_seq")), MIN_MATCH).withColumnRenamed("ref2", "ref_seq")
     return codec.decode_rows(coded, MIN_MATCH).select(*grouping.ARRIVAL, F.col("body").alias("seq"))
 
 
 def lz_token_stats(spark, d):
-    coded = codec.encode_rows(_with_references(spark, d), MIN_MATCH)
+    coded = codec.encode_rows(with_references(spark, d), MIN_MATCH)
     return codec.token_statistics(coded.select(*grouping.ARRIVAL, "body"))
 
 
 def best_group_one_splitter(spark, d):
     keyed = keyed_of(spark, d)
-    refs = _with_references(spark, d).groupBy("key1", "key2").agg(F.min("sample_ord").alias("first_sample"), F.first("ref_seq").alias("ref_seq"))
+    refs = with_references(spark, d).groupBy("key1", "key2").agg(F.min("sample_ord").alias("first_sample"), F.first("ref_seq").alias("ref_seq"))
     return cheapest_groups(keyed.where("(front is null) <> (back is null)"), refs, MIN_MATCH)
 
 
@@ -115,7 +119,7 @@ ORACLES = {
     "adaptive_roundtrip": _COLLECTION,
     "archive_range": genome("SELECT sample, contig, substr(seq, 101, 121) AS seq FROM g"),
     "archive_lengths": genome("SELECT sample, contig, length(seq) AS length FROM g"),
-    "archive_info": genome(f"SELECT count(*) AS n_contigs, CAST(sum(length(seq)) AS BIGINT) AS n_letters, count(DISTINCT sample) AS n_samples, max(CASE WHEN sample_ord = 0 THEN sample END) AS reference, CAST({K} AS INTEGER) AS k, CAST({MIN_MATCH} AS INTEGER) AS min_match, CAST({SEGMENT_SIZE} AS INTEGER) AS segment_size, CAST(50 AS INTEGER) AS pack_cardinality FROM g"),
+    "archive_info": genome(f"SELECT count(*) AS n_contigs, CAST(sum(length(seq)) AS BIGINT) AS n_letters, count(DISTINCT sample) AS n_samples, max(CASE WHEN sample_ord = 0 THEN sample END) AS reference, CAST({K} AS INTEGER) AS k, CAST({MIN_MATCH} AS INTEGER) AS min_match, CAST({SEGMENT_SIZE} AS INTEGER) AS segment_size, CAST(50 AS INTEGER) AS pack_cardinality, CAST(0 AS DOUBLE) AS fallback, false AS concatenated FROM g"),
     "coding_cost_prefix": genome(f", {_LETTERS} SELECT id, pos AS at_, CAST(sum(c1) OVER (PARTITION BY id ORDER BY pos) AS BIGINT) AS upto FROM l"),
     "best_split": genome(f", {_LETTERS}, b AS (SELECT id, pos, n, sum(c1) OVER (PARTITION BY id ORDER BY pos) + sum(c2) OVER (PARTITION BY id ORDER BY pos DESC) AS s FROM l), m AS (SELECT id, any_value(n) AS n, CAST(min(s) AS BIGINT) AS cost, arg_min(pos, (s, pos)) AS pos FROM b GROUP BY id) SELECT id, cost, CASE WHEN pos < {K + 1} THEN 0 WHEN pos + {K + 1} > n THEN n ELSE pos END AS split FROM m"),
 }

@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandlake import functions as fn
+from strandlake.functions import packing
 
 COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
@@ -92,3 +95,28 @@ def test_small_functions(spark):
     assert [one(spark, fn.zigzag(F.lit(x))) for x in (0, -1, 1, -2, 2)] == [0, 1, 2, 3, 4]
     assert [one(spark, fn.dna_code(F.lit(x))) for x in "ACGTNR"] == [0, 1, 2, 3, 4, 4]
     assert one(spark, fn.short_name(F.lit("chr1\tx y"))) == "chr1"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1 _é", max_size=40), st.text(alphabet="ab1 _é", max_size=40))
+def test_names_as_steps(before, name):
+    step = packing.name_step(before, name)
+    assert packing.name_after(before, step) == name and packing.name_after(None, packing.name_step(None, name)) == name
+    assert all(-128 <= x < 256 for x in step)
+
+
+def test_steps_of_names():
+    assert packing.name_step("chr1 of s1", "chr2 of s1") == [-3, ord("2"), 32, -127, 32, -127]
+    assert packing.name_step("x" * 250, "x" * 249 + "y") == [-100, -100, -49, ord("y")]
+    assert packing.name_step("chr9", "chr10") == list(b"chr10")
+
+
+def test_numbers_of_every_size(spark):
+    edges = sorted({max(0, x + e) for x in (0, 128, 16512, 2113664, 270549120, 1 << 8, 1 << 16, 1 << 24, (1 << 32) - 2) for e in (-1, 0, 1)})
+    df = spark.createDataFrame([(x,) for x in edges], "n long")
+    rows = df.select("n", packing.from_prefix_varint(packing.prefix_varint(F.col("n"))), packing.from_sized_varint(packing.sized_varint(F.col("n"))), F.size(packing.prefix_varint(F.col("n")))).collect()
+    for n, a, b, size in rows:
+        assert a == b == n and size == 1 + sum(n >= x for x in packing.PREFIX_STARTS[1:])
+    for expected in (0, 1, 7, 1000):
+        e = F.lit(expected).cast("long")
+        assert all(r[0] == r[1] for r in df.select("n", packing.zigzag_near_decode(packing.zigzag_near(F.col("n"), e), e)).collect())
