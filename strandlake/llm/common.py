@@ -5,12 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
-__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "materialize", "new_path", "packed", "remove", "shared_dir", "ship", "unpacked", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "materialize", "new_path", "packed", "remove", "running", "shared_dir", "ship", "unpacked", "words_of"]
 
 #: Java pattern of the white space that ends a word, and the same characters as bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -62,13 +62,30 @@ def join_counted(large: DataFrame, small: DataFrame, keys: list[str], total: int
     so that no task gets all rows of one. Other keys are shuffled.
     """
     least = max(HOT_ROWS, -(-total // MOST_HOT))
-    hot = small.where(F.col(count) > least)
-    if small.where(F.col(count) > least).isEmpty():
+    hot, cold = small.where(F.col(count) > least), small.where(F.col(count) <= least)
+    if hot.isEmpty():
         return large.join(small, keys)
-    rest = large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count) <= least), keys)
+    if cold.isEmpty():
+        return large.join(F.broadcast(hot), keys)
+    rest = large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return large.join(F.broadcast(hot), keys).unionByName(rest)
 
 
+def running(rows: DataFrame, order: list[Column], sums: list[str], label: str) -> DataFrame:
+    """``rows`` in a total order with ``rank`` (from 0) and, for each column of ``sums``, its sum over the rows before as
+    ``before_NAME``. Ranges of rows are sorted and summed by many tasks; one row per range passes a window of its own."""
+    placed = materialize(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), label)
+    inside = Window.partitionBy("range").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    ranges = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    bases = ranges.select("range", F.coalesce(F.sum("n").over(before), none).alias("base"), *[F.coalesce(F.sum(f"all_{c}").over(before), none).alias(f"base_{c}") for c in sums])
+    each = placed.select("*", (F.row_number().over(inside) - 1).alias("at"), *[F.coalesce(F.sum(c).over(earlier), none).alias(f"in_{c}") for c in sums])
+    joined = each.join(F.broadcast(bases), "range")  # no more ranges than shuffle partitions
+    return joined.select(*rows.columns, (F.col("at") + F.col("base")).alias("rank"), *[(F.col(f"in_{c}") + F.col(f"base_{c}")).alias(f"before_{c}") for c in sums])
+
+
 def _position(names: list[str], name: str) -> int:
     """Of a column by its exact name, or else by the only one that is equal but for case."""
     if name in names:

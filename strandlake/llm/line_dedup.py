@@ -1,11 +1,15 @@
 """Line dedup: documents probe a sharded minimal perfect hash over the hashes of repeated lines.
 
-1. Every document gives the hashes of its distinct line keys; they are counted per hash with map-side combining.
-2. Hashes held by two documents or more are dealt into shards of bounded size. A shard is one row: a minimal perfect hash
+1. Documents are held in blocks of a few megabytes, a compressed row each; a row of the input is named by its block and
+   its place there, so rows without an id, or of one id, are no hot key.
+2. Every document gives the hashes of its distinct line keys; they are counted per hash with map-side combining.
+3. Hashes held by two documents or more are dealt into shards of bounded size. A shard is one row: a minimal perfect hash
    and, by its index, arrays of 64-bit fingerprints, document counts and smallest document ids.
-3. The documents' hashes (24 bytes each, no texts) are sent to the shards and looked up in the arrays. A shard that gets
-   many probes, because one line is in very many documents, is copied and its probes are dealt over the copies.
-4. What each document loses goes back to it by id, and the lines are dropped from the whole text.
+4. The documents' hashes (no texts) are sent to the shards and looked up in the arrays. A shard that gets many probes,
+   because one line is in very many documents, is copied and its probes are dealt over the copies.
+5. What each block loses goes back to it, and the lines are dropped from the whole texts. Blocks move once, compressed.
+
+The index of a large corpus is larger than a task's memory, so probes go to the shards and not shards to all documents.
 
 A line's key is the line without white space at both ends and with A-Z lower-cased. Keys shorter than ``min_chars`` code
 points never count. Identity is a 128-bit hash: 64 bits choose shard and slot, the other 64 are the fingerprint.
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -30,8 +35,11 @@ from .common import SPACE_BYTES, materialize, ship
 from .perfect_hash import PerfectHash
 
 SHARD_KEYS, GROUP_PROBES = 1 << 17, 1 << 19
+BLOCK_DOCS, BLOCK_BYTES = 1 << 13, 1 << 22
 NULL_ID = -(1 << 63)
-PROBES = "doc_id long, fingerprint long, slot long"
+BLOCKS = "block long, size long, ids binary, lengths binary, texts binary"
+#: ``place`` is a document's block times 2**13 and its number there.
+PROBES = "place long, doc_id long, fingerprint long, slot long"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -44,24 +52,53 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return key.lower()  # of bytes: A-Z only
 
 
-def _texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    column = batch.column(name).cast(pa.large_binary())
-    return [x or b"" for x in column.to_pylist()]
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first, done, size = TaskContext.get().partitionId() << 20, 0, 0
+    ids: list[int] = []
+    texts: list[bytes] = []
+
+    def row() -> pa.RecordBatch:
+        lengths = np.array([len(t) for t in texts], dtype="<i8").tobytes()
+        values = [first + done, size, np.array(ids, dtype="<i8").tobytes(), lengths, pa.compress(b"".join(texts), codec="zstd", asbytes=True)]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(values)], [x.split()[0] for x in BLOCKS.split(", ")])
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            ids.append(NULL_ID if doc is None else doc)
+            texts.append(text or b"")
+            size += len(texts[-1])
+            if len(texts) >= BLOCK_DOCS or size >= BLOCK_BYTES:
+                yield row()
+                done, size, ids, texts = done + 1, 0, [], []
+    if texts:
+        yield row()
+
+
+def _documents(row: dict) -> Iterator[tuple[int, int, bytes]]:
+    """(place, id, text) of the documents of a block."""
+    whole = pa.decompress(row["texts"], decompressed_size=row["size"], codec="zstd", asbytes=True)
+    ends = np.cumsum(np.frombuffer(row["lengths"], "<i8")).tolist()
+    ids = np.frombuffer(row["ids"], "<i8").tolist()
+    for i, (doc, a, b) in enumerate(zip(ids, [0, *ends], ends)):
+        yield (row["block"] << 13) + i, doc, whole[a:b]
 
 
 def _probes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            sizes, hashes = [], []
-            for text in _texts(batch, "text"):
-                keys = {line_key(x, min_chars) for x in text.split(b"\n")}
-                keys.discard(None)
-                sizes.append(len(keys))
-                hashes += map(digest, keys)
-            pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc_id", "fingerprint", "slot"])
+            for row in batch.to_pylist():
+                places, ids, sizes, hashes = [], [], [], []
+                for place, doc, text in _documents(row):
+                    keys = {line_key(x, min_chars) for x in text.split(b"\n")}
+                    keys.discard(None)
+                    places.append(place)
+                    ids.append(doc)
+                    sizes.append(len(keys))
+                    hashes += map(digest, keys)
+                pairs = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+                each = [pa.array(np.repeat(np.array(x, dtype=np.int64), sizes)) for x in (places, ids)]
+                yield pa.RecordBatch.from_arrays([*each, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["place", "doc_id", "fingerprint", "slot"])
 
     return run
 
@@ -87,40 +124,39 @@ def _distinct(slots: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 def _probe(key: tuple, probes: pa.Table, index: pa.Table) -> pa.Table:
     if not index.num_rows or not probes.num_rows:
-        return probes.slice(0, 0).select(["doc_id", "fingerprint"])
+        return probes.slice(0, 0).select(["place", "fingerprint"])
     row = {name: index.column(name)[0].as_py() for name in ("mph", "fingerprints", "counts", "keepers")}
     prints = np.frombuffer(row["fingerprints"], "<i8")
     counts, keepers = np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["keepers"], "<i8")
     ids, mine = probes.column("doc_id").to_numpy(), probes.column("fingerprint").to_numpy()
     at = PerfectHash.from_bytes(row["mph"]).lookup(_distinct(probes.column("slot").to_numpy().view(np.uint64), mine))
     hit = (at >= 0) & (prints[at] == mine) & (counts[at] >= 2) & (keepers[at] != ids)
-    return pa.table({"doc_id": pa.array(ids[hit]), "fingerprint": pa.array(mine[hit])})
+    return pa.table({"place": pa.array(probes.column("place").to_numpy()[hit]), "fingerprint": pa.array(mine[hit])})
 
 
 def _drop(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            lines, dropped, texts = [], [], []
-            for text, lost in zip(_texts(batch, "text"), batch.column("lost").to_pylist(), strict=True):
-                parts = text.split(b"\n")
-                lines.append(len(parts))
-                if lost:
-                    gone = set(lost)
-                    kept = []
-                    for part in parts:
-                        key = line_key(part, min_chars)
-                        if key is None or int.from_bytes(digest(key)[:8], "little", signed=True) not in gone:
-                            kept.append(part)
-                    dropped.append(len(parts) - len(kept))
-                    text = b"\n".join(kept)
-                else:
-                    dropped.append(0)
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_lines", "n_dropped", "kept"],
-            )
+    """A row per document of a block from what the block loses: pairs of place and fingerprint."""
+
+    def kept(text: bytes, gone: set[int]) -> tuple[int, int, bytes]:
+        lines = text.split(b"\n")
+        if not gone:
+            return len(lines), 0, text
+        stay = []
+        for line in lines:
+            key = line_key(line, min_chars)
+            if key is None or int.from_bytes(xxhash.xxh3_128_digest(key)[:8], "little", signed=True) not in gone:
+                stay.append(line)
+        return len(lines), len(lines) - len(stay), b"\n".join(stay)
+
+    def run(blocks: pa.Table, lost: pa.Table) -> pa.Table:
+        gone: dict[int, set[int]] = {}
+        for place, mark in zip(lost.column("place").to_pylist(), lost.column("fingerprint").to_pylist(), strict=True):
+            gone.setdefault(place, set()).add(mark)
+        out = []
+        for row in blocks.to_pylist():
+            for place, doc, text in _documents(row):
+                out.append((None if doc == NULL_ID else doc, *kept(text, gone.get(place, set()))))
+        return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n_lines", "n_dropped", "kept"])
 
     return run
 
@@ -147,18 +183,19 @@ def dedup_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", m
     """One row per document: ``doc_id, n_lines, n_dropped, kept`` (the text that is left)."""
     ship(documents.sparkSession)
     docs = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    given = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    probes = given.mapInArrow(_probes(min_chars), PROBES)
+    blocks = materialize(docs.mapInArrow(_block, BLOCKS), "line-blocks")
+    probes = blocks.mapInArrow(_probes(min_chars), PROBES)
     index, shards, n_shards = build_index(probes)
     if index is None:
-        return docs.withColumn("lost", F.lit(None).cast("array<long>")).mapInArrow(_drop(min_chars), "doc_id long, n_lines long, n_dropped long, kept string")
-    dealt = probes.withColumn("shard", F.pmod("slot", F.lit(n_shards))).join(shards, "shard")
-    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies"))).drop("copies")
-    copied = index.join(shards, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
-    hits = dealt.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_probe, "doc_id long, fingerprint long")
-    lost = hits.groupBy("doc_id").agg(F.collect_set("fingerprint").alias("lost")).withColumnRenamed("doc_id", "d2")
-    joined = docs.join(lost, F.coalesce(docs.doc_id, F.lit(NULL_ID)) == lost.d2, "left").select("doc_id", "text", "lost")
-    return joined.mapInArrow(_drop(min_chars), "doc_id long, n_lines long, n_dropped long, kept string")
+        lost = documents.sparkSession.createDataFrame([], "block long, place long, fingerprint long")
+    else:
+        dealt = probes.withColumn("shard", F.pmod("slot", F.lit(n_shards))).join(shards, "shard")
+        dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("place"), F.col("copies"))).drop("copies")
+        copied = index.join(shards, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+        hits = dealt.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(_probe, "place long, fingerprint long")
+        lost = hits.select(F.shiftright("place", 13).alias("block"), "place", "fingerprint")
+    out = blocks.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(_drop(min_chars), "doc_id long, n_lines long, n_dropped long, kept binary")
+    return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -430,11 +430,14 @@ def _verify(threshold: float):
 def _with_centres(here: DataFrame, centres: int, step: int, threshold: float) -> DataFrame:
     """``x, y``: members of open buckets with up to ``centres`` centres of another component; linear in the members."""
     part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(centres)) if centres > 1 else F.lit(0)
-    chosen = here.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("reach")).alias("rank"), "node", "component", "total")).alias("c"))
-    chosen = chosen.select(F.col("bucket").alias("k"), F.col("c.node").alias("y"), F.col("c.component").alias("other"), F.col("c.total").alias("size"))
+    chosen = here.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("reach")).alias("rank"), "node", "component", "total")).alias("c"), F.count(F.lit(1)).alias("n"))
+    per = Window.partitionBy("bucket")  # at most ``centres`` rows
+    chosen = chosen.select("bucket", F.sum("n").over(per).alias("n_here"), F.col("c.node").alias("y"), F.col("c.component").alias("other"), F.col("c.total").alias("size"))
+    chosen = materialize(chosen, "nd-centres")
     # texts whose total weights differ by more can't be similar enough
     near = F.least("total", "size") >= F.lit(threshold * (1 - 1e-9)) * F.greatest("total", "size")
-    return here.join(chosen, (F.col("bucket") == F.col("k")) & (F.col("component") != F.col("other")) & near).select(F.col("node").alias("x"), "y")
+    joined = join_counted(here, chosen, ["bucket"], here.count(), "n_here")
+    return joined.where((F.col("component") != F.col("other")) & near).select(F.col("node").alias("x"), "y")
 
 
 def _across(here: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
@@ -479,8 +482,10 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataF
     """Verified ``a, b`` links between texts, and ``node, component`` of those with any."""
     signed = materialize(signed.join(nodes.select(F.col("node").alias("place")), "place", "left_semi"), "nd-vectors")
     keyed = signed.select(F.col("place").alias("node"), "total", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select(F.col("bucket").alias("k"), "size")
-    inside = materialize(keyed.join(shared, F.col("bucket") == F.col("k")).select("bucket", "node", "total", "size").distinct(), "nd-inside")
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("size")).where("least < most").select("bucket", "size")
+    shared = materialize(shared, "nd-shared-bands")
+    inside = join_counted(keyed, shared, ["bucket"], BANDS * signed.count(), "size").select("bucket", "node", "total", "size")
+    inside = materialize(inside.distinct(), "nd-inside")
     # a text that differs from others in few places shares many large buckets, and makes a good centre
     reach = inside.groupBy("node").agg(F.sum("size").alias("reach"))
     buckets = materialize(inside.drop("size").join(reach, "node"), "nd-buckets")

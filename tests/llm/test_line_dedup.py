@@ -49,3 +49,12 @@ def test_nothing_to_drop_and_nothing(spark, nothing, clashing, awkward):
     assert {tuple(r)[:3] for r in op.dedup_lines(df).collect()} == {(1, 1, 0), (2, 1, 0)}
     assert op.dedup_lines(nothing).collect() == []
     assert op.dedup_lines(clashing).count() == len(awkward)
+
+
+def test_many_rows_without_id_and_all_lines_lost(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_DOCS", 3)
+    rows = [(None if i % 2 else i, f"a line that all documents hold\nand a second line of that kind\nline of number {i // 4}") for i in range(40)]
+    rows += [(100, "a line that all documents hold\nAND A SECOND line of that kind"), (101, "a line that all documents hold")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in op.dedup_lines(df).collect()), key=str)
+    assert got == merged(rows) and (100, 2, 2, "") in got and (101, 1, 1, "") in got

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -71,3 +72,43 @@ def test_apply_and_rerun(clashing, nothing, awkward):
     assert {r["doc_id"]: r["count"] for r in got} == {d: n * times[d] for (d, _), n in taken.items() if n}
     assert sorted(map(str, mixing.mix(clashing).collect())) == sorted(map(str, mixing.mix(clashing).collect()))
     assert mixing.mix(nothing).collect() == [] and mixing.apply_mix(nothing).collect() == []
+
+
+def test_many_sources_of_every_size(spark, monkeypatch):
+    """More sources than are sent to all tasks, hot ones among them, ties in level, and one without words."""
+    from strandlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "MOST_HOT", 6)
+    r = random.Random(3)
+    rows = [(i, "w " * r.choice([1, 3, 8]), "en", f"s{r.randrange(60):02d}") for i in range(500)]
+    rows += [(1000 + i, "w w", "en", "hot") for i in range(300)] + [(2000 + i, "w", "en", None) for i in range(40)] + [(3000, None, "en", "none"), (3001, "", "en", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    size, per, target = expected(rows)
+    of = {i: s for i, _, _, s in rows}
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert r["source_size"] == per[of[r["doc_id"]]] and abs(r["target"] - target[of[r["doc_id"]]]) < 1e-6
+        taken[of[r["doc_id"]]] += r["taken"]
+    for s in per:
+        assert abs(taken[s] - target[s]) <= max(n for n, row in zip(size, rows, strict=True) if row[3] == s)
+    copies = defaultdict(int)
+    for r in mixing.apply_mix(df).collect():
+        copies[r["doc_id"]] += 1
+    assert copies == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.common import running
+
+    values = random.Random(1).sample(range(10_000), 700)
+    df = spark.createDataFrame([(v, v % 7) for v in values], "v long, n long").repartition(3)
+    got = {r["v"]: (r["rank"], r["before_n"]) for r in running(df, [F.col("v").asc()], ["n"], "t").collect()}
+    upto = 0
+    for i, v in enumerate(sorted(values)):
+        assert got[v] == (i, upto)
+        upto += v % 7
