@@ -24,8 +24,16 @@ def _folder(spark) -> str:
     return f"{top.rstrip('/')}/collection-{uuid.uuid4().hex}"
 
 
+#: Collections made in this process, by application and input.
+_made: dict[tuple[str, str], str] = {}
+
+
 def _created(spark, d):
-    return Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
+    """The collection over the genome view; once made, it is opened again by every query of the session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _made:
+        _made[key] = Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH).path
+    return Collection(spark, _made[key])
 
 
 def with_references(spark, d):
@@ -89,6 +97,25 @@ def adaptive_roundtrip(spark, d):
     return made.get_collection()
 
 
+def fallback_roundtrip(spark, d):
+    """With sampled k-mers voting for groups."""
+    made = Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH, fallback=0.05)
+    return made.get_collection()
+
+
+def getset_archive(spark, d):
+    """Samples of a stored collection in argument order, repeated ones twice."""
+    return _created(spark, d).get_samples(["src3", "src0", "src3"]).select("argument", "contig_ord", "contig_full", "seq")
+
+
+def getctg_archive(spark, d):
+    """Contig queries of every form against a stored collection."""
+    return _created(spark, d).get_contigs(_ASKED)
+
+
+_ASKED = ["doc7", "doc7@src0", "doc12:5-40", "doc12:30-", "nosuch", "doc3:-4-9", "", "doc21:100-20", "doc30:9000-9100"]
+
+
 def _costs(spark, d):
     """Cost arrays of every contig: letters that cost something on the left and on the right."""
     c = contigs_of(spark, d).select("contig", F.split("seq", "").alias("letters"))
@@ -108,15 +135,20 @@ def best_split(spark, d):
     return grouping.best_split(_costs(spark, d), K)
 
 
-QUERIES = {f.__name__: f for f in (lz_roundtrip, lz_token_stats, best_group_one_splitter, archive_roundtrip, archive_range, archive_lengths, archive_sizes, archive_info, append_equals_create, adaptive_roundtrip, coding_cost_prefix, best_split)}
+QUERIES = {f.__name__: f for f in (lz_roundtrip, lz_token_stats, best_group_one_splitter, archive_roundtrip, archive_range, archive_lengths, archive_sizes, archive_info, append_equals_create, adaptive_roundtrip, fallback_roundtrip, getset_archive, getctg_archive, coding_cost_prefix, best_split)}
 
 _LETTERS = "l AS (SELECT contig AS id, i - 1 AS pos, CASE WHEN substr(seq, i, 1) IN ('A', 'C') THEN 3 ELSE 1 END AS c1, CASE WHEN substr(seq, i, 1) IN ('G', 'T') THEN 3 ELSE 1 END AS c2, length(seq) AS n FROM (SELECT contig, seq, unnest(range(1, length(seq) + 1)) AS i FROM g))"
+_PARSED = """a AS (SELECT * FROM (VALUES (0, 'doc7', '', -1, -1), (1, 'doc7', 'src0', -1, -1), (2, 'doc12', '', 5, 40), (3, 'doc12:30-', '', -1, -1), (4, 'nosuch', '', -1, -1),
+ (5, 'doc3', '', -4, 9), (7, 'doc21', '', 100, 20), (8, 'doc30', '', 9000, 9100)) AS v(query_ord, contig, sample, f, t))"""
 _COLLECTION = genome("SELECT sample_ord, contig_ord, contig_full, seq FROM g")
 
 ORACLES = {
     "archive_roundtrip": _COLLECTION,
     "append_equals_create": _COLLECTION,
     "adaptive_roundtrip": _COLLECTION,
+    "fallback_roundtrip": _COLLECTION,
+    "getset_archive": genome("SELECT v.argument, g.contig_ord, g.contig_full, g.seq FROM (VALUES (0, 'src3'), (1, 'src0'), (2, 'src3')) AS v(argument, sample) JOIN g USING (sample)"),
+    "getctg_archive": genome(f", {_PARSED}, q AS (SELECT a.*, count(g.contig) OVER (PARTITION BY query_ord) AS n, row_number() OVER (PARTITION BY query_ord ORDER BY sample_ord, contig_ord) AS r, g.contig_full, g.seq FROM a LEFT JOIN g ON g.contig = a.contig AND (a.sample = '' OR a.sample = g.sample)), z AS (SELECT *, CASE WHEN f < 0 THEN 0 ELSE f END AS lo, CASE WHEN t < 0 THEN 9000000000000000 ELSE t END AS hi FROM q WHERE r = 1) SELECT query_ord, CASE WHEN f < 0 AND t < 0 THEN contig_full ELSE contig_full || ':' || f || '-' || t END AS header, CAST(CASE WHEN n = 0 THEN -1 WHEN sample = '' AND n > 1 THEN -2 ELSE 0 END AS INTEGER) AS status, CASE WHEN n = 0 OR (sample = '' AND n > 1) THEN NULL WHEN lo > hi THEN seq ELSE substr(seq, lo + 1, greatest(least(hi, length(seq)) - lo + 1, 0)) END AS seq FROM z"),
     "archive_range": genome("SELECT sample, contig, substr(seq, 101, 121) AS seq FROM g"),
     "archive_lengths": genome("SELECT sample, contig, length(seq) AS length FROM g"),
     "archive_info": genome(f"SELECT count(*) AS n_contigs, CAST(sum(length(seq)) AS BIGINT) AS n_letters, count(DISTINCT sample) AS n_samples, max(CASE WHEN sample_ord = 0 THEN sample END) AS reference, CAST({K} AS INTEGER) AS k, CAST({MIN_MATCH} AS INTEGER) AS min_match, CAST({SEGMENT_SIZE} AS INTEGER) AS segment_size, CAST(50 AS INTEGER) AS pack_cardinality, CAST(0 AS DOUBLE) AS fallback, false AS concatenated FROM g"),
