@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from ..functions import packing
 from ..operators import codec, grouping, kmers
+from ..sources.fasta import records_of, with_codes
 from ..sources.genome_view import K, MIN_MATCH, SEGMENT_SIZE, contigs_of
 from ..sources.shipping import ship
 from .codec_queries import _lz_oracle, with_references
@@ -65,6 +66,13 @@ def packed_symbols(spark, d):
     return packed.select("contig", packing.pack_width(F.col("codes")).alias("width"), _joined(F.col("p")).alias("bytes"), (packing.unpack_symbols(F.col("p")) == F.col("codes")).alias("same"))
 
 
+def coded_scan(spark, d):
+    """Records as written, read back as numbers of symbols."""
+    text = contigs_of(spark, d).select("contig", fn.fasta_record(F.col("contig_full"), F.col("seq"), 60).alias("value"))
+    read = with_codes(records_of(text).select("contig", fn.normalise_symbols(F.col("body")).alias("seq")))
+    return read.select("contig", F.size("codes").cast("long").alias("n"), F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 def letter_complements(spark, d):
     letters = F.filter(F.split(fn.iupac_view(F.col("text")), ""), lambda c: c != "")
     each = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(letters).alias("letter"))
@@ -128,7 +136,7 @@ def contig_name_steps(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    prefix_varints, sized_varints, zigzags, hashes_and_bits, stream_names, packed_symbols, letter_complements, near_lengths, shared_in_group_ids,
+    prefix_varints, sized_varints, zigzags, hashes_and_bits, stream_names, packed_symbols, coded_scan, letter_complements, near_lengths, shared_in_group_ids,
     near_in_group_ids, candidate_order, kmer_ranks, reference_packing, lz_first_form, contig_name_steps,
 )}
 
@@ -156,6 +164,7 @@ ORACLES = {
     "hashes_and_bits": _MIX,
     "stream_names": f"SELECT doc_id, {_NAME64} AS name64, reverse(format('{{:X}}', n)) AS name16 FROM {_NUMBERS}",
     "packed_symbols": genome(f"SELECT contig, w AS width, array_to_string({_PACKED}, ',') AS bytes, true AS same FROM (SELECT contig, l, CAST({_WIDTH} AS INTEGER) AS w FROM (SELECT contig, l, coalesce(list_max(l), 0) AS m FROM (SELECT contig, {_CODES} AS l FROM g)))"),
+    "coded_scan": genome("SELECT contig, length(seq) AS n, CAST(length(replace(seq, 'A', '')) + length(seq) - length(replace(seq, 'G', '')) + 2 * (length(seq) - length(replace(seq, 'T', ''))) AS BIGINT) AS total FROM g"),
     "letter_complements": "SELECT letter, count(*) AS n, CASE letter WHEN 'A' THEN 'T' WHEN 'C' THEN 'G' WHEN 'G' THEN 'C' WHEN 'T' THEN 'A' ELSE 'N' END AS other FROM (SELECT unnest(string_split(translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), 'ACGTNRYSWKMBDHVUEFIJLOPQXZacgtnryswkmbdhvuefijlopqxz', 'ACGTNRYSWKMBDHVU          ACGTNRYSWKMBDHVU          '), '')) AS letter FROM documents) WHERE letter <> '' GROUP BY letter",
     "near_lengths": sql(f"SELECT {_ARR}, raw_length, CAST(CASE WHEN raw_length < {_NEAR} THEN 2 * ({_NEAR} - raw_length) - 1 WHEN raw_length < {2 * _NEAR} THEN 2 * (raw_length - {_NEAR}) ELSE raw_length END AS BIGINT) AS code, raw_length AS back FROM kd"),
     "shared_in_group_ids": sql(f"{_IDS} SELECT {_ARR}, key1, key2, in_group_id FROM ids"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fasta_record, normalise_symbols, sample_name, short_name
+from ..functions.packing import symbol_codes
 from .shipping import ship
 
 _GZIP = b"\x1f\x8b"
@@ -132,6 +133,34 @@ def _same_form(c):
     return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
 
 
+def with_codes(contigs: DataFrame) -> DataFrame:
+    """Contigs with the numbers of their symbols, ``codes``, for readers that want no letters."""
+    return contigs.withColumn("codes", symbol_codes(F.col("seq")))
+
+
+def _unpacked_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [len(gzip.decompress(x)) for x in batch.column("content").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "size"])
+
+
+def file_sizes(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, int]]:
+    """(path, bytes without compression) of every input path. Plain files are not read."""
+    found = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    packed = [uri for _, _, uri in found if _is_gzip(spark, uri)]
+    sizes: dict[str, int] = {}
+    if packed:
+        ship(spark)
+        rows = spark.read.format("binaryFile").load([_path(u) for u in packed]).select(F.col("_metadata.file_path").alias("path"), "content")
+        sizes = {_plain(r["path"]): r["size"] for r in rows.mapInArrow(_unpacked_size, "path string, size long").collect()}  # one per file
+    out: dict[str, int] = {}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for _, given, uri in found:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        out[given] = out.get(given, 0) + (sizes[_plain(uri)] if uri in packed else path.getFileSystem(conf).getFileStatus(path).getLen())
+    return list(out.items())
+
+
 def read_file_list(spark: SparkSession, path: str) -> list[str]:
     """Names in a text file, separated by white space, without repeats."""
     words = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\\s+")).alias("w")).where("w <> ''")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.archive import Collection, clamp
 from strandlake.functions import fasta_record
-from strandlake.sources.fasta import read_fasta, read_file_list, stream_lines, write_fasta, write_file, write_samples
+from strandlake.sources.fasta import file_sizes, read_fasta, read_file_list, stream_lines, with_codes, write_fasta, write_file, write_samples
 from strandlake.streaming import append_stream, contig_stream
 
 from .test_segmentation import COMPLEMENT, K, SCHEMA, SIZE, collection, segments, splitters, windows
@@ -154,6 +154,9 @@ def test_files_by_content_and_strict_reading(spark, tmp_path):
     (tmp_path / "y.fa.gz").write_bytes(b">d\nTTTT\n")
     got = sorted((r["file_ord"], r["sample"], r["contig_ord"], r["contig_full"], r["seq"]) for r in read_fasta(spark, [str(tmp_path / "x.fa"), str(tmp_path / "y.fa.gz")]).collect())
     assert got == [(0, "x", 0, "c1 first", "ACGT"), (0, "x", 1, "c2", "GG"), (1, "y", 0, "d", "TTTT")]
+    assert file_sizes(spark, [str(tmp_path / "x.fa"), str(tmp_path / "y.fa.gz")]) == [(str(tmp_path / "x.fa"), 22), (str(tmp_path / "y.fa.gz"), 8)]
+    coded = {r["contig_full"]: r["codes"] for r in with_codes(read_fasta(spark, str(tmp_path / "x.fa"))).collect()}
+    assert coded == {"c1 first": [0, 1, 2, 3], "c2": [2, 2]}
     (tmp_path / "z.fa").write_text(">a\nAC>GT\nAA\n>b\nCC\n>\nTT\n>c\nGG\n")
     strict = [(r["contig_full"], r["seq"]) for r in read_fasta(spark, str(tmp_path / "z.fa"), strict=True).orderBy("contig_ord").collect()]
     assert strict == [("a", "AC"), ("GT", "AA"), ("b", "CC")]
