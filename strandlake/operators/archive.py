@@ -41,7 +41,6 @@ from ..sources.shipping import ship
 from . import catalog, grouping, kmers, segmentation
 from .codec import Coder, decode_rows, encode_rows
 
-TABLES = ("samples", "contigs", "segments", "groups", "deltas", "splitters")
 SAVING, LAYOUT = 16, 2
 CONTIGS = ("sample_ord", "sample", "contig_ord", "contig", "contig_full", "seq")
 # Fixed values: (default, least, most) of every parameter; values outside are moved to the nearest bound.
