@@ -84,10 +84,6 @@ _CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "space": "[\\x20\\x09-\\x0D]", "
 _COMMON = ", ".join(f"'{w}'" for w in COMMON_WORDS)
 
 
-def _total(column: str) -> str:
-    return f"list_sum({column})"
-
-
 def _distance(p: str, q: str, ok: str) -> str:
     """Jensen-Shannon distance of two lists of counts."""
     half = "list_sum(list_transform(range(1, len({p}) + 1), lambda i: CASE WHEN {p}[i] > 0 THEN {p}[i] / list_sum({p}) * log2(2 * ({p}[i] / list_sum({p})) / ({p}[i] / list_sum({p}) + {q}[i] / list_sum({q}))) ELSE 0 END))"
