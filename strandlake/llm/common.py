@@ -1,16 +1,21 @@
-"""What the training-data operators share: word rules, tables in the shared folder, joins on hot keys, whole rows."""
+"""What the training-data operators share: word rules, tables in the shared folder, joins on hot keys, whole rows, workers
+that hold little between tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
-__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "materialize", "new_path", "packed", "remove", "running", "shared_dir", "ship", "unpacked", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "lean", "materialize", "new_path", "packed", "remove", "running", "shared_dir", "ship", "unpacked", "words_of"]
 
 #: Java pattern of the white space that ends a word, and the same characters as bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -19,6 +24,51 @@ SPACE_BYTES = b" \t\n\x0b\f\r"
 HOT_ROWS, MOST_HOT = 1000, 20_000
 
 
+#: What operators keep in a worker from task to task, each in a dict of its own.
+CACHES: list[dict] = []
+
+
+def _empty_caches(but: str) -> None:
+    """Empty the caches that hold no ``but``."""
+    for cache in CACHES:
+        if but not in cache:
+            cache.clear()
+
+
+def _give_back() -> None:
+    """Return free memory to the system. Arrow and the C library keep it, so a worker that waits for its next task would
+    hold on to the most that it ever took, beside all others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable, cached: str = "") -> Callable:
+    """``run``, a function over batches, a table or two tables, for workers that are small between tasks: they begin
+    without what other operators cached (all that holds no ``cached``) and give free memory back at the end."""
+
+    def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _empty_caches(cached)
+        yield from run(batches)
+        _give_back()
+
+    def tablewise(table: pa.Table) -> pa.Table:
+        _empty_caches(cached)
+        out = run(table)
+        _give_back()
+        return out
+
+    def of_two(left: pa.Table, right: pa.Table) -> pa.Table:
+        _empty_caches(cached)
+        out = run(left, right)
+        _give_back()
+        return out
+
+    given = list(inspect.signature(run).parameters)
+    return of_two if len(given) == 2 else batchwise if given == ["batches"] else tablewise
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary one, as in tests;
     on a cluster it is an error, because executors do not see each other's folders."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, packed, ship, unpacked
+from .common import SPACE_BYTES, lean, packed, ship, unpacked
 from .hashing import mix64, span_hashes
 
 #: A-Z become a-z; every other ASCII byte that is no digit or letter becomes a space; other bytes stay.
@@ -290,11 +290,11 @@ def match_items(
         blocks += 1
         windows = Windows(block, window, shingle)
         sent = spark.sparkContext.broadcast(windows)
-        counted = docs.select("text").mapInArrow(_count(sent), "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
+        counted = docs.select("text").mapInArrow(lean(_count(sent)), "k long, place long, n long").groupBy("k", "place").agg(F.sum("n").alias("n"))
         windows.order(_by_code(windows, counted))
-        out = out.mapInArrow(_match(spark.sparkContext.broadcast(windows)), schema)
+        out = out.mapInArrow(lean(_match(spark.sparkContext.broadcast(windows))), schema)
     if not blocks:  # the words still have to be counted
-        out = out.mapInArrow(_match(spark.sparkContext.broadcast(Windows([], window, shingle))), schema)
+        out = out.mapInArrow(lean(_match(spark.sparkContext.broadcast(Windows([], window, shingle)))), schema)
     return out.select("doc_id", "n_words", "hits", "items", "text")
 
 

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, join_counted, materialize, packed, remove, ship, unpacked
+from .common import SPACE_BYTES, join_counted, lean, materialize, packed, remove, ship, unpacked
 from .components import connected_components
 from .hashing import mix64, span_hashes
 
@@ -390,22 +390,22 @@ def signed_texts(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     """From ``doc_id, key, text``: ``place, key, ids`` of the distinct texts of every block; ``place, total, bands, h, w``
     of those that can be similar to another; and the number of documents."""
     spark = docs.sparkSession
-    blocks = materialize(docs.mapInArrow(_block, BLOCKS), "nd-blocks")
+    blocks = materialize(docs.mapInArrow(lean(_block), BLOCKS), "nd-blocks")
     size, n_docs = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     buckets = min(1 << 31, max(8, -(-size // _BUCKET_BYTES)))
     shift = max(0, 64 - (int(size).bit_length() + 3))  # a shingle takes five bytes or more
-    dealt = blocks.select("block", "size", "lengths", "texts").mapInArrow(_deal(buckets, shift), DEALT)
-    shared = materialize(dealt.groupBy("bucket").applyInArrow(_share, SHARED), "nd-shared")
+    dealt = blocks.select("block", "size", "lengths", "texts").mapInArrow(lean(_deal(buckets, shift)), DEALT)
+    shared = materialize(dealt.groupBy("bucket").applyInArrow(lean(_share), SHARED), "nd-shared")
     _release(spark)
-    split = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_split(buckets, shift, max(2, n_docs), threshold), TEXTS)
+    split = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lean(_split(buckets, shift, max(2, n_docs), threshold)), TEXTS)
     split = materialize(split, "nd-texts")
     remove(blocks)
     remove(shared)
     _release(spark)
     given = split.where("bucket is not null").select("bucket", "block", "hashes", "n", "wanted")
-    given = given.groupBy("bucket").applyInArrow(_count, FREQUENCIES)
+    given = given.groupBy("bucket").applyInArrow(lean(_count), FREQUENCIES)
     able = split.where(F.size("h") > 0).select("block", "place", "h", "tf")
-    signed = materialize(able.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_sign(max(1, n_docs), threshold), SIGNED), "nd-signed")
+    signed = materialize(able.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(lean(_sign(max(1, n_docs), threshold)), SIGNED), "nd-signed")
     texts = split.where("place is not null").select("place", "key", "ids")
     return texts, signed, n_docs
 
@@ -505,7 +505,7 @@ def _links(signed: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataF
             continue
         left = pairs.join(bodies.select(F.col("place").alias("a"), F.col("h").alias("h_a"), F.col("w").alias("w_a")), "a")
         both = left.join(bodies.select(F.col("place").alias("b"), F.col("h").alias("h_b"), F.col("w").alias("w_b")), "b").select("a", "h_a", "w_a", "b", "h_b", "w_b")
-        new = materialize(both.mapInArrow(_verify(threshold), "a long, b long"), "nd-links")
+        new = materialize(both.mapInArrow(lean(_verify(threshold)), "a long, b long"), "nd-links")
         links = new if links is None else links.union(new)
         tested = pairs if tested is None else tested.union(pairs)
         named = materialize(connected_components(links), "nd-components")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, ship
+from .common import CACHES, lean, materialize, new_path, ship
 from .hashing import span_hashes
 
 PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 2_000_000, 300_000, 500, 3 << 19, 1 << 20, 32 << 20
@@ -41,6 +41,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 TAIL = struct.pack("<I", SEEKABLE)
 
 _encoders: dict[str, Encoder] = {}
+CACHES.append(_encoders)
 
 
 class Encoder:
@@ -329,7 +330,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     keyed = docs.withColumn("mark", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(max(1, -(-total // shard_text_bytes)), "doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
-    packed = ordered.mapInArrow(_pack(tokenizer, end_id, 4 * shard_text_bytes), "value binary")
+    packed = ordered.mapInArrow(lean(_pack(tokenizer, end_id, 4 * shard_text_bytes), tokenizer), "value binary")
     values = packed.select(F.col("value").cast("string"))
     values.write.option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
@@ -365,7 +366,7 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    each = materialize(files.mapInArrow(_digest, "task long, part long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-digest")
+    each = materialize(files.mapInArrow(lean(_digest), "task long, part long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "token-digest")
     before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     sizes = each.groupBy("task", "part").agg(F.sum("n_tokens").alias("n"))
     bases = materialize(sizes.select("task", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-bases")
@@ -392,7 +393,7 @@ def _lengths(tokenizer: str):
 def length_histogram(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """Exact ``length, n_docs``: how many documents encode to that many tokens."""
     ship(documents.sparkSession)
-    lengths = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(_lengths(tokenizer), "length long")
+    lengths = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(_lengths(tokenizer), tokenizer), "length long")
     return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
