@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
-__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "lean", "materialize", "new_path", "packed", "remove", "running", "shared_dir", "ship", "unpacked", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "lean", "materialize", "new_path", "packed", "position", "remove", "running", "shared_dir", "ship", "unpacked", "words_of"]
 
 #: Java pattern of the white space that ends a word, and the same characters as bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -136,7 +136,7 @@ def running(rows: DataFrame, order: list[Column], sums: list[str], label: str) -
     return joined.select(*rows.columns, (F.col("at") + F.col("base")).alias("rank"), *[(F.col(f"in_{c}") + F.col(f"base_{c}")).alias(f"before_{c}") for c in sums])
 
 
-def _position(names: list[str], name: str) -> int:
+def position(names: list[str], name: str) -> int:
     """Of a column by its exact name, or else by the only one that is equal but for case."""
     if name in names:
         return names.index(name)
@@ -151,7 +151,7 @@ def packed(documents: DataFrame, **wanted: str) -> DataFrame:
     No name of a column can clash with one that an operator makes, whatever dots, quotes or case it has."""
     names = documents.columns
     plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.select(F.struct(*plain.columns).alias("row"), *[F.col(f"c{_position(names, v)}").alias(k) for k, v in wanted.items()])
+    return plain.select(F.struct(*plain.columns).alias("row"), *[F.col(f"c{position(names, v)}").alias(k) for k, v in wanted.items()])
 
 
 def unpacked(rows: DataFrame, documents: DataFrame) -> DataFrame:

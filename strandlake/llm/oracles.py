@@ -1,7 +1,7 @@
 """DuckDB SQL for the rows of those queries that SQL can express.
 
-Token files, token counts, the classifier and near-duplicates need a tokenizer, training or sampling; they are tested
-against brute force instead. The SQL of the url filters holds for tables whose pages have no canonical links and no
+Token files, token counts, the classifier, near-duplicates and license scans need a tokenizer, training, sampling or matching
+with errors; they are tested against brute force instead. The SQL of the url filters holds for tables whose pages have no canonical links and no
 refreshes, as SQL's part ends at the rules; classes of linked pages are tested by hand-made cases.
 """
 
@@ -112,6 +112,35 @@ j AS (SELECT e.*, {_distance("chars", "rc", f"word_chars >= {MIN_CHARS}")} AS cd
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(cd, 0) <= {CHAR_LIMIT} AND coalesce(wd, 0) <= {WORD_LIMIT} AS kept FROM j
 """
 
+_TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{_TERM}') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+full_counts AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, c, CAST(1 + (1000000000 * CAST(c + 5 AS HUGEINT)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS BIGINT) AS p FROM full_counts JOIN sizes USING (lang)),
+whole AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * CAST(c + 5 AS HUGEINT)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q FROM whole JOIN sizes USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN pair x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": _CHAT,
@@ -120,4 +149,6 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": _LINES,
     "op6_decontamination": _BENCHMARK,
     "op8_url_filters": _URLS,
+    "op11_source_divergence": _DIVERGENCE,
+    "op12_hard_negatives": _NEGATIVES,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, mixing, near_dup, quality_rules, rule_ensemble, tokens, url_filter
+from . import chat, decontaminate, divergence, hard_negatives, license_scan, line_dedup, mixing, near_dup, quality_rules, rule_ensemble, tokens, url_filter
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -64,4 +64,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_source_mixing, op4_token_files, op5_line_dedup, op6_decontamination, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_near_dedup)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_source_mixing, op4_token_files, op5_line_dedup, op6_decontamination, op7_quality_classifier, op8_url_filters, op9_token_counts, op10_near_dedup, op11_source_divergence, op12_hard_negatives, op13_license_scan)}
