@@ -7,7 +7,7 @@ only pre-aggregated buckets, at most 2**BITS per source and level, and sources p
 budget takes a subset.
 
 Defined cases: a null text has size 0; a null source is a source of its own, after all others; documents of one id share
-one hash and are taken or left together, as are repeated rows; a source without words has target 0 and nothing taken;
+one hash and are taken or left together, as are repeated rows; a source without words has target 0 and none of its documents is taken; no document, empty ones included, is taken more than ``most`` times;
 an empty table gives an empty result. Columns other than the named ones are ignored by :func:`mix` and kept by
 :func:`apply_mix`.
 """
@@ -83,8 +83,10 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             ),
             "mix-state",
         )
-    # the hash value at the boundary is taken if that comes nearer to the target
-    cut = F.col("prefix") + F.when(2 * F.col("rest") > F.col("inside"), 1).otherwise(0)
+    # the hash value at the boundary is taken if that comes nearer to the target; where repeats make up the whole target,
+    # as in sources at their limit or without words, no document is taken once more, be it empty
+    more = (size > 0) & (target > F.col("repeats") * size)
+    cut = F.when(more, F.col("prefix") + F.when(2 * F.col("rest") > F.col("inside"), 1).otherwise(0)).otherwise(0)
     return materialize(state.select("key", "n_docs", "source_size", "target", "repeats", cut.alias("cut")), "mix-cuts")
 
 

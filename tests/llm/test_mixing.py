@@ -112,3 +112,18 @@ def test_running_sums_over_ranges(spark):
     for i, v in enumerate(sorted(values)):
         assert got[v] == (i, upto)
         upto += v % 7
+
+
+def test_no_text_comes_more_often_than_the_limit(spark):
+    """Sources at their limit, empty texts in them, and sources without words, counted in what apply_mix emits."""
+    rows = [(i, "w w", "en", "a") for i in range(4)] + [(10 + i, "", "en", "a") for i in range(40)]
+    rows += [(100 + i, "w " * 30, "en", "b") for i in range(20)] + [(200 + i, None, "en", "c") for i in range(20)] + [(300 + i, " \n", "en", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    _, per, target = expected(rows)
+    assert target["a"] == 2 * per["a"] and per["c"] == 0
+    copies = defaultdict(int)
+    for r in mixing.apply_mix(df).collect():
+        copies[r["doc_id"]] += 1
+    assert all(n <= 2 for n in copies.values())
+    assert {i: n for i, n in copies.items() if i < 100} == {i: 2 for i, _, _, s in rows if s == "a"}
+    assert not any(i >= 200 for i in copies)
