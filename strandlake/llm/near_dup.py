@@ -21,7 +21,8 @@ At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**15 = 0
 
 Defined cases: null and empty texts are equal to each other, and other texts without words are alike only if they are
 equal; ids name rows but do not join them: rows of one id, or of none, with different texts are documents of their own;
-a null id counts as the smallest; an empty table gives no rows. Columns that are not named are ignored.
+a null id counts as the smallest, and its class gets a number under ``OTHER_CLASSES``, as does every class but one of those that
+have one smallest id; an empty table gives no rows. Columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SHINGLE, BANDS, ROWS = 5, 15, 4
 #: Centres per bucket in the rounds before the last.
 CENTRES = (1,)
 NULL_ID = -(1 << 63)
+#: Classes that can't be named by an id of their own are numbered downwards from here.
+OTHER_CLASSES = -(1 << 62)
 _PART_BYTES, _BLOCK_DOCS, _BLOCK_BYTES, _BUCKET_BYTES = 1 << 20, 1 << 13, 1 << 22, 1 << 23
 
 
@@ -527,23 +530,40 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, i
     nodes = materialize(nodes, "nd-nodes")
     links, named = _links(signed, nodes, threshold)
     columns = ["key", "rows", "least", "copies"]
+    single = [F.col("least").alias("class_id"), F.col("node").alias("kept"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")]
     if links is None:
-        return texts, nodes.select(*columns, F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first")), n_docs
+        return texts, _told_apart(materialize(nodes.select(*columns, *single), "nd-given"), n_docs), n_docs
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     linked = materialize(named.join(ends, "node").join(nodes, "node"), "nd-linked")
     of_class = linked.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("least").alias("class_id"), F.min(F.struct("least", "node")).alias("f"))
     of_class = materialize(of_class.select("component", "size", "class_id", F.col("f.node").alias("kept")), "nd-classes")
-    in_class = join_counted(linked, of_class, ["component"], n_docs, "size").select(*columns, "class_id", "n_links", (F.col("node") == F.col("kept")).alias("first"))
-    alone = nodes.join(named.select("node"), "node", "left_anti").select(*columns, F.col("least").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
-    return texts, materialize(in_class.unionByName(alone), "nd-given"), n_docs
+    in_class = join_counted(linked, of_class, ["component"], n_docs, "size").select(*columns, "class_id", "kept", "n_links", (F.col("node") == F.col("kept")).alias("first"))
+    alone = nodes.join(named.select("node"), "node", "left_anti").select(*columns, *single)
+    return texts, _told_apart(materialize(in_class.unionByName(alone), "nd-given"), n_docs), n_docs
+
+
+def _told_apart(given: DataFrame, n_docs: int) -> DataFrame:
+    """``given`` with a ``class_id`` of its own for every class. Where several classes have one smallest id, as documents
+    may share an id, one of them keeps it; the others, and those whose smallest id is null, get one from ``OTHER_CLASSES`` down."""
+    numbered = F.lit(OTHER_CLASSES) - F.col("kept")
+    shared = given.where(F.col("first") & (F.col("class_id") != NULL_ID)).groupBy("class_id").agg(F.min("kept").alias("owner"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
+    shared = materialize(shared.select("class_id", "owner"), "nd-shared-ids")
+    plain = given.withColumn("class_id", F.when(F.col("class_id") == NULL_ID, numbered).otherwise(F.col("class_id")))
+    if shared.isEmpty():
+        return plain.drop("kept")
+    sizes = plain.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_texts")).join(shared, "class_id", "left")
+    joined = join_counted(plain, materialize(sizes, "nd-class-sizes"), ["class_id"], n_docs, "n_texts")
+    own = F.col("owner").isNull() | (F.col("owner") == F.col("kept"))
+    return materialize(joined.withColumn("class_id", F.when(own, F.col("class_id")).otherwise(numbered)).drop("owner", "n_texts", "kept"), "nd-told-apart")
 
 
 def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per document: ``doc_id, class_id`` (the smallest id of its class), ``n_links`` (verified links of its text)."""
+    """One row per document: ``doc_id, class_id`` (the smallest id of its class, or a number under ``OTHER_CLASSES`` where
+    another class has that id too or it is null), ``n_links`` (verified links of its text)."""
     ship(documents.sparkSession)
     texts, given, n_docs = _classes(_documents(documents, doc, text).drop("row"), threshold)
     joined = join_counted(texts, given.select("key", "rows", "class_id", "n_links"), ["key"], n_docs, "rows")
-    return joined.select(F.explode("ids").alias("doc_id"), "class_id", "n_links").select(_shown("doc_id"), _shown("class_id"), "n_links")
+    return joined.select(F.explode("ids").alias("doc_id"), "class_id", "n_links").select(_shown("doc_id"), "class_id", "n_links")
 
 
 def _shown(c: str):

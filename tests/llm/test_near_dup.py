@@ -171,3 +171,21 @@ def test_packed_words_come_back():
 
 def test_a_table_without_words(spark):
     assert run(spark.createDataFrame([(1, ""), (2, None), (3, " ")], "doc_id long, text string")) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_classes_of_one_id_are_told_apart(spark):
+    """Documents of one id, or of none, in classes without a common text."""
+    one, two, three, four = (prose(s, 80) for s in (90, 91, 92, 93))
+    near = lambda t: t.replace(t.split()[40], "changed", 1)
+    rows = [(1, one), (1, two), (5, near(one)), (7, near(two)), (None, three), (None, four), (8, near(three)), (9, four), (1, prose(94, 60)), (20, prose(95, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]) for r in got)) == sorted(str(i) for i, _ in rows)
+    groups = collections.defaultdict(list)
+    for r in got:
+        assert r["class_id"] is not None
+        groups[r["class_id"]].append(r["doc_id"])
+    want = [[1, 5], [1, 7], [None, 8], [None, 9], [1], [20]]
+    assert sorted(map(str, (sorted(g, key=str) for g in groups.values()))) == sorted(map(str, (sorted(g, key=str) for g in want)))
+    assert 1 in groups and groups[20] == [20]
+    assert op.keep_one(df).count() == len(want)
