@@ -4,9 +4,12 @@ A url's own rule is the longest that fits. Urls without a rule take the decision
 components over redirect and canonical-link edges between urls. In a class an explicit allow goes before any block; a
 class with a block and no allow is blocked; all else is allowed.
 
-Edges come from a page's html, outside comments: every ``link`` with ``canonical`` among the words of its ``rel``, and
-every ``meta`` refresh that names a url; attributes in any order, with either or no quotes. Character references of
-ASCII characters are decoded. A link is resolved against the page's url, or its first ``base``, as RFC 3986 says.
+Edges come from a page's html, outside comments and elements whose content is no markup of the page (scripts, styles,
+templates and their like): every ``link`` with ``canonical`` among the words of its ``rel``, and every ``meta`` refresh that
+names a url; attributes in any order, with either or no quotes. Character references that end in a semicolon are decoded:
+numbers, and the names of HTML 4. A link is resolved against the page's url, or its first ``base``, as RFC 3986 says. Urls are
+one resource if they are equal after its normalisation: host in lower case, no default or empty port, unreserved characters
+decoded and other escapes in upper case, no dot segments; scheme, fragment and a final slash do not count.
 
 Rules are looked up by (host suffix, leading part of the path), so neither their number nor that of one host's matters;
 all is decided once per distinct url, and a url of very many pages is joined as a hot key.
@@ -18,6 +21,8 @@ repeated rows; no pages give no rows. Columns that are not named are ignored.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +36,10 @@ REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^
 TAG = r"(?is)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 ATTRIBUTE = r"(?s)([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
 REFRESH = r"(?is)^\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
-# Named character references of ASCII punctuation.
-NAMED = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&num;": "#", "&quest;": "?", "&equals;": "=", "&sol;": "/", "&colon;": ":", "&period;": ".", "&lowbar;": "_", "&percnt;": "%", "&plus;": "+", "&comma;": ",", "&semi;": ";"}
+#: What a page's own markup is not: comments, and elements of raw text or of parts that are not shown. Left open, they reach to the end.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript|iframe|noembed|noframes|xmp)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+#: Characters that a url may hold as they are.
+UNRESERVED = "[A-Za-z0-9._~-]"
 
 
 def host_of(url: Column) -> Column:
@@ -43,22 +50,52 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def _escapes(text: Column) -> Column:
+    """Percent escapes of unreserved characters decoded, others with upper-case digits; each is read once."""
+
+    def one(part: Column) -> Column:
+        code = F.upper(F.regexp_extract(part, "^%([0-9A-Fa-f]{2})", 1))
+        letter = F.char(F.conv(code, 16, 10).cast("int"))
+        plain = F.when(letter.rlike(f"^{UNRESERVED}$"), letter).otherwise(F.concat(F.lit("%"), code))
+        return F.when(code == "", part).otherwise(F.concat(plain, F.substring(part, F.lit(4), F.char_length(part))))
+
+    whole = F.array_join(F.transform(F.split(text, "(?=%)"), one), "")
+    return F.when(text.contains("%"), whole).otherwise(text)
+
+
 def resource(url: Column) -> Column:
-    """Name of what a url points at: host, path without a final slash, and query; scheme and fragment do not count."""
+    """Name of what a url points at: host, port unless it is the scheme's own, path without a final slash, and query."""
     bare = F.substring_index(url, "#", 1)
-    query = F.regexp_extract(bare, r"(?s)(\?.*)$", 1)
-    return F.when(host_of(bare) != "", F.concat(host_of(bare), F.regexp_replace(path_of(bare), "/$", ""), query))
+    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
+    own_port = F.when(scheme == "http", ":0*80|:").when(scheme == "https", ":0*443|:").otherwise(":")
+    host = F.regexp_replace(_escapes(host_of(bare)), F.concat(F.lit("(?:"), own_port, F.lit(")$")), F.lit(""))
+    path = _escapes(path_of(bare))
+    clean = F.when(path.startswith("/") & path.contains("/."), _without_dots(path)).otherwise(path)
+    query = _escapes(F.regexp_extract(bare, r"(?s)(\?.*)$", 1))
+    return F.when(host_of(bare) != "", F.concat(F.translate(host, UPPER, LOWER), F.regexp_replace(clean, "/$", ""), query))
+
+
+def _letter(code: Column) -> Column:
+    """The character of a code point; null for those that are no character."""
+    beyond = code - 0x10000
+    pair = F.concat(F.hex(F.lit(0xD800) + F.shiftright(beyond, 10)), F.hex(F.lit(0xDC00) + beyond.bitwiseAND(0x3FF)))
+    units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(pair)
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(real, F.decode(F.unhex(units), "UTF-16BE"))
 
 
 def unescaped(text: Column) -> Column:
-    """Decodes character references of ASCII characters; the ampersand's own ones last, so nothing is decoded twice."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&#(?:0*[0-9]{1,3}|x0*[0-7]?[0-9a-f]);"), 0))
-    digits = lambda c: F.regexp_extract(c, r"([0-9A-Fa-f]+);", 1)
-    number = lambda c: F.when(F.lower(c).startswith("&#x"), F.conv(digits(c), 16, 10)).otherwise(digits(c)).cast("int")
-    plain = F.aggregate(codes, text, lambda s, c: F.when(number(c).between(1, 127) & (number(c) != 38), F.replace(s, c, F.char(number(c)))).otherwise(s))
-    for name, letter in NAMED.items():
-        plain = F.replace(plain, F.lit(name), F.lit(letter))
-    return F.regexp_replace(plain, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+    """Decodes character references that end in a semicolon, each once; what is no reference stays."""
+    names = F.create_map(*[F.lit(x) for pair in sorted((name, chr(code)) for name, code in name2codepoint.items()) for x in pair], F.lit("apos"), F.lit("'"))
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, "^&(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9))
+        letter = F.coalesce(_letter(code.cast("long")), F.element_at(names, name))
+        return F.when(letter.isNull(), part).otherwise(F.concat(letter, F.substring(part, F.char_length(name) + 3, F.char_length(part))))
+
+    whole = F.array_join(F.transform(F.split(text, "(?=&)"), one), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def _without_dots(path: Column) -> Column:
@@ -91,7 +128,7 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """``a, b``: urls of pages and of what they redirect to or call canonical."""
     has = pages.select(F.col(url).cast("string").alias("a"), F.col(html).cast("string").alias("h"))
     has = has.where(F.col("a").isNotNull() & F.col("h").rlike(r"(?i)\b(?:canonical|refresh)\b"))
-    tags = has.select("a", F.regexp_extract_all(F.regexp_replace("h", "(?s)<!--.*?-->", ""), F.lit(TAG), 0).alias("tags"))
+    tags = has.select("a", F.regexp_extract_all(F.regexp_replace("h", NO_MARKUP, ""), F.lit(TAG), 0).alias("tags"))
 
     def read(tag: Column) -> Column:
         inside = F.regexp_extract(tag, r"(?is)^<(?:link|meta|base)(.*)>$", 1)

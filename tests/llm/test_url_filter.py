@@ -75,6 +75,14 @@ FORMS = {
     '<meta http-equiv="refresh" content="3, URL=c.html">': "http://h.test/a/c.html",
     '<meta http-equiv="refresh" content="0; https://y.test/s">': "https://y.test/s",
     '<base href="/z/"><link rel="canonical" href="e">': "http://h.test/z/e",
+    '<link rel="canonical" href="/caf&eacute;&#233;&#x1F600;&nosuch;&amp;amp;">': "http://h.test/caf\u00e9\u00e9\U0001f600&nosuch;&amp;",
+    "<script>document.write('<link rel=canonical href=\"http://foo.com/en/1\">')</script>": None,
+    '<style><link rel=canonical href="/no"></style><link rel=canonical href="/yes">': "http://h.test/yes",
+    '<template><link rel=canonical href="/no"></template>': None,
+    '<noscript><meta http-equiv="refresh" content="0;url=/no"></noscript>': None,
+    '<textarea><link rel=canonical href="/no">': None,
+    '<!-- <script> --><link rel=canonical href="/after">': "http://h.test/after",
+    '<scripty><link rel=canonical href="/own">': "http://h.test/own",
     '<meta http-equiv="refresh" content="5">': None,
     '<link rel="stylesheet" href="canonical">': None,
     '<link rel="canonical">': None,
@@ -157,3 +165,31 @@ def test_very_long_urls_and_pages_and_a_hot_url(spark, monkeypatch):
     got = {r["page_id"]: r for r in op.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), op.rules_frame(spark, RULES)).collect()}
     assert len(got) == len(rows) and got[1]["rule"] == "com/en/" and got[1]["path"] == long_url[len("http://a.example.com") :]
     assert got[2]["verdict"] == "block" and got[10]["verdict"] == "allow"
+
+
+@pytest.mark.parametrize(
+    ("one", "other", "same"),
+    [
+        ("http://foo.com:80/en/1", "http://foo.com/en/1", True),
+        ("https://foo.com:443/en/1/", "http://foo.com:/en/1", True),
+        ("http://foo.com:8080/en/1", "http://foo.com/en/1", False),
+        ("http://foo.com:443/en/1", "http://foo.com/en/1", False),
+        ("http://foo.com/%65n/%7e1", "http://FOO.com/en/~1", True),
+        ("http://foo.com/a%2fb", "http://foo.com/a%2Fb", True),
+        ("http://foo.com/a%2Fb", "http://foo.com/a/b", False),
+        ("http://foo.com/%2565n", "http://foo.com/%65n", False),
+        ("http://foo.com/%%36%35", "http://foo.com/%65", False),
+        ("http://foo.com/a/../b/./c", "http://foo.com/b/c", True),
+        ("http://foo.com/x?q=%41", "http://foo.com/x?q=A", True),
+        ("http://foo.com/%C3%A9", "http://foo.com/%c3%a9", True),
+    ],
+)
+def test_equivalent_urls(spark, one, other, same):
+    r = spark.createDataFrame([(one, other)], "a string, b string").select(op.resource(F.col("a")), op.resource(F.col("b"))).first()
+    assert (r[0] == r[1]) == same, r
+
+
+def test_a_script_cannot_block_a_page(spark):
+    page = "<script>document.write('<link rel=canonical href=\"http://foo.com/en/1\">')</script>"
+    pages = spark.createDataFrame([(1, "http://ok.test/", page), (2, "http://ok.test/2", '<link rel=canonical href="http://foo.com:80/%65n/1">'), (3, "http://foo.com/en/1", None)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in op.judge(pages, op.rules_frame(spark, RULES)).collect()} == {1: "allow", 2: "block", 3: "block"}
