@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import CACHES, lean, materialize, new_path, ship
 from .hashing import span_hashes
 
-PARTS, PIECES, JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 2_000_000, 300_000, 500, 3 << 19, 1 << 20, 32 << 20
+#: What a worker keeps: parts (about 36 bytes each), the latest of them, and pieces.
+PARTS, LATEST, PIECES = 1_000_000, 50_000, 100_000
+JOINED_WORDS, RUN_CHARS, FRAME_BYTES, SHARD_TEXT_BYTES = 500, 3 << 19, 1 << 20, 32 << 20
 NULL_ID = -(1 << 63)
 
 # Magic numbers of the public zstd seekable format.
@@ -115,8 +117,7 @@ class Encoder:
         raw = data.tobytes()
         texts_of_new = [raw[a:b].decode() for a, b in zip(first[where[new]].tolist(), last[where[new]].tolist(), strict=True)]
         known.add(hashes[new], marks[where[new]], self._parts(texts_of_new))
-        place = np.searchsorted(known.hashes, hashes)
-        flat, begin, sizes = known.ids, known.begin[place], known.sizes[place]
+        flat, begin, sizes = known.codes(hashes)
         each = sizes[which]
         upto = np.cumsum(each)
         ids = flat[np.repeat(begin[which] - (upto - each), each) + np.arange(upto[-1])].tobytes()
@@ -169,36 +170,74 @@ def _split_part(part: str) -> list[str]:
     return _PIECE.findall(" " + part)
 
 
+class _Parts:
+    """Codes of parts by hash and mark, in flat arrays in the order of hashes."""
+
+    def __init__(self, hashes: np.ndarray, marks: np.ndarray, sizes: np.ndarray, ids: np.ndarray, begin: np.ndarray | None = None):
+        self.hashes, self.marks, self.sizes, self.ids = hashes, marks, sizes.astype(np.int32), ids
+        self.begin = (np.cumsum(sizes) - sizes if begin is None else begin).astype(np.int32)
+
+    @classmethod
+    def none(cls) -> _Parts:
+        zero = np.zeros(0, np.uint64)
+        return cls(zero, zero, np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is, and whether it is."""
+        if not len(self):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+        return at, self.hashes[at] == hashes
+
+    def joined(self, other: _Parts) -> _Parts:
+        order = np.argsort(hashes := np.concatenate([self.hashes, other.hashes]), kind="stable")
+        both = lambda a, b: np.concatenate([a, b])[order]
+        begin = both(self.begin, other.begin + len(self.ids))
+        return _Parts(hashes[order], both(self.marks, other.marks), both(self.sizes, other.sizes), np.concatenate([self.ids, other.ids]), begin)
+
+
 class _Known:
-    """Codes of parts by hash and mark, in flat arrays; emptied when it holds too many."""
+    """What an encoder keeps of the parts that it has seen: many in one table, the latest in a small one, so that what is new
+    is not sorted in among all others each time. Emptied when it holds too many."""
 
     def __init__(self):
-        self.hashes, self.marks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.begin, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, "<u4")
+        self.tables = [_Parts.none(), _Parts.none()]
 
     def missing(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Places of those of the sorted hashes that are not there; all of them if one is there for another part."""
-        if len(self.hashes) > PARTS:
-            self.__init__()
-        if not len(self.hashes):
-            return np.arange(len(hashes))
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        there = self.hashes[at] == hashes
-        if (self.marks[at[there]] != marks[there]).any():
+        if sum(map(len, self.tables)) > PARTS:
             self.__init__()
-            return np.arange(len(hashes))
+        there = np.zeros(len(hashes), bool)
+        for table in self.tables:
+            at, hit = table.find(hashes)
+            if (table.marks[at[hit]] != marks[hit]).any():
+                self.__init__()
+                return np.arange(len(hashes))
+            there |= hit
         return np.flatnonzero(~there)
 
     def add(self, hashes: np.ndarray, marks: np.ndarray, codes: list[bytes]) -> None:
         sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
-        begin = np.cumsum(sizes) - sizes + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(codes), "<u4")])
-        order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
-        self.hashes = both[order]
-        self.marks = np.concatenate([self.marks, marks])[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        many, few = self.tables
+        few = few.joined(_Parts(hashes, marks, sizes, np.frombuffer(b"".join(codes), "<u4")))
+        if len(few) > max(LATEST, len(many) // 4):
+            many, few = many.joined(few), _Parts.none()
+        self.tables = [many, few]
+
+    def codes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``ids, begin, sizes``: where the codes of hashes that are there stand in the ids."""
+        many, few = self.tables
+        (at, hit), (other, _) = many.find(hashes), few.find(hashes)
+        begin, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        begin[hit], sizes[hit] = many.begin[at[hit]], many.sizes[at[hit]]
+        # the ids of the small table stand after those that are taken from the large one
+        taken = np.repeat(begin[hit] - (np.cumsum(sizes[hit]) - sizes[hit]), sizes[hit]) + np.arange(sizes[hit].sum())
+        begin[hit] = np.cumsum(sizes[hit]) - sizes[hit]
+        begin[~hit], sizes[~hit] = few.begin[other[~hit]] + len(taken), few.sizes[other[~hit]]
+        return np.concatenate([many.ids[taken], few.ids]), begin, sizes
 
 
 _PAIRS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u202f", "\u205f", "\u3000")
@@ -232,34 +271,51 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def pack_shard(documents: Iterator[tuple[int, bytes]], end_id: int, width: int) -> bytes:
-    """One token file. ``documents``: ids and their 32-bit tokens, in order; ``width``: bytes per id, 2 or 4."""
-    packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    frames, table, index, buffer, held = [], [], [], [], 0
-
-    def flush() -> None:
-        nonlocal buffer, held
-        if buffer:
-            raw = np.frombuffer(b"".join(buffer), "<u4").astype(f"<u{width}").tobytes()
-            frames.append(packer.compress(raw))
-            table.append((len(frames[-1]), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-            buffer, held = [], 0
+class Packer:
+    """Builds one token file. Ids are compressed as soon as they fill a frame, so it holds one frame of ids, and of all other
+    documents only compressed frames and 32 bytes each."""
 
-    for doc, ids in documents:
+    def __init__(self, end_id: int, width: int):
+        """``width``: bytes per id, 2 or 4."""
+        self.width, self.end = width, np.array([end_id], dtype="<u4").tobytes()
+        self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
+        self.frames: list[bytes] = []
+        self.table: list[tuple[int, int, int]] = []
+        self.index, self.buffer, self.held, self.size = array("q"), [], 0, 0
+
+    def _flush(self) -> None:
+        raw = np.frombuffer(b"".join(self.buffer), "<u4").astype(f"<u{self.width}").tobytes()
+        self.frames.append(self.packer.compress(raw))
+        self.table.append((len(self.frames[-1]), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+        self.buffer, self.held = [], 0
+
+    def add(self, doc: int, ids: bytes) -> None:
+        """A document's 32-bit tokens; documents come in order."""
         size = len(ids) // 4 + 1
-        if held and (held + size) * width > FRAME_BYTES:
-            flush()
-        index.append((doc, len(frames), held, size))
-        buffer += (ids, end)
-        held += size
-    flush()
-    entries = np.array(index, dtype="<i8").reshape(-1, 4)
-    body = struct.pack("<II", width, len(entries)) + zstandard.ZstdCompressor(level=3).compress(entries.T.tobytes())
-    frames.append(struct.pack("<II", SKIPPABLE_INDEX, len(body)) + body)
-    table.append((len(frames[-1]), 0, 0))
-    seek = b"".join(struct.pack("<III", *x) for x in table) + struct.pack("<IB", len(table), 0x80) + TAIL
-    return b"".join(frames) + struct.pack("<II", SKIPPABLE_SEEK, len(seek)) + seek
+        if self.held and (self.held + size) * self.width > FRAME_BYTES:
+            self._flush()
+        self.index.extend((doc, len(self.frames), self.held, size))
+        self.buffer += (ids, self.end)
+        self.held += size
+        self.size += size * self.width
+
+    def finish(self) -> bytes:
+        if self.buffer:
+            self._flush()
+        entries = np.frombuffer(self.index, "<i8").reshape(-1, 4)
+        body = struct.pack("<II", self.width, len(entries)) + zstandard.ZstdCompressor(level=3).compress(entries.T.tobytes())
+        self.frames.append(struct.pack("<II", SKIPPABLE_INDEX, len(body)) + body)
+        self.table.append((len(self.frames[-1]), 0, 0))
+        seek = b"".join(struct.pack("<III", *x) for x in self.table) + struct.pack("<IB", len(self.table), 0x80) + TAIL
+        return b"".join([*self.frames, struct.pack("<II", SKIPPABLE_SEEK, len(seek)), seek])
+
+
+def pack_shard(documents: Iterator[tuple[int, bytes]], end_id: int, width: int) -> bytes:
+    """One token file of ids and their 32-bit tokens, in order."""
+    packer = Packer(end_id, width)
+    for doc, ids in documents:
+        packer.add(doc, ids)
+    return packer.finish()
 
 
 class TokenFile:
@@ -299,21 +355,19 @@ def _pack(tokenizer: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        held: list[tuple[int, bytes]] = []
-        size = 0
+        packer = Packer(end_id, width)
 
         def shard() -> pa.RecordBatch:
-            value = pack_shard(iter(held), end_id, width)
+            value = memoryview(packer.finish())
             return pa.RecordBatch.from_arrays([pa.array([value[: -len(TAIL)]], pa.binary())], ["value"])
 
         for batch in _slices(batches):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(_texts(batch)), strict=True):
-                held.append((doc, ids))
-                size += len(ids)
-                if size >= shard_bytes:
+                packer.add(doc, ids)
+                if packer.size >= shard_bytes:
                     yield shard()
-                    held, size = [], 0
-        if held:
+                    packer = Packer(end_id, width)
+        if packer.size:
             yield shard()
 
     return run
@@ -323,14 +377,14 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode every document, append ``end_id``, and write token files under ``path`` in ascending order of ids.
 
     Ranges are cut by id and, inside one id, by a hash of the text, so one id of very many rows is dealt over tasks. A
-    task whose range is larger than expected writes several files, so what it holds is bounded.
+    task whose range is larger than expected writes several files of at most ``shard_text_bytes`` of ids and one document.
     """
     ship(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col(doc).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
     keyed = docs.withColumn("mark", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(max(1, -(-total // shard_text_bytes)), "doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
-    packed = ordered.mapInArrow(lean(_pack(tokenizer, end_id, 4 * shard_text_bytes), tokenizer), "value binary")
+    packed = ordered.mapInArrow(lean(_pack(tokenizer, end_id, shard_text_bytes), tokenizer), "value binary")
     values = packed.select(F.col("value").cast("string"))
     values.write.option("encoding", "ISO-8859-1").option("lineSep", TAIL.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
