@@ -205,6 +205,7 @@ class _Known:
 
     def __init__(self):
         self.tables = [_Parts.none(), _Parts.none()]
+        self.looked_up: tuple = (None, None)
 
     def missing(self, hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Places of those of the sorted hashes that are not there; all of them if one is there for another part."""
@@ -213,6 +214,8 @@ class _Known:
         there = np.zeros(len(hashes), bool)
         for table in self.tables:
             at, hit = table.find(hashes)
+            if table is self.tables[0]:
+                self.looked_up = (table, (at, hit))
             if (table.marks[at[hit]] != marks[hit]).any():
                 self.__init__()
                 return np.arange(len(hashes))
@@ -228,9 +231,10 @@ class _Known:
         self.tables = [many, few]
 
     def codes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``ids, begin, sizes``: where the codes of hashes that are there stand in the ids."""
+        """``ids, begin, sizes``: where the codes of the hashes last asked for, all there by now, stand in the ids."""
         many, few = self.tables
-        (at, hit), (other, _) = many.find(hashes), few.find(hashes)
+        at, hit = self.looked_up[1] if self.looked_up[0] is many else many.find(hashes)
+        other, _ = few.find(hashes)
         begin, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         begin[hit], sizes[hit] = many.begin[at[hit]], many.sizes[at[hit]]
         # the ids of the small table stand after those that are taken from the large one
