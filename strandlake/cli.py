@@ -95,7 +95,7 @@ def _ingest(spark: SparkSession, a: argparse.Namespace, command: str) -> None:
     contigs = contigs_of_files(spark, files, a.concatenated)
     command = "" if a.no_command else command
     if a.verb == "create":
-        Collection.create(contigs, a.out, a.k, a.segment_size, a.min_match, a.pack_cardinality, a.adaptive, command, a.fallback, a.concatenated)
+        Collection.create(contigs, a.out, a.k, a.segment_size, a.min_match, a.pack_cardinality, a.adaptive, command, a.fallback, a.concatenated, overwrite=True)
     else:
         Collection(spark, a.out).append(contigs, a.adaptive, command, a.fallback)
     if not a.concatenated:
@@ -164,8 +164,7 @@ def run(spark: SparkSession, argv: list[str]) -> Iterator[str]:
                 write_file(spark.createDataFrame([(0, "".join(text))], "n int, value string"), ["n"], a.out)
             return
         if a.verb == "getcol":
-            contigs = c.contigs_with_sequences()
-            contigs = contigs.where("sample_ord > 0") if a.no_reference else contigs
+            contigs = c.contigs_with_sequences(skip_reference=a.no_reference)
             if a.out:
                 write_samples(contigs, a.out, a.width, a.gzip)
             else:

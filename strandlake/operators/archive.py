@@ -6,12 +6,18 @@
     groups     group_id, key1, key2, ref_seq            one row per group, stored by the batch that created it
     deltas     group_id, in_group_id, pack, delta       code against the group's reference; letters in raw groups
     splitters  ck
-    params, commands
+    fallback   ck, key1, key2, forward                  sampled k-mers of the reference, where a batch made them
+    _log       one file per commit: parameters, commands, names of batches
 
-Every table is partitioned by ``batch``; a batch counts once its row in ``commands`` is there, and a batch that failed is
-overwritten when it is run again. ``create`` and ``append`` treat a call as one step: a segment may join a group of an
-earlier sample or batch, all in one plan, without a loop over samples. The contigs of a call are stored once and read from
-there.
+Every table is partitioned by ``batch``, whose name no two writers share; a batch counts once a commit lists it (see
+``commits``). Contigs and segments lie in blocks of ``SAMPLES_PER_BLOCK`` samples, groups and deltas in blocks of
+``GROUPS_PER_BLOCK`` ids, sorted inside: a query first finds its segments, in the blocks of its samples, and then reads
+only the blocks and row groups that hold their groups.
+
+``create`` and ``append`` treat a call as one step: a segment may join a group of an earlier sample or batch, all in one
+plan, without a loop over samples. The contigs of a call are stored once and read from there. ``append`` starts from the
+latest commit and is repeated if another writer commits first, so nothing is lost; a collection that is replaced has an id
+of its own, and handles on the old one can't add to it.
 
 Segments with two terminal k-mers belong to the group of their ordered pair. *Settled* groups are those of earlier batches,
 in a new collection those of the reference sample; they are known before any segment is placed, so what follows does not
@@ -29,6 +35,7 @@ Equal codes of a group are stored once. A member equal to its group's reference
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -40,9 +47,31 @@ from ..functions import base64_name, contig_query, normalised_range, reverse_com
 from ..sources.shipping import ship
 from . import catalog, grouping, kmers, segmentation
 from .codec import Coder, decode_rows, encode_rows
-
-SAVING, LAYOUT = 16, 2
-CONTIGS = ("sample_ord", "sample", "contig_ord", "contig", "contig_full", "seq")
+from .commits import Log
+
+SAVING, LAYOUT = 16, 3
+#: Width of the blocks of the tables. Ids of groups that a query looks up by value; of more, whole tables are joined. How often an
+#: append is begun anew when other writers commit first.
+SAMPLES_PER_BLOCK, GROUPS_PER_BLOCK, MOST_IDS, TRIES = 64, 4096, 10_000, 20
+TABLES = {
+    "samples": "sample_ord int, sample string",
+    "contigs": "sample_ord int, sample string, contig_ord int, contig string, contig_full string, length long, n_segments int",
+    "segments": "sample_ord int, contig_ord int, place int, start long, raw_length long, group_id long, in_group_id long, is_rev_comp boolean",
+    "groups": "group_id long, key1 string, key2 string, ref_seq string",
+    "deltas": "group_id long, in_group_id long, pack long, delta string",
+    "splitters": "ck string",
+    "fallback": "ck string, key1 string, key2 string, forward boolean",
+}
+#: How the tables with blocks are cut: width of a block of the first column; columns by which rows are sorted in it.
+BLOCKS = {
+    "contigs": ("sample_ord", SAMPLES_PER_BLOCK, ("sample_ord", "contig_ord")),
+    "segments": ("sample_ord", SAMPLES_PER_BLOCK, ("sample_ord", "contig_ord", "place")),
+    "groups": ("group_id", GROUPS_PER_BLOCK, ("group_id",)),
+    "deltas": ("group_id", GROUPS_PER_BLOCK, ("group_id", "in_group_id")),
+}
+#: Rows of one value of the first column that a task writes: of a larger group or sample, many tasks do.
+ROWS_TOGETHER = 1 << 14
+NAMES = ("sample_ord", "sample", "contig_ord", "contig", "contig_full")
 # Fixed values: (default, least, most) of every parameter; values outside are moved to the nearest bound.
 PARAMETERS = {"k": (31, 17, 32), "min_match": (20, 15, 32), "segment_size": (60_000, 100, 1_000_000), "pack_cardinality": (50, 1, 1_000_000_000), "fallback": (0.0, 0.0, 0.05)}
 # Votes that a fallback candidate needs, by terminal k-mers that the segment has; segments of collections
@@ -71,35 +100,110 @@ def _costs(min_match: int):
     return run
 
 
+_BEST = "sample_ord int, contig_ord int, place int, cost long, key1 string, key2 string, is_rev_comp boolean"
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")
+
+
+def _nearest_first(min_match: int):
+    """For the segments and the groups of a cell, every segment's best group: ``arrival, cost, key1, key2, is_rev_comp``.
+
+    Groups are visited in the order of how near their length is to that of the segments, each is indexed once, and what a
+    segment has found so far bounds what another group may cost."""
+
+    def one(asked: list[dict], groups: list[dict]) -> Iterator[tuple]:
+        middle = sorted(r["raw_length"] for r in asked)[len(asked) // 2]
+        best = [(r["bound"], r["b1"], r["b2"], r["b_rc"]) if r["b1"] is not None else (len(r["seq"]), None, None, None) for r in asked]
+        turned: dict[int, str] = {}
+        for g in sorted(groups, key=lambda g: (abs(len(g["ref_seq"]) - middle), len(g["ref_seq"]), g["key1"], g["key2"])):
+            coder = None
+            for i, r in enumerate(asked):
+                if g["first_sample"] >= r["sample_ord"]:
+                    continue
+                coder = coder or Coder(g["ref_seq"], min_match)
+                forward = r["at_front"] == (g["own"] == g["key1"])  # in a group's direction its smaller k-mer comes first
+                if not forward and i not in turned:
+                    turned[i] = r["seq"].translate(_COMPLEMENT)[::-1]
+                cost = coder.cost(r["seq"] if forward else turned[i], best[i][0])
+                found = (cost, g["key1"], g["key2"], not forward)
+                if cost < best[i][0] or (cost == best[i][0] and (best[i][1] is None or found < best[i])):
+                    best[i] = found
+        for r, b in zip(asked, best, strict=True):
+            if b[1] is not None:
+                yield r["sample_ord"], r["contig_ord"], r["place"], *b
+
+    def run(asked: pa.Table, groups: pa.Table) -> pa.Table:
+        cells: dict[tuple, tuple[list, list]] = {}
+        for side, table in enumerate((asked, groups)):
+            for r in table.to_pylist():
+                cells.setdefault((r["own"], r["part"], r["chunk"]), ([], []))[side].append(r)
+        rows = [x for a, g in cells.values() if a and g for x in one(a, g)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+        return pa.table([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], [x.split()[0] for x in _BEST.split(", ")])
+
+    return run
+
+
+#: Letters of segments, and of groups, that a task compares at a time.
+SIDE = 16 << 20
+
+
 def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int) -> DataFrame:
     """For segments with one terminal k-mer, the known group that codes them cheapest: arrival columns, ``key1, key2,
     is_rev_comp, cost``. Ties go to the smaller key, then to the segment's own direction. A group must be of an earlier
-    sample, and must save ``SAVING`` letters (or any, for shorter segments)."""
+    sample, and must save ``SAVING`` letters (or any, for shorter segments).
+
+    A splitter's groups are cut into chunks by length, its segments into parts, each of about ``SIDE`` letters, so no task
+    has all of a hot one, and no row is made for a segment and a group; small ones are put together in cells. Segments meet the chunk nearest in length first;
+    what they find there bounds the search in the others.
+    """
     ship(one_sided.sparkSession)
-    ends = groups.where("key1 is not null and key2 is not null")
-    ends = ends.select("*", F.explode(F.array_distinct(F.array("key1", "key2"))).alias("own"))
-    asked = one_sided.select(*grouping.ARRIVAL, "raw_length", F.coalesce("front", "back").alias("own"), F.col("front").isNotNull().alias("at_front"), "seq")
-    joined = asked.join(ends, "own").where(F.col("first_sample") < F.col("sample_ord"))
-    # in a group's direction its smaller k-mer comes first
-    forward = F.col("at_front") == (F.col("own") == F.col("key1"))
-    turned = joined.select(*grouping.ARRIVAL, "raw_length", "key1", "key2", (~forward).alias("is_rev_comp"), "ref_seq", F.when(forward, F.col("seq")).otherwise(reverse_complement(F.col("seq"))).alias("body"))
-    schema = "sample_ord int, contig_ord int, place int, raw_length long, key1 string, key2 string, is_rev_comp boolean, cost long"
-    priced = turned.sortWithinPartitions("key1", "key2").mapInArrow(_costs(min_match), schema)
-    best = priced.groupBy(*grouping.ARRIVAL, "raw_length").agg(F.min(F.struct("cost", "key1", "key2", "is_rev_comp")).alias("b"))
+    arrival = list(grouping.ARRIVAL)
+    ends = groups.where("key1 is not null and key2 is not null").select("*", F.explode(F.array_distinct(F.array("key1", "key2"))).alias("own"))
+    asked = one_sided.select(*arrival, "raw_length", F.coalesce("front", "back").alias("own"), F.col("front").isNotNull().alias("at_front"), "seq")
+    # numbers only, without letters: one row per group and end
+    by_length = Window.partitionBy("own").orderBy("n", "key1", "key2")
+    sized = ends.select("own", "key1", "key2", F.char_length("ref_seq").cast("long").alias("n"))
+    placed = sized.withColumn("chunk", F.floor((F.sum("n").over(by_length) - F.col("n")) / SIDE))
+    middles = placed.groupBy("own", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")).groupBy("own").agg(F.sort_array(F.collect_list(F.struct("chunk", "low", "high"))).alias("chunks"))
+    parts = asked.groupBy("own").agg(F.ceil(F.sum("raw_length") / SIDE).alias("n_parts")).join(middles, "own")
+    away = lambda c: F.greatest(c["low"] - F.col("raw_length"), F.col("raw_length") - c["high"], F.lit(0))
+    first = F.array_min(F.transform("chunks", lambda c: F.struct(away(c).alias("away"), c["chunk"].alias("chunk"))))["chunk"]
+    rows = asked.join(parts, "own").withColumn("part", F.pmod(F.xxhash64(*arrival), F.col("n_parts"))).withColumn("chunk", first)
+    rows = rows.select(*arrival, "raw_length", "own", "at_front", "seq", "part", "chunk", F.size("chunks").alias("n_chunks"))
+    lettered = ends.join(placed.select("own", "key1", "key2", "chunk"), ["own", "key1", "key2"]).join(parts.select("own", "n_parts"), "own")
+    lettered = lettered.select("own", "key1", "key2", "first_sample", "ref_seq", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
+    letters = [asked.agg(F.sum("raw_length")).first()[0] or 0, placed.join(parts, "own").agg(F.sum(F.col("n") * F.col("n_parts"))).first()[0] or 0]
+    cells = max(int(one_sided.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(letters) // SIDE))
+    cell = F.pmod(F.xxhash64("own", "part", "chunk"), F.lit(cells)).alias("cell")
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.select("*", cell).groupBy("cell").cogroup(y.select("*", cell).groupBy("cell")).applyInArrow(_nearest_first(min_match), _BEST)
+
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("bound", "long"), ("b1", "string"), ("b2", "string"), ("b_rc", "boolean"))]
+    best = met(rows.select("*", *none), lettered)
+    # only segments of splitters with more groups than one chunk have others to meet
+    known = best.select(*arrival, F.col("cost").alias("bound"), F.col("key1").alias("b1"), F.col("key2").alias("b2"), F.col("is_rev_comp").alias("b_rc"))
+    others = rows.where("n_chunks > 1").join(known, arrival, "left")
+    others = others.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks").cast("long") - 1))).where("other <> chunk").withColumn("chunk", F.col("other")).drop("other")
+    best = best.unionByName(met(others, lettered.join(middles.where(F.size("chunks") > 1).select("own"), "own", "left_semi")))
+    best = best.groupBy(*arrival).agg(F.min(F.struct("cost", "key1", "key2", "is_rev_comp")).alias("b")).join(one_sided.select(*arrival, "raw_length"), arrival)
     bound = F.when(F.col("raw_length") < SAVING, F.col("raw_length")).otherwise(F.col("raw_length") - SAVING)
-    return best.where(F.col("b.cost") <= bound).select(*grouping.ARRIVAL, "b.key1", "b.key2", "b.is_rev_comp", "b.cost")
+    return best.where(F.col("b.cost") <= bound).select(*arrival, "b.key1", "b.key2", "b.is_rev_comp", "b.cost")
 
 
 class Collection:
     """An archive opened for reading and appending."""
 
     def __init__(self, spark: SparkSession, path: str, prefetch: bool = False):
-        """``prefetch``: keep what is read of groups and codes in the executors' memory until :meth:`close`."""
+        """The collection as the last commit has it. ``prefetch``: keep what is read of groups and codes in the executors'
+        memory until :meth:`close`."""
         self.spark, self.path = spark, path.rstrip("/")
         self._kept: dict[str, DataFrame] | None = {} if prefetch else None
-        rows = spark.read.parquet(f"{self.path}/params").collect()  # one row
-        self.k, self.min_match, self.segment_size, self.pack_cardinality, self.fallback, self.concatenated = (rows[0][n] for n in (*PARAMETERS, "concatenated"))
-        self.batches = sorted(r["batch"] for r in spark.read.parquet(f"{self.path}/commands").select("batch").distinct().collect())
+        self.number, self.state = Log(spark, self.path).latest()
+        if self.state is None:
+            raise FileNotFoundError(f"no collection at {self.path}")
+        self.k, self.min_match, self.segment_size, self.pack_cardinality, self.fallback, self.concatenated = (self.state["parameters"][n] for n in (*PARAMETERS, "concatenated"))
+        self.batches = [x["batch"] for x in self.state["batches"]]
 
     # building
 
@@ -116,46 +220,91 @@ class Collection:
         command: str = "create",
         fallback: float | None = None,
         concatenated: bool = False,
+        overwrite: bool = False,
+        marker: str | None = None,
     ) -> Collection:
-        """``contigs``: ``sample_ord, sample, contig_ord, contig, contig_full, seq``; sample 0 is the reference.
+        """``contigs``: ``sample_ord, sample, contig_ord, contig, contig_full, seq``, or with ``offset, part`` instead of the
+        letters contigs in parts; sample 0 is the reference.
         ``fallback``: share of k-mers that are sampled. ``concatenated``: contigs that are samples of their own are never
-        cut in two for a missing k-mer between them."""
+        cut in two for a missing k-mer between them. A collection that is there already is an error, or with ``overwrite``
+        replaced once the new one is complete; readers that have it open go on reading it. ``marker``: see :meth:`append`."""
         spark, path = contigs.sparkSession, path.rstrip("/")
         given = {"k": k, "min_match": min_match, "segment_size": segment_size, "pack_cardinality": pack_cardinality, "fallback": fallback}
         values = {name: clamp(name, value) for name, value in given.items()} | {"concatenated": concatenated}
-        spark.createDataFrame([values], "k int, min_match int, segment_size int, pack_cardinality int, fallback double, concatenated boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
-        stored = _stage(contigs.select(*CONTIGS), path, 0, "contigs")
+        log = Log(spark, path)
+        number, there = log.latest()
+        if there and not overwrite:
+            raise FileExistsError(f"there is a collection at {path}")
+        batch = _batch_name(0)
+        stored = _stage(contigs.select(*NAMES, *_letters(contigs)), path, batch, "contigs")
         _named_once(stored)
         reference = stored.where("sample_ord = 0")
-        _write(segmentation.select_splitters(reference, values["k"], values["segment_size"]).sortWithinPartitions("ck"), path, "splitters", 0)
-        _ingest(spark, stored, path, 0, values, command, adaptive)
+        _write(segmentation.select_splitters(reference, values["k"], values["segment_size"]), path, "splitters", batch)
+        _ingest(spark, stored, path, batch, values, adaptive)
+        state = {"collection": uuid.uuid4().hex, "parameters": values, "batches": [_entry(batch, command, values["fallback"], marker)]}
+        done = log.commit(number + 1, state)
+        _clean(log, path, batch, done)
+        if not done:
+            raise FileExistsError(f"another writer has made a collection at {path}")
         return cls(spark, path)
 
-    def append(self, contigs: DataFrame, adaptive: bool = False, command: str = "append", fallback: float | None = None) -> Collection:
-        """Adds samples; ``sample_ord`` restarts after the last. A sample name that is already there is an error.
-        ``fallback`` is that of the collection if not given."""
+    def append(self, contigs: DataFrame, adaptive: bool = False, command: str = "append", fallback: float | None = None, marker: str | None = None) -> Collection:
+        """Adds samples to the latest state; ``sample_ord`` goes on after the last. A sample name that is already there is an
+        error. ``fallback`` is that of the collection if not given. ``marker``: a name that is committed with the batch."""
+        log = Log(self.spark, self.path)
+        for _ in range(TRIES):
+            latest = Collection(self.spark, self.path)
+            if latest.state["collection"] != self.state["collection"]:
+                raise ValueError(f"the collection at {self.path} was replaced")
+            batch = _batch_name(len(latest.batches))
+            try:
+                values = latest._add(contigs, batch, adaptive, fallback)
+                state = {**latest.state, "batches": [*latest.state["batches"], _entry(batch, command, values["fallback"], marker)]}
+                done = log.commit(latest.number + 1, state)
+            except BaseException:
+                _clean(log, self.path, batch, False)
+                raise
+            _clean(log, self.path, batch, done)
+            if done:
+                return Collection(self.spark, self.path)
+        raise RuntimeError(f"other writers committed first, {TRIES} times")
+
+    def _add(self, contigs: DataFrame, batch: str, adaptive: bool, fallback: float | None) -> dict:
+        """Write a batch, which no commit lists yet."""
         clash = contigs.select("sample").distinct().join(self.table("samples"), "sample", "left_semi").limit(1).collect()
         if clash:
             raise ValueError(f"sample {clash[0]['sample']!r} is already in the collection")
-        batch = self.batches[-1] + 1
         base = self.table("samples").agg(F.coalesce(F.max("sample_ord"), F.lit(-1))).first()[0] + 1
         least = contigs.agg(F.min("sample_ord")).first()[0]
         moved = contigs.withColumn("sample_ord", (F.col("sample_ord") - F.lit(least or 0) + base).cast("int"))
         values = {n: getattr(self, n) for n in (*PARAMETERS, "concatenated")}
         values["fallback"] = self.fallback if fallback is None else clamp("fallback", fallback)
-        stored = _stage(moved.select(*CONTIGS), self.path, batch, "contigs")
+        stored = _stage(moved.select(*NAMES, *_letters(moved)), self.path, batch, "contigs")
         _named_once(stored)
-        _ingest(self.spark, stored, self.path, batch, values, command, adaptive, self)
-        return Collection(self.spark, self.path)
+        _ingest(self.spark, stored, self.path, batch, values, adaptive, self)
+        return values
 
     # reading
 
     def table(self, name: str) -> DataFrame:
         """A table's committed batches."""
-        found = self.spark.read.parquet(f"{self.path}/{name}").where(F.col("batch").isin(self.batches)).drop("batch")
+        return self._rows(name).drop("block")
+
+    def _rows(self, name: str) -> DataFrame:
+        """The same with ``block`` where the table has blocks; predicates on it choose folders."""
         if self._kept is None or name not in ("groups", "deltas"):
-            return found
-        return self._kept.setdefault(name, found.persist())
+            return _read(self.spark, self.path, name, self.batches)
+        if name not in self._kept:
+            self._kept[name] = _read(self.spark, self.path, name, self.batches).persist()
+        return self._kept[name]
+
+    def _of(self, name: str, ids: list[int] | None) -> DataFrame:
+        """Rows of a table with these values in its first column, read from their blocks only; all rows if ``ids`` is None."""
+        column, width, _ = BLOCKS[name]
+        found = self._rows(name)
+        if ids is not None:
+            found = found.where(F.col("block").isin(sorted({i // width for i in ids})) & F.col(column).isin(ids))
+        return found.drop("block")
 
     def close(self) -> None:
         for df in (self._kept or {}).values():
@@ -172,19 +321,27 @@ class Collection:
     def contigs(self) -> DataFrame:
         return self.table("contigs")
 
-    def decoded(self, segments: DataFrame) -> DataFrame:
-        """Segments with their letters ``seq``, in the contig's own direction."""
-        groups = self.table("groups").select("group_id", "ref_seq")
-        codes = self.table("deltas").select("group_id", "in_group_id", F.col("delta").alias("body"))
+    def decoded(self, segments: DataFrame, ids: list[int] | None = None) -> DataFrame:
+        """Segments with their letters ``seq``, in the contig's own direction. ``ids``: the groups that they belong to, if
+        these are few."""
+        groups = self._of("groups", ids).select("group_id", "ref_seq")
+        codes = self._of("deltas", ids).select("group_id", "in_group_id", F.col("delta").alias("body"))
         joined = segments.join(codes, ["group_id", "in_group_id"], "left").join(groups, "group_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
         columns = [c for c in joined.columns if c not in ("ref_seq", "body")]
         plain = decode_rows(joined.select(*columns, "ref_seq", "body"), self.min_match)
         return plain.withColumn("seq", F.when(F.col("is_rev_comp"), reverse_complement(F.col("body"))).otherwise(F.col("body"))).drop("body")
 
-    def contigs_with_sequences(self, wanted: DataFrame | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    def _ids(self, segments: DataFrame) -> list[int] | None:
+        """The groups of some segments, or None if they are more than ``MOST_IDS``."""
+        found = segments.select("group_id").distinct().limit(MOST_IDS + 1).collect()
+        return None if len(found) > MOST_IDS else sorted(r["group_id"] for r in found)
+
+    def contigs_with_sequences(self, wanted: DataFrame | None = None, low: int | None = None, high: int | None = None, samples: list[int] | None = None, skip_reference: bool = False) -> DataFrame:
         """Whole contigs, or letters ``low`` to ``high`` of each (counted from 0, both included) by decoding only the
-        segments that hold them. ``wanted``: ``sample_ord, contig_ord`` rows to keep."""
-        found, names = self.table("segments"), self.contigs()
+        segments that hold them. ``wanted``: ``sample_ord, contig_ord`` rows to keep; ``samples``: their numbers."""
+        found, names = self._of("segments", samples), self._of("contigs", samples)
+        if skip_reference:
+            found, names = (x.where("sample_ord > 0") for x in (found, names))
         if wanted is not None:
             keys = wanted.select("sample_ord", "contig_ord").distinct()
             found, names = (x.join(keys, ["sample_ord", "contig_ord"], "left_semi") for x in (found, names))
@@ -192,26 +349,27 @@ class Collection:
         text = self._assembled(found, ["sample_ord", "contig_ord"])
         return names.join(text, ["sample_ord", "contig_ord"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
 
-    def _pieces(self, spans: DataFrame, by: list[str]) -> DataFrame:
+    def _pieces(self, spans: DataFrame, by: list[str], few: bool = False) -> DataFrame:
         """``by, begin, t``: the letters that each segment gives to the range ``low`` to ``high`` wanted of its contig.
 
         Of the k letters that two neighbours share, the earlier gives them; segments outside the range are not decoded.
+        ``few``: look their groups up by id.
         """
         inside = spans.where("start <= high and start + raw_length > low")
-        parts = self.decoded(inside)
+        parts = self.decoded(inside, self._ids(inside) if few else None)
         begin = F.greatest(F.col("low"), F.col("start") + F.when(F.col("place") > 0, F.lit(self.k)).otherwise(F.lit(0)))
         end = F.least(F.col("high"), F.col("start") + F.col("raw_length") - 1)
         pieces = parts.select(*by, begin.alias("begin"), end.alias("end"), "start", "seq").where("begin <= end")
         cut = F.substring("seq", (F.col("begin") - F.col("start") + 1).cast("int"), (F.col("end") - F.col("begin") + 1).cast("int"))
         return pieces.select(*by, "begin", cut.alias("t"))
 
-    def _assembled(self, spans: DataFrame, by: list[str]) -> DataFrame:
+    def _assembled(self, spans: DataFrame, by: list[str], few: bool = False) -> DataFrame:
         """``by, seq``: the pieces of every contig, put together."""
-        listed = self._pieces(spans, by).select(*by, F.struct("begin", "t").alias("p")).groupBy(*by).agg(F.sort_array(F.collect_list("p")).alias("p"))
+        listed = self._pieces(spans, by, few).select(*by, F.struct("begin", "t").alias("p")).groupBy(*by).agg(F.sort_array(F.collect_list("p")).alias("p"))
         return listed.select(*by, F.array_join(F.col("p.t"), "").alias("seq"))
 
     def get_collection(self, skip_reference: bool = False) -> DataFrame:
-        return catalog.get_collection(self.contigs_with_sequences(), skip_reference)
+        return catalog.get_collection(self.contigs_with_sequences(skip_reference=skip_reference), skip_reference)
 
     def get_samples(self, names: list[str]) -> DataFrame:
         """Contigs of the named samples in argument order; a name that is missing is an error."""
@@ -219,22 +377,27 @@ class Collection:
         missing = asked.join(self.table("samples"), "sample", "left_anti").limit(1).collect()
         if missing:
             raise KeyError(missing[0]["sample"])
-        wanted = self.contigs().join(asked, "sample", "left_semi")
-        return catalog.get_samples(self.contigs_with_sequences(wanted), asked)
+        known = [r["sample_ord"] for r in self.table("samples").where(F.col("sample").isin(names)).collect()]  # no more than names
+        return catalog.get_samples(self.contigs_with_sequences(samples=known), asked)
 
     def get_contigs(self, queries: list[str]) -> DataFrame:
         """``query_ord, header, status, seq`` for ``contig[@sample][:from-to]`` strings. Malformed queries are left out;
         status is 0, or -1 for a missing and -2 for an ambiguous contig. Each query decodes only its own segments."""
         found = self.resolved(queries)
-        good = found.where("status = 0").select("query_ord", "sample_ord", "contig_ord", "low", "high")
-        joined = self._assembled(self.table("segments").join(good, ["sample_ord", "contig_ord"]), ["query_ord"])
+        spans = self._asked(found.where("status = 0").select("query_ord", "sample_ord", "contig_ord", "low", "high"))
+        joined = self._assembled(spans, ["query_ord"], few=True)
         return found.join(joined, "query_ord", "left").select("query_ord", "header", "status", F.when(F.col("status") == 0, F.coalesce("seq", F.lit(""))).alias("seq"))
 
+    def _asked(self, wanted: DataFrame) -> DataFrame:
+        """Segments of ``sample_ord, contig_ord`` rows, from the blocks of these samples if they are few."""
+        found = [r["sample_ord"] for r in wanted.select("sample_ord").distinct().limit(MOST_IDS + 1).collect()]
+        return self._of("segments", None if len(found) > MOST_IDS else found).join(wanted, ["sample_ord", "contig_ord"])
+
     def stream_records(self, wanted: DataFrame, width: int = 80) -> Iterator[str]:
         """FASTA text of ``place, header, sample_ord, contig_ord, low, high`` rows in order of ``place``, a segment at a
         time: neither a contig nor a partition of whole contigs is ever put together. A line goes on over segments."""
-        spans = self.table("segments").join(wanted.select("place", "sample_ord", "contig_ord", "low", "high").withColumnRenamed("place", "nth"), ["sample_ord", "contig_ord"])
-        pieces = self._pieces(spans, ["nth"]).select("nth", "begin", F.lit(None).cast("string").alias("header"), "t")
+        spans = self._asked(wanted.select("place", "sample_ord", "contig_ord", "low", "high").withColumnRenamed("place", "nth"))
+        pieces = self._pieces(spans, ["nth"], few=True).select("nth", "begin", F.lit(None).cast("string").alias("header"), "t")
         heads = wanted.select(F.col("place").alias("nth"), F.lit(-1).cast("long").alias("begin"), "header", F.lit("").alias("t"))
         left, open_line = "", False
         for row in heads.unionByName(pieces).orderBy("nth", "begin").toLocalIterator(prefetchPartitions=True):
@@ -258,17 +421,25 @@ class Collection:
         """``query_ord, header, status, sample_ord, contig_ord, low, high`` of contig queries; malformed ones are left out."""
         asked = self.spark.createDataFrame(list(enumerate(queries)), "query_ord int, query string").withColumn("q", contig_query(F.col("query"))).where("q.ok")
         parsed = asked.select("query_ord", F.col("q.contig").alias("contig"), F.col("q.sample").alias("asked_sample"), F.col("q.from").alias("from"), F.col("q.to").alias("to"))
-        named = self.contigs().select("sample", F.col("contig").alias("c"), "contig_full", "sample_ord", "contig_ord")
+        every = self.contigs()
+        if len(queries) <= MOST_IDS:  # the names reach the scan
+            every = every.where(F.col("contig").isin([r[0] for r in parsed.select(short_name(F.col("contig"))).distinct().collect()]))
+        named = every.select("sample", F.col("contig").alias("c"), "contig_full", "sample_ord", "contig_ord")
         fits = parsed.join(named, (short_name(F.col("contig")) == F.col("c")) & ((F.col("asked_sample") == "") | (F.col("asked_sample") == F.col("sample"))), "left")
         order = Window.partitionBy("query_ord").orderBy("sample_ord", "contig_ord")
         ranked = fits.select("*", F.row_number().over(order).alias("rank"), F.count("c").over(Window.partitionBy("query_ord")).alias("n")).where("rank = 1")
         status = F.when(F.col("n") == 0, catalog.MISSING).when((F.col("asked_sample") == "") & (F.col("n") > 1), catalog.AMBIGUOUS).otherwise(0)
         open_ended = (F.col("from") < 0) & (F.col("to") < 0)
         header = F.when(open_ended, F.col("contig_full")).otherwise(F.concat("contig_full", F.lit(":"), F.col("from").cast("string"), F.lit("-"), F.col("to").cast("string")))
-        return ranked.withColumn("r", normalised_range(F.col("from"), F.col("to"))).select("query_ord", header.alias("header"), status.alias("status"), "sample_ord", "contig_ord", F.col("r.from").alias("low"), F.col("r.to").alias("high"))
+        rows = ranked.withColumn("r", normalised_range(F.col("from"), F.col("to"))).select("query_ord", header.alias("header"), status.alias("status"), "sample_ord", "contig_ord", F.col("r.from").alias("low"), F.col("r.to").alias("high"))
+        return self.spark.createDataFrame(rows.collect(), rows.schema)  # a row per query of the caller
 
     # answers for one caller
 
+    def has_marker(self, marker: str) -> bool:
+        """Whether a batch was committed with this name."""
+        return any(x["marker"] == marker for x in self.state["batches"])
+
     def n_samples(self) -> int:
         return self.table("samples").count()
 
@@ -303,8 +474,9 @@ class Collection:
     def info(self) -> DataFrame:
         counts = self.contigs().agg(F.count(F.lit(1)).alias("n_contigs"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_letters"))
         samples = self.table("samples").agg(F.count(F.lit(1)).alias("n_samples"), F.min_by("sample", "sample_ord").alias("reference"))
-        log = self.spark.read.parquet(f"{self.path}/commands").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "at", "command"))), "\n").alias("commands"))
-        return counts.crossJoin(samples).crossJoin(log).crossJoin(self.spark.read.parquet(f"{self.path}/params"))  # single rows
+        shown = {n: self.state["parameters"][n] for n in (*PARAMETERS, "concatenated")} | {"commands": "\n".join(f"{x['at']} {x['command']}" for x in self.state["batches"])}
+        own = self.spark.createDataFrame([shown], "commands string, k int, min_match int, segment_size int, pack_cardinality int, fallback double, concatenated boolean")
+        return counts.crossJoin(samples).crossJoin(own)  # single rows
 
     def file_info(self) -> dict[str, str]:
         """What made the collection, and in which version of its layout."""
@@ -333,17 +505,56 @@ class Collection:
         return self.table("groups").select("key1", "key2", "group_id").orderBy("key1", "key2")
 
 
-def _write(df: DataFrame, path: str, table: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch}")
+def _write(df: DataFrame, path: str, table: str, batch: str) -> None:
+    """Write a batch of a table, in its blocks. Rows are dealt by block and, of one id, by runs of a second column, so that
+    no task has all of a large group or sample."""
+    where = f"{path}/{table}/batch={batch}"
+    if table not in BLOCKS:
+        df.write.mode("overwrite").parquet(where)
+        return
+    column, width, order = BLOCKS[table]
+    placed = df.withColumn("block", F.floor(F.col(column) / width).cast("long"))
+    run = [F.floor(F.col(order[1]) / ROWS_TOGETHER)] if len(order) > 1 else []
+    if table in ("contigs", "segments"):
+        run = [F.col(column), *run]
+    sorted_ = placed.repartition("block", *run).sortWithinPartitions("block", *order)
+    sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#contig", "true").partitionBy("block").parquet(where)
+
+
+def _read(spark: SparkSession, path: str, table: str, batches: list[str]) -> DataFrame:
+    """Batches of a table, with ``block`` if it has blocks."""
+    paths = [f"{path}/{table}/batch={b}" for b in batches]
+    if table not in BLOCKS:
+        return spark.read.schema(TABLES[table]).parquet(*paths)
+    return spark.read.schema(f"{TABLES[table]}, block long, batch string").option("basePath", f"{path}/{table}").parquet(*paths).drop("batch")
+
 
+def _batch_name(nth: int) -> str:
+    return f"b{nth:06d}-{uuid.uuid4().hex}"
 
-def _stage(df: DataFrame, path: str, batch: int, name: str) -> DataFrame:
+
+def _entry(batch: str, command: str, fallback: float, marker: str | None = None) -> dict:
+    return {"batch": batch, "command": command, "at": datetime.now(UTC).strftime("%a %b %e %H:%M:%S %Y"), "fallback": fallback, "marker": marker}
+
+
+def _clean(log: Log, path: str, batch: str, done: bool) -> None:
+    """Delete the steps of a batch, and its data where it was not committed."""
+    log.remove(f"{path}/_staging/{batch}")
+    for table in [] if done else TABLES:
+        log.remove(f"{path}/{table}/batch={batch}")
+
+
+def _stage(df: DataFrame, path: str, batch: str, name: str) -> DataFrame:
     """Store a step of a batch beside the tables and read it back."""
     where = f"{path}/_staging/{batch}/{name}"
     df.write.mode("overwrite").parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def _letters(contigs: DataFrame) -> tuple[str, ...]:
+    return ("offset", "part") if "part" in contigs.columns else ("seq",)
+
+
 def _named_once(contigs: DataFrame) -> None:
     """A sample that was registered is closed: no other may have its name."""
     twice = contigs.select("sample", "sample_ord").distinct().groupBy("sample").count().where("count > 1").limit(1).collect()
@@ -351,11 +562,6 @@ def _named_once(contigs: DataFrame) -> None:
         raise ValueError(f"sample {twice[0]['sample']!r} comes twice")
 
 
-def _splitters(spark: SparkSession, path: str, batches: list[int]) -> DataFrame:
-    """Of these batches only: those of one that failed do not count."""
-    return spark.read.parquet(f"{path}/splitters").where(F.col("batch").isin(batches)).select("ck")
-
-
 def _stored(c: str = "seq"):
     return F.when(F.col("is_rev_comp"), reverse_complement(F.col(c))).otherwise(F.col(c))
 
@@ -421,36 +627,37 @@ def by_votes(segments: DataFrame, sampled: DataFrame, mapped: DataFrame, settled
     return good.groupBy(*grouping.ARRIVAL).agg(F.min(F.struct("cost", "rank", "key1", "key2", "is_rev_comp")).alias("b")).select(*grouping.ARRIVAL, "b.key1", "b.key2", "b.is_rev_comp")
 
 
-def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, values: dict, command: str, adaptive: bool, known: Collection | None = None) -> None:
+def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, values: dict, adaptive: bool, known: Collection | None = None) -> None:
     k, arrival = values["k"], list(grouping.ARRIVAL)
     stage = lambda df, name: _stage(df, path, batch, name)
     batches = [*(known.batches if known else []), batch]
-    reference = contigs.where("sample_ord = 0") if known is None else known.contigs_with_sequences().where("sample_ord = 0")
+    reference = contigs.where("sample_ord = 0") if known is None else known.contigs_with_sequences(samples=[0])
     if adaptive:
-        before = _splitters(spark, path, batches)
+        before = _read(spark, path, "splitters", known.batches if known else [batch])
         new = segmentation.adaptive_splitters(contigs, before, reference, k, values["segment_size"])
         new = new.union(before) if known is None else new  # a new collection has one set
         _write(stage(new.distinct(), "splitters").sortWithinPartitions("ck"), path, "splitters", batch)
     elif known is not None:
         _write(spark.createDataFrame([], "ck string"), path, "splitters", batch)
-    splitters = _splitters(spark, path, batches)
+    splitters = _read(spark, path, "splitters", batches)
     found = segmentation.with_sequences(segmentation.segments(contigs, splitters, k), contigs)
     keyed = stage(segmentation.with_keys(found, k), "keyed")
     both = keyed.where("key1 is not null")
 
     if known is None:
         heads = grouping.first_seen(both.where("sample_ord = 0")).select("key1", "key2", "first.*")
-        settled = heads.join(both.where("sample_ord = 0").select(*arrival, _stored().alias("ref_seq")), arrival).select("key1", "key2", "ref_seq")
-        old = None
+        settled = stage(heads.join(both.where("sample_ord = 0").select(*arrival, _stored().alias("ref_seq")), arrival).select("key1", "key2", "ref_seq"), "settled")
+        old = touched = None
     else:
-        old = known.table("groups").select("group_id", "key1", "key2", "ref_seq")
+        old = known.table("groups")
         settled = old.where("key2 is not null").select("key1", "key2", "ref_seq")
-    settled = stage(settled, "settled")
+        touched = _touched(known, keyed)
     columns = [*arrival, "part", "start", "raw_length", "seq", "key1", "key2", "is_rev_comp"]
     own = both.withColumn("part", F.lit(0)).select(*columns)
     unsettled = both.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti")
     if not values["concatenated"]:
-        parts = stage(through_middle(unsettled, settled, k, values["min_match"]), "parts")
+        near = settled if touched is None else touched.where("key2 is not null").select("key1", "key2", "ref_seq")
+        parts = stage(through_middle(unsettled, near, k, values["min_match"]), "parts")
         if not parts.isEmpty():
             cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")
             bridged = parts.join(both.select(*arrival, "seq"), arrival).withColumn("seq", cut).select(*columns)
@@ -458,11 +665,15 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, valu
             unsettled = unsettled.join(parts.select(*arrival).distinct(), arrival, "left_anti")
     vote = None
     if values["fallback"] > 0:
-        rows = both.where("sample_ord = 0") if known is None else segmentation.with_keys(segmentation.with_sequences(segmentation.segments(reference, splitters, k), reference), k)
-        once = kmers.sampled_codes(reference, k, values["fallback"])
-        once = once.join(once.groupBy("ck").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("ck"), "ck", "left_semi")
-        mapped = grouping.fallback_map(once, rows, k).join(settled.select("key1", "key2"), ["key1", "key2"], "left_semi")
-        mapped, sampled = stage(mapped, "mapped"), stage(kmers.sampled_codes(contigs, k, values["fallback"]), "sampled")
+        mapped = None if known is None else _stored_map(known, values["fallback"])
+        if mapped is None:
+            rows = both.where("sample_ord = 0") if known is None else segmentation.with_keys(segmentation.with_sequences(segmentation.segments(reference, splitters, k), reference), k)
+            once = kmers.sampled_codes(reference, k, values["fallback"])
+            once = once.join(once.groupBy("ck").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("ck"), "ck", "left_semi")
+            found = grouping.fallback_map(once, rows, k).join(settled.select("key1", "key2"), ["key1", "key2"], "left_semi")
+            _write(found.select("ck", "key1", "key2", "forward"), path, "fallback", batch)
+            mapped = _read(spark, path, "fallback", [batch])
+        sampled = stage(kmers.sampled_codes(contigs, k, values["fallback"]), "sampled")
         vote = lambda segments, ends, name: stage(by_votes(segments, sampled, mapped, settled, values, VOTES[ends], adaptive), name)
 
         def revised(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -478,7 +689,8 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, valu
     opened = own.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti")
     heads = opened.groupBy("key1", "key2").agg(F.min(F.struct(*arrival, "part")).alias("f")).select("key1", "key2", "f.*")
     heads = heads.join(opened.select(*arrival, "part", _stored().alias("ref_seq")), [*arrival, "part"])
-    candidates = settled.select("key1", "key2", F.lit(-1).alias("first_sample"), "ref_seq").unionByName(heads.select("key1", "key2", F.col("sample_ord").alias("first_sample"), "ref_seq"))
+    near = settled if touched is None else touched.where("key2 is not null")
+    candidates = near.select("key1", "key2", F.lit(-1).alias("first_sample"), "ref_seq").unionByName(heads.select("key1", "key2", F.col("sample_ord").alias("first_sample"), "ref_seq"))
     if known is None:  # those of the reference sample are no earlier than that sample
         candidates = candidates.withColumn("first_sample", F.greatest("first_sample", F.lit(0)))
     single = keyed.where("(front is null) <> (back is null)")
@@ -512,10 +724,13 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, valu
         base = max(base, (known.table("groups").agg(F.max("group_id")).first()[0] or 0) + 1)
     numbered = grouping.numbered(fresh, arrival, base).select("group_id", "key1", "key2", *arrival)
     bodies = members.select(*arrival, F.col("body").alias("ref_seq"))
-    _write(numbered.join(bodies, arrival).select("group_id", "key1", "key2", "ref_seq").sortWithinPartitions("key1", "key2"), path, "groups", batch)
+    _write(numbered.join(bodies, arrival).select("group_id", "key1", "key2", "ref_seq"), path, "groups", batch)
 
-    groups = spark.read.parquet(f"{path}/groups/batch={batch}").select("group_id", "key1", "key2", "ref_seq")
-    groups = groups if old is None else groups.unionByName(old)
+    groups = _read(spark, path, "groups", [batch]).drop("block")
+    if old is not None:
+        own_keys = members.select(F.col("key1").alias("o1"), F.col("key2").alias("o2")).distinct()
+        ids = old.select("group_id", "key1", "key2").join(own_keys, same("o1", "o2"), "left_semi").select("group_id")
+        groups = groups.unionByName(_with_letters(known, ids))
     used = None if known is None else known.table("deltas").groupBy("group_id").agg(F.max("in_group_id").alias("used"))
     keys = [*arrival, "start", "raw_length", "is_rev_comp", "group_id"]
     g = groups.select("group_id", F.col("key1").alias("g1"), F.col("key2").alias("g2"), "ref_seq")
@@ -536,15 +751,33 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: int, valu
     raw = raw.join(raw_ids.select(*arrival, (F.col("n") + F.col("used") + 1).alias("in_group_id")), arrival)
     pack = F.floor((F.col("in_group_id") - 1) / values["pack_cardinality"]).alias("pack")
     stored = codes.unionByName(raw.select("group_id", "body", "in_group_id")).select("group_id", "in_group_id", pack, F.col("body").alias("delta"))
-    _write(stored.sortWithinPartitions("group_id", "in_group_id"), path, "deltas", batch)
-    mine = spark.read.parquet(f"{path}/deltas/batch={batch}").where(F.col("group_id") >= grouping.RAW_GROUPS).select("group_id", F.col("delta").alias("body"), "in_group_id")
+    _write(stored, path, "deltas", batch)
+    mine = _read(spark, path, "deltas", [batch]).where(F.col("group_id") >= grouping.RAW_GROUPS).select("group_id", F.col("delta").alias("body"), "in_group_id")
     ids = coded.join(mine, ["group_id", "body"], "left").select(*keys, F.coalesce("in_group_id", F.lit(0)).cast("long").alias("in_group_id"))
     every = ids.unionByName(raw.select(*keys, "in_group_id"))
     _write(every.select(*arrival, "start", "raw_length", "group_id", "in_group_id", "is_rev_comp"), path, "segments", batch)
-    every = spark.read.parquet(f"{path}/segments/batch={batch}")
+    every = _read(spark, path, "segments", [batch])
     lengths = catalog.lengths_from_segments(every, k)
-    named = contigs.select("sample_ord", "sample", "contig_ord", "contig", "contig_full").join(lengths, ["sample_ord", "contig_ord"], "left")
+    names = contigs.select(*NAMES)
+    named = (names.distinct() if "part" in contigs.columns else names).join(lengths, ["sample_ord", "contig_ord"], "left")
     _write(named.select("sample_ord", "sample", "contig_ord", "contig", "contig_full", F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("n_segments", F.lit(0)).cast("int").alias("n_segments")), path, "contigs", batch)
     _write(contigs.select("sample_ord", "sample").distinct(), path, "samples", batch)
-    at = datetime.now(UTC).strftime("%a %b %e %H:%M:%S %Y")
-    _write(spark.createDataFrame([(command, at)], "command string, at string").coalesce(1), path, "commands", batch)  # the commit
+
+
+def _touched(known: Collection, keyed: DataFrame) -> DataFrame:
+    """Groups with a splitter of a batch's segments at one end: what these segments may join, or are compared with."""
+    ends = keyed.select(F.explode(F.array_compact(F.array("front", "back"))).alias("ck")).distinct()
+    keys = known.table("groups").select("group_id", F.explode(F.array_compact(F.array("key1", "key2"))).alias("ck"))
+    return _with_letters(known, keys.join(ends, "ck", "left_semi").select("group_id").distinct())
+
+
+def _with_letters(known: Collection, ids: DataFrame) -> DataFrame:
+    """Groups of these ids; letters are read only from blocks that hold any."""
+    blocks = [r[0] for r in ids.select(F.floor(F.col("group_id") / GROUPS_PER_BLOCK)).distinct().collect()]  # one per block of ids
+    return known._rows("groups").where(F.col("block").isin(blocks)).join(ids, "group_id", "left_semi").select("group_id", "key1", "key2", "ref_seq")
+
+
+def _stored_map(known: Collection, fallback: float) -> DataFrame | None:
+    """The map of sampled k-mers that an earlier batch made, with this share of them."""
+    made = [x["batch"] for x in known.state["batches"] if x["fallback"] == fallback]
+    return _read(known.spark, known.path, "fallback", made[:1]) if made else None

@@ -32,6 +32,19 @@ def pieces(contigs: DataFrame, k: int, size: int = PIECE) -> DataFrame:
     return cut.withColumn("piece", F.substring(F.col("seq").cast("binary"), F.col("offset") + 1, F.lit(size + k - 1))).drop("seq")
 
 
+def aligned(parts: DataFrame, overlap: int, size: int = PIECE) -> DataFrame:
+    """``sample_ord, contig_ord, offset, piece``, as :func:`pieces` gives them with an overlap of k - 1, from contigs that are
+    read in parts (``offset, part``): letters go to the pieces that hold them, and a piece is put together from them."""
+    end = F.col("offset") + F.char_length("part")
+    first = F.floor(F.greatest(F.col("offset") - overlap, F.lit(0)) / size)
+    placed = parts.where("part <> ''").select("sample_ord", "contig_ord", "offset", "part", end.alias("end"), F.explode(F.sequence(first, F.floor((end - 1) / size))).alias("nth"))
+    low = F.greatest(F.col("offset"), F.col("nth") * size)
+    high = F.least(F.col("end"), (F.col("nth") + 1) * size + overlap)
+    cut = placed.where(low < high).select("sample_ord", "contig_ord", "nth", low.alias("low"), F.substring(F.col("part").cast("binary"), (low - F.col("offset") + 1).cast("int"), (high - low).cast("int")).cast("string").alias("t"))
+    whole = cut.groupBy("sample_ord", "contig_ord", "nth").agg(F.sort_array(F.collect_list(F.struct("low", "t"))).alias("p"))
+    return whole.select("sample_ord", "contig_ord", (F.col("nth") * size).alias("offset"), F.array_join(F.col("p.t"), "").cast("binary").alias("piece"))
+
+
 def canonical_kmers(contigs: DataFrame, k: int) -> DataFrame:
     """Every full window of k valid letters: ``sample_ord, contig_ord, end`` (0-based place of its last letter), ``kmer``
     and its canonical form ``ck``, as strings cut from the bytes of a piece and of its complement."""
@@ -93,8 +106,10 @@ def sampled(found: DataFrame, k: int, fraction: float) -> DataFrame:
 # the same windows as numbers, made in Arrow batches
 
 CODES = "sample_ord int, contig_ord int, end long, ck long, forward boolean"
-#: Splitters that are sent to all tasks, eight bytes each; more of them are joined.
+#: Splitters that are sent to all tasks, eight bytes each; of more of them, a filter is sent.
 MOST_SENT = 1 << 22
+#: The filter: bits for each splitter, at most so many in all (64 MB), and words of 64 bits that one task makes.
+FILTER_BITS, MOST_BITS, FILTER_SLICE = 12, 1 << 29, 1 << 16
 
 
 def _canonical(piece: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +168,8 @@ def _strings(k: int):
 
 def _spread(contigs: DataFrame, k: int) -> DataFrame:
     ship(contigs.sparkSession)
+    if "part" in contigs.columns:
+        return aligned(contigs, k - 1)
     n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return pieces(contigs.select("sample_ord", "contig_ord", "seq"), k).repartition(n, "sample_ord", "contig_ord", "offset")
 
@@ -169,12 +186,65 @@ def sampled_codes(contigs: DataFrame, k: int, fraction: float) -> DataFrame:
     return _spread(contigs, k).mapInArrow(_windows(k, keep, palindromes=False), CODES)
 
 
+def _filter_places(ck: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each value, its word in a filter and the four bits that it sets there."""
+    mixed = finalised(ck)
+    bits = np.zeros(len(ck), np.uint64)
+    for shift in (0, 6, 12, 18):
+        bits |= np.uint64(1) << ((mixed >> np.uint64(shift)) & np.uint64(63))
+    return ((mixed >> np.uint64(24)) % np.uint64(words)).astype(np.int64), bits
+
+
+def _filter_slice(words: int):
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("slice")[0].as_py()
+        word, bits = _filter_places(table.column("ck").to_numpy().view(np.uint64), words)
+        out = np.zeros(min(FILTER_SLICE, words - number * FILTER_SLICE), np.uint64)
+        np.bitwise_or.at(out, word - number * FILTER_SLICE, bits)
+        return pa.table({"slice": pa.array([number], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
+def _dealt_to_slices(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, _ = _filter_places(batch.column("ck").to_numpy().view(np.uint64), words)
+            yield pa.RecordBatch.from_arrays([pa.array(word // FILTER_SLICE), batch.column("ck")], ["slice", "ck"])
+
+    return run
+
+
+def membership_filter(values: DataFrame, n: int) -> np.ndarray:
+    """A blocked Bloom filter over ``n`` numbers ``ck``: each sets four bits of one word. Slices of it are made by many tasks;
+    the whole has ``MOST_BITS`` bits at most, however many numbers there are."""
+    words = max(1, min(MOST_BITS, n * FILTER_BITS) // 64)
+    ship(values.sparkSession)
+    dealt = values.select("ck").mapInArrow(_dealt_to_slices(words), "slice long, ck long")
+    out = np.zeros(words, np.uint64)
+    for row in dealt.groupBy("slice").applyInArrow(_filter_slice(words), "slice long, bits binary").toLocalIterator():
+        part = np.frombuffer(row["bits"], np.uint64)
+        out[row["slice"] * FILTER_SLICE :][: len(part)] = part
+    return out
+
+
+def maybe_windows_of(contigs: DataFrame, values: DataFrame, n: int, k: int) -> DataFrame:
+    """Windows whose canonical value passes the filter of ``ck`` numbers: all that are among them, and few others."""
+    sent = contigs.sparkSession.sparkContext.broadcast(membership_filter(values, n))
+
+    def keep(ck: np.ndarray) -> np.ndarray:
+        word, bits = _filter_places(ck, len(sent.value))
+        return sent.value[word] & bits == bits
+
+    return _spread(contigs, k).mapInArrow(_windows(k, keep), CODES)
+
+
 def windows_of(contigs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Windows whose canonical k-mer is among ``ck`` strings of ``wanted``: sorted numbers are sent to all tasks if there
-    are at most ``MOST_SENT`` of them, else windows and wanted k-mers are joined."""
+    are at most ``MOST_SENT`` of them; else windows that pass a filter are joined with the wanted k-mers."""
     values = wanted.select(kmer_value(F.col("ck"), k).alias("ck")).distinct()
     if (n := values.count()) > MOST_SENT:
-        return coded_kmers(contigs, k).join(values, "ck", "left_semi").select(*[x.split()[0] for x in CODES.split(", ")])
+        return maybe_windows_of(contigs, values, n, k).join(values, "ck", "left_semi").select(*[x.split()[0] for x in CODES.split(", ")])
     if not n:
         return coded_kmers(contigs.limit(0), k)
     known = np.sort(values.toPandas()["ck"].to_numpy().view(np.uint64))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical
 from ..sources.shipping import ship
-from .kmers import coded_kmers, windows_of
+from .kmers import aligned, coded_kmers, windows_of
 
 #: Places in a row of bits.
 ROW = 1 << 19
@@ -74,6 +74,9 @@ def _chosen(candidates: DataFrame, contigs: DataFrame, k: int, segment_size: int
     rows = listed.mapInArrow(_bits, "sample_ord int, contig_ord int, part long, bits binary")
     whole = rows.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("rows"))
     taken = whole.mapInArrow(_spaced(segment_size, k), "sample_ord int, contig_ord int, ends array<long>")
+    if "part" in contigs.columns:
+        spans = taken.select("sample_ord", "contig_ord", F.explode("ends").alias("end")).select("sample_ord", "contig_ord", (F.col("end") - k + 1).alias("start"), F.lit(k).cast("long").alias("raw_length"))
+        return with_sequences(spans, contigs).select(canonical(F.col("seq")).alias("ck")).distinct()
     found = contigs.select("sample_ord", "contig_ord", F.col("seq").cast("binary").alias("whole")).join(taken, ["sample_ord", "contig_ord"])
     cut = F.transform("ends", lambda e: F.substring(F.col("whole"), (e - k + 2).cast("int"), F.lit(k)).cast("string"))
     return found.select(F.explode(cut).alias("kmer")).select(canonical(F.col("kmer")).alias("ck")).distinct()
@@ -94,11 +97,18 @@ def _greedy_cuts(gap: int):
     return run
 
 
+def lengths(contigs: DataFrame) -> DataFrame:
+    """``sample_ord, contig_ord, n``."""
+    if "part" in contigs.columns:
+        return contigs.groupBy("sample_ord", "contig_ord").agg(F.max(F.col("offset") + F.char_length("part")).alias("n"))
+    return contigs.select("sample_ord", "contig_ord", F.char_length("seq").cast("long").alias("n"))
+
+
 def cuts(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
     """``sample_ord, contig_ord, n, ends``: where each contig is cut; ``ends`` is empty without any splitter."""
     hits = windows_of(contigs, splitters, k)
     listed = hits.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list("end")).alias("ends"))
-    sizes = contigs.select("sample_ord", "contig_ord", F.char_length("seq").cast("long").alias("n"))
+    sizes = lengths(contigs)
     joined = sizes.join(listed, ["sample_ord", "contig_ord"], "left").select("sample_ord", "contig_ord", "n", "ends")
     return joined.mapInArrow(_greedy_cuts(k), "sample_ord int, contig_ord int, n long, ends array<long>")
 
@@ -119,11 +129,25 @@ def segments(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
 
 
 def with_sequences(found: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Segments with their letters ``seq``. The contigs are joined once, with all their segments."""
+    """Segments with their letters ``seq``. The contigs are joined once, with all their segments; of contigs in parts, each
+    segment meets the pieces that hold it."""
+    if "part" in contigs.columns:
+        return _from_parts(found, contigs)
     joined = found.join(contigs.select("sample_ord", "contig_ord", F.col("seq").cast("binary").alias("whole")), ["sample_ord", "contig_ord"])
     return joined.withColumn("seq", F.substring("whole", (F.col("start") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")).drop("whole")
 
 
+def _from_parts(found: DataFrame, parts: DataFrame) -> DataFrame:
+    held = aligned(parts, 0, ROW).withColumnRenamed("offset", "low").withColumn("nth", F.floor(F.col("low") / ROW))
+    last = F.col("start") + F.col("raw_length")
+    spans = found.withColumn("nth", F.explode(F.sequence(F.floor(F.col("start") / ROW), F.floor((last - 1) / ROW))))
+    joined = spans.join(held, ["sample_ord", "contig_ord", "nth"])
+    begin, end = F.greatest(F.col("start"), F.col("low")), F.least(last, F.col("low") + ROW)
+    cut = F.substring("piece", (begin - F.col("low") + 1).cast("int"), (end - begin).cast("int")).cast("string")
+    pieces = joined.select(*found.columns, F.struct("low", cut.alias("t")).alias("p"))
+    return pieces.groupBy(*found.columns).agg(F.sort_array(F.collect_list("p")).alias("p")).select(*found.columns, F.array_join(F.col("p.t"), "").alias("seq"))
+
+
 def with_keys(found: DataFrame, k: int) -> DataFrame:
     """Adds ``front, back`` (canonical terminal k-mers or null), the ordered ``key1, key2`` of segments with both, and
     ``is_rev_comp``: whether such a segment is stored reversed."""
@@ -147,7 +171,7 @@ def uncut(contigs: DataFrame, splitters: DataFrame, k: int) -> DataFrame:
 
 def adaptive_splitters(contigs: DataFrame, splitters: DataFrame, reference: DataFrame, k: int, segment_size: int) -> DataFrame:
     """New splitters from long contigs that no splitter cuts: k-mers single in their own contig and not in the reference."""
-    long_ones = uncut(contigs, splitters, k).where(F.char_length("seq") >= segment_size)
+    long_ones = uncut(contigs, splitters, k).join(lengths(contigs).where(F.col("n") >= segment_size).select("sample_ord", "contig_ord"), ["sample_ord", "contig_ord"], "left_semi")
     own = coded_kmers(long_ones, k).groupBy("sample_ord", "contig_ord", "ck").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("end")).where("n = 1")
     new = own.join(coded_kmers(reference, k).select("ck").distinct(), "ck", "left_anti").select("sample_ord", "contig_ord", "end")
     return _chosen(new, long_ones, k, segment_size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,13 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fasta_record, normalise_symbols, sample_name, short_name
 from ..functions.packing import symbol_codes
+from .parts import end_names, join_parts, remove, write_parts
 from .shipping import ship
 
 _GZIP = b"\x1f\x8b"
-# Names that Hadoop has for the levels of gzip.
-LEVELS = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
-
-
 def records_of(text_rows: DataFrame, value: str = "value") -> DataFrame:
     """``header, body`` from raw records: text between one ``>`` at a line start and the next."""
     raw = F.regexp_replace(F.col(value), "^\\s*>", "")
@@ -43,7 +41,7 @@ def list_files(spark: SparkSession, paths: list[str]) -> list[tuple[int, str, st
     return out
 
 
-def _is_gzip(spark: SparkSession, uri: str) -> bool:
+def is_gzip(spark: SparkSession, uri: str) -> bool:
     """By a file's first two bytes."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
@@ -91,16 +89,16 @@ def read_fasta(spark: SparkSession, paths: str | list[str], concatenated: bool =
     (see :func:`strict_records`). ``concatenated``: every contig is a sample of its own, named by its short name.
     """
     found = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
-    odd = {uri for _, _, uri in found if strict or _is_gzip(spark, uri) != uri.endswith(".gz")}
+    odd = {uri for _, _, uri in found if strict or is_gzip(spark, uri) != uri.endswith(".gz")}
     plain = [uri for _, _, uri in found if uri not in odd]
     parts = []
     if plain:
-        rows = spark.read.option("lineSep", "\n>").text([_path(u) for u in plain])
+        rows = spark.read.option("lineSep", "\n>").text([uri_path(u) for u in plain])
         at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
         parts.append(rows.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value"))
     if odd:
         ship(spark)
-        whole = spark.read.format("binaryFile").load([_path(u) for u in sorted(odd)]).select(F.col("_metadata.file_path").alias("path"), "content")
+        whole = spark.read.format("binaryFile").load([uri_path(u) for u in sorted(odd)]).select(F.col("_metadata.file_path").alias("path"), "content")
         rows = whole.mapInArrow(_whole(strict), "file string, at long, value string")
         parts.append(rows.select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("at").alias("row")).alias("at"), "value"))
     if not parts:
@@ -109,8 +107,8 @@ def read_fasta(spark: SparkSession, paths: str | list[str], concatenated: bool =
     if strict:  # a record is as it is: no ``>`` at its start to take off
         every = every.withColumn("value", F.concat(F.lit(">"), "value"))
     # one row per input file
-    named = spark.createDataFrame([(i, given, _plain(uri)) for i, given, uri in found], "file_ord int, given string, f2 string")
-    records = records_of(every.withColumn("file", _same_form(F.col("file"))))
+    named = spark.createDataFrame([(i, given, plain_uri(uri)) for i, given, uri in found], "file_ord int, given string, f2 string")
+    records = records_of(every.withColumn("file", same_form(F.col("file"))))
     joined = records.join(F.broadcast(named), F.col("file") == F.col("f2"))
     sample = short_name(F.col("header")) if concatenated else sample_name(F.col("given"))
     rows = joined.select("file_ord", sample.alias("sample"), "file", "at", short_name(F.col("header")).alias("contig"), F.col("header").alias("contig_full"), normalise_symbols(F.col("body")).alias("seq"))
@@ -118,18 +116,18 @@ def read_fasta(spark: SparkSession, paths: str | list[str], concatenated: bool =
     return rows.select("file_ord", "sample", "file", (F.row_number().over(order) - 1).cast("int").alias("contig_ord"), "contig", "contig_full", "seq")
 
 
-def _path(uri: str) -> str:
+def uri_path(uri: str) -> str:
     from urllib.parse import unquote
 
     return unquote(uri)
 
 
-def _plain(uri: str) -> str:
+def plain_uri(uri: str) -> str:
     """A uri without the empty authority that some of Spark's names have, decoded."""
-    return _path(uri).replace("file:///", "file:/")
+    return uri_path(uri).replace("file:///", "file:/")
 
 
-def _same_form(c):
+def same_form(c):
     return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
 
 
@@ -147,17 +145,17 @@ def _unpacked_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def file_sizes(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, int]]:
     """(path, bytes without compression) of every input path. Plain files are not read."""
     found = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
-    packed = [uri for _, _, uri in found if _is_gzip(spark, uri)]
+    packed = [uri for _, _, uri in found if is_gzip(spark, uri)]
     sizes: dict[str, int] = {}
     if packed:
         ship(spark)
-        rows = spark.read.format("binaryFile").load([_path(u) for u in packed]).select(F.col("_metadata.file_path").alias("path"), "content")
-        sizes = {_plain(r["path"]): r["size"] for r in rows.mapInArrow(_unpacked_size, "path string, size long").collect()}  # one per file
+        rows = spark.read.format("binaryFile").load([uri_path(u) for u in packed]).select(F.col("_metadata.file_path").alias("path"), "content")
+        sizes = {plain_uri(r["path"]): r["size"] for r in rows.mapInArrow(_unpacked_size, "path string, size long").collect()}  # one per file
     out: dict[str, int] = {}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for _, given, uri in found:
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
-        out[given] = out.get(given, 0) + (sizes[_plain(uri)] if uri in packed else path.getFileSystem(conf).getFileStatus(path).getLen())
+        out[given] = out.get(given, 0) + (sizes[plain_uri(uri)] if uri in packed else path.getFileSystem(conf).getFileStatus(path).getLen())
     return list(out.items())
 
 
@@ -167,56 +165,42 @@ def read_file_list(spark: SparkSession, path: str) -> list[str]:
     return list(dict.fromkeys(r["w"] for r in words.collect()))  # a command line's worth of names
 
 
-def _text(contigs: DataFrame, width: int):
-    return F.regexp_replace(fasta_record(F.col("contig_full"), F.col("seq"), width), "\n$", "").alias("value")
-
-
-def _writer(rows: DataFrame, gzip_level: int):
-    writer = rows.write.mode("overwrite")
-    return writer.option("compression", "gzip").option("zlib.compress.level", LEVELS[min(9, gzip_level)]) if gzip_level > 0 else writer
-
-
-def _part_files(spark: SparkSession, path: str):
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs, [x.getPath() for x in fs.listStatus(fs_path) if x.getPath().getName().startswith("part-")]
+def _record(contigs: DataFrame, width: int):
+    """A contig as FASTA text with a line break at its end."""
+    return fasta_record(F.col("contig_full"), F.col("seq"), width).alias("value")
 
 
 def write_fasta(contigs: DataFrame, path: str, width: int = 80, gzip_level: int = 0) -> None:
     """Contigs as FASTA text in one folder; order inside files and from file to file is that of the collection. A width of
     0 leaves sequences on one line."""
     rows = contigs.repartitionByRange("sample_ord", "contig_ord").sortWithinPartitions("sample_ord", "contig_ord")
-    _writer(rows.select(_text(contigs, width)), gzip_level).text(path)
+    write_parts(rows.select(_record(contigs, width)), path, gzip_level)
+    if gzip_level > 0:
+        end_names(contigs.sparkSession, path, ".gz")
 
 
 def write_samples(contigs: DataFrame, path: str, width: int = 80, gzip_level: int = 0) -> None:
-    """One file per sample, ``<sample>.fa`` or ``<sample>.fa.gz``: a task writes whole samples, contig after contig, and
-    the finished files are renamed. Samples are numbered while they are written, so any name does."""
+    """One file per sample, ``<sample>.fa`` or ``<sample>.fa.gz``. Samples are cut into ranges of contigs, so a large one is
+    written by many tasks, and the parts of each are joined in order. Samples are numbered while they are written, so
+    any name does."""
     spark = contigs.sparkSession
-    rows = contigs.repartitionByRange("sample_ord").sortWithinPartitions("sample_ord", "contig_ord")
-    staged = f"{path.rstrip('/')}/_staging"
-    _writer(rows.select("sample_ord", _text(contigs, width)), gzip_level).partitionBy("sample_ord").text(staged)
-    jvm = spark.sparkContext._jvm
-    for ordinal, sample in contigs.select("sample_ord", "sample").distinct().collect():  # one row per file
-        fs, parts = _part_files(spark, f"{staged}/sample_ord={ordinal}")
-        target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sample}.fa{'.gz' if gzip_level > 0 else ''}")
-        fs.delete(target, False)
-        fs.rename(parts[0], target)
-    fs, _ = _part_files(spark, staged)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+    rows = contigs.repartitionByRange("sample_ord", "contig_ord").sortWithinPartitions("sample_ord", "contig_ord")
+    staged = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    write_parts(rows.select("sample_ord", _record(contigs, width)), staged, gzip_level, by="sample_ord")
+    names = {r["sample_ord"]: r["sample"] for r in contigs.select("sample_ord", "sample").distinct().collect()}  # one row per file
+    end = ".fa.gz" if gzip_level > 0 else ".fa"
+    join_parts(spark, {f"{path.rstrip('/')}/{sample}{end}": f"{staged}/sample_ord={ordinal}" for ordinal, sample in names.items()})
+    remove(spark, staged)
 
 
 def write_file(rows: DataFrame, order: list[str], path: str, gzip_level: int = 0) -> None:
-    """``value`` texts of ``rows`` as one file, in order: sorted by many tasks, written by one, renamed at the end."""
+    """``value`` texts of ``rows`` as one file, in order: sorted and written by many tasks, whose parts are joined."""
     spark = rows.sparkSession
-    staged = f"{path}._staging"
-    ordered = rows.orderBy(*order).select(F.regexp_replace("value", "\n$", "").alias("value"))
-    _writer(ordered.coalesce(1), gzip_level).text(staged)
-    jvm = spark.sparkContext._jvm
-    fs, parts = _part_files(spark, staged)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(path), False)
-    fs.rename(parts[0], jvm.org.apache.hadoop.fs.Path(path))
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+    staged = f"{path}._staging-{uuid.uuid4().hex}"
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    write_parts(ordered.select("value"), staged, gzip_level)
+    join_parts(spark, {path: staged})
+    remove(spark, staged)
 
 
 def stream_lines(contigs: DataFrame, width: int = 80, order: tuple[str, ...] = ("sample_ord", "contig_ord"), header: str = "contig_full") -> Iterator[str]:

@@ -1,10 +1,13 @@
 import gzip
 import random
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators.archive import Collection, clamp
+from strandlake.operators.codec import Coder
+from strandlake.operators.commits import Log
 from strandlake.functions import fasta_record
 from strandlake.sources.fasta import file_sizes, read_fasta, read_file_list, stream_lines, with_codes, write_fasta, write_file, write_samples
 from strandlake.streaming import append_stream, contig_stream
@@ -293,3 +296,223 @@ def test_a_sample_of_two_numbers_is_refused(spark, tmp_path):
     rows = [(0, "s", 0, "c", "c", "ACGT"), (1, "s", 0, "d", "d", "ACGT")]
     with pytest.raises(ValueError, match="twice"):
         Collection.create(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/c")
+
+
+def test_create_over_a_collection(spark, tmp_path):
+    """Neither mixes with what was there: it is refused, or replaces it whole."""
+    df = spark.createDataFrame(collection(16, 4), SCHEMA)
+    path = f"file://{tmp_path}/c"
+    old = Collection.create(df.where("sample_ord < 2"), path, K, SIZE, 15).append(df.where("sample_ord = 2"))
+    other = df.where("sample_ord = 3").withColumn("sample_ord", F.lit(0))
+    with pytest.raises(FileExistsError):
+        Collection.create(other, path, K, SIZE, 15)
+    assert Collection(spark, path).list_samples() == ["s0", "s1", "s2"]
+    new = Collection.create(other, path, K, SIZE, 15, overwrite=True)
+    assert new.list_samples() == ["s3"] and rows_of(new.get_collection()) == rows_of(other)
+    assert old.list_samples() == ["s0", "s1", "s2"] and rows_of(old.get_collection()) == rows_of(df.where("sample_ord < 3"))
+    with pytest.raises(ValueError, match="replaced"):
+        old.append(df.where("sample_ord = 3"))
+
+
+def test_two_handles_append(spark, tmp_path):
+    """A handle that has not seen the other's batch adds to it; a batch that another one overtakes is made anew."""
+    df = spark.createDataFrame(collection(17, 5), SCHEMA)
+    one = Collection.create(df.where("sample_ord < 2"), f"file://{tmp_path}/c", K, SIZE, 15)
+    two = Collection(spark, one.path)
+    one.append(df.where("sample_ord = 2"))
+    got = two.append(df.where("sample_ord = 3"))
+    assert got.list_samples(False) == ["s0", "s1", "s2", "s3"] and rows_of(got.get_collection()) == rows_of(df.where("sample_ord < 4"))
+    with pytest.raises(ValueError, match="already"):
+        two.append(df.where("sample_ord = 2"))
+
+
+def test_a_batch_that_is_overtaken_is_made_anew(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(collection(17, 4), SCHEMA)
+    made = Collection.create(df.where("sample_ord < 2"), f"file://{tmp_path}/c", K, SIZE, 15)
+    add, tried = Collection._add, []
+
+    def overtaken(self, *a):
+        values = add(self, *a)
+        tried.append(self.number)
+        if len(tried) == 1:  # another writer commits between the data of this one and its commit
+            made.append(df.where("sample_ord = 2"))
+        return values
+
+    monkeypatch.setattr(Collection, "_add", overtaken)
+    got = made.append(df.where("sample_ord = 3"))
+    assert tried == [0, 0, 1] and got.list_samples(False) == ["s0", "s1", "s2", "s3"] and rows_of(got.get_collection()) == rows_of(df)
+    folders = {p.name for p in (tmp_path / "c/segments").iterdir() if p.is_dir()}
+    assert folders == {f"batch={b}" for b in got.batches} and not list((tmp_path / "c/_staging").iterdir())
+
+
+def test_a_commit_is_made_once(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/c d")
+    assert log.latest() == (-1, None)
+    assert log.commit(0, {"a": 1}) and not log.commit(0, {"a": 2}) and log.commit(1, {"a": "é"})
+    assert log.read(0) == {"a": 1} and log.latest() == (1, {"a": "é"}) and log.numbers() == [0, 1]
+
+
+def files_read(spark, df):
+    """Files and rows that each scan of an executed plan has read, by table."""
+    df._jdf.collectToPython()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves, out = plan.collectLeaves(), {}
+    for i in range(leaves.length()):
+        leaf = leaves.apply(i)
+        found = leaf.relation().location().rootPaths().mkString() if "FileSourceScan" in leaf.getClass().getName() else ""
+        for table in ("groups", "deltas", "segments"):
+            if f"/{table}/" in found:
+                out[table] = tuple(out.get(table, (0, 0))[j] + leaf.metrics().get(m).get().value() for j, m in enumerate(("numFiles", "numOutputRows")))
+    return out
+
+
+def test_a_contig_reads_only_its_blocks(spark, tmp_path, monkeypatch):
+    """Of over a thousand groups, a range of one contig reads the files and rows that hold its own."""
+    from strandlake.operators import archive
+
+    for name, width in (("groups", 32), ("deltas", 32), ("segments", 4), ("contigs", 4)):
+        monkeypatch.setitem(archive.BLOCKS, name, (archive.BLOCKS[name][0], width, archive.BLOCKS[name][2]))
+    monkeypatch.setattr(archive, "GROUPS_PER_BLOCK", 32)
+    r = random.Random(8)
+    rows = [(0, "s0", i, f"c{i}", f"c{i}", bases(r, 1500)) for i in range(100)]
+    rows += [(1 + i, f"s{1 + i}", 0, "c7", "c7", rows[7][-1][:700] + "A" + rows[7][-1][701:]) for i in range(8)]
+    made = Collection.create(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/c", K, SIZE, 15)
+    assert made.table("groups").count() > 1000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spans = made._asked(made.resolved(["c7@s5:650-800"]).select("query_ord", "sample_ord", "contig_ord", "low", "high"))
+        read = files_read(spark, made._assembled(spans, ["query_ord"], few=True))
+        every = {t: len(list((tmp_path / f"c/{t}").rglob("*.parquet"))) for t in read}
+        own = made._ids(spans.where("start <= high and start + raw_length > low"))
+        assert 0 < len(own) < 6
+        assert read["groups"][0] <= len(own) and every["groups"] > 30 and read["groups"][1] < 64 * len(own)
+        assert read["deltas"][0] <= 8 and read["segments"][0] < every["segments"]
+        assert made.contig_sequence("s5", "c7", 650, 800) == rows[-1][-1][650:801]
+        # an append of one short sample reads letters of the blocks of its groups only
+        touched = archive._touched(made, spark.createDataFrame([(k["key1"], k["key2"]) for k in made.table("groups").where("group_id = 500").collect()], "front string, back string"))
+        assert files_read(spark, touched)["groups"][0] < every["groups"] + 10
+        assert touched.where("group_id = 500").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_sinks_keep_every_record(spark, tmp_path):
+    """Parts of several tasks and files make one file in order; gzip has a member for each record."""
+    r = random.Random(9)
+    rows = [(s, f"s {s}", c, f"c{c}", f"c{c} x", bases(r, 30 + c)) for s in range(3) for c in range(7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    text = lambda of: "".join(f">{x[4]}\n{x[5]}\n" for x in of)
+    for most in ("0", "1", "2"):
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+        try:
+            for level in (0, 6):
+                end = ".gz" if level else ""
+                read = lambda p: gzip.decompress(p.read_bytes()).decode() if p.suffix == ".gz" else p.read_text()
+                value = df.select("sample_ord", "contig_ord", fasta_record(F.col("contig_full"), F.col("seq"), 0).alias("value"))
+                one = tmp_path / f"one{most}.fa{end}"
+                write_file(value, ["sample_ord", "contig_ord"], f"file://{one}", level)
+                assert read(one) == text(rows)
+                assert subprocess.run(["gzip", "-t", str(one)]).returncode == 0 if level else True
+                if level:
+                    assert one.read_bytes().count(b"\x1f\x8b\x08\x00") >= 2 * len(rows)  # each and the empty ones between
+                write_samples(df, f"file://{tmp_path}/by{most}", 0, level)
+                for s in range(3):
+                    assert read(tmp_path / f"by{most}/s {s}.fa{end}") == text([x for x in rows if x[0] == s])
+                write_fasta(df, f"file://{tmp_path}/all{most}{end}", 0, level)
+                assert "".join(read(p) for p in sorted((tmp_path / f"all{most}{end}").glob("part-*"))) == text(rows)
+        finally:
+            spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert not [p for p in tmp_path.rglob("*") if "_staging" in p.name or "_joined" in p.name]
+    back = spark.read.text(f"file://{tmp_path}/one2.fa").count()
+    assert back == 2 * len(rows)
+    write_file(df.where("sample_ord > 9").select("sample_ord", F.lit("x").alias("value")), ["sample_ord"], f"file://{tmp_path}/none.fa")
+    assert (tmp_path / "none.fa").read_text() == ""
+
+
+def plainly_cheapest(single, groups, min_match):
+    """Every group of a splitter tried for every segment."""
+    out = {}
+    for s in single:
+        own, tried = s["front"] or s["back"], []
+        for g in groups:
+            if own in (g["key1"], g["key2"]) and g["first_sample"] < s["sample_ord"]:
+                forward = (s["front"] is not None) == (own == g["key1"])
+                body = s["seq"] if forward else s["seq"].translate(COMPLEMENT)[::-1]
+                tried.append((Coder(g["ref_seq"], min_match).cost(body), g["key1"], g["key2"], not forward))
+        n = len(s["seq"])
+        if tried and min(tried)[0] <= (n if n < 16 else n - 16):
+            out[(s["sample_ord"], s["contig_ord"], s["place"])] = min(tried)
+    return out
+
+
+@pytest.mark.parametrize("side", [1 << 24, 600, 60])
+def test_cheapest_groups_against_all_candidates(spark, monkeypatch, side):
+    """Splitters of many groups and segments, cut in chunks and parts of every size."""
+    from strandlake.operators import archive
+
+    monkeypatch.setattr(archive, "SIDE", side)
+    r = random.Random(10)
+    known = [bases(r, r.randrange(60, 200)) for _ in range(12)]
+    ends = [bases(r, K) for _ in range(14)]
+    groups = [(*sorted((ends[i % 2], ends[2 + i])), r.randrange(2), t) for i, t in enumerate(known)]
+
+    def changed():
+        t = r.choice(known)
+        at = r.randrange(len(t))
+        t = t[:at] + bases(r, r.randrange(3)) + t[at + r.randrange(3) :]
+        return t.translate(COMPLEMENT)[::-1] if r.random() < 0.5 else t
+
+    single = [(s, c, 0, *((ends[r.randrange(3)], None) if r.random() < 0.5 else (None, ends[r.randrange(3)])), t, len(t)) for s in range(1, 4) for c in range(8) for t in [changed()]]
+    left = spark.createDataFrame(single, "sample_ord int, contig_ord int, place int, front string, back string, seq string, raw_length long")
+    right = spark.createDataFrame(groups, "key1 string, key2 string, first_sample int, ref_seq string")
+    got = {(x["sample_ord"], x["contig_ord"], x["place"]): (x["cost"], x["key1"], x["key2"], x["is_rev_comp"]) for x in archive.cheapest_groups(left, right, 15).collect()}
+    want = plainly_cheapest([x.asDict() for x in left.collect()], [x.asDict() for x in right.collect()], 15)
+    assert want and got == want
+
+
+def test_cheapest_groups_over_the_given_tables(spark):
+    """The registered query against all candidates, over its own data."""
+    from strandlake.operators.grouping import ARRIVAL
+    from strandlake.plans import codec_queries
+    from strandlake.plans.segment_queries import keyed_of
+    from strandlake.sources.genome_view import MIN_MATCH
+
+    from .conftest import SMALL
+
+    single = [x.asDict() for x in keyed_of(spark, SMALL).where("(front is null) <> (back is null)").collect()]
+    refs = codec_queries.with_references(spark, SMALL).groupBy("key1", "key2").agg(F.min("sample_ord").alias("first_sample"), F.first("ref_seq").alias("ref_seq"))
+    got = {tuple(x[c] for c in ARRIVAL): (x["cost"], x["key1"], x["key2"], x["is_rev_comp"]) for x in codec_queries.best_group_one_splitter(spark, SMALL).collect()}
+    assert got == plainly_cheapest(single, [x.asDict() for x in refs.collect()], MIN_MATCH)
+
+
+def test_samples_stay_open_over_batches_and_restarts(spark, tmp_path):
+    """A sample over three micro-batches, with a restart between them, is ingested once and whole; so are others beside it."""
+    rows = collection(18, 3)
+    columns = ["sample", "contig_ord", "contig", "contig_full", "seq"]
+    folder, path, log = tmp_path / "in", f"file://{tmp_path}/c", f"file://{tmp_path}/log"
+    last = {s: max(r[2] for r in rows if r[0] == s) for s in range(3)}
+
+    def put(some, more=()):
+        df = spark.createDataFrame([(*r[1:], r[2] == last[r[0]] and r[0] != 2) for r in some] + list(more), "sample string, contig_ord int, contig string, contig_full string, seq string, closes boolean")
+        df.select(*columns, "closes").coalesce(1).write.mode("append").parquet(f"file://{folder}")
+
+    def run():
+        append_stream(contig_stream(spark, str(folder), 1, closing=True), path, log, k=K, segment_size=SIZE, min_match=15).awaitTermination()
+
+    own = [[r for r in rows if r[0] == s] for s in range(3)]
+    put(own[0] + own[1][:1])
+    put(own[1][1:2] + own[2][:2])
+    run()
+    assert Collection(spark, path).list_samples() == ["s0"]
+    put(own[1][2:] + own[2][2:])
+    run()
+    run()
+    assert Collection(spark, path).list_samples() == ["s0", "s1"]
+    put([], [("s2", None, None, None, None, True)])
+    run()
+    made = Collection(spark, path)
+    assert len(made.batches) == 3 and {(r["sample"], r["contig_full"], r["seq"]) for r in made.contigs_with_sequences().collect()} == {(r[1], r[4], r[5]) for r in rows}
+    assert not list((tmp_path / "c/_open").glob("number=*"))
+    put(own[1][:1])
+    with pytest.raises(Exception, match="was closed before"):
+        run()

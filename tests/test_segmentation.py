@@ -128,3 +128,23 @@ def test_fallback_candidates(spark):
     got = grouping.best_candidates(votes, least=2).orderBy("rank").collect()
     assert [r["votes"] for r in got] == [9, 8, 8, 7, 6, 5, 5, 5, 5, 5]
     assert got[1]["key1"] == "k02" and F is not None
+
+
+def test_many_wanted_kmers_pass_a_filter(spark, monkeypatch):
+    """Above the number that is sent, only windows that pass the filter are joined; the result is the same."""
+    df = spark.createDataFrame(collection(21, 3), SCHEMA)
+    r = random.Random(22)
+    some = [c for row in collection(21, 1) for c in list(windows(row[-1]).values())[::9]]
+    wanted = spark.createDataFrame([(canonical("".join(r.choice("ACGT") for _ in range(K))),) for _ in range(3000)] + [(c,) for c in some], "ck string")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    want = rows(kmers.windows_of(df, wanted, K))
+    monkeypatch.setattr(kmers, "MOST_SENT", 10)
+    monkeypatch.setattr(kmers, "FILTER_SLICE", 64)
+    assert want and rows(kmers.windows_of(df, wanted, K)) == want
+    values = wanted.select(kmers.kmer_value(F.col("ck"), K).alias("ck")).distinct()
+    passed = rows(kmers.maybe_windows_of(df, values, values.count(), K))
+    assert set(want) <= set(passed) and len(passed) < 1.1 * len(want) + 20
+    full = rows(kmers.coded_kmers(df, K))
+    assert len(full) > 5 * len(passed)
+    monkeypatch.setattr(kmers, "MOST_BITS", 64)  # a filter that is far too small lets more through, and the join decides
+    assert rows(kmers.windows_of(df, wanted, K)) == want
