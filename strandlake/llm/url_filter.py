@@ -21,6 +21,8 @@ repeated rows; no pages give no rows. Columns that are not named are ignored.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,52 +52,59 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, in which the value is one node however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _escapes(text: Column) -> Column:
     """Percent escapes of unreserved characters decoded, others with upper-case digits; each is read once."""
 
-    def one(part: Column) -> Column:
-        code = F.upper(F.regexp_extract(part, "^%([0-9A-Fa-f]{2})", 1))
-        letter = F.char(F.conv(code, 16, 10).cast("int"))
-        plain = F.when(letter.rlike(f"^{UNRESERVED}$"), letter).otherwise(F.concat(F.lit("%"), code))
-        return F.when(code == "", part).otherwise(F.concat(plain, F.substring(part, F.lit(4), F.char_length(part))))
+    def decoded(part: Column, code: Column) -> Column:
+        plain = lambda c: F.when(c.rlike(f"^{UNRESERVED}$"), c).otherwise(F.concat(F.lit("%"), code))
+        return F.concat(_with(F.char(F.conv(code, 16, 10).cast("int")), plain), F.substring(part, F.lit(4), F.char_length(part)))
 
-    whole = F.array_join(F.transform(F.split(text, "(?=%)"), one), "")
-    return F.when(text.contains("%"), whole).otherwise(text)
+    one = lambda part: _with(F.upper(F.regexp_extract(part, "^%([0-9A-Fa-f]{2})", 1)), lambda code: F.when(code == "", part).otherwise(decoded(part, code)))
+    return F.array_join(F.transform(F.split(text, "(?=%)"), one), "")
 
 
 def resource(url: Column) -> Column:
     """Name of what a url points at: host, port unless it is the scheme's own, path without a final slash, and query."""
-    bare = F.substring_index(url, "#", 1)
-    scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
-    own_port = F.when(scheme == "http", ":0*80|:").when(scheme == "https", ":0*443|:").otherwise(":")
-    host = F.regexp_replace(_escapes(host_of(bare)), F.concat(F.lit("(?:"), own_port, F.lit(")$")), F.lit(""))
-    path = _escapes(path_of(bare))
-    clean = F.when(path.startswith("/") & path.contains("/."), _without_dots(path)).otherwise(path)
-    query = _escapes(F.regexp_extract(bare, r"(?s)(\?.*)$", 1))
-    return F.when(host_of(bare) != "", F.concat(F.translate(host, UPPER, LOWER), F.regexp_replace(clean, "/$", ""), query))
+
+    def name(bare: Column, host: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
+        own_port = _with(scheme, lambda x: F.when(x == "http", "(?::0*80|:)$").when(x == "https", "(?::0*443|:)$").otherwise(":$"))
+        clean = lambda path: F.regexp_replace(F.when(path.startswith("/") & path.contains("/."), _without_dots(path)).otherwise(path), "/$", "")
+        whole = F.concat(F.regexp_replace(host, own_port, F.lit("")), _with(path_of(bare), clean), F.regexp_extract(bare, r"(?s)(\?.*)$", 1))
+        return F.when(host != "", whole)
+
+    return _with(_escapes(F.substring_index(url, "#", 1)), lambda bare: _with(host_of(bare), lambda host: name(bare, host)))
 
 
 def _letter(code: Column) -> Column:
     """The character of a code point; null for those that are no character."""
-    beyond = code - 0x10000
-    pair = F.concat(F.hex(F.lit(0xD800) + F.shiftright(beyond, 10)), F.hex(F.lit(0xDC00) + beyond.bitwiseAND(0x3FF)))
-    units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(pair)
-    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return F.when(real, F.decode(F.unhex(units), "UTF-16BE"))
+    pair = lambda beyond: F.concat(F.hex(F.lit(0xD800) + F.shiftright(beyond, 10)), F.hex(F.lit(0xDC00) + beyond.bitwiseAND(0x3FF)))
+    units = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(_with(code - 0x10000, pair))
+    return F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(units), "UTF-16BE"))
+
+
+#: Letters of HTML's names, as a JSON text that Spark reads into one value.
+_NAMES = json.dumps({name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"})
 
 
 def unescaped(text: Column) -> Column:
     """Decodes character references that end in a semicolon, each once; what is no reference stays."""
-    names = F.create_map(*[F.lit(x) for pair in sorted((name, chr(code)) for name, code in name2codepoint.items()) for x in pair], F.lit("apos"), F.lit("'"))
+
+    def letter(name: Column) -> Column:
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9))
+        return F.coalesce(_with(code.cast("long"), _letter), F.element_at(F.from_json(F.lit(_NAMES), "map<string,string>"), name))
 
     def one(part: Column) -> Column:
+        rest = lambda name: F.substring(part, F.char_length(name) + 3, F.char_length(part))
         name = F.regexp_extract(part, "^&(#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]*);", 1)
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 9))
-        letter = F.coalesce(_letter(code.cast("long")), F.element_at(names, name))
-        return F.when(letter.isNull(), part).otherwise(F.concat(letter, F.substring(part, F.char_length(name) + 3, F.char_length(part))))
+        return _with(name, lambda n: F.when(n == "", part).otherwise(F.coalesce(F.concat(letter(n), rest(n)), part)))
 
-    whole = F.array_join(F.transform(F.split(text, "(?=&)"), one), "")
-    return F.when(text.contains("&"), whole).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "(?=&)"), one), "")
 
 
 def _without_dots(path: Column) -> Column:
@@ -134,11 +143,11 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         inside = F.regexp_extract(tag, r"(?is)^<(?:link|meta|base)(.*)>$", 1)
         group = lambda i: F.regexp_extract_all(inside, F.lit(ATTRIBUTE), i)
         value = F.zip_with(F.zip_with(group(2), group(3), lambda x, y: F.concat(x, y)), group(4), lambda x, y: F.concat(x, y))
-        pairs = F.arrays_zip(F.transform(group(1), lambda n: F.lower(n)).alias("name"), value.alias("value"))
+        pairs = F.arrays_zip(F.transform(group(1), lambda n: F.lower(n)).alias("name"), F.transform(value, unescaped).alias("value"))
         return F.struct(F.lower(F.regexp_extract(tag, "^<([A-Za-z]+)", 1)).alias("kind"), pairs.alias("pairs"))
 
     # the first attribute of a name counts
-    attribute = lambda t, name: F.get(F.transform(F.filter(t["pairs"], lambda p: p["name"] == name), lambda p: unescaped(p["value"])), 0)
+    attribute = lambda t, name: F.get(F.filter(t["pairs"], lambda p: p["name"] == name), 0)["value"]
     words = lambda c: F.split(F.trim(F.lower(F.regexp_replace(c, r"\s+", " "))), " ")
     refresh = lambda c: F.coalesce(*[F.nullif(F.regexp_extract(c, REFRESH, i), F.lit("")) for i in (1, 2, 3)])
     target = lambda t: (
