@@ -36,7 +36,7 @@ Equal codes of a group are stored once. A member equal to its group's reference
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -143,18 +143,27 @@ def _nearest_first(min_match: int):
     return run
 
 
+def _in_other_chunks(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Segments with what they have found, once for each chunk that they have not met."""
+    arrival = list(grouping.ARRIVAL)
+    known = best.select(*arrival, F.col("cost").alias("bound"), F.col("key1").alias("b1"), F.col("key2").alias("b2"), F.col("is_rev_comp").alias("b_rc"))
+    others = rows.where("n_chunks > 1").join(known, arrival, "left")
+    each = others.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks").cast("long") - 1))).where("other <> chunk")
+    return each.withColumn("chunk", F.col("other")).drop("other")
+
+
 #: Letters of segments, and of groups, that a task compares at a time.
 SIDE = 16 << 20
 
 
-def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int) -> DataFrame:
+def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """For segments with one terminal k-mer, the known group that codes them cheapest: arrival columns, ``key1, key2,
     is_rev_comp, cost``. Ties go to the smaller key, then to the segment's own direction. A group must be of an earlier
     sample, and must save ``SAVING`` letters (or any, for shorter segments).
 
     A splitter's groups are cut into chunks by length, its segments into parts, each of about ``SIDE`` letters, so no task
     has all of a hot one, and no row is made for a segment and a group; small ones are put together in cells. Segments meet the chunk nearest in length first;
-    what they find there bounds the search in the others.
+    what they find there bounds the search in the others. ``keep`` stores what is read twice.
     """
     ship(one_sided.sparkSession)
     arrival = list(grouping.ARRIVAL)
@@ -172,8 +181,9 @@ def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int) ->
     rows = rows.select(*arrival, "raw_length", "own", "at_front", "seq", "part", "chunk", F.size("chunks").alias("n_chunks"))
     lettered = ends.join(placed.select("own", "key1", "key2", "chunk"), ["own", "key1", "key2"]).join(parts.select("own", "n_parts"), "own")
     lettered = lettered.select("own", "key1", "key2", "first_sample", "ref_seq", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
-    letters = [asked.agg(F.sum("raw_length")).first()[0] or 0, placed.join(parts, "own").agg(F.sum(F.col("n") * F.col("n_parts"))).first()[0] or 0]
-    cells = max(int(one_sided.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(letters) // SIDE))
+    sizes = placed.join(parts, "own").agg(F.sum(F.col("n") * F.col("n_parts")).alias("letters"), F.max("chunk").alias("chunk")).first()
+    letters = max(asked.agg(F.sum("raw_length")).first()[0] or 0, sizes["letters"] or 0)
+    cells = max(int(one_sided.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-letters // SIDE))
     cell = F.pmod(F.xxhash64("own", "part", "chunk"), F.lit(cells)).alias("cell")
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
@@ -181,11 +191,9 @@ def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int) ->
 
     none = [F.lit(None).cast(t).alias(n) for n, t in (("bound", "long"), ("b1", "string"), ("b2", "string"), ("b_rc", "boolean"))]
     best = met(rows.select("*", *none), lettered)
-    # only segments of splitters with more groups than one chunk have others to meet
-    known = best.select(*arrival, F.col("cost").alias("bound"), F.col("key1").alias("b1"), F.col("key2").alias("b2"), F.col("is_rev_comp").alias("b_rc"))
-    others = rows.where("n_chunks > 1").join(known, arrival, "left")
-    others = others.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks").cast("long") - 1))).where("other <> chunk").withColumn("chunk", F.col("other")).drop("other")
-    best = best.unionByName(met(others, lettered.join(middles.where(F.size("chunks") > 1).select("own"), "own", "left_semi")))
+    if sizes["chunk"]:  # segments of splitters with more groups than one chunk have others to meet
+        best = keep(best, "nearest")
+        best = best.unionByName(met(_in_other_chunks(rows, best), lettered.join(middles.where(F.size("chunks") > 1).select("own"), "own", "left_semi")))
     best = best.groupBy(*arrival).agg(F.min(F.struct("cost", "key1", "key2", "is_rev_comp")).alias("b")).join(one_sided.select(*arrival, "raw_length"), arrival)
     bound = F.when(F.col("raw_length") < SAVING, F.col("raw_length")).otherwise(F.col("raw_length") - SAVING)
     return best.where(F.col("b.cost") <= bound).select(*arrival, "b.key1", "b.key2", "b.is_rev_comp", "b.cost")
@@ -694,7 +702,7 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
     if known is None:  # those of the reference sample are no earlier than that sample
         candidates = candidates.withColumn("first_sample", F.greatest("first_sample", F.lit(0)))
     single = keyed.where("(front is null) <> (back is null)")
-    chosen = cheapest_groups(single, candidates, values["min_match"]).select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc"))
+    chosen = cheapest_groups(single, candidates, values["min_match"], stage).select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc"))
     end = F.coalesce("front", "back")
     alone = single.join(chosen, arrival, "left").select(
         *arrival, F.lit(0).alias("part"), "start", "raw_length", "seq", F.coalesce("c1", end).alias("key1"), F.col("c2").alias("key2"),

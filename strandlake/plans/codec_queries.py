@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import codec, grouping
-from ..operators.archive import Collection, cheapest_groups
+from ..operators.archive import Collection, cheapest_groups, through_middle
 from ..sources.genome_view import K, MIN_MATCH, SEGMENT_SIZE, contigs_of
 from .segment_queries import keyed_of
 from .views import genome
@@ -64,6 +64,17 @@ def best_group_one_splitter(spark, d):
     return cheapest_groups(keyed.where("(front is null) <> (back is null)"), refs, MIN_MATCH)
 
 
+def bridged(spark, d):
+    """Segments with two k-mers, and all groups, by two of which such a segment may be bridged."""
+    both = keyed_of(spark, d).where("key1 is not null")
+    return both, with_references(spark, d).select("key1", "key2", "ref_seq").distinct()
+
+
+def bridged_splits(spark, d):
+    """Where segments between two groups are cut, by the costs of every letter against both references."""
+    return through_middle(*bridged(spark, d), K, MIN_MATCH)
+
+
 def archive_roundtrip(spark, d):
     return _created(spark, d).get_collection()
 
@@ -92,6 +103,23 @@ def append_equals_create(spark, d):
     return made.append(c.where("sample_ord >= 10")).get_collection()
 
 
+def append_two_handles(spark, d):
+    """A collection to which two handles that do not know of each other append: nothing is lost."""
+    c = contigs_of(spark, d)
+    one = Collection.create(c.where("sample_ord < 10"), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
+    two = Collection(spark, one.path)
+    one.append(c.where("sample_ord between 10 and 14"))
+    return two.append(c.where("sample_ord > 14")).get_collection()
+
+
+def collection_from_parts(spark, d):
+    """A collection made of contigs that come in parts of at most 300 letters."""
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("seq") - 1, F.lit(0)), F.lit(300)))
+    cut = contigs_of(spark, d).withColumn("offset", at)
+    parts = cut.select("sample_ord", "sample", "contig_ord", "contig", "contig_full", F.col("offset").cast("long").alias("offset"), F.substring("seq", F.col("offset") + 1, F.lit(300)).alias("part"))
+    return Collection.create(parts, _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH).get_collection()
+
+
 def adaptive_roundtrip(spark, d):
     made = Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH, adaptive=True)
     return made.get_collection()
@@ -135,7 +163,7 @@ def best_split(spark, d):
     return grouping.best_split(_costs(spark, d), K)
 
 
-QUERIES = {f.__name__: f for f in (lz_roundtrip, lz_token_stats, best_group_one_splitter, archive_roundtrip, archive_range, archive_lengths, archive_sizes, archive_info, append_equals_create, adaptive_roundtrip, fallback_roundtrip, getset_archive, getctg_archive, coding_cost_prefix, best_split)}
+QUERIES = {f.__name__: f for f in (lz_roundtrip, lz_token_stats, best_group_one_splitter, bridged_splits, archive_roundtrip, archive_range, archive_lengths, archive_sizes, archive_info, append_equals_create, append_two_handles, collection_from_parts, adaptive_roundtrip, fallback_roundtrip, getset_archive, getctg_archive, coding_cost_prefix, best_split)}
 
 _LETTERS = "l AS (SELECT contig AS id, i - 1 AS pos, CASE WHEN substr(seq, i, 1) IN ('A', 'C') THEN 3 ELSE 1 END AS c1, CASE WHEN substr(seq, i, 1) IN ('G', 'T') THEN 3 ELSE 1 END AS c2, length(seq) AS n FROM (SELECT contig, seq, unnest(range(1, length(seq) + 1)) AS i FROM g))"
 _PARSED = """a AS (SELECT * FROM (VALUES (0, 'doc7', '', -1, -1), (1, 'doc7', 'src0', -1, -1), (2, 'doc12', '', 5, 40), (3, 'doc12:30-', '', -1, -1), (4, 'nosuch', '', -1, -1),
@@ -145,6 +173,8 @@ _COLLECTION = genome("SELECT sample_ord, contig_ord, contig_full, seq FROM g")
 ORACLES = {
     "archive_roundtrip": _COLLECTION,
     "append_equals_create": _COLLECTION,
+    "append_two_handles": _COLLECTION,
+    "collection_from_parts": _COLLECTION,
     "adaptive_roundtrip": _COLLECTION,
     "fallback_roundtrip": _COLLECTION,
     "getset_archive": genome("SELECT v.argument, g.contig_ord, g.contig_full, g.seq FROM (VALUES (0, 'src3'), (1, 'src0'), (2, 'src3')) AS v(argument, sample) JOIN g USING (sample)"),

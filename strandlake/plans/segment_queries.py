@@ -31,6 +31,13 @@ def splitters(spark, d):
     return _splitters(contigs_of(spark, d))
 
 
+def splitter_hits(spark, d):
+    """Where splitters occur, by the filter that is sent when they are many, and the join after it."""
+    c = contigs_of(spark, d)
+    values = _splitters(c).select(kmers.kmer_value(F.col("ck"), K).alias("ck"))
+    return kmers.maybe_windows_of(c, values, values.count(), K).join(values, "ck", "left_semi").select("sample_ord", "contig_ord", "end")
+
+
 def segments(spark, d):
     return _segments(spark, d)
 
@@ -90,7 +97,7 @@ def adaptive_splitters(spark, d):
     return segmentation.adaptive_splitters(c, _splitters(c), c.where("sample_ord = 0"), K, SEGMENT_SIZE)
 
 
-QUERIES = {f.__name__: f for f in (splitters, segments, segment_lengths, segments_for_range, segment_keys, group_sizes, groups_first_seen, in_group_ordinal, raw_round_robin, splitter_partners, middle_candidates, fallback_votes, fallback_top10, adaptive_splitters)}
+QUERIES = {f.__name__: f for f in (splitters, splitter_hits, segments, segment_lengths, segments_for_range, segment_keys, group_sizes, groups_first_seen, in_group_ordinal, raw_round_robin, splitter_partners, middle_candidates, fallback_votes, fallback_top10, adaptive_splitters)}
 
 
 def _sampled_part() -> str:
@@ -113,6 +120,7 @@ _ARR = "sample_ord, contig_ord, place"
 
 ORACLES = {
     "splitters": splitters_sql("SELECT ck FROM spl"),
+    "splitter_hits": sql('SELECT sample_ord, contig_ord, e AS "end" FROM hit'),
     "segments": sql(f"SELECT {_ARR}, start, raw_length, has_front, has_back FROM sg"),
     "segment_lengths": sql(f"SELECT sample_ord, contig_ord, CAST(sum(raw_length) - (count(*) - 1) * {K} AS BIGINT) AS length, count(*) AS n_segments FROM sg GROUP BY ALL"),
     "segments_for_range": sql(f"SELECT {_ARR}, start, raw_length FROM sg WHERE start <= {HIGH} AND start + raw_length > {LOW}"),

@@ -516,3 +516,43 @@ def test_samples_stay_open_over_batches_and_restarts(spark, tmp_path):
     put(own[1][:1])
     with pytest.raises(Exception, match="was closed before"):
         run()
+
+
+def test_bridged_segments_over_the_given_tables(spark):
+    """The registered query against every place of every segment, with costs letter by letter."""
+    from strandlake.plans import codec_queries
+    from strandlake.sources.genome_view import K, MIN_MATCH
+
+    from .conftest import SMALL
+
+    left, right = codec_queries.bridged(spark, SMALL)
+    refs = {(g["key1"], g["key2"]): g["ref_seq"] for g in right.collect()}
+    other = {}
+    for a, b in refs:
+        other.setdefault(a, set()).add(b)
+        other.setdefault(b, set()).add(a)
+    turn = lambda t: t.translate(COMPLEMENT)[::-1]
+    want = []
+    for s in left.collect():
+        shared = other.get(s["front"], set()) & other.get(s["back"], set())
+        if not shared or s["front"] == s["back"]:
+            continue
+        middle, rc = min(shared), s["front"] > s["back"]
+        first, last = sorted((s["front"], s["back"]))
+        here, n = (turn(s["seq"]) if rc else s["seq"]), len(s["seq"])
+        one, two = (Coder(refs[tuple(sorted(x))], MIN_MATCH) for x in ((first, middle), (middle, last)))
+        # a letter's cost falls on the first letter of a match on the left, and on the last one on the right
+        left_costs = one.costs(here) if first < middle else one.costs(turn(here), at_start=False)[::-1]
+        right_costs = two.costs(here, at_start=False) if middle < last else two.costs(turn(here))[::-1]
+        sums = [sum(left_costs[: i + 1]) + sum(right_costs[i:]) for i in range(n)]
+        at = sums.index(min(sums))
+        at = 0 if at < K + 1 else n if at + K + 1 > n else at
+        place = (s["sample_ord"], s["contig_ord"], s["place"])
+        if at in (0, n):
+            a, b = (middle, last) if at == 0 else (first, middle)
+            want.append((*place, s["start"], 0, 0, n, min(a, b), max(a, b), rc == (a < b)))
+        else:
+            cut = (n - at if rc else at) - K // 2
+            want.append((*place, s["start"], 0, 0, cut + K, *sorted((s["front"], middle)), s["front"] > middle))
+            want.append((*place, s["start"] + cut, 1, cut, n - cut, *sorted((middle, s["back"])), middle > s["back"]))
+    assert sorted(map(tuple, codec_queries.bridged_splits(spark, SMALL).collect())) == sorted(want)
