@@ -296,23 +296,28 @@ class Collection:
 
     def table(self, name: str) -> DataFrame:
         """A table's committed batches."""
-        return self._rows(name).drop("block")
-
-    def _rows(self, name: str) -> DataFrame:
-        """The same with ``block`` where the table has blocks; predicates on it choose folders."""
-        if self._kept is None or name not in ("groups", "deltas"):
-            return _read(self.spark, self.path, name, self.batches)
+        if not self._keeps(name):
+            return self._rows(name).drop("block")
         if name not in self._kept:
-            self._kept[name] = _read(self.spark, self.path, name, self.batches).persist()
+            self._kept[name] = self._rows(name).drop("block").persist()
         return self._kept[name]
 
+    def _keeps(self, name: str) -> bool:
+        return self._kept is not None and name in ("groups", "deltas")
+
+    def _rows(self, name: str) -> DataFrame:
+        """The same from disk, with ``block`` where the table has blocks; predicates on it choose folders."""
+        return _read(self.spark, self.path, name, self.batches)
+
     def _of(self, name: str, ids: list[int] | None) -> DataFrame:
-        """Rows of a table with these values in its first column, read from their blocks only; all rows if ``ids`` is None."""
+        """Rows of a table with these values in its first column, read from their blocks only, unless the table is kept in
+        memory; all rows if ``ids`` is None."""
         column, width, _ = BLOCKS[name]
-        found = self._rows(name)
-        if ids is not None:
-            found = found.where(F.col("block").isin(sorted({i // width for i in ids})) & F.col(column).isin(ids))
-        return found.drop("block")
+        if ids is None:
+            return self.table(name)
+        if self._keeps(name):
+            return self.table(name).where(F.col(column).isin(ids))
+        return self._rows(name).where(F.col("block").isin(sorted({i // width for i in ids})) & F.col(column).isin(ids)).drop("block")
 
     def close(self) -> None:
         for df in (self._kept or {}).values():
