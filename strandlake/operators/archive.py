@@ -60,7 +60,7 @@ TABLES = {
     "groups": "group_id long, key1 string, key2 string, ref_seq string",
     "deltas": "group_id long, in_group_id long, pack long, delta string",
     "splitters": "ck string",
-    "fallback": "ck string, key1 string, key2 string, forward boolean",
+    "fallback": "ck long, key1 string, key2 string, forward boolean",
 }
 #: How the tables with blocks are cut: width of a block of the first column; columns by which rows are sorted in it.
 BLOCKS = {
