@@ -6,16 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The pattern of a short name, the extensions that a sample's name loses, and the forms of a query.
+SHORT_NAME = "^[^ \\t\\r\\n]*"
+LAST_EXTENSION, SEQUENCE_EXTENSIONS = "(?<=.)\\.[^.]*$", "(?<=.)(\\.fna|\\.gz|\\.fa|\\.fasta)+$"
+FULL, WITH_SAMPLE, WITH_RANGE = "(?s)^(.+)@(.+):(.+)-(.+)$", "(?s)^(.+)@(.+)$", "(?s)^(.+):(.+)-(.+)$"
+
+
 def short_name(name: Column) -> Column:
     """A contig's name up to the first blank, tab or line end."""
-    return F.regexp_extract(name, "^[^ \\t\\r\\n]*", 0)
+    return F.regexp_extract(name, SHORT_NAME, 0)
 
 
 def sample_name(path: Column) -> Column:
     """File name without its last extension, then without further sequence extensions."""
     file = F.regexp_extract(path, "[^/]*$", 0)
-    stem = F.regexp_replace(file, "(?<=.)\\.[^.]*$", "")
-    return F.regexp_replace(stem, "(?<=.)(\\.fna|\\.gz|\\.fa|\\.fasta)+$", "")
+    stem = F.regexp_replace(file, LAST_EXTENSION, "")
+    return F.regexp_replace(stem, SEQUENCE_EXTENSIONS, "")
 
 
 def _number(text: Column) -> Column:
@@ -25,14 +31,13 @@ def _number(text: Column) -> Column:
 
 def contig_query(query: Column) -> Column:
     """Struct (ok, contig, sample, from, to) of ``contig[@sample][:from-to]``; greedy, and -1 for an open bound."""
-    full, with_sample, with_range = "(?s)^(.+)@(.+):(.+)-(.+)$", "(?s)^(.+)@(.+)$", "(?s)^(.+):(.+)-(.+)$"
     part = lambda pattern, i: F.regexp_extract(query, pattern, i)
     make = lambda ok, contig, sample, low, high: F.struct(ok.alias("ok"), contig.alias("contig"), sample.alias("sample"), low.alias("from"), high.alias("to"))
     none, yes, whole = F.lit(""), F.lit(True), F.lit(-1).cast("long")
     return (
-        F.when(query.rlike(full), make(yes, part(full, 1), part(full, 2), _number(part(full, 3)), _number(part(full, 4))))
-        .when(query.rlike(with_sample), make(yes, part(with_sample, 1), part(with_sample, 2), whole, whole))
-        .when(query.rlike(with_range), make(yes, part(with_range, 1), none, _number(part(with_range, 2)), _number(part(with_range, 3))))
+        F.when(query.rlike(FULL), make(yes, part(FULL, 1), part(FULL, 2), _number(part(FULL, 3)), _number(part(FULL, 4))))
+        .when(query.rlike(WITH_SAMPLE), make(yes, part(WITH_SAMPLE, 1), part(WITH_SAMPLE, 2), whole, whole))
+        .when(query.rlike(WITH_RANGE), make(yes, part(WITH_RANGE, 1), none, _number(part(WITH_RANGE, 2)), _number(part(WITH_RANGE, 3))))
         .when(query != "", make(yes, query, none, whole, whole))
         .otherwise(make(F.lit(False), none, none, whole, whole))
     )

@@ -14,19 +14,19 @@ Every table is partitioned by ``batch``, whose name no two writers share; a batc
 ``GROUPS_PER_BLOCK`` ids, sorted inside: a query first finds its segments, in the blocks of its samples, and then reads
 only the blocks and row groups that hold their groups.
 
-``create`` and ``append`` treat a call as one step: a segment may join a group of an earlier sample or batch, all in one
-plan, without a loop over samples. The contigs of a call are stored once and read from there. ``append`` starts from the
+``create`` and ``append`` take samples in rounds, one each (or ``pack_cardinality`` of them, where contigs are samples of
+their own): a segment sees groups of earlier rounds and batches only, so a call and a call per sample give the same groups.
+There is no loop over samples: what a round opens depends on keys alone, and is found in a few steps (``grouping``). The contigs of a call are stored once and read from there. ``append`` starts from the
 latest commit and is repeated if another writer commits first, so nothing is lost; a collection that is replaced has an id
 of its own, and handles on the old one can't add to it.
 
 Segments with two terminal k-mers belong to the group of their ordered pair. *Settled* groups are those of earlier batches,
-in a new collection those of the reference sample; they are known before any segment is placed, so what follows does not
-depend on the order of samples:
+in a new collection those of the reference sample; *known* ones are the settled and those that earlier rounds opened.
 
-* Where a pair is not settled, but both k-mers end settled groups that share a third one, the segment is coded against
-  both groups and goes to one of them, or is cut in two that overlap by k letters, wherever that is cheapest.
-* With ``fallback``, segments that still have no settled group go to one of those with which they share most of the
-  sampled k-mers of the reference.
+* Where a pair is not known, but both k-mers end known groups that share a third one, the segment is coded against both
+  groups and goes to one of them, or is cut in two that overlap by k letters, wherever that is cheapest.
+* With ``fallback``, segments that still have no known group go to one of the reference's with which they share most of its
+  sampled k-mers.
 * Segments with one terminal k-mer take the group ending in it that codes them cheapest, if it saves enough; else they
   open a one-sided group. Segments without any go to sixteen raw groups.
 
@@ -614,12 +614,16 @@ _PARTS_NAMES = [x.split()[0] for x in _PARTS.split(", ")]
 
 def through_middle(unsettled: DataFrame, settled: DataFrame, k: int, min_match: int) -> DataFrame:
     """Segments whose pair of k-mers is no settled group, but is bridged by two that share a k-mer: their parts (``part``,
-    ``start`` in the contig, ``inside`` the segment, ``raw_length``) with ``key1, key2, is_rev_comp``."""
+    ``start`` in the contig, ``inside`` the segment, ``raw_length``) with ``key1, key2, is_rev_comp``. Where both have a
+    ``round``, a segment sees only groups of earlier ones."""
     ship(unsettled.sparkSession)
-    pairs = unsettled.where("front <> back").select("front", "back").distinct()
-    middles = grouping.middle_candidates(pairs, grouping.partners(settled))
+    if "round" not in unsettled.columns:
+        unsettled, settled = unsettled.withColumn("round", F.lit(0)), settled.withColumn("round", F.lit(-1))
     first, last = F.least("front", "back"), F.greatest("front", "back")
-    bridged = unsettled.join(middles, ["front", "back"]).select(*grouping.ARRIVAL, "start", "front", "back", "middle", "seq", reverse_complement(F.col("seq")).alias("turned"), first.alias("a"), last.alias("b"))
+    asked = unsettled.where("front <> back").withColumns({"a": first, "b": last})
+    pairs = asked.select(F.col("a").alias("key1"), F.col("b").alias("key2"), "round").distinct()
+    middles = grouping.triangles(pairs, settled).groupBy(F.col("key1").alias("a"), F.col("key2").alias("b"), "round").agg(F.min("middle").alias("middle"))
+    bridged = asked.join(middles, ["a", "b", "round"]).select(*grouping.ARRIVAL, "start", "front", "back", "middle", "seq", reverse_complement(F.col("seq")).alias("turned"), "a", "b")
     group = lambda n: settled.select(F.col("key1").alias(f"g{n}"), F.col("key2").alias(f"h{n}"), F.col("ref_seq").alias(f"ref{n}"))
     on = lambda n, c: (F.least(c, "middle") == F.col(f"g{n}")) & (F.greatest(c, "middle") == F.col(f"h{n}"))
     both = bridged.join(group(1), on(1, "a")).join(group(2), on(2, "b"))
@@ -666,16 +670,13 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
         settled = old.where("key2 is not null").select("key1", "key2", "ref_seq")
         touched = _touched(known, keyed)
     columns = [*arrival, "part", "start", "raw_length", "seq", "key1", "key2", "is_rev_comp"]
+    near = settled if touched is None else touched.where("key2 is not null").select("key1", "key2", "ref_seq")
+    # the round of a segment, and the last sample of a round
+    together = values["pack_cardinality"] if values["concatenated"] else 1
+    base = contigs.agg(F.coalesce(F.min("sample_ord"), F.lit(0))).first()[0] if known is not None else 0
+    round_, last = F.floor((F.col("sample_ord") - base) / together).cast("int"), lambda c: ((c + 1) * together + base - 1).cast("int")
     own = both.withColumn("part", F.lit(0)).select(*columns)
-    unsettled = both.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti")
-    if not values["concatenated"]:
-        near = settled if touched is None else touched.where("key2 is not null").select("key1", "key2", "ref_seq")
-        parts = stage(through_middle(unsettled, near, k, values["min_match"]), "parts")
-        if not parts.isEmpty():
-            cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")
-            bridged = parts.join(both.select(*arrival, "seq"), arrival).withColumn("seq", cut).select(*columns)
-            own = own.join(parts.select(*arrival).distinct(), arrival, "left_anti").unionByName(bridged)
-            unsettled = unsettled.join(parts.select(*arrival).distinct(), arrival, "left_anti")
+    unsettled = both.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti").withColumn("round", round_)
     vote = None
     if values["fallback"] > 0:
         mapped = None if known is None else _stored_map(known, values["fallback"])
@@ -696,16 +697,25 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
             keys = {"key1": F.coalesce("c1", "key1"), "key2": F.when(F.col("c1").isNotNull(), F.col("c2")).otherwise(F.col("key2")), "is_rev_comp": F.coalesce("c_rc", "is_rev_comp")}
             return joined.withColumns(keys).select(*columns)
 
-        own = revised(own, vote(unsettled, 2, "voted2"))
+    voted = None if vote is None else vote(unsettled, 2, "voted2")
+    # pairs that open a group: by the first of their segments that no vote sends elsewhere, unless it is bridged
+    free = unsettled if voted is None else unsettled.join(voted.select(*arrival), arrival, "left_anti")
+    firsts = stage(free.groupBy("key1", "key2").agg(F.min("round").alias("round"), F.min(F.struct(*arrival)).alias("f")).select("key1", "key2", "round", "f.*"), "firsts")
+    opened = firsts if values["concatenated"] else grouping.opened_in_rounds(firsts, near, stage)
+    opened = stage(opened.join(both.select(*arrival, _stored().alias("ref_seq")), arrival), "opened")
+    unsettled = unsettled.join(opened.select("key1", "key2", F.col("round").alias("opened")), ["key1", "key2"], "left")
+    if voted is not None:
+        own = revised(own, voted.join(unsettled.where("opened is null or round <= opened").select(*arrival), arrival, "left_semi"))
+    if not values["concatenated"]:
+        groups = near.withColumn("round", F.lit(-1)).unionByName(opened.select("key1", "key2", "ref_seq", "round"))
+        parts = stage(through_middle(unsettled.where("opened is null"), groups, k, values["min_match"]), "parts")
+        if not parts.isEmpty():
+            cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")
+            bridged = parts.join(both.select(*arrival, "seq"), arrival).withColumn("seq", cut).select(*columns)
+            own = own.join(parts.select(*arrival).distinct(), arrival, "left_anti").unionByName(bridged)
 
-    # the first arrivals of pairs that no settled group has
-    opened = own.join(settled.select("key1", "key2"), ["key1", "key2"], "left_anti")
-    heads = opened.groupBy("key1", "key2").agg(F.min(F.struct(*arrival, "part")).alias("f")).select("key1", "key2", "f.*")
-    heads = heads.join(opened.select(*arrival, "part", _stored().alias("ref_seq")), [*arrival, "part"])
-    near = settled if touched is None else touched.where("key2 is not null")
-    candidates = near.select("key1", "key2", F.lit(-1).alias("first_sample"), "ref_seq").unionByName(heads.select("key1", "key2", F.col("sample_ord").alias("first_sample"), "ref_seq"))
-    if known is None:  # those of the reference sample are no earlier than that sample
-        candidates = candidates.withColumn("first_sample", F.greatest("first_sample", F.lit(0)))
+    seen = last(F.lit(0)) if known is None else F.lit(-1)  # those of the reference sample are of the first round
+    candidates = near.select("key1", "key2", seen.alias("first_sample"), "ref_seq").unionByName(opened.select("key1", "key2", last(F.col("round")).alias("first_sample"), "ref_seq"))
     single = keyed.where("(front is null) <> (back is null)")
     chosen = cheapest_groups(single, candidates, values["min_match"], stage).select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc"))
     end = F.coalesce("front", "back")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,47 @@ def middle_candidates(pairs: DataFrame, partner_lists: DataFrame) -> DataFrame:
     return joined.select("front", "back", F.array_min(F.array_intersect("p1", "p2")).alias("middle")).where("middle is not null")
 
 
+def triangles(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """For pairs of splitters, the third ones that groups of earlier rounds join to both: ``key1, key2, round, middle``, the
+    pair's end ``ck`` with fewer groups and the other one ``far``, and the rounds ``near`` and ``away`` of the two groups.
+
+    ``pairs``: ``key1, key2, round``; ``groups`` the same, each key once. The groups of the end that has fewer are walked and
+    the third side is looked up, so a splitter of very many groups is never listed for each of them."""
+    one = groups.select(F.col("key1").alias("ck"), F.col("key2").alias("middle"), F.col("round").alias("near"))
+    ends = one.unionByName(groups.where("key1 <> key2").select(F.col("key2").alias("ck"), F.col("key1").alias("middle"), F.col("round").alias("near")))
+    sizes = ends.groupBy("ck").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (sizes.select(F.col("ck").alias(f"key{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    fewer = F.col("n1") <= F.col("n2")
+    asked = pairs.where("key1 <> key2").select("key1", "key2", "round").join(a, "key1").join(b, "key2")
+    asked = asked.select("key1", "key2", "round", F.when(fewer, F.col("key1")).otherwise(F.col("key2")).alias("ck"), F.when(fewer, F.col("key2")).otherwise(F.col("key1")).alias("far"))
+    walked = asked.join(ends, "ck").where("near < round").withColumns({"g1": F.least("far", "middle"), "g2": F.greatest("far", "middle")})
+    third = groups.select(F.col("key1").alias("g1"), F.col("key2").alias("g2"), F.col("round").alias("away"))
+    return walked.join(third, ["g1", "g2"]).where("away < round").select("key1", "key2", "round", "middle", "ck", "far", "near", "away")
+
+
+def opened_in_rounds(firsts: DataFrame, settled: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of ``firsts`` (new pairs ``key1, key2`` with the ``round`` in which each comes first) whose pair opens a group:
+    all but those that two groups of earlier rounds, or of ``settled``, bridge in that round.
+
+    Whether a pair opens depends on earlier rounds only, so it is found by steps and not round by round: a step decides the
+    pairs all of whose bridges are decided, and carries on no others. There are as many steps as the longest chain of pairs
+    of which each waits for the one before. ``keep`` stores a table and reads it back; the rounds of ``firsts`` are 0 or more.
+    """
+    every = settled.select("key1", "key2", F.lit(-1).alias("round")).unionByName(firsts.select("key1", "key2", F.col("round").cast("int").alias("round")))
+    leg = lambda c, i: (F.least(c, "middle").alias(f"a{i}"), F.greatest(c, "middle").alias(f"b{i}"))
+    waiting = keep(triangles(firsts, every).select("key1", "key2", *leg("ck", 1), *leg("far", 2), ((F.col("near") < 0) & (F.col("away") < 0)).alias("holds")), "bridges")
+    step, shut = 0, []
+    while not waiting.isEmpty():
+        shut.append(waiting.where("holds").select("key1", "key2").distinct())
+        left = waiting.join(shut[-1], ["key1", "key2"], "left_anti")
+        known = shut[-1].withColumn("shut", F.lit(True)).unionByName(left.select("key1", "key2").distinct().withColumn("shut", F.lit(False)))
+        s1, s2 = (known.select(F.col("key1").alias(f"a{i}"), F.col("key2").alias(f"b{i}"), F.col("shut").alias(f"s{i}")) for i in (1, 2))
+        live = left.join(s1, ["a1", "b1"], "left").join(s2, ["a2", "b2"], "left").where("not coalesce(s1, false) and not coalesce(s2, false)")
+        waiting = keep(live.select("key1", "key2", "a1", "b1", "a2", "b2", (F.col("s1").isNull() & F.col("s2").isNull()).alias("holds")), f"bridges{step}")
+        step += 1
+    return reduce(lambda df, pairs: df.join(pairs, ["key1", "key2"], "left_anti"), shut, firsts)
+
+
 #: Width of the buckets of places by which k-mers find the segments around them.
 BUCKET = 1 << 12
 

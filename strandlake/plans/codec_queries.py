@@ -75,6 +75,19 @@ def bridged_splits(spark, d):
     return through_middle(*bridged(spark, d), K, MIN_MATCH)
 
 
+def groups_in_rounds(spark, d):
+    """Pairs of splitters that open a group, with the sample that does: those that no two groups of earlier samples bridge."""
+    pairs = keyed_of(spark, d).where("key1 is not null").groupBy("key1", "key2").agg(F.min("sample_ord").alias("round"))
+    where = _folder(spark)
+
+    def keep(df, name):
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+    pairs = keep(pairs, "pairs")
+    return grouping.opened_in_rounds(pairs.where("round > 0"), pairs.where("round = 0"), keep)
+
+
 def archive_roundtrip(spark, d):
     return _created(spark, d).get_collection()
 
@@ -163,7 +176,7 @@ def best_split(spark, d):
     return grouping.best_split(_costs(spark, d), K)
 
 
-QUERIES = {f.__name__: f for f in (lz_roundtrip, lz_token_stats, best_group_one_splitter, bridged_splits, archive_roundtrip, archive_range, archive_lengths, archive_sizes, archive_info, append_equals_create, append_two_handles, collection_from_parts, adaptive_roundtrip, fallback_roundtrip, getset_archive, getctg_archive, coding_cost_prefix, best_split)}
+QUERIES = {f.__name__: f for f in (lz_roundtrip, lz_token_stats, best_group_one_splitter, bridged_splits, groups_in_rounds, archive_roundtrip, archive_range, archive_lengths, archive_sizes, archive_info, append_equals_create, append_two_handles, collection_from_parts, adaptive_roundtrip, fallback_roundtrip, getset_archive, getctg_archive, coding_cost_prefix, best_split)}
 
 _LETTERS = "l AS (SELECT contig AS id, i - 1 AS pos, CASE WHEN substr(seq, i, 1) IN ('A', 'C') THEN 3 ELSE 1 END AS c1, CASE WHEN substr(seq, i, 1) IN ('G', 'T') THEN 3 ELSE 1 END AS c2, length(seq) AS n FROM (SELECT contig, seq, unnest(range(1, length(seq) + 1)) AS i FROM g))"
 _PARSED = """a AS (SELECT * FROM (VALUES (0, 'doc7', '', -1, -1), (1, 'doc7', 'src0', -1, -1), (2, 'doc12', '', 5, 40), (3, 'doc12:30-', '', -1, -1), (4, 'nosuch', '', -1, -1),
@@ -194,3 +207,19 @@ def _lz_oracle() -> str:
 
 
 ORACLES["lz_roundtrip"] = _lz_oracle()
+
+
+def _rounds_oracle() -> str:
+    """Round after round, carrying all groups that are open."""
+    from .views import segments as sql
+
+    ends = "(SELECT key1 AS ck, key2 AS o FROM rec UNION SELECT key2, key1 FROM rec)"
+    return sql(f""", pr AS (SELECT key1, key2, CAST(min(sample_ord) AS INTEGER) AS r FROM kd WHERE key1 IS NOT NULL GROUP BY key1, key2)
+SELECT key1, key2, r AS round FROM (WITH RECURSIVE rec AS (SELECT 0 AS step, key1, key2, r FROM pr WHERE r = 0 UNION ALL (
+ SELECT step + 1, key1, key2, r FROM rec WHERE step < (SELECT max(r) FROM pr)
+ UNION ALL SELECT p.r, p.key1, p.key2, p.r FROM pr p JOIN (SELECT DISTINCT step + 1 AS now FROM rec) t ON p.r = t.now
+ LEFT JOIN (SELECT DISTINCT q.key1, q.key2 FROM pr q JOIN {ends} a ON a.ck = q.key1 JOIN {ends} b ON b.ck = q.key2 AND b.o = a.o WHERE q.key1 <> q.key2) x ON x.key1 = p.key1 AND x.key2 = p.key2 WHERE x.key1 IS NULL
+)) SELECT * FROM rec WHERE step = (SELECT max(r) FROM pr)) WHERE r > 0""")
+
+
+ORACLES["groups_in_rounds"] = _rounds_oracle()
