@@ -1,7 +1,7 @@
 """Splitters, segments, and the terminal k-mers that key a segment.
 
-Candidates for splitters are nearly all windows of a reference. Their places are kept as one bit each, in rows of 2**19
-places, and the greedy choice runs over the bits of one contig: 30 MB for a chromosome of 2.5 * 10**8 letters. Cuts of a
+Candidates for splitters are nearly all windows of a reference. Their places are kept as one bit each, in rows of at most
+2**19 places, and the greedy choice runs over the bits of one contig: 30 MB for a chromosome of 2.5 * 10**8 letters. Cuts of a
 contig are far fewer, about its length over the segment size, and are chosen from a sorted list, in linear time.
 """
 
@@ -40,8 +40,9 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for offsets in batch.column("ends"):
-            bits = np.zeros(ROW, dtype=bool)
-            bits[offsets.values.to_numpy() % ROW] = True
+            places = offsets.values.to_numpy() % ROW
+            bits = np.zeros(int(places.max()) + 1, dtype=bool)  # of a short contig no whole row
+            bits[places] = True
             out.append(np.packbits(bits).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("sample_ord"), batch.column("contig_ord"), batch.column("part"), pa.array(out, pa.binary())], ["sample_ord", "contig_ord", "part", "bits"])
 
