@@ -243,11 +243,11 @@ def windows_of(contigs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Windows whose canonical k-mer is among ``ck`` strings of ``wanted``: sorted numbers are sent to all tasks if there
     are at most ``MOST_SENT`` of them; else windows that pass a filter are joined with the wanted k-mers."""
     values = wanted.select(kmer_value(F.col("ck"), k).alias("ck")).distinct()
-    if (n := values.count()) > MOST_SENT:
-        return maybe_windows_of(contigs, values, n, k).join(values, "ck", "left_semi").select(*[x.split()[0] for x in CODES.split(", ")])
-    if not n:
+    known = np.sort(values.limit(MOST_SENT + 1).toArrow().column("ck").to_numpy().view(np.uint64))  # what makes them runs once
+    if len(known) > MOST_SENT:
+        return maybe_windows_of(contigs, values, values.count(), k).join(values, "ck", "left_semi").select(*[x.split()[0] for x in CODES.split(", ")])
+    if not len(known):
         return coded_kmers(contigs.limit(0), k)
-    known = np.sort(values.toPandas()["ck"].to_numpy().view(np.uint64))
     sent = contigs.sparkSession.sparkContext.broadcast(known)
 
     def keep(ck: np.ndarray) -> np.ndarray:
