@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shipping import ship
 
-__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "lean", "materialize", "new_path", "packed", "position", "remove", "running", "shared_dir", "ship", "unpacked", "words_of"]
+__all__ = ["SPACE", "SPACE_BYTES", "count_words", "join_counted", "lean", "materialize", "new_path", "packed", "position", "remove", "running", "shared_dir", "ship", "shuffled", "unpacked", "words_of"]
 
 #: Java pattern of the white space that ends a word, and the same characters as bytes.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -104,6 +104,12 @@ def remove(table: DataFrame) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """``table`` for joins with a table that grows as it does: rows of both are shuffled and merged. Spark would send a side
+    whose files are small to all tasks through the driver, where it may take very many times its compressed size."""
+    return table.hint("merge")
+
+
 def join_counted(large: DataFrame, small: DataFrame, keys: list[str], total: int, count: str) -> DataFrame:
     """Inner join of two tables of which the small one has one row per key and says in ``count`` how many rows of the
     large one have it; ``total`` is the number of those rows. Both are read more than once, so they should be stored.
@@ -114,10 +120,10 @@ def join_counted(large: DataFrame, small: DataFrame, keys: list[str], total: int
     least = max(HOT_ROWS, -(-total // MOST_HOT))
     hot, cold = small.where(F.col(count) > least), small.where(F.col(count) <= least)
     if hot.isEmpty():
-        return large.join(small, keys)
+        return large.join(shuffled(small), keys)
     if cold.isEmpty():
         return large.join(F.broadcast(hot), keys)
-    rest = large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    rest = large.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(shuffled(cold), keys)
     return large.join(F.broadcast(hot), keys).unionByName(rest)
 
 
