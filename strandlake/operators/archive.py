@@ -78,6 +78,8 @@ PARAMETERS = {"k": (31, 17, 32), "min_match": (20, 15, 32), "segment_size": (60_
 # with at most so large segments take the candidate of most votes without coding; and the share of their letters that a
 # fallback candidate has to save in adaptive mode.
 VOTES, SHORT, ADAPTIVE_LIMIT = {0: 1, 1: 5, 2: 2}, 10_000, 0.2
+#: Candidates of a segment that are looked at.
+MOST_CANDIDATES = 10
 
 
 def clamp(name: str, value: float | None) -> float:
@@ -630,10 +632,10 @@ def through_middle(unsettled: DataFrame, settled: DataFrame, k: int, min_match:
     return both.select(*grouping.ARRIVAL, "start", "front", "back", "middle", "seq", "turned", "ref1", "ref2").mapInArrow(_through_middle(min_match, k), _PARTS)
 
 
-def by_votes(segments: DataFrame, sampled: DataFrame, mapped: DataFrame, settled: DataFrame, values: dict, least: int, adaptive: bool) -> DataFrame:
+def by_votes(segments: DataFrame, sampled: DataFrame, mapped: DataFrame, settled: DataFrame, values: dict, least: int, adaptive: bool, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``key1, key2, is_rev_comp`` of settled groups for segments (with ``seq``) by the sampled k-mers that they share."""
-    votes = grouping.fallback_votes(sampled, segments, mapped, values["k"])
-    ranked = grouping.best_candidates(votes, least).select(*grouping.ARRIVAL, "key1", "key2", "is_rev_comp", "rank")
+    votes = grouping.fallback_votes(sampled, segments, mapped, values["k"], keep, least, MOST_CANDIDATES)
+    ranked = grouping.best_candidates(votes, least, MOST_CANDIDATES).select(*grouping.ARRIVAL, "key1", "key2", "is_rev_comp", "rank")
     if values["segment_size"] <= SHORT:
         return ranked.where("rank = 1").drop("rank")
     bodies = ranked.join(segments.select(*grouping.ARRIVAL, "raw_length", "seq"), list(grouping.ARRIVAL)).join(settled.select("key1", "key2", "ref_seq"), ["key1", "key2"])
@@ -688,7 +690,7 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
             _write(found.select("ck", "key1", "key2", "forward"), path, "fallback", batch)
             mapped = _read(spark, path, "fallback", [batch])
         sampled = stage(kmers.sampled_codes(contigs, k, values["fallback"]), "sampled")
-        vote = lambda segments, ends, name: stage(by_votes(segments, sampled, mapped, settled, values, VOTES[ends], adaptive), name)
+        vote = lambda segments, ends, name: stage(by_votes(segments, sampled, mapped, settled, values, VOTES[ends], adaptive, lambda df, of: stage(df, f"{name}-{of}")), name)
 
         def revised(rows: DataFrame, chosen: DataFrame) -> DataFrame:
             """``rows`` with the group that was chosen for some."""

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import codec, grouping
 from ..operators.archive import Collection, cheapest_groups, through_middle
 from ..sources.genome_view import K, MIN_MATCH, SEGMENT_SIZE, contigs_of
+from .folders import new_path, stored_in
 from .segment_queries import keyed_of
 from .views import genome
 
-
-def _folder(spark) -> str:
-    """A new folder for a collection: in the shared folder if the session names one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
-    return f"{top.rstrip('/')}/collection-{uuid.uuid4().hex}"
-
-
 #: Collections made in this process, by application and input.
 _made: dict[tuple[str, str], str] = {}
 
@@ -32,7 +19,7 @@ def _created(spark, d):
     """The collection over the genome view; once made, it is opened again by every query of the session."""
     key = spark.sparkContext.applicationId, d
     if key not in _made:
-        _made[key] = Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH).path
+        _made[key] = Collection.create(contigs_of(spark, d), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH).path
     return Collection(spark, _made[key])
 
 
@@ -78,12 +65,7 @@ def bridged_splits(spark, d):
 def groups_in_rounds(spark, d):
     """Pairs of splitters that open a group, with the sample that does: those that no two groups of earlier samples bridge."""
     pairs = keyed_of(spark, d).where("key1 is not null").groupBy("key1", "key2").agg(F.min("sample_ord").alias("round"))
-    where = _folder(spark)
-
-    def keep(df, name):
-        df.write.parquet(f"{where}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
-
+    keep = stored_in(new_path(spark))
     pairs = keep(pairs, "pairs")
     return grouping.opened_in_rounds(pairs.where("round > 0"), pairs.where("round = 0"), keep)
 
@@ -112,14 +94,14 @@ def archive_info(spark, d):
 def append_equals_create(spark, d):
     """Half of the samples created, the rest appended: the same contigs."""
     c = contigs_of(spark, d)
-    made = Collection.create(c.where("sample_ord < 10"), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
+    made = Collection.create(c.where("sample_ord < 10"), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
     return made.append(c.where("sample_ord >= 10")).get_collection()
 
 
 def append_two_handles(spark, d):
     """A collection to which two handles that do not know of each other append: nothing is lost."""
     c = contigs_of(spark, d)
-    one = Collection.create(c.where("sample_ord < 10"), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
+    one = Collection.create(c.where("sample_ord < 10"), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
     two = Collection(spark, one.path)
     one.append(c.where("sample_ord between 10 and 14"))
     return two.append(c.where("sample_ord > 14")).get_collection()
@@ -130,17 +112,17 @@ def collection_from_parts(spark, d):
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("seq") - 1, F.lit(0)), F.lit(300)))
     cut = contigs_of(spark, d).withColumn("offset", at)
     parts = cut.select("sample_ord", "sample", "contig_ord", "contig", "contig_full", F.col("offset").cast("long").alias("offset"), F.substring("seq", F.col("offset") + 1, F.lit(300)).alias("part"))
-    return Collection.create(parts, _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH).get_collection()
+    return Collection.create(parts, new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH).get_collection()
 
 
 def adaptive_roundtrip(spark, d):
-    made = Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH, adaptive=True)
+    made = Collection.create(contigs_of(spark, d), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH, adaptive=True)
     return made.get_collection()
 
 
 def fallback_roundtrip(spark, d):
     """With sampled k-mers voting for groups."""
-    made = Collection.create(contigs_of(spark, d), _folder(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH, fallback=0.05)
+    made = Collection.create(contigs_of(spark, d), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH, fallback=0.05)
     return made.get_collection()
 
 

@@ -148,3 +148,38 @@ def test_many_wanted_kmers_pass_a_filter(spark, monkeypatch):
     assert len(full) > 5 * len(passed)
     monkeypatch.setattr(kmers, "MOST_BITS", 64)  # a filter that is far too small lets more through, and the join decides
     assert rows(kmers.windows_of(df, wanted, K)) == want
+
+
+def test_votes_are_counted_in_cells(spark, tmp_path, monkeypatch):
+    """Of any number of blocks, also with both directions of a k-mer in a segment and in a group; pairs are not shuffled."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("ACGT") for _ in range(5))
+    words = [word() for _ in range(6)]
+    keys = sorted({tuple(sorted((r.choice(words), r.choice(words)))) for _ in range(12)})
+    mapped = sorted({(ck, *r.choice(keys), r.random() < 0.5) for ck in range(20) for _ in range(9)})
+    own = [(r.randrange(2), r.randrange(3), r.randrange(600), r.randrange(20), r.random() < 0.5) for _ in range(900)]
+    spans = [(s, c, p, 100 * p, 100) for s in range(2) for c in range(3) for p in range(6)]
+    want = {}
+    for s, c, end, ck, here in own:
+        for x, k1, k2, forward in mapped:
+            if x == ck and end % 100 >= 4:
+                want.setdefault((s, c, end // 100, k1, k2, here != forward), set()).add(ck)
+    want = {(*at, len(cks)) for at, cks in want.items()}
+    sampled = spark.createDataFrame(own, "sample_ord int, contig_ord int, end long, ck long, forward boolean")
+    segments = spark.createDataFrame(spans, "sample_ord int, contig_ord int, place int, start long, raw_length long")
+    groups = spark.createDataFrame(mapped, "ck long, key1 string, key2 string, forward boolean")
+    for held, counted in ((1 << 21, 1 << 21), (20, 7)):
+        monkeypatch.setattr(grouping, "HELD", held)
+        monkeypatch.setattr(grouping, "COUNTED", counted)
+        keep = lambda df, name: _kept(df, f"{tmp_path}/{held}-{name}")
+        votes = grouping.fallback_votes(sampled, segments, groups, 5, keep)
+        assert votes.count() == len(want) and {tuple(x) for x in votes.collect()} == want
+        assert "SortMergeJoin" not in (plan := votes._jdf.queryExecution().executedPlan().toString()) and "HashAggregate" not in plan
+        few = grouping.fallback_votes(sampled, segments, groups, 5, lambda df, name: keep(df, f"few-{name}"), 2, 3)
+        best = lambda rows: {tuple(x) for x in grouping.best_candidates(rows, 2, 3).collect()}
+        assert best(few) == best(votes) and len(best(few)) > len(spans)
+
+
+def _kept(df, path):
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
