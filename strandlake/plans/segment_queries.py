@@ -35,7 +35,7 @@ def splitters(spark, d):
 def splitter_hits(spark, d):
     """Where splitters occur, by the filter that is sent when they are many, and the join after it."""
     c = contigs_of(spark, d)
-    values = _splitters(c).select(kmers.kmer_value(F.col("ck"), K).alias("ck"))
+    values = stored_in(new_path(spark))(_splitters(c).select(kmers.kmer_value(F.col("ck"), K).alias("ck")), "splitters")  # read three times
     return kmers.maybe_windows_of(c, values, values.count(), K).join(values, "ck", "left_semi").select("sample_ord", "contig_ord", "end")
 
 
