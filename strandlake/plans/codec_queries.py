@@ -23,11 +23,17 @@ def _created(spark, d):
     return Collection(spark, _made[key])
 
 
-def with_references(spark, d):
-    """Keyed segments in their group's direction as ``body``, with the first arrival's letters as ``ref_seq``."""
+def kept_keyed(spark, d):
+    """Keyed segments, made once and stored, for queries that read them more than once."""
+    return stored_in(new_path(spark))(keyed_of(spark, d), "keyed")
+
+
+def with_references(spark, d, keyed=None):
+    """Keyed segments in their group's direction as ``body``, with the first arrival's letters as ``ref_seq``. ``keyed``: the
+    stored segments, where the caller has them."""
     from ..functions import reverse_complement
 
-    keyed = keyed_of(spark, d).where("key1 is not null")
+    keyed = (kept_keyed(spark, d) if keyed is None else keyed).where("key1 is not null")
     members = keyed.select(*grouping.ARRIVAL, "key1", "key2", F.when(F.col("is_rev_comp"), reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("body"))
     first = members.groupBy("key1", "key2").agg(F.min(F.struct(*grouping.ARRIVAL, "body")).alias("m")).select("key1", "key2", F.col("m.body").alias("ref_seq"))
     return members.join(first, ["key1", "key2"]).sortWithinPartitions("key1", "key2")
@@ -46,15 +52,17 @@ def lz_token_stats(spark, d):
 
 
 def best_group_one_splitter(spark, d):
-    keyed = keyed_of(spark, d)
-    refs = with_references(spark, d).groupBy("key1", "key2").agg(F.min("sample_ord").alias("first_sample"), F.first("ref_seq").alias("ref_seq"))
-    return cheapest_groups(keyed.where("(front is null) <> (back is null)"), refs, MIN_MATCH)
+    keep = stored_in(new_path(spark))
+    keyed = keep(keyed_of(spark, d), "keyed")
+    refs = with_references(spark, d, keyed).groupBy("key1", "key2").agg(F.min("sample_ord").alias("first_sample"), F.first("ref_seq").alias("ref_seq"))
+    return cheapest_groups(keyed.where("(front is null) <> (back is null)"), keep(refs, "references"), MIN_MATCH, keep)
 
 
 def bridged(spark, d):
     """Segments with two k-mers, and all groups, by two of which such a segment may be bridged."""
-    both = keyed_of(spark, d).where("key1 is not null")
-    return both, with_references(spark, d).select("key1", "key2", "ref_seq").distinct()
+    keep = stored_in(new_path(spark))
+    keyed = keep(keyed_of(spark, d), "keyed")
+    return keyed.where("key1 is not null"), keep(with_references(spark, d, keyed).select("key1", "key2", "ref_seq").distinct(), "references")
 
 
 def bridged_splits(spark, d):

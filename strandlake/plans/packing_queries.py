@@ -11,7 +11,7 @@ from ..operators import codec, grouping, kmers
 from ..sources.fasta import records_of, with_codes
 from ..sources.genome_view import K, MIN_MATCH, SEGMENT_SIZE, contigs_of
 from ..sources.shipping import ship
-from .codec_queries import _lz_oracle, with_references
+from .codec_queries import _lz_oracle, kept_keyed, with_references
 from .segment_queries import keyed_of
 from .views import genome
 from .views import kmers as kmers_sql
@@ -98,8 +98,9 @@ def near_in_group_ids(spark, d):
 
 
 def candidate_order(spark, d):
-    refs = with_references(spark, d).select("key1", "key2", F.char_length("ref_seq").alias("ref_length")).distinct()
-    return grouping.candidate_order(keyed_of(spark, d).where("(front is null) <> (back is null)"), refs)
+    keyed = kept_keyed(spark, d)
+    refs = with_references(spark, d, keyed).select("key1", "key2", F.char_length("ref_seq").alias("ref_length")).distinct()
+    return grouping.candidate_order(keyed.where("(front is null) <> (back is null)"), refs)
 
 
 def kmer_ranks(spark, d):

@@ -44,3 +44,9 @@ def test_entry(spark):
 def test_segmentation_reads_two_columns(spark):
     plan = plans.QUERIES["segments_for_range"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "n_chars" not in plan and "ReadSchema" in plan
+
+
+@pytest.mark.parametrize("name", ["best_group_one_splitter", "bridged_splits", "candidate_order", "reference_packing"])
+def test_segments_are_made_once(spark, name):
+    """Queries that read segments more than once store them: their own plans don't go back to the documents."""
+    assert not [f for f in plans.QUERIES[name](spark, SMALL).inputFiles() if "documents" in f]
