@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from ..functions import base64_name, contig_query, normalised_range, reverse_complement, short_name
 from ..sources.shipping import ship
 from . import catalog, grouping, kmers, segmentation
-from .codec import Coder, decode_rows, encode_rows
+from .codec import Coder, decode_rows, encode_rows, windows_and_runs
 from .commits import Log
 
 SAVING, LAYOUT = 16, 3
@@ -104,6 +104,8 @@ def _costs(min_match: int):
 
 _BEST = "sample_ord int, contig_ord int, place int, cost long, key1 string, key2 string, is_rev_comp boolean"
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
+#: Letters of a cell's segments whose windows are kept, about 32 bytes each.
+WINDOWS_HELD = 1 << 20
 
 
 def _nearest_first(min_match: int):
@@ -116,6 +118,9 @@ def _nearest_first(min_match: int):
         middle = sorted(r["raw_length"] for r in asked)[len(asked) // 2]
         best = [(r["bound"], r["b1"], r["b2"], r["b_rc"]) if r["b1"] is not None else (len(r["seq"]), None, None, None) for r in asked]
         turned: dict[int, str] = {}
+        # windows of a text are the same for every group, and are kept where they are not many
+        windows: dict[tuple[int, bool], tuple] = {}
+        held = sum(r["raw_length"] for r in asked) <= WINDOWS_HELD
         for g in sorted(groups, key=lambda g: (abs(len(g["ref_seq"]) - middle), len(g["ref_seq"]), g["key1"], g["key2"])):
             coder = None
             for i, r in enumerate(asked):
@@ -125,7 +130,10 @@ def _nearest_first(min_match: int):
                 forward = r["at_front"] == (g["own"] == g["key1"])  # in a group's direction its smaller k-mer comes first
                 if not forward and i not in turned:
                     turned[i] = r["seq"].translate(_COMPLEMENT)[::-1]
-                cost = coder.cost(r["seq"] if forward else turned[i], best[i][0])
+                text = r["seq"] if forward else turned[i]
+                if held and text != g["ref_seq"] and (i, forward) not in windows:
+                    windows[i, forward] = windows_and_runs(text, coder.key)
+                cost = coder.cost(text, best[i][0], windows.get((i, forward)))
                 found = (cost, g["key1"], g["key2"], not forward)
                 if cost < best[i][0] or (cost == best[i][0] and (best[i][1] is None or found < best[i])):
                     best[i] = found

@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.operators import codec
+from strandlake.operators import codec, kmers
 
 
 def mutate(r, s):
@@ -122,3 +123,25 @@ def test_rows(spark):
     assert coded[2] == "ACNN" and coded[3] == "" and coded[1] == "0,4.A"
     back = spark.createDataFrame([(i, ref, coded[i]) for i, ref, _ in rows], "i int, ref_seq string, body string")
     assert {r["i"]: r["body"] for r in codec.decode_rows(back, 15).collect()} == {i: t for i, _, t in rows}
+
+
+def test_rows_that_are_their_reference_need_no_index(monkeypatch):
+    made = []
+    monkeypatch.setattr(codec, "Coder", lambda *a, real=codec.Coder: made.append(a) or real(*a))
+    refs = ["ACGT" * 20 + c * 9 for c in "ACGT"]
+    batch = pa.RecordBatch.from_pydict({"ref_seq": [*refs, refs[0]], "body": [*refs, refs[1]]})
+    (out,) = codec._each("encode", 20)(iter([batch]))
+    assert out.column("body").to_pylist()[:4] == [""] * 4 and len(made) == 1
+    assert codec.decode(refs[0], out.column("body")[4].as_py(), 20) == refs[1]
+
+
+def test_windows_of_short_pieces_are_made_together():
+    texts = [b"ACGTTGCAAC", None, b"", b"ACNGTACGTA", b"GGGGG"]
+    rows = {"sample_ord": pa.array([0, 0, 1, 1, 2], pa.int32()), "contig_ord": pa.array(range(5), pa.int32()), "offset": pa.array([0, 0, 0, 7, 3]), "piece": texts}
+    batch = pa.RecordBatch.from_pydict(rows)
+    turn = lambda s: s[::-1].translate(bytes.maketrans(b"ACGT", b"TGCA"))
+    want = [(s, i, o + e, min(w, turn(w)).decode()) for s, i, o, t in zip(*(batch.column(c).to_pylist() for c in rows), strict=True) for e in range(3, len(t or b"")) if b"N" not in (w := t[e - 3 : e + 1])]
+    for made in (kmers._windows(4), kmers._strings(4)):
+        (out,) = made(iter([batch]))  # one batch, not one for each piece
+        assert [tuple(r[c] for c in ("sample_ord", "contig_ord", "end")) for r in out.to_pylist()] == [w[:3] for w in want]
+    assert out.column("ck").to_pylist() == [w[3] for w in want]
