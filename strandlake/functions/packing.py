@@ -1,7 +1,9 @@
-"""Integer and symbol encodings of established genome archives, as built-in expressions. Bytes are arrays of ints."""
+"""Integer and symbol encodings of established genome archives, as built-in expressions, and for long sequences as numpy.
+Bytes are arrays of ints."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,6 +136,30 @@ def symbol_codes(s: Column) -> Column:
     return F.transform(letters, lambda c: F.when(at(c) > 0, at(c) - 1).otherwise(30))
 
 
+# the same packing of whole arrays, for Arrow batches: as expressions it takes several steps a letter
+
+
+def pack_array(symbols: np.ndarray) -> tuple[int, np.ndarray]:
+    """:func:`pack_width` and :func:`pack_symbols` of an array."""
+    most, size = int(symbols.max(initial=0)), len(symbols)
+    base, n = next(((base, n) for base, n in WIDTHS if most < base), (0, 1))
+    if n == 1:
+        return n, np.append(symbols, 16)
+    weights = base ** np.arange(n - 1, -1, -1)
+    full, rest = symbols[: size - size % n].reshape(-1, n) @ weights, symbols[size - size % n :]
+    return n, np.concatenate([full, [rest @ weights[n - len(rest) :], n * 16 + size % n]])
+
+
+def unpack_array(data: np.ndarray) -> np.ndarray:
+    """Inverse of :func:`pack_array`: :func:`unpack_symbols` of an array."""
+    (n, rest), held = divmod(int(data[-1]), 16), data[:-1]
+    base = next((base for base, width in WIDTHS if width == n), 0)
+    if not base:
+        return held
+    digits = held[:, None] // base ** np.arange(n - 1, -1, -1) % base
+    return np.concatenate([digits[:-1].ravel(), digits[-1, n - rest :]])
+
+
 def complement_letter(c: Column) -> Column:
     """Complement of A, C, G, T, and N for every other letter."""
     return F.when(F.instr(F.lit("ACGT"), c) > 0, F.translate(c, "ACGT", "TGCA")).otherwise(F.lit("N"))

@@ -61,9 +61,7 @@ def packed_symbols(spark, d):
     """Sequences with symbols of four ranges, packed and back."""
     kind = F.col("contig_ord") % 4
     seq = F.when(kind == 0, F.col("seq")).when(kind == 1, F.translate("seq", "T", "N")).when(kind == 2, F.translate("seq", "T", "U")).otherwise(F.translate("seq", "T", " "))
-    coded = contigs_of(spark, d).select("contig", packing.symbol_codes(seq).alias("codes"))
-    packed = coded.withColumn("p", packing.pack_symbols(F.col("codes")))
-    return packed.select("contig", packing.pack_width(F.col("codes")).alias("width"), _joined(F.col("p")).alias("bytes"), (packing.unpack_symbols(F.col("p")) == F.col("codes")).alias("same"))
+    return codec.pack_rows(contigs_of(spark, d).select("contig", seq.alias("seq")))
 
 
 def coded_scan(spark, d):

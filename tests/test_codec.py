@@ -3,8 +3,13 @@ import random
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from strandlake.functions import packing
 from strandlake.operators import codec, kmers
+from strandlake.plans import packing_queries
+
+from .conftest import SMALL
 
 
 def mutate(r, s):
@@ -145,3 +150,18 @@ def test_windows_of_short_pieces_are_made_together():
         (out,) = made(iter([batch]))  # one batch, not one for each piece
         assert [tuple(r[c] for c in ("sample_ord", "contig_ord", "end")) for r in out.to_pylist()] == [w[:3] for w in want]
     assert out.column("ck").to_pylist() == [w[3] for w in want]
+
+
+def test_packing_of_arrays_is_that_of_expressions(spark):
+    texts = ["", "A", "ACGT", "ACGTA", "ACGNN", "ACGNNTN", "ACUVR", "ACU", "AC GT", "é\U0001f600A", None]
+    rows = {r["i"]: r for r in codec.pack_rows(spark.createDataFrame(list(enumerate(texts)), "i int, seq string")).collect()}
+    codes = spark.createDataFrame(list(enumerate(texts)), "i int, seq string").withColumn("codes", packing.symbol_codes(F.col("seq")))
+    for r in codes.select("i", packing.pack_width(F.col("codes")).alias("width"), packing.pack_symbols(F.col("codes")).alias("p")).collect():
+        got = rows[r["i"]]
+        assert (got["width"], got["bytes"]) == (r["width"], None if r["p"] is None else ",".join(map(str, r["p"])))
+        assert got["same"] is (None if r["p"] is None else True)
+
+
+def test_packing_takes_no_expression_per_letter(spark):
+    plan = packing_queries.packed_symbols(spark, SMALL)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "lambda" not in plan and "mapinarrow" in plan
