@@ -257,7 +257,8 @@ class Collection:
         stored = _stage(contigs.select(*NAMES, *_letters(contigs)), path, batch, "contigs")
         _named_once(stored)
         reference = stored.where("sample_ord = 0")
-        _write(segmentation.select_splitters(reference, values["k"], values["segment_size"]), path, "splitters", batch)
+        tasks = kmers.tasks_for(spark, _n_letters(reference))
+        _write(segmentation.select_splitters(reference, values["k"], values["segment_size"], tasks), path, "splitters", batch)
         _ingest(spark, stored, path, batch, values, adaptive)
         state = {"collection": uuid.uuid4().hex, "parameters": values, "batches": [_entry(batch, command, values["fallback"], marker)]}
         done = log.commit(number + 1, state)
@@ -578,6 +579,11 @@ def _letters(contigs: DataFrame) -> tuple[str, ...]:
     return ("offset", "part") if "part" in contigs.columns else ("seq",)
 
 
+def _n_letters(contigs: DataFrame) -> int:
+    """Letters of stored contigs."""
+    return contigs.agg(F.sum(F.char_length(_letters(contigs)[-1]))).first()[0] or 0
+
+
 def _named_once(contigs: DataFrame) -> None:
     """A sample that was registered is closed: no other may have its name."""
     twice = contigs.select("sample", "sample_ord").distinct().groupBy("sample").count().where("count > 1").limit(1).collect()
@@ -661,7 +667,8 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
     reference = contigs.where("sample_ord = 0") if known is None else known.contigs_with_sequences(samples=[0])
     if adaptive:
         before = _read(spark, path, "splitters", known.batches if known else [batch])
-        new = segmentation.adaptive_splitters(contigs, before, reference, k, values["segment_size"])
+        letters = _n_letters(contigs) + (0 if known is None else known.contigs().where("sample_ord = 0").agg(F.sum("length")).first()[0] or 0)
+        new = segmentation.adaptive_splitters(contigs, before, reference, k, values["segment_size"], kmers.tasks_for(spark, letters))
         new = new.union(before) if known is None else new  # a new collection has one set
         _write(stage(new.distinct(), "splitters").sortWithinPartitions("ck"), path, "splitters", batch)
     elif known is not None:

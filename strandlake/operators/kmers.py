@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import is_sampled, kmer_value, reverse_complement, with_fmix64
@@ -19,6 +19,8 @@ from ..sources.shipping import ship
 from .codec import finalised, window_codes
 
 PIECE = 1 << 19
+#: Letters whose windows a task makes, counts or joins, where the number of tasks is chosen.
+TASK = 1 << 21
 _COMPLEMENT = bytes.maketrans(BASES.encode(), COMPLEMENTS.encode())
 
 
@@ -180,11 +182,17 @@ def _strings(k: int):
     return run
 
 
-def _spread(contigs: DataFrame, k: int) -> DataFrame:
+def tasks_for(spark: SparkSession, letters: int | None) -> int:
+    """Tasks for the windows of so many letters. Nearly all windows are keys of their own, so with a fixed number of tasks what
+    each holds of them would grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(letters or 0) // TASK))
+
+
+def _spread(contigs: DataFrame, k: int, tasks: int | None = None) -> DataFrame:
     ship(contigs.sparkSession)
     if "part" in contigs.columns:
         return aligned(contigs, k - 1)
-    n = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks or tasks_for(contigs.sparkSession, None)
     return pieces(contigs.select("sample_ord", "contig_ord", "seq"), k).repartition(n, "sample_ord", "contig_ord", "offset")
 
 
@@ -193,6 +201,32 @@ def coded_kmers(contigs: DataFrame, k: int) -> DataFrame:
     return _spread(contigs, k).mapInArrow(_windows(k), CODES)
 
 
+def _counted(k: int, by_piece: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for letters, starts, held in _runs(batch):
+                at, own, turned = _canonical(letters, k)
+                if not len(at):
+                    continue
+                ck = np.minimum(own, turned)
+                row = np.searchsorted(starts, at, "right") if by_piece else np.zeros(len(at), np.int64)
+                order = np.lexsort((ck, row)) if by_piece else np.argsort(ck, kind="stable")
+                ck, row = ck[order], row[order]
+                first = np.flatnonzero(np.append(True, (ck[1:] != ck[:-1]) | (row[1:] != row[:-1])))
+                n = np.diff(np.append(first, len(ck)))
+                yield _batch(starts, held, at[order[first]], k, ck=pa.array(ck[first].view(np.int64)), n=pa.array(n.astype(np.int64)))
+
+    return run
+
+
+def counted_kmers(contigs: DataFrame, k: int, tasks: int | None = None, by_piece: bool = False) -> DataFrame:
+    """``sample_ord, contig_ord, end, ck, n``: canonical k-mers of every run of short pieces, or ``by_piece`` of every piece, each
+    once, with how often it occurs there and one place. So a very frequent one is few rows wherever it is dealt. With ``tasks``,
+    which :func:`tasks_for` gives, as many make the rows, and as many get them, dealt by ``ck``."""
+    found = _spread(contigs, k, tasks).mapInArrow(_counted(k, by_piece), "sample_ord int, contig_ord int, end long, ck long, n long")
+    return found.repartition(tasks, "ck") if tasks else found
+
+
 def sampled_codes(contigs: DataFrame, k: int, fraction: float) -> DataFrame:
     """Only windows whose canonical k-mer belongs to the sampled share and is not its own reverse complement."""
     bound = min(int(float((1 << 64) - 1) * fraction), (1 << 64) - 1)

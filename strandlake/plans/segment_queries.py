@@ -99,8 +99,12 @@ def fallback_top10(spark, d):
 
 
 def adaptive_splitters(spark, d):
-    c = contigs_of(spark, d)
-    return segmentation.adaptive_splitters(c, _splitters(c), c.where("sample_ord = 0"), K, SEGMENT_SIZE)
+    keep = stored_in(new_path(spark))
+    c = keep(contigs_of(spark, d).select("sample_ord", "contig_ord", "seq"), "contigs")  # read many times
+    reference = c.where("sample_ord = 0")
+    letters = {r["own"]: r["n"] or 0 for r in c.groupBy((F.col("sample_ord") == 0).alias("own")).agg(F.sum(F.char_length("seq")).alias("n")).collect()}
+    known = keep(segmentation.select_splitters(reference, K, SEGMENT_SIZE, kmers.tasks_for(spark, letters.get(True))), "splitters")
+    return segmentation.adaptive_splitters(c, known, reference, K, SEGMENT_SIZE, kmers.tasks_for(spark, sum(letters.values())))
 
 
 QUERIES = {f.__name__: f for f in (splitters, splitter_hits, segments, segment_lengths, segments_for_range, segment_keys, group_sizes, groups_first_seen, in_group_ordinal, raw_round_robin, splitter_partners, middle_candidates, fallback_votes, fallback_top10, adaptive_splitters)}

@@ -183,3 +183,42 @@ def test_votes_are_counted_in_cells(spark, tmp_path, monkeypatch):
 def _kept(df, path):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def test_tasks_of_kmers_grow_with_the_letters(spark, monkeypatch):
+    """No task counts or joins more k-mers for a larger input: their number follows the letters, and the result is the same."""
+    df = spark.createDataFrame(collection(31, 4), SCHEMA)
+    known = spark.createDataFrame([("A" * K,)], "ck string")
+    reference = df.where("sample_ord = 0")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    want = rows(segmentation.select_splitters(reference, K, SIZE)), rows(segmentation.adaptive_splitters(df, known, reference, K, SIZE))
+    assert want[0] and want[1]
+    monkeypatch.setattr(kmers, "TASK", 500)
+    letters = df.agg(F.sum(F.char_length("seq"))).first()[0]
+    tasks = kmers.tasks_for(spark, letters)
+    assert tasks == -(-letters // 500) > 4 and kmers.tasks_for(spark, 10) == 4
+    split, new = segmentation.select_splitters(reference, K, SIZE, tasks), segmentation.adaptive_splitters(df, known, reference, K, SIZE, tasks)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(ck#" in plan and f", {tasks})" in plan
+    assert (rows(split), rows(new)) == want
+
+
+def test_frequent_kmers_are_few_rows(spark):
+    rows = [(s, f"s{s}", c, f"c{c}", f"c{c}", "A" * 400 + q) for s, _, c, _, _, q in collection(33, 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    many = kmers.coded_kmers(df, K).where("ck = 0").count()
+    for by_piece, most in ((False, 4), (True, len(rows))):
+        found = kmers.counted_kmers(df, K, by_piece=by_piece)
+        assert found.where("ck = 0").count() <= most < many and found.where("ck = 0").agg(F.sum("n")).first()[0] == many
+        assert found.agg(F.sum("n")).first()[0] == kmers.coded_kmers(df, K).count()
+
+
+def test_adaptive_splitters_deal_kmers_by_letters(spark, monkeypatch):
+    from strandlake.plans import segment_queries
+
+    from .conftest import SMALL
+
+    monkeypatch.setattr(kmers, "TASK", 3000)
+    df = segment_queries.adaptive_splitters(spark, SMALL)
+    assert not [f for f in df.inputFiles() if "documents" in f]  # contigs are made once
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
