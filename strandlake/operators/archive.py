@@ -102,14 +102,15 @@ def _costs(min_match: int):
     return run
 
 
-_BEST = "sample_ord int, contig_ord int, place int, cost long, key1 string, key2 string, is_rev_comp boolean"
+_BEST = "sample_ord int, contig_ord int, place int, raw_length long, cost long, key1 string, key2 string, is_rev_comp boolean"
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 #: Letters of a cell's segments whose windows are kept, about 32 bytes each.
 WINDOWS_HELD = 1 << 20
 
 
 def _nearest_first(min_match: int):
-    """For the segments and the groups of a cell, every segment's best group: ``arrival, cost, key1, key2, is_rev_comp``.
+    """For the segments and the groups of a cell, every segment's best group: ``arrival, raw_length, cost, key1, key2,
+    is_rev_comp``.
 
     Groups are visited in the order of how near their length is to that of the segments, each is indexed once, and what a
     segment has found so far bounds what another group may cost."""
@@ -131,7 +132,9 @@ def _nearest_first(min_match: int):
                 if not forward and i not in turned:
                     turned[i] = r["seq"].translate(_COMPLEMENT)[::-1]
                 text = r["seq"] if forward else turned[i]
-                if held and text != g["ref_seq"] and (i, forward) not in windows:
+                if text != g["ref_seq"] and best[i][0] == 0:
+                    continue  # only an equal reference costs nothing
+                if held and coder.index is None and text != g["ref_seq"] and (i, forward) not in windows:
                     windows[i, forward] = windows_and_runs(text, coder.key)
                 cost = coder.cost(text, best[i][0], windows.get((i, forward)))
                 found = (cost, g["key1"], g["key2"], not forward)
@@ -139,7 +142,7 @@ def _nearest_first(min_match: int):
                     best[i] = found
         for r, b in zip(asked, best, strict=True):
             if b[1] is not None:
-                yield r["sample_ord"], r["contig_ord"], r["place"], *b
+                yield r["sample_ord"], r["contig_ord"], r["place"], r["raw_length"], *b
 
     def run(asked: pa.Table, groups: pa.Table) -> pa.Table:
         cells: dict[tuple, tuple[list, list]] = {}
@@ -147,7 +150,7 @@ def _nearest_first(min_match: int):
             for r in table.to_pylist():
                 cells.setdefault((r["own"], r["part"], r["chunk"]), ([], []))[side].append(r)
         rows = [x for a, g in cells.values() if a and g for x in one(a, g)]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
         return pa.table([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], [x.split()[0] for x in _BEST.split(", ")])
 
     return run
@@ -204,9 +207,9 @@ def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int, kee
     if sizes["chunk"]:  # segments of splitters with more groups than one chunk have others to meet
         best = keep(best, "nearest")
         best = best.unionByName(met(_in_other_chunks(rows, best), lettered.join(middles.where(F.size("chunks") > 1).select("own"), "own", "left_semi")))
-    best = best.groupBy(*arrival).agg(F.min(F.struct("cost", "key1", "key2", "is_rev_comp")).alias("b")).join(one_sided.select(*arrival, "raw_length"), arrival)
+        best = best.groupBy(*arrival, "raw_length").agg(F.min(F.struct("cost", "key1", "key2", "is_rev_comp")).alias("b")).select(*arrival, "raw_length", "b.*")
     bound = F.when(F.col("raw_length") < SAVING, F.col("raw_length")).otherwise(F.col("raw_length") - SAVING)
-    return best.where(F.col("b.cost") <= bound).select(*arrival, "b.key1", "b.key2", "b.is_rev_comp", "b.cost")
+    return best.where(F.col("cost") <= bound).select(*arrival, "key1", "key2", "is_rev_comp", "cost")
 
 
 class Collection:
@@ -727,9 +730,12 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
         groups = near.withColumn("round", F.lit(-1)).unionByName(opened.select("key1", "key2", "ref_seq", "round"))
         parts = stage(through_middle(unsettled.where("opened is null"), groups, k, values["min_match"]), "parts")
         if not parts.isEmpty():
-            cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("raw_length").cast("int")).cast("string")
-            bridged = parts.join(both.select(*arrival, "seq"), arrival).withColumn("seq", cut).select(*columns)
-            own = own.join(parts.select(*arrival).distinct(), arrival, "left_anti").unionByName(bridged)
+            # one join, as the letters of all segments pass it: those with parts become their parts
+            replaced = [c for c in columns if c not in (*arrival, "seq")]
+            joined = own.join(parts.select(*arrival, "inside", *[F.col(c).alias(f"p_{c}") for c in replaced]), arrival, "left")
+            cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("p_raw_length").cast("int")).cast("string")
+            either = lambda c, part: F.when(F.col("inside").isNull(), F.col(c)).otherwise(part).alias(c)
+            own = joined.select(*arrival, *[either(c, F.col(f"p_{c}")) for c in replaced], either("seq", cut)).select(*columns)
 
     seen = last(F.lit(0)) if known is None else F.lit(-1)  # those of the reference sample are of the first round
     candidates = near.select("key1", "key2", seen.alias("first_sample"), "ref_seq").unionByName(opened.select("key1", "key2", last(F.col("round")).alias("first_sample"), "ref_seq"))

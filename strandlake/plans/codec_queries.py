@@ -101,14 +101,14 @@ def archive_info(spark, d):
 
 def append_equals_create(spark, d):
     """Half of the samples created, the rest appended: the same contigs."""
-    c = contigs_of(spark, d)
+    c = stored_in(new_path(spark))(contigs_of(spark, d), "contigs")  # both calls read it
     made = Collection.create(c.where("sample_ord < 10"), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
     return made.append(c.where("sample_ord >= 10")).get_collection()
 
 
 def append_two_handles(spark, d):
     """A collection to which two handles that do not know of each other append: nothing is lost."""
-    c = contigs_of(spark, d)
+    c = stored_in(new_path(spark))(contigs_of(spark, d), "contigs")  # all calls read it
     one = Collection.create(c.where("sample_ord < 10"), new_path(spark), k=K, segment_size=SEGMENT_SIZE, min_match=MIN_MATCH)
     two = Collection(spark, one.path)
     one.append(c.where("sample_ord between 10 and 14"))

@@ -165,3 +165,28 @@ def test_packing_of_arrays_is_that_of_expressions(spark):
 def test_packing_takes_no_expression_per_letter(spark):
     plan = packing_queries.packed_symbols(spark, SMALL)._jdf.queryExecution().executedPlan().toString().lower()
     assert "lambda" not in plan and "mapinarrow" in plan
+
+
+def test_short_references_are_indexed_by_letters(monkeypatch):
+    """The index by letters gives what numpy's gives, and needs none of its calls."""
+    r = random.Random(9)
+    refs = ["".join(r.choice(x) for _ in range(n)) for x in ("ACGT", "AC") for n in (5, 12, 100, 263)]
+    texts = [[ref, ref[3:60] + ref[70:], mutate(r, ref), "ACGT" * 200] for ref in refs]
+    given = lambda: [(c.encode(t), c.cost(t), c.costs(t)) for ref, some in zip(refs, texts, strict=True) for c in [codec.Coder(ref, 15)] for t in some]
+    monkeypatch.setattr(codec.Coder, "_by_letters", lambda self, places: None)
+    monkeypatch.setattr(codec, "SLOTS", 0)
+    monkeypatch.setattr(codec, "_put", lambda slots, size: slots >= 0)
+    want = given()
+    monkeypatch.undo()
+    monkeypatch.setattr(codec, "window_codes", None)
+    assert given() == want
+
+
+def test_wanted_values_are_sought_only_where_a_table_has_them(monkeypatch):
+    values = kmers.np.random.default_rng(4).integers(0, 1 << 63, 20_000).astype(kmers.np.uint64)
+    sought, real = [], kmers.np.searchsorted
+    monkeypatch.setattr(kmers.np, "searchsorted", lambda a, v, *more: sought.append(len(v)) or real(a, v, *more))
+    for n in (1, 7, 500):
+        wanted = kmers.np.sort(values[:n])
+        assert kmers._among(lambda w=wanted: w)(values).tolist() == kmers.np.isin(values, wanted).tolist()
+        assert sought.pop() < len(values) // 4

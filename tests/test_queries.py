@@ -50,3 +50,29 @@ def test_segmentation_reads_two_columns(spark):
 def test_segments_are_made_once(spark, name):
     """Queries that read segments more than once store them: their own plans don't go back to the documents."""
     assert not [f for f in plans.QUERIES[name](spark, SMALL).inputFiles() if "documents" in f]
+
+
+@pytest.mark.parametrize("name", ["append_two_handles", "append_equals_create"])
+def test_appending_queries_read_the_texts_once(spark, monkeypatch, name):
+    from strandlake.plans import codec_queries
+
+    class Seen(Exception):
+        pass
+
+    def create(contigs, *a, **k):
+        raise Seen(contigs.inputFiles())
+
+    monkeypatch.setattr(codec_queries.Collection, "create", create)
+    with pytest.raises(Seen) as seen:
+        plans.QUERIES[name](spark, SMALL)
+    assert seen.value.args[0] and not [f for f in seen.value.args[0] if "documents" in f]
+
+
+def test_letters_of_the_genome_view(spark):
+    from strandlake.functions import dna_view
+    from strandlake.sources.genome_view import _dna_letters
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "xyz", "ACGTacgt", "Tag é中\n\x00 gattaca!", "ＡＣＧＴ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert all(r[0] == r[1] for r in df.select(dna_view(F.col("text")), F.arrow_udf(_dna_letters, "string")(F.col("text"))).collect())

@@ -222,3 +222,19 @@ def test_adaptive_splitters_deal_kmers_by_letters(spark, monkeypatch):
     df = segment_queries.adaptive_splitters(spark, SMALL)
     assert not [f for f in df.inputFiles() if "documents" in f]  # contigs are made once
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_are_counted_without_a_row_each(spark, monkeypatch):
+    """Splitters from lists of places: k-mers are dealt in rows of bytes, and those that come once are the same."""
+    df = spark.createDataFrame(collection(37, 2), SCHEMA).where("sample_ord = 0")
+    counts, places = {}, {}
+    for r in kmers.coded_kmers(df, K).collect():
+        counts[r["ck"]] = counts.get(r["ck"], 0) + 1
+        places[r["ck"]] = r["contig_ord"], r["end"]
+    for tasks in (None, 5):
+        found = kmers.single_places(df, K, 100, tasks)
+        assert sorted((r["contig_ord"], e) for r in found.collect() for e in r["ends"] if e // 100 == r["part"]) == sorted(places[ck] for ck, n in counts.items() if n == 1)
+    dealt = []
+    monkeypatch.setattr(kmers, "counted_kmers", lambda *a, **k: dealt.append(a))
+    monkeypatch.setattr(segmentation, "counted_kmers", lambda *a, **k: dealt.append(a))
+    assert segmentation.select_splitters(df, K, SIZE).count() and not dealt
