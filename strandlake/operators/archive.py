@@ -40,6 +40,7 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +147,9 @@ def _nearest_first(min_match: int):
 
     def run(asked: pa.Table, groups: pa.Table) -> pa.Table:
         cells: dict[tuple, tuple[list, list]] = {}
-        for side, table in enumerate((asked, groups)):
+        # most groups' splitters end no segment, and some segments' end no group
+        both = pc.is_in(groups["own"], asked["own"]), pc.is_in(asked["own"], groups["own"])
+        for side, table in enumerate((asked.filter(both[1]), groups.filter(both[0]))):
             for r in table.to_pylist():
                 cells.setdefault((r["own"], r["part"], r["chunk"]), ([], []))[side].append(r)
         rows = [x for a, g in cells.values() if a and g for x in one(a, g)]
@@ -174,14 +177,45 @@ def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int, kee
     is_rev_comp, cost``. Ties go to the smaller key, then to the segment's own direction. A group must be of an earlier
     sample, and must save ``SAVING`` letters (or any, for shorter segments).
 
-    A splitter's groups are cut into chunks by length, its segments into parts, each of about ``SIDE`` letters, so no task
-    has all of a hot one, and no row is made for a segment and a group; small ones are put together in cells. Segments meet the chunk nearest in length first;
+    A hot splitter's groups are cut into chunks by length, its segments into parts, each of about ``SIDE`` letters, so no task
+    has all of it, and no row is made for a segment and a group; the others are put together in cells. Segments meet the chunk nearest in length first;
     what they find there bounds the search in the others. ``keep`` stores what is read twice.
     """
-    ship(one_sided.sparkSession)
+    spark = one_sided.sparkSession
+    ship(spark)
     arrival = list(grouping.ARRIVAL)
     ends = groups.where("key1 is not null and key2 is not null").select("*", F.explode(F.array_distinct(F.array("key1", "key2"))).alias("own"))
     asked = one_sided.select(*arrival, "raw_length", F.coalesce("front", "back").alias("own"), F.col("front").isNotNull().alias("at_front"), "seq")
+    # one pass over numbers: splitters whose segments or groups are too many letters for a cell, and the letters of all others
+    sides = asked.select("own", F.col("raw_length").alias("a"), F.lit(0).cast("long").alias("g")).unionByName(ends.select("own", F.lit(0).cast("long").alias("a"), F.char_length("ref_seq").cast("long").alias("g")))
+    sides = keep(sides.groupBy("own").agg(F.sum("a").alias("a"), F.sum("g").alias("g")).where("a > 0 and g > 0"), "sides")
+    hot = sides.where((F.col("a") > SIDE) | (F.col("g") > SIDE)).select("own")
+    small = sides.where((F.col("a") <= SIDE) & (F.col("g") <= SIDE)).agg(F.sum("a"), F.sum("g")).first()
+    few = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(small[0] or 0, small[1] or 0) // SIDE))
+    plain = [F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("chunk")]
+    any_hot = not hot.isEmpty()
+    cold = lambda df: df.join(hot, "own", "left_anti") if any_hot else df
+    best = _met(cold(asked).select("*", *plain, *_nothing()), cold(ends).select("own", "key1", "key2", "first_sample", "ref_seq", *plain), few, min_match)
+    if any_hot:
+        best = best.unionByName(_of_hot(asked.join(hot, "own", "left_semi"), ends.join(hot, "own", "left_semi"), min_match, keep))
+    bound = F.when(F.col("raw_length") < SAVING, F.col("raw_length")).otherwise(F.col("raw_length") - SAVING)
+    return best.where(F.col("cost") <= bound).select(*arrival, "key1", "key2", "is_rev_comp", "cost")
+
+
+def _nothing() -> list:
+    """Columns of a segment that has not found a group yet."""
+    return [F.lit(None).cast(t).alias(n) for n, t in (("bound", "long"), ("b1", "string"), ("b2", "string"), ("b_rc", "boolean"))]
+
+
+def _met(rows: DataFrame, groups: DataFrame, cells: int, min_match: int) -> DataFrame:
+    """Segments and groups of equal splitter, part and chunk meet, many of these in a cell."""
+    cell = F.pmod(F.xxhash64("own", "part", "chunk"), F.lit(cells)).alias("cell")
+    return rows.select("*", cell).groupBy("cell").cogroup(groups.select("*", cell).groupBy("cell")).applyInArrow(_nearest_first(min_match), _BEST)
+
+
+def _of_hot(asked: DataFrame, ends: DataFrame, min_match: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The cheapest groups of segments, chunk by chunk and part by part."""
+    arrival = list(grouping.ARRIVAL)
     # numbers only, without letters: one row per group and end
     by_length = Window.partitionBy("own").orderBy("n", "key1", "key2")
     sized = ends.select("own", "key1", "key2", F.char_length("ref_seq").cast("long").alias("n"))
@@ -196,20 +230,14 @@ def cheapest_groups(one_sided: DataFrame, groups: DataFrame, min_match: int, kee
     lettered = lettered.select("own", "key1", "key2", "first_sample", "ref_seq", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
     sizes = placed.join(parts, "own").agg(F.sum(F.col("n") * F.col("n_parts")).alias("letters"), F.max("chunk").alias("chunk")).first()
     letters = max(asked.agg(F.sum("raw_length")).first()[0] or 0, sizes["letters"] or 0)
-    cells = max(int(one_sided.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-letters // SIDE))
-    cell = F.pmod(F.xxhash64("own", "part", "chunk"), F.lit(cells)).alias("cell")
-
-    def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.select("*", cell).groupBy("cell").cogroup(y.select("*", cell).groupBy("cell")).applyInArrow(_nearest_first(min_match), _BEST)
-
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("bound", "long"), ("b1", "string"), ("b2", "string"), ("b_rc", "boolean"))]
-    best = met(rows.select("*", *none), lettered)
+    cells = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-letters // SIDE))
+    met = lambda x, y: _met(x, y, cells, min_match)
+    best = met(rows.select("*", *_nothing()), lettered)
     if sizes["chunk"]:  # segments of splitters with more groups than one chunk have others to meet
         best = keep(best, "nearest")
         best = best.unionByName(met(_in_other_chunks(rows, best), lettered.join(middles.where(F.size("chunks") > 1).select("own"), "own", "left_semi")))
         best = best.groupBy(*arrival, "raw_length").agg(F.min(F.struct("cost", "key1", "key2", "is_rev_comp")).alias("b")).select(*arrival, "raw_length", "b.*")
-    bound = F.when(F.col("raw_length") < SAVING, F.col("raw_length")).otherwise(F.col("raw_length") - SAVING)
-    return best.where(F.col("cost") <= bound).select(*arrival, "key1", "key2", "is_rev_comp", "cost")
+    return best
 
 
 class Collection:
@@ -649,6 +677,13 @@ def through_middle(unsettled: DataFrame, settled: DataFrame, k: int, min_match:
     return both.select(*grouping.ARRIVAL, "start", "front", "back", "middle", "seq", "turned", "ref1", "ref2").mapInArrow(_through_middle(min_match, k), _PARTS)
 
 
+def _at_ends(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Groups of which a splitter is also one of these pairs."""
+    ends = pairs.select(F.explode(F.array("key1", "key2")).alias("ck")).distinct()
+    one, two = (ends.select(F.col("ck").alias(f"key{i}"), F.lit(True).alias(f"at{i}")) for i in (1, 2))
+    return groups.join(one, "key1", "left").join(two, "key2", "left").where("at1 or at2").select(*groups.columns)
+
+
 def by_votes(segments: DataFrame, sampled: DataFrame, mapped: DataFrame, settled: DataFrame, values: dict, least: int, adaptive: bool, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``key1, key2, is_rev_comp`` of settled groups for segments (with ``seq``) by the sampled k-mers that they share."""
     votes = grouping.fallback_votes(sampled, segments, mapped, values["k"], keep, least, MOST_CANDIDATES)
@@ -675,7 +710,7 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
         new = new.union(before) if known is None else new  # a new collection has one set
         _write(stage(new.distinct(), "splitters").sortWithinPartitions("ck"), path, "splitters", batch)
     elif known is not None:
-        _write(spark.createDataFrame([], "ck string"), path, "splitters", batch)
+        _write(spark.range(0).select(F.lit("").alias("ck")), path, "splitters", batch)
     splitters = _read(spark, path, "splitters", batches)
     found = segmentation.with_sequences(segmentation.segments(contigs, splitters, k), contigs)
     keyed = stage(segmentation.with_keys(found, k), "keyed")
@@ -688,8 +723,8 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
     else:
         old = known.table("groups")
         settled = old.where("key2 is not null").select("key1", "key2", "ref_seq")
-        touched = _touched(known, keyed)
-    columns = [*arrival, "part", "start", "raw_length", "seq", "key1", "key2", "is_rev_comp"]
+        touched = stage(_touched(known, keyed), "touched")
+    columns = [*arrival, "part", "start", "raw_length", "key1", "key2", "is_rev_comp"]
     near = settled if touched is None else touched.where("key2 is not null").select("key1", "key2", "ref_seq")
     # the round of a segment, and the last sample of a round
     together = values["pack_cardinality"] if values["concatenated"] else 1
@@ -728,14 +763,20 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
         own = revised(own, voted.join(unsettled.where("opened is null or round <= opened").select(*arrival), arrival, "left_semi"))
     if not values["concatenated"]:
         groups = near.withColumn("round", F.lit(-1)).unionByName(opened.select("key1", "key2", "ref_seq", "round"))
-        parts = stage(through_middle(unsettled.where("opened is null"), groups, k, values["min_match"]), "parts")
+        if voted is None:
+            # few pairs stay shut, and only their segments, and groups at their ends, can make parts
+            shut = stage(firsts.select("key1", "key2").join(opened.select("key1", "key2"), ["key1", "key2"], "left_anti"), "shut")
+            lacking = both.join(shut, ["key1", "key2"], "left_semi").withColumn("round", round_)
+            groups = stage(_at_ends(groups, shut), "around")
+        else:
+            lacking = unsettled.where("opened is null")
+        parts = stage(through_middle(lacking, groups, k, values["min_match"]), "parts")
         if not parts.isEmpty():
-            # one join, as the letters of all segments pass it: those with parts become their parts
-            replaced = [c for c in columns if c not in (*arrival, "seq")]
+            # segments with parts become their parts
+            replaced = [c for c in columns if c not in arrival]
             joined = own.join(parts.select(*arrival, "inside", *[F.col(c).alias(f"p_{c}") for c in replaced]), arrival, "left")
-            cut = F.substring(F.col("seq").cast("binary"), (F.col("inside") + 1).cast("int"), F.col("p_raw_length").cast("int")).cast("string")
-            either = lambda c, part: F.when(F.col("inside").isNull(), F.col(c)).otherwise(part).alias(c)
-            own = joined.select(*arrival, *[either(c, F.col(f"p_{c}")) for c in replaced], either("seq", cut)).select(*columns)
+            either = lambda c: F.when(F.col("inside").isNull(), F.col(c)).otherwise(F.col(f"p_{c}")).alias(c)
+            own = joined.select(*arrival, *[either(c) for c in replaced])
 
     seen = last(F.lit(0)) if known is None else F.lit(-1)  # those of the reference sample are of the first round
     candidates = near.select("key1", "key2", seen.alias("first_sample"), "ref_seq").unionByName(opened.select("key1", "key2", last(F.col("round")).alias("first_sample"), "ref_seq"))
@@ -752,13 +793,15 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
         alone = revised(alone, vote(alone.where("key2 is null"), 1, "voted1"))
         found = vote(none, 0, "voted0")
         none_voted = none.join(found.select(*arrival, F.col("key1").alias("c1"), F.col("key2").alias("c2"), F.col("is_rev_comp").alias("c_rc")), arrival)
-        own = own.unionByName(none_voted.select(*arrival, F.lit(0).alias("part"), "start", "raw_length", "seq", F.col("c1").alias("key1"), F.col("c2").alias("key2"), F.col("c_rc").alias("is_rev_comp")))
+        own = own.unionByName(none_voted.select(*arrival, F.lit(0).alias("part"), "start", "raw_length", F.col("c1").alias("key1"), F.col("c2").alias("key2"), F.col("c_rc").alias("is_rev_comp")))
         none = none.join(found.select(*arrival), arrival, "left_anti")
-    raw = none.select(*arrival, F.lit(0).alias("part"), "start", "raw_length", "seq", F.lit(None).cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"), F.lit(False).alias("is_rev_comp"))
+    raw = none.select(*arrival, F.lit(0).alias("part"), "start", "raw_length", F.lit(None).cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"), F.lit(False).alias("is_rev_comp"))
     # parts of a segment that was cut in two are segments of their own
     every = own.select(*columns).unionByName(alone.select(*columns)).unionByName(raw)
     again = F.row_number().over(Window.partitionBy("sample_ord", "contig_ord").orderBy("place", "part")) - 1
-    every = every.withColumn("place", again.cast("int")).select(*arrival, "start", "raw_length", "key1", "key2", "is_rev_comp", _stored().alias("body"))
+    every = every.withColumn("place", again.cast("int")).select(*arrival, "start", "raw_length", "key1", "key2", "is_rev_comp")
+    # letters come last, from the contigs, so no step before carries them
+    every = segmentation.with_sequences(every, contigs).select(*every.columns, _stored().alias("body"))
     every = stage(every, "members")
     members, raw = every.where("key1 is not null"), every.where("key1 is null")
 
@@ -780,7 +823,9 @@ def _ingest(spark: SparkSession, contigs: DataFrame, path: str, batch: str, valu
     used = None if known is None else known.table("deltas").groupBy("group_id").agg(F.max("in_group_id").alias("used"))
     keys = [*arrival, "start", "raw_length", "is_rev_comp", "group_id"]
     g = groups.select("group_id", F.col("key1").alias("g1"), F.col("key2").alias("g2"), "ref_seq")
-    placed = members.join(g, same("g1", "g2")).select(*keys, "ref_seq", "body")
+    # most members are their group's reference, whose code is empty: of these no letters are sent to be coded
+    other = F.col("body") != F.col("ref_seq")
+    placed = members.join(g, same("g1", "g2")).select(*keys, F.when(other, F.col("ref_seq")).alias("ref_seq"), F.when(other, F.col("body")).otherwise("").alias("body"))
     coded = stage(encode_rows(placed.sortWithinPartitions("group_id"), values["min_match"]), "coded")
     # equal codes of a group are one; ids follow their first arrival
     codes = coded.where("body <> ''").groupBy("group_id", "body").agg(F.min(F.struct(*arrival)).alias("f")).select("group_id", "body", "f.*")

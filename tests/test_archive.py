@@ -556,3 +556,32 @@ def test_bridged_segments_over_the_given_tables(spark):
             want.append((*place, s["start"], 0, 0, cut + K, *sorted((s["front"], middle)), s["front"] > middle))
             want.append((*place, s["start"] + cut, 1, cut, n - cut, *sorted((middle, s["back"])), middle > s["back"]))
     assert sorted(map(tuple, codec_queries.bridged_splits(spark, SMALL).collect())) == sorted(want)
+
+
+def test_steps_of_a_batch_read_what_they_need(spark, tmp_path, monkeypatch):
+    """Bridging gets only segments of pairs that stay shut and groups at their ends; an append stores the groups that it
+    touches, and letters are joined once places are known."""
+    from strandlake.operators import archive
+
+    seen, stored = [], {}
+    real, stage = archive.through_middle, archive._stage
+
+    def middle(lacking, groups, *a):
+        seen.append(({(x[0], x[1]) for x in lacking.select("key1", "key2").collect()}, {(x[0], x[1]) for x in groups.select("key1", "key2").collect()}))
+        return real(lacking, groups, *a)
+
+    def kept(df, path, batch, name):
+        stored.setdefault(name, []).append(df.inputFiles())
+        return stage(df, path, batch, name)
+
+    monkeypatch.setattr(archive, "through_middle", middle)
+    monkeypatch.setattr(archive, "_stage", kept)
+    made, n = bridge(3, spark, tmp_path)
+    ((pairs, groups),) = seen
+    ends = {e for p in pairs for e in p}
+    assert len(pairs) == 1 and 2 <= len(groups) < n - 1 and all(ends & set(g) for g in groups)
+    more = made.get_collection().where("sample_ord = 1").select(F.lit(0).alias("sample_ord"), F.lit("s3").alias("sample"), "contig_ord", F.lit("c").alias("contig"), "contig_full", "seq")
+    made.append(more)
+    assert len(stored["touched"]) == 1
+    # groups that one-sided segments are compared with are read from there, not from the collection
+    assert stored["sides"][1] and not [f for f in stored["sides"][1] if "/groups/" in f]
