@@ -250,16 +250,40 @@ def _dealt_windows(k: int, shares: int):
     return run
 
 
-def _only_once(row: int):
+#: A place without its k-mer, and odd factors that deal parts of contigs.
+_ENDS = np.dtype([("end", np.int64), ("sample_ord", np.int32), ("contig_ord", np.int32)])
+_MIXED = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _only_once(row: int, shares: int):
+    """Of a share of windows, the places of those that come once, dealt by the part of a contig where they are."""
+
     def run(table: pa.Table) -> pa.Table:
         found = np.concatenate([np.frombuffer(x.as_buffer(), _PLACED) for x in table.column("windows")])
         order = np.argsort(found["ck"])
         ck = found["ck"][order]
         other = np.append(True, ck[1:] != ck[:-1])
         found = found[order[other & np.append(other[1:], True)]]
+        held = (found["sample_ord"], found["contig_ord"], found["end"] // row)
+        with np.errstate(over="ignore"):
+            mixed = sum((x.astype(np.uint64) * m for x, m in zip(held, _MIXED, strict=True)), np.zeros(len(found), np.uint64))
+        bucket = (finalised(mixed) % np.uint64(shares)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        out = np.empty(len(found), _ENDS)
+        for name in _ENDS.names:
+            out[name] = found[name][order]
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        parts = [part.tobytes() for part in np.split(out, edges[1:])] if len(edges) else []
+        return pa.table([pa.array(bucket[order][edges], pa.int64()), pa.array(parts, pa.binary())], ["bucket", "places"])
+
+    return run
+
+
+def _listed(row: int):
+    def run(table: pa.Table) -> pa.Table:
+        found = np.concatenate([np.frombuffer(x.as_buffer(), _ENDS) for x in table.column("places")])
+        found = found[np.lexsort((found["end"], found["contig_ord"], found["sample_ord"]))]
         part = found["end"] // row
-        order = np.lexsort((found["end"], part, found["contig_ord"], found["sample_ord"]))
-        found, part = found[order], part[order]
         new = np.ones(len(found), dtype=bool)
         new[1:] = (part[1:] != part[:-1]) | (found["contig_ord"][1:] != found["contig_ord"][:-1]) | (found["sample_ord"][1:] != found["sample_ord"][:-1])
         first = np.flatnonzero(new)
@@ -271,13 +295,15 @@ def _only_once(row: int):
 
 
 def single_places(contigs: DataFrame, k: int, row: int, tasks: int | None = None) -> DataFrame:
-    """``sample_ord, contig_ord, part, ends``: where canonical k-mers that come once in all contigs end, listed for each ``row``
-    places of a contig. Windows are dealt by k-mer into shares of about ``TASK`` letters, each a few rows of bytes, as a row
-    for every window costs far more than to count it; lists of a part come from many shares."""
+    """``sample_ord, contig_ord, part, ends``: where canonical k-mers that come once in all contigs end, one sorted list for each
+    ``row`` places of a contig. Windows are dealt by k-mer into shares of about ``TASK`` letters, and the places that stay by part
+    into as many, each time in a few rows of bytes, as a row for every window or short list costs far more than to count it."""
     shares = tasks or tasks_for(contigs.sparkSession, None)
     dealt = _spread(contigs, k, tasks).mapInArrow(_dealt_windows(k, shares), "share long, windows binary")
     dealt = dealt.repartition(tasks, "share") if tasks else dealt
-    return dealt.groupBy("share").applyInArrow(_only_once(row), "sample_ord int, contig_ord int, part long, ends array<long>")
+    once = dealt.groupBy("share").applyInArrow(_only_once(row, shares), "bucket long, places binary")
+    once = once.repartition(tasks, "bucket") if tasks else once
+    return once.groupBy("bucket").applyInArrow(_listed(row), "sample_ord int, contig_ord int, part long, ends array<long>")
 
 
 def sampled_codes(contigs: DataFrame, k: int, fraction: float) -> DataFrame:

@@ -70,13 +70,15 @@ def _spaced(segment_size: int, k: int):
 
 def _chosen(candidates: DataFrame, contigs: DataFrame, k: int, segment_size: int, tasks: int | None = None) -> DataFrame:
     """Distinct ``ck`` of the windows of ``contigs`` chosen among ``sample_ord, contig_ord, end``, or among lists of ends
-    (``part, ends``)."""
+    (``part, ends``), one for each part."""
     ship(contigs.sparkSession)
-    placed = candidates if "ends" in candidates.columns else candidates.withColumn("part", F.floor(F.col("end") / ROW))
-    if tasks:
-        placed = placed.repartition(tasks, "sample_ord", "contig_ord", "part")
-    ends = F.flatten(F.collect_list("ends")) if "ends" in candidates.columns else F.collect_list("end")
-    listed = placed.groupBy("sample_ord", "contig_ord", "part").agg(ends.alias("ends"))
+    if "ends" in candidates.columns:
+        listed = candidates
+    else:
+        placed = candidates.withColumn("part", F.floor(F.col("end") / ROW))
+        if tasks:
+            placed = placed.repartition(tasks, "sample_ord", "contig_ord", "part")
+        listed = placed.groupBy("sample_ord", "contig_ord", "part").agg(F.collect_list("end").alias("ends"))
     rows = listed.mapInArrow(_bits, "sample_ord int, contig_ord int, part long, bits binary")
     whole = rows.groupBy("sample_ord", "contig_ord").agg(F.sort_array(F.collect_list(F.struct("part", "bits"))).alias("rows"))
     taken = whole.mapInArrow(_spaced(segment_size, k), "sample_ord int, contig_ord int, ends array<long>")

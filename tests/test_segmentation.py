@@ -238,3 +238,13 @@ def test_windows_are_counted_without_a_row_each(spark, monkeypatch):
     monkeypatch.setattr(kmers, "counted_kmers", lambda *a, **k: dealt.append(a))
     monkeypatch.setattr(segmentation, "counted_kmers", lambda *a, **k: dealt.append(a))
     assert segmentation.select_splitters(df, K, SIZE).count() and not dealt
+
+
+@pytest.mark.parametrize("tasks", [None, 5])
+def test_places_of_a_part_are_one_list(spark, tasks):
+    """Single k-mers of a part of a contig are found by many tasks and come in one sorted list."""
+    df = spark.createDataFrame(collection(37, 2), SCHEMA).where("sample_ord = 0")
+    found = kmers.single_places(df, K, 100, tasks).collect()
+    parts = [(r["sample_ord"], r["contig_ord"], r["part"]) for r in found]
+    assert len(parts) > 5 and len(parts) == len(set(parts))
+    assert all(r["ends"] == sorted(set(r["ends"])) and {e // 100 for e in r["ends"]} == {r["part"]} for r in found)
