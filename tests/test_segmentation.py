@@ -180,6 +180,49 @@ def test_votes_are_counted_in_cells(spark, tmp_path, monkeypatch):
         assert best(few) == best(votes) and len(best(few)) > len(spans)
 
 
+def test_votes_of_a_key_follow_one_another(spark, tmp_path, monkeypatch):
+    """A key's rows are stored in few bytes, however many keys there are: they are not scattered over the rows of segments."""
+    r = random.Random(8)
+    names = sorted({"".join(r.choice("ACGT") for _ in range(5)) for _ in range(60)})
+    mapped = [(ck, *sorted(r.sample(names, 2)), r.random() < 0.5) for ck in range(40) for _ in range(6)]
+    own = [(0, c, r.randrange(4, 100), r.randrange(40), r.random() < 0.5) for c in range(80) for _ in range(10)]
+    sampled = spark.createDataFrame(own, "sample_ord int, contig_ord int, end long, ck long, forward boolean")
+    segments = spark.createDataFrame([(0, c, 0, 0, 100) for c in range(80)], "sample_ord int, contig_ord int, place int, start long, raw_length long")
+    groups = spark.createDataFrame(mapped + mapped[:99], "ck long, key1 string, key2 string, forward boolean")  # repeated rows count once
+    want = {}
+    for s, c, _, ck, here in own:
+        for x, k1, k2, forward in mapped:
+            if x == ck:
+                want.setdefault((s, c, 0, k1, k2, here != forward), set()).add(ck)
+    for passed, counted in ((1 << 16, 1 << 21), (50, 7)):
+        monkeypatch.setattr(grouping, "PASSED", passed)
+        monkeypatch.setattr(grouping, "COUNTED", counted)
+        votes = grouping.fallback_votes(sampled, segments, groups, 5, lambda df, name: _kept(df, f"{tmp_path}/{passed}-{name}"))
+        rows = votes.select("*", F.spark_partition_id().alias("at")).collect()
+        assert sorted(tuple(x)[:-1] for x in rows) == sorted((*at, len(cks)) for at, cks in want.items())
+        keys = [(x["at"], x["key1"], x["key2"]) for x in rows]
+        runs = 1 + sum(x != y for x, y in zip(keys, keys[1:]))
+        assert runs <= 2 * len(set(keys)) < len(rows) / 2
+
+
+def test_votes_read_the_texts_once_and_store_letters_once(spark, monkeypatch):
+    from strandlake.plans import segment_queries
+
+    from .conftest import SMALL
+
+    stored, made = {}, []
+    stored_in, contigs_of = segment_queries.stored_in, segment_queries.contigs_of
+
+    def noted(where):
+        keep = stored_in(where)
+        return lambda df, name: stored.setdefault(name, df.columns) and keep(df, name)
+
+    monkeypatch.setattr(segment_queries, "stored_in", noted)
+    monkeypatch.setattr(segment_queries, "contigs_of", lambda *a: made.append(a) or contigs_of(*a))
+    assert segment_queries.fallback_votes(spark, SMALL).count()
+    assert len(made) == 1 and [name for name, columns in stored.items() if "seq" in columns] == ["contigs"]
+
+
 def _kept(df, path):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
