@@ -293,7 +293,7 @@ def fallback_votes(sampled: DataFrame, unkeyed: DataFrame, mapped: DataFrame, k:
 
 def best_candidates(votes: DataFrame, least: int = 1, most: int = 10) -> DataFrame:
     """Per segment the ``most`` candidates of highest (votes, key as the segment reads it), of at least ``least`` votes and
-    half the best."""
+    half the best. A key of two equal k-mers reads alike in both directions; with as many votes, the forward one goes first."""
     first = F.when(F.col("is_rev_comp"), F.col("key2")).otherwise(F.col("key1"))
     second = F.when(F.col("is_rev_comp"), F.col("key1")).otherwise(F.col("key2"))
     order = Window.partitionBy(*ARRIVAL).orderBy(F.desc("votes"), first.desc(), second.desc(), "is_rev_comp")

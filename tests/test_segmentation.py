@@ -130,6 +130,16 @@ def test_fallback_candidates(spark):
     assert got[1]["key1"] == "k02" and F is not None
 
 
+def test_equal_candidates_of_both_directions_have_a_fixed_order(spark):
+    """A key of two equal k-mers with as many votes in both directions: the SQL's order leaves open which goes first."""
+    rows = [(0, c, 0, k, k, rc, 3) for c in range(30) for k in ("a", "b", "d") for rc in (True, False)] + [(0, c, 0, "c", "c", True, 4) for c in range(30)]
+    for n in (1, 7):
+        votes = spark.createDataFrame(rows[::n] + [x for i, x in enumerate(rows) if i % n], "sample_ord int, contig_ord int, place int, key1 string, key2 string, is_rev_comp boolean, votes long").repartition(n)
+        got = grouping.best_candidates(votes, most=4).collect()
+        want = {("c", True, 1), ("d", False, 2), ("d", True, 3), ("b", False, 4)}
+        assert len(got) == 120 and {(r["key1"], r["is_rev_comp"], r["rank"]) for r in got} == want
+
+
 def test_many_wanted_kmers_pass_a_filter(spark, monkeypatch):
     """Above the number that is sent, only windows that pass the filter are joined; the result is the same."""
     df = spark.createDataFrame(collection(21, 3), SCHEMA)
